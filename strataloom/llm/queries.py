@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, cuckoo_dedup, golay_simhash, mixing
+from . import common, cuckoo_dedup, deleted_interpolation, golay_simhash, mixing
+
+
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.scores(common.documents(spark, sf_dir))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +31,7 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mix_sources, op6_exact_dedup, op7_simhash_golay)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op4_mix_sources, op6_exact_dedup, op7_simhash_golay)}
 
 
 def oracle_sql() -> dict[str, str]:
