@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, cuckoo_dedup, deleted_interpolation, golay_simhash, mixing
+from . import common, cuckoo_dedup, deleted_interpolation, golay_simhash, mixing, token_orc, vector_packing
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation.scores(common.documents(spark, sf_dir))
 
 
+def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.shared_path(spark, "tokens.orc")
+    token_orc.write_tokens(common.documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_orc.checksums(spark, path)
+
+
+def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_packing.shard_documents(common.documents(spark, sf_dir), shards=24)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "tokens")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
     size = F.col("_sl_size")
@@ -31,7 +44,7 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op4_mix_sources, op6_exact_dedup, op7_simhash_golay)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_token_orc, op3_vector_packing, op4_mix_sources, op6_exact_dedup, op7_simhash_golay)}
 
 
 def oracle_sql() -> dict[str, str]:
