@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, cuckoo_dedup, deleted_interpolation, golay_simhash, mixing, token_orc, vector_packing
+from . import boundary_bpe, common, cuckoo_dedup, deleted_interpolation, golay_simhash, mixing, secret_dfa, token_orc, vector_packing
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,32 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = boundary_bpe.encoded(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", *bpe_digests())
+
+
+def bpe_digests():
+    written = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
+    return F.size("ids").cast("long").alias("n_tokens"), F.sha2(written.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+
+
+def op9_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_dfa.secret_spans(common.documents(spark, sf_dir))
+    base = [r.name for r in secret_dfa.BASE_RULES]
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    own = F.filter("spans", lambda s: s["kind"].isin(base))
+    return out.select("doc_id", *map(count, base), F.sha2(listed(own).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op2_token_orc, op3_vector_packing, op4_mix_sources, op6_exact_dedup, op7_simhash_golay)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_token_orc, op3_vector_packing, op4_mix_sources, op6_exact_dedup, op7_simhash_golay, op8_boundary_bpe, op9_secret_dfa)}
 
 
 def oracle_sql() -> dict[str, str]:
