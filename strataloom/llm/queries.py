@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boundary_bpe, common, cuckoo_dedup, deleted_interpolation, golay_simhash, mixing, secret_dfa, token_orc, vector_packing
+from . import boundary_bpe, common, cuckoo_dedup, deleted_interpolation, golay_simhash, imatch, mixing, secret_dfa, token_orc, vector_packing
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("size"), F.col("_sl_source_size").alias("source_size"), F.col("_sl_target").alias("target"), (size * F.col("_sl_copies")).alias("taken"))
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = imatch.compared(common.documents(spark, sf_dir))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cuckoo_dedup.exact_dedup(common.documents(spark, sf_dir))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -68,7 +73,7 @@ def op9_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op2_token_orc, op3_vector_packing, op4_mix_sources, op6_exact_dedup, op7_simhash_golay, op8_boundary_bpe, op9_secret_dfa)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_token_orc, op3_vector_packing, op4_mix_sources, op5_imatch, op6_exact_dedup, op7_simhash_golay, op8_boundary_bpe, op9_secret_dfa)}
 
 
 def oracle_sql() -> dict[str, str]:
