@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boundary_bpe, common, cuckoo_dedup, deleted_interpolation, golay_simhash, imatch, mixing, secret_dfa, token_orc, vector_packing
+from . import boundary_bpe, common, cuckoo_dedup, deleted_interpolation, golay_simhash, imatch, mixing, ppm_langid, secret_dfa, token_orc, vector_packing
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,15 @@ def op9_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, base), F.sha2(listed(own).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op10_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = docs.select("doc_id", ppm_langid.language_column(spark, ppm_langid.train(docs)).alias("found"))
+    held_out = common.crc_remainder("doc_id", ppm_langid.FOLDS) == ppm_langid.HELD_OUT
+    return found.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.bits").alias("bits_per_byte"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op2_token_orc, op3_vector_packing, op4_mix_sources, op5_imatch, op6_exact_dedup, op7_simhash_golay, op8_boundary_bpe, op9_secret_dfa)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_token_orc, op3_vector_packing, op4_mix_sources, op5_imatch, op6_exact_dedup, op7_simhash_golay, op8_boundary_bpe, op9_secret_dfa, op10_ppm_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
