@@ -73,23 +73,26 @@ class Trees:
         return out
 
 
-def code_lengths(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For counts of (context of ORDER symbols, symbol): bits in the full context (nan: not seen there), the escape's bits (0: no such context), bits by the next order."""
+def code_lengths(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For codes (context of ORDER symbols, symbol) seen n times each: their bits, every context's escape bits (0: no such context), the bits of every code of the next lower order."""
     cost = np.full((1, SYMBOLS), float(BITS))
-    for order in range(ORDER + 1):
-        counts = grams.reshape(-1, SYMBOLS ** (order + 1)).sum(axis=0).reshape(-1, SYMBOLS)
+    for order in range(ORDER):
+        own = codes & ((1 << BITS * (order + 1)) - 1)
+        counts = np.bincount(own, n, SYMBOLS ** (order + 1)).reshape(-1, SYMBOLS)
         total, different = counts.sum(axis=1), (counts > 0).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             escape = np.where(total > 0, np.log2((total + different) / different), 0.0)
-            own = np.where(counts > 0, np.log2((total + different)[:, None] / counts), np.nan)
-        if order == ORDER:
-            return own.reshape(-1), escape, cost.reshape(-1)
+            seen = np.log2((total + different)[:, None] / counts)
         shorter = np.tile(cost, (len(counts) // len(cost), 1))  # a context's first symbol is the one that goes
-        cost = np.where(counts > 0, own, escape[:, None] + shorter)
-    raise AssertionError
+        cost = np.where(counts > 0, seen, escape[:, None] + shorter)
+    context = codes >> BITS
+    total, different = np.bincount(context, n, 1 << BITS * ORDER), np.bincount(context, minlength=1 << BITS * ORDER)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        escape = np.where(total > 0, np.log2((total + different) / different), 0.0)
+    return np.log2((total + different)[context] / n), escape, cost.reshape(-1)
 
 
-def _counts(labelled: DataFrame) -> tuple[np.ndarray, list[tuple[str, int, int]]]:
+def _counts(labelled: DataFrame) -> tuple[np.ndarray, pa.Table]:
     """Byte counts, and (lang, code, n) of all runs of ORDER + 1 symbols of the labelled sample: their number is bounded by the sample."""
     byte_schema = pa.schema([("byte", pa.int64()), ("n", pa.int64())])
 
@@ -122,7 +125,7 @@ def _counts(labelled: DataFrame) -> tuple[np.ndarray, list[tuple[str, int, int]]
             yield out(lang)
 
     found = labelled.select("lang", "text").mapInArrow(code_rows, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    return symbol, [tuple(r) for r in found.collect()]
+    return symbol, found.toArrow()
 
 
 def text_codes(symbol: np.ndarray, block: bytes) -> np.ndarray:
@@ -150,19 +153,20 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fitted(symbol, counted)
 
 
-def fitted(symbol: np.ndarray, counted: list[tuple[str, int, int]]) -> Trees:
-    langs = sorted({r[0] for r in counted})
-    codes = np.unique(np.array([r[1] for r in counted], np.int64))
+def fitted(symbol: np.ndarray, counted: pa.Table) -> Trees:
+    """Trees from a table of (lang, code, n)."""
+    lang = counted.column("lang").combine_chunks().dictionary_encode()
+    names, which = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+    code, n = counted.column("code").to_numpy(), counted.column("n").to_numpy().astype(np.float64)
+    langs = sorted(names)
+    codes = np.unique(code)
     shape = (len(langs), 1 << BITS * ORDER)
     seen, escape, shorter = np.zeros((len(langs), len(codes)), np.float32), np.zeros(shape, np.float32), np.zeros(shape, np.float32)
     for k, own in enumerate(langs):
-        grams = np.zeros(1 << BITS * (ORDER + 1), np.float64)
-        for name, code, n in counted:
-            if name == own:
-                grams[code] = n
-        exact, escape[k], shorter[k] = code_lengths(grams)
-        there = exact[codes]
-        seen[k] = np.where(np.isnan(there), escape[k][codes >> BITS] + shorter[k][codes & (1 << BITS * ORDER) - 1], there)
+        mine = which == names.index(own)
+        exact, escape[k], shorter[k] = code_lengths(code[mine], n[mine])
+        seen[k] = escape[k][codes >> BITS] + shorter[k][codes & (1 << BITS * ORDER) - 1]
+        seen[k][np.searchsorted(codes, code[mine])] = exact
     return Trees(langs, symbol, codes, np.ascontiguousarray(seen.T), np.ascontiguousarray(escape.T), np.ascontiguousarray(shorter.T))
 
 
