@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scoring import as_score, is_hotspot
 from ..functions.storage import saved
-from ..operators import graph
+from ..operators import graph, index
 from .catalog import query, table
 
 NODES = 300
@@ -98,8 +99,6 @@ SELECT node, coalesce(i.c, 0) AS consumers, coalesce(t.n, 0) AS dependents, node
 coalesce(i.c, 0) >= 3 AND coalesce(t.n, 0) >= 5 AND node % 2 = 0 AS hotspot FROM nodes LEFT JOIN i USING (node) LEFT JOIN t USING (node)""")
 def file_analysis(spark, sf_dir):
     """Degrees, closures, cycles and hotspots of all nodes at once; a score of 0.2 for each consumer, odd nodes are tested."""
-    from ..functions.scoring import is_hotspot
-
     own = saved(edges(spark, sf_dir), "edges")
     all_ = graph.degrees(own).join(graph.closure_counts(own), "node").join(graph.strong_components(own).select("node", F.lit(True).alias("cyclic")), "node", "left")
     hot = is_hotspot(F.col("consumers") * 0.2, F.col("transitive_dependents"), F.col("node") % 2 != 0)
@@ -115,12 +114,9 @@ def edge_replace(spark, sf_dir):
 
 @query(f"""WITH {ALL} SELECT node::VARCHAR AS path, if(node % 4 = 0, '.', 'd' || (node % 10)) AS domain, if(node % 4 = 0, 0, (node % 100) * 0.01)::DECIMAL(6,2) AS score FROM nodes""")
 def graph_nodes(spark, sf_dir):
-    from ..functions.scoring import as_score
-    from ..operators.index import graph_nodes as of
-
     own = graph.nodes(edges(spark, sf_dir))
     known = own.where("node % 4 != 0").select(F.col("node").cast("string").alias("path"), F.concat(F.lit("d"), (F.col("node") % 10).cast("string")).alias("domain"), as_score(F.col("node") % 100).alias("score"))
-    return of(own.select(F.col("node").cast("string").alias("path")), known)
+    return index.graph_nodes(own.select(F.col("node").cast("string").alias("path")), known)
 
 
 @query(f"WITH {EDGES} SELECT count(*) AS edges, count(DISTINCT src) AS sources FROM edges")
