@@ -36,6 +36,8 @@ BITS = 6
 SAMPLE_TEXTS = 3_000
 FOLDS, HELD_OUT = 4, 2
 TEMPER = 64
+#: A text that costs so many bits a byte is explained no better than by its raw bytes.
+REJECTED_BITS = 8.0
 UNKNOWN = "und"
 BLOCK = 1 << 20
 LETTER = regex.compile(r"\p{L}")
@@ -223,7 +225,7 @@ def language_column(spark: SparkSession, trees: Trees, text: str = "text") -> Co
 
 
 def recognised(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """The rows of docs that some learned language explains better than symbols drawn alike; `und` goes."""
+    """The rows of docs that some learned language explains better than raw bytes would; `und` goes."""
     found = docs.withColumn("_sl_language", language_column(docs.sparkSession, trees, text))
-    keep = (F.col("_sl_language.lang") != UNKNOWN) & (F.col("_sl_language.bits") < BITS)
+    keep = (F.col("_sl_language.lang") != UNKNOWN) & (F.col("_sl_language.bits") < REJECTED_BITS)
     return found.where(keep).drop("_sl_language")

@@ -1,0 +1,390 @@
+"""Each operator against a brute-force version on one fixture of awkward rows, and on an empty table."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from strataloom.llm import boundary_bpe, common, cuckoo_dedup, deleted_interpolation, golay_simhash, imatch, mixing, ppm_langid, secret_dfa, token_orc, vector_packing
+
+BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+
+
+def crc(i):
+    return zlib.crc32(str(i).encode() if i is not None else b"")
+
+
+def bag(rows):
+    return collections.Counter(tuple(r) for r in rows)
+
+
+def test_deleted_interpolation(docs, brute_rows):
+    out = deleted_interpolation.scores(docs).collect()
+    tokens = [(i, [*words(t), "\n"]) for i, t, *_ in brute_rows]
+    c = collections.Counter(w for i, ws in tokens if crc(i) % 10 for w in ws)
+    n, v = sum(c.values()), len(c)
+    expected = bag((i, crc(i) % 10 == 0, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for i, ws in tokens)
+    assert bag((*r[:5], round(r["base_score"], 6)) for r in out) == expected
+    assert all(r["score"] < 0 for r in out)
+    held = [r for r in out if r["held_out"]]
+    assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_deleted_interpolation_is_a_distribution():
+    """The mixture over the vocabulary and one unknown word sums to one in every bucket."""
+    weights = deleted_interpolation.learned_weights([(1, 4, 8, 10), (1, -(1 << 20), -(1 << 20), 3), (5, 12, 40, 7)])
+    assert np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all()
+    assert weights[5, 2] > weights[1, 2]
+
+
+def test_deleted_interpolation_small_chunks_agree(spark, docs, monkeypatch):
+    whole = {(r["doc_id"], r["n_tokens"]): r["score"] for r in deleted_interpolation.scores(docs).collect()}
+    monkeypatch.setattr(deleted_interpolation, "RANGE_KEYS", 500)
+    again = {(r["doc_id"], r["n_tokens"]): r["score"] for r in deleted_interpolation.scores(docs.repartition(7)).collect()}
+    assert whole.keys() == again.keys() and all(math.isclose(whole[k], again[k], rel_tol=1e-9) for k in whole)
+
+
+def test_token_orc(spark, docs, brute_rows):
+    path = common.shared_path(spark, "tokens")
+    token_orc.write_tokens(docs, path, BPE)
+    library = Tokenizer.from_file(BPE)
+    own = [(i, np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")) for i, t, *_ in brute_rows]
+    own.sort(key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]), zlib.crc32(r[1].tobytes())))
+    start, expected = 0, []
+    for i, ids in own:
+        expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert bag(token_orc.checksums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == bag(expected)
+    found = token_orc.read_tokens(spark, path).where("doc_id = 207").collect()
+    assert found[0]["tokens"][-1] == 2 and len(found) == 1
+
+
+def test_vector_packing(docs, brute_rows):
+    out = vector_packing.shard_documents(docs, shards=4).collect()
+    text = {}
+    for i, t, *_ in brute_rows:
+        text.setdefault((i, zlib.crc32((t or "").encode())), t or "")
+    assert bag((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == bag((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in brute_rows)
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_packing_balances_three_measures():
+    r = np.random.default_rng(3)
+    loads = np.stack([r.pareto(2.5, 5_000) + 1, r.integers(1, 100, 5_000), np.ones(5_000)], axis=1)
+    shard = vector_packing.pack_vectors(loads, 24)
+    for k in range(3):
+        own = np.bincount(shard, loads[:, k], 24)
+        assert own.max() / own.mean() < 1.02 and own.min() / own.mean() > 0.98
+
+
+def test_a_huge_group_is_cut(spark):
+    docs = spark.createDataFrame([(k, "same words here" if k % 2 else f"text {k}") for k in range(2_000)], "doc_id long, text string")
+    out = vector_packing.shard_documents(docs, shards=8).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    sizes = [r["n"] for r in out]
+    assert len(sizes) == 8 and max(sizes) < 1.1 * sum(sizes) / 8
+
+
+def brute_targets(sizes, weights=(3, 1, 2)):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[k % 3] for k, s in enumerate(names)}
+    target, left, free = {}, 1.5 * sum(sizes.values()), set(names)
+    while free:
+        level = left / sum(w[s] for s in free)
+        over = {s for s in free if w[s] * level > 2 * sizes[s]}
+        if not over:
+            target |= {s: w[s] * level for s in free}
+            break
+        target |= {s: 2.0 * sizes[s] for s in over}
+        left -= sum(2 * sizes[s] for s in over)
+        free -= over
+    return target
+
+
+def test_mixing(docs, brute_rows):
+    out = mixing.mixed(docs.select("doc_id", "text", "source")).collect()
+    sizes = collections.Counter()
+    for _, t, _, s, *_ in brute_rows:
+        sizes[s] += len(words(t))
+    target = brute_targets(sizes)
+    assert {(r["source"], r["_sl_source_size"]) for r in out} == set(sizes.items())
+    for r in out:
+        assert math.isclose(r["_sl_target"], target[r["source"]], rel_tol=1e-9)
+        assert r["_sl_size"] == len(words(r["text"])) and 0 <= r["_sl_copies"] <= 2
+    emitted = mixing.emitted(docs)
+    assert emitted.columns == docs.columns and emitted.count() == sum(r["_sl_copies"] for r in out)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_targets(spark, seed):
+    r = random.Random(seed)
+    sizes = {f"s{k}": r.choice([0, 1, 10, 1_000, 50_000]) for k in range(7)} | {None: r.randint(0, 100)}
+    out = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    expected = brute_targets(sizes)
+    assert all(math.isclose(x["target"], expected[x["source"]], rel_tol=1e-9, abs_tol=1e-9) for x in out)
+
+
+def test_imatch(docs, brute_rows):
+    out = imatch.compared(docs).collect()
+    own = sorted(((i, t or "") for i, t, *_ in brute_rows), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    by_text = collections.defaultdict(set)
+    assert bag((r["doc_id"], r["n_chars"]) for r in out) == bag((i, len(t)) for i, t in own)
+    edits = collections.Counter()
+    ids = collections.Counter(i for i, _ in own)
+    for k, (i, t) in enumerate(own):
+        following = own[(k + 1) % len(own)]
+        if ids[i] == 1 and ids[following[0]] == 1:
+            edits[i, imatch.edited(t, following[1])] += 1
+    got = {(r["doc_id"], r["edited"]) for r in out}
+    assert set(edits) <= got
+    whole = imatch.fingerprints(docs).collect()
+    text_of = collections.defaultdict(set)
+    for i, t in own:
+        text_of[i].add(t)
+    for r in whole:
+        if len(text_of[r["doc_id"]]) == 1:
+            by_text[next(iter(text_of[r["doc_id"]]))].add(r["fingerprint"])
+    assert all(len(v) == 1 for v in by_text.values())
+    assert np.mean([r["near_edited"] for r in out if r["n_chars"] > 50]) > np.mean([r["near_next"] for r in out if r["n_chars"] > 50])
+    assert imatch.likeness("", "") == 1.0 and imatch.likeness("aaaaaaaa--------", "aaaaaaaabbbbbbbb") == 0.5
+
+
+def test_imatch_ranges(docs, monkeypatch):
+    """Many ranges give the pairs that one range gives."""
+    one = bag((r["doc_id"], r["edited"]) for r in imatch.compared(docs.where("doc_id NOT IN (3, 4)")).collect())
+    monkeypatch.setattr(imatch.neighbour_ranges, "__defaults__", ("doc_id", 7))
+    assert bag((r["doc_id"], r["edited"]) for r in imatch.compared(docs.where("doc_id NOT IN (3, 4)")).collect()) == one
+
+
+def test_exact_dedup(docs, brute_rows):
+    out = cuckoo_dedup.exact_dedup(docs).collect()
+    groups = collections.defaultdict(list)
+    for i, t, *_ in brute_rows:
+        groups[hashlib.sha256(lower(t).encode()).digest()].append(i)
+    top = {d: max((i for i in ids if i is not None), default=None) for d, ids in groups.items()}
+    assert bag((r["doc_id"], r["keep_id"], r["group_size"]) for r in out) == bag((i, top[d], len(ids)) for d, ids in groups.items() for i in ids)
+    kept = [bytes(r["digest"]) for r in out if r["kept"]]
+    assert len(kept) == len(set(kept)) == len(groups)
+    assert cuckoo_dedup.without_copies(docs).count() == len(groups) and cuckoo_dedup.without_copies(docs).columns == docs.columns
+
+
+def test_cuckoo_index():
+    r, index, live = random.Random(1), cuckoo_dedup.CuckooIndex(4), {}
+    for k in range(6_000):
+        digest = hashlib.sha256(str(r.randint(0, 2_000)).encode()).digest()
+        if r.random() < 0.6:
+            index.insert(digest, k)
+            live[digest] = k
+        else:
+            assert index.delete(digest) == (live.pop(digest, None) is not None)
+    assert index.live == live and index.resizes > 0
+    assert all(index.maybe(d) and index.get(d) == v for d, v in live.items())
+    assert index.get(hashlib.sha256(b"absent").digest()) is None
+    assert sum(map(len, index.table)) == len(live)
+
+
+def brute_fingerprint(text):
+    ws = words(text)
+    shingles = [" ".join(ws[k : k + 3]) for k in range(max(1, len(ws) - 2))] if ws else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps):
+    label = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 2:
+                la, lb = label[a], label[b]
+                if la != lb:
+                    label = [min(la, lb) if x in (la, lb) else x for x in label]
+    return label
+
+
+def test_near_dedup(docs, brute_rows):
+    out = golay_simhash.near_dedup(docs).collect()
+    fps = [brute_fingerprint(t) for _, t, *_ in brute_rows]
+    label = brute_components(fps)
+    least = {}
+    for (i, *_), c in zip(brute_rows, label, strict=True):
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    expected = bag((i, f - (f >> 63 << 64), least[c]) for (i, *_), f, c in zip(brute_rows, fps, label, strict=True))
+    assert bag((r["doc_id"], r["fp"], r["component_id"]) for r in out) == expected
+    assert golay_simhash.without_near_copies(docs).count() == len(set(label))
+
+
+def test_golay_decodes_three_errors():
+    r = np.random.default_rng(2)
+    word = r.integers(0, 1 << 23, 2_000)
+    index = golay_simhash.codeword_index(word)
+    assert index.max() < 1 << 12
+    codes = np.unique(golay_simhash.codeword_index(np.arange(1 << 18)) )
+    assert len(codes) <= 4_096
+    flip = word.copy()
+    errors = golay_simhash._syndrome_errors()[golay_simhash._syndrome(word)]
+    assert (np.bitwise_count(errors) <= 3).all() and (golay_simhash._syndrome(flip ^ errors) == 0).all()
+
+
+def test_all_links_within_two_bits_share_a_key(spark):
+    r = random.Random(9)
+    base = [r.getrandbits(64) for _ in range(150)]
+    fps = set(base)
+    for f in base:
+        for _ in range(3):
+            a, b = r.sample(range(64), 2)
+            fps |= {f ^ (1 << a), f ^ (1 << a) ^ (1 << b)}
+    fps = sorted(fps)
+    signed = [f - (f >> 63 << 64) for f in fps]
+    edges = golay_simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    roots = {x["node"]: x["root"] for x in golay_simhash.components(edges).collect()}
+    mine = collections.defaultdict(set)
+    for f in signed:
+        mine[roots.get(f, f)].add(f)
+    brute = collections.defaultdict(set)
+    for f, c in zip(signed, brute_components(fps), strict=True):
+        brute[c].add(f)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, brute.values()))
+
+
+def test_dense_buckets_are_dealt(monkeypatch):
+    r = random.Random(4)
+    center = r.getrandbits(64)
+    fps = np.unique(np.array([center ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 3))) for _ in range(700)], np.uint64))
+    whole = golay_simhash.forest(fps)
+    monkeypatch.setattr(golay_simhash, "DENSE", 40)
+    assert (golay_simhash.forest(fps) == whole).all()
+    assert (whole == brute_components([int(f) for f in fps])).all()
+
+
+def test_boundary_bpe(docs, brute_rows):
+    library = Tokenizer.from_file(BPE)
+    own = [(i, tuple(library.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in brute_rows]
+    expected = bag((i, ids, library.decode(list(ids), skip_special_tokens=False)) for i, ids in own)
+    assert bag((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in boundary_bpe.encoded(docs, BPE).collect()) == expected
+
+
+def test_forced_boundaries_and_word_encoder_agree_with_the_library():
+    r, library, bpe, encoder = random.Random(7), Tokenizer.from_file(BPE), boundary_bpe.BoundaryBpe(BPE), token_orc.WordEncoder(BPE)
+    alphabet = "abcdefghijklmnop'sSTtrRvVe1239-_=%$#é ßüñ́日Ωı\n\t😀"
+    texts = ["".join(r.choices(alphabet, k=r.randint(0, 60))) for _ in range(1_500)] + ["=" * 500, "ab" * 400, "ſ K ẞ"]
+    wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [bpe.encode(t.encode()).tolist() for t in texts] == wanted
+    ids, bounds = encoder.encode([t.encode() for t in texts])
+    assert [ids[a : b - 1].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == wanted
+    assert bpe.cuts([*"qx"[:1], "x</w>"]) in ([], [1])
+
+
+KINDS = (
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), lambda m: len(m[2]) >= 12),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+)
+
+
+def brute_spans(text):
+    return sorted((m.start(), k, m.end()) for k, (_, p, enough) in enumerate(KINDS) for m in p.finditer(text or "") if enough(m))
+
+
+def test_secret_spans(docs, brute_rows):
+    names = [k for k, *_ in KINDS]
+    out = secret_dfa.secret_spans(docs).collect()
+    expected = bag((i, tuple((KINDS[k][0], a, b) for a, k, b in brute_spans(t))) for i, t, *_ in brute_rows)
+    assert bag((r["doc_id"], tuple(tuple(s) for s in r["spans"] if s["kind"] in names)) for r in out) == expected
+    assert sum(len(x[1]) for x in expected) >= 4
+
+
+def test_automaton_against_regex():
+    r, scanner = random.Random(11), secret_dfa.scanner_of(secret_dfa.RULES)
+    parts = ["token", "PassWord", "secret", "api_key", "apikey", "=", ": ", " ", '"', "'", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", "x", "é", "-----BEGIN RSA PRIVATE KEY-----", "ghp_abcdefghijklmnopqrst", "\n", "aaaaaa"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(3_000)] + ["token=" + "a" * 5_000, "f" * 4_096 + "token: " + "b" * 40]
+    spans = scanner.spans([t.encode() for t in texts])
+    names = [k for k, *_ in KINDS]
+    for t, own in zip(texts, spans, strict=True):
+        assert [(a, names.index(n), b) for n, a, b in own if n in names] == brute_spans(t)
+        assert [(a, b) for n, a, b in own if n == "pem"] == [m.span() for m in re.finditer(r"-----BEGIN [A-Z ]*PRIVATE KEY-----", t)]
+        assert [(a, b) for n, a, b in own if n == "forge"] == [m.span() for m in re.finditer(r"gh[oprsu]_[A-Za-z0-9]{20,}", t)]
+
+
+def test_language_id(spark):
+    r = random.Random(8)
+    vocabulary = {"en": "the of and that with from this water house green".split(), "de": "der die und nicht wasser haus grün über straße".split(), "fr": "le les des été où maison vert avec être".split()}
+    rows = [(k, " ".join(r.choices(vocabulary[lang], k=12)), lang) for k in range(400) for lang in [("en", "de", "fr")[k % 3]]]
+    rows += [(900, None, "en"), (901, "", "en"), (902, "123 !!", "de"), (903, "LE LES DES", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = ppm_langid.train(docs)
+    out = {x["doc_id"]: x["l"] for x in docs.select("doc_id", ppm_langid.language_column(spark, trees).alias("l")).collect()}
+    held = [(k, lang) for k, _, lang in rows if k < 900 and crc(k) % 4 == 2]
+    assert held and np.mean([out[k]["lang"] == lang for k, lang in held]) > 0.97
+    assert [out[k]["lang"] for k in (900, 901, 902, 903)] == ["und", "und", "und", "fr"]
+    assert all(0 <= x["score"] <= 1 for x in out.values())
+    assert {x["doc_id"] for x in ppm_langid.recognised(docs, trees).collect()} == {k for k, *_ in rows} - {900, 901, 902}
+
+
+def test_code_lengths_are_those_of_escaping(spark):
+    """Against a plain recursive version on a small training text."""
+    symbol = ppm_langid.folding(np.bincount(np.frombuffer(b"abracadabra arcade", np.uint8), minlength=256))
+    code = ppm_langid.text_codes(symbol, b"abracadabra arcade")
+    own, n = np.unique(code.astype(np.int64), return_counts=True)
+    exact, escape, shorter = ppm_langid.code_lengths(own, n.astype(float))
+
+    def bits(context, s):
+        grams = collections.Counter()
+        for c, k in zip(own.tolist(), n.tolist(), strict=True):
+            chain = [c >> 18 & 63, c >> 12 & 63, c >> 6 & 63, c & 63]
+            if tuple(chain[3 - len(context) : 3]) == context:
+                grams[chain[3]] += k
+        total, kinds = sum(grams.values()), len(grams)
+        if grams[s]:
+            return math.log2((total + kinds) / grams[s])
+        rest = bits(context[1:], s) if context else 6.0
+        return (math.log2((total + kinds) / kinds) if total else 0.0) + rest
+
+    for k, c in enumerate(own.tolist()):
+        assert math.isclose(exact[k], bits((c >> 18 & 63, c >> 12 & 63, c >> 6 & 63), c & 63))
+    for context in ((0, 2, 3), (2, 3, 4), (9, 9, 9)):
+        key = context[0] << 12 | context[1] << 6 | context[2]
+        for s in (40, 2):
+            c = key << 6 | s
+            if c not in own:
+                assert math.isclose(escape[key] + shorter[c & (1 << 18) - 1], bits(context, s))
+
+
+def test_empty_tables(spark, nothing):
+    assert deleted_interpolation.scores(nothing).count() == 0
+    path = common.shared_path(spark, "empty")
+    token_orc.write_tokens(nothing, path, BPE)
+    assert token_orc.checksums(spark, path).count() == 0
+    assert vector_packing.shard_documents(nothing).count() == 0
+    assert mixing.mixed(nothing.drop("_sl_size")).count() == 0 and mixing.emitted(nothing.drop("_sl_size")).count() == 0
+    assert imatch.compared(nothing).count() == 0
+    assert cuckoo_dedup.exact_dedup(nothing).count() == 0 and cuckoo_dedup.without_copies(nothing).count() == 0
+    assert golay_simhash.near_dedup(nothing).count() == 0 and golay_simhash.without_near_copies(nothing).count() == 0
+    assert boundary_bpe.encoded(nothing, BPE).count() == 0
+    assert secret_dfa.secret_spans(nothing).count() == 0
+    assert ppm_langid.recognised(nothing, ppm_langid.train(nothing)).count() == 0
+
+
+def test_packing_of_integers():
+    r = np.random.default_rng(1)
+    for values in (np.zeros(0, np.uint64), np.array([0], np.uint64), r.integers(0, 1 << 63, 1_000).astype(np.uint64), np.array([(1 << 64) - 1], np.uint64)):
+        assert (common.unpack(common.pack(values)) == values).all()
+        assert (common.unpack_sorted(common.pack_sorted(np.sort(values))) == np.sort(values)).all()
