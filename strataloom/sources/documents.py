@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.storage import saved
 
 
 def governance_docs(files: DataFrame) -> DataFrame:
@@ -28,7 +29,8 @@ def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def notes(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Notes of JSON files, and the ones that could not be read (value)."""
-    own = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    read = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    own = saved(read.option("multiLine", True).option("recursiveFileLookup", True).json(path), "notes")
     return own.where("_corrupt IS NULL").drop("_corrupt"), own.where("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("value"))
 
 

@@ -25,7 +25,7 @@ def scan_repository(spark: SparkSession, root: str, include=rules.DEFAULT_INCLUD
     home = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
     named = own.select(paths.relative(F.regexp_replace("path", "^file:/+", "file:/"), home.replace("file:///", "file:/")).alias("path"), "length", "content")
     kept = scanned(named, include, exclude)
-    return kept.select("path", paths.extension(F.col("path")).alias("extension"), F.col("length").alias("size"), F.decode("content", F.lit("UTF-8")).alias("content"), F.sha1("content").alias("hash"))
+    return kept.select("path", paths.extension(F.col("path")).alias("extension"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"), F.sha1("content").alias("hash"))
 
 
 def listing(files: DataFrame) -> DataFrame:
