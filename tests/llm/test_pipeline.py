@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from strataloom.llm import mixing, ppm_langid, queries, sql
-from test_operators import brute_components, brute_fingerprint, brute_targets, lower, words
+from test_llm_operators import brute_components, brute_fingerprint, brute_targets, lower, words
 
 
 def test_stages_follow_each_other():
