@@ -21,11 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in a new folder of the shared one; the folder is deleted when the application ends."""
+    folder = f"{shared_dir(spark)}/strataloom/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)  # only a path that is there can be marked
+    system.deleteOnExit(path)
+    return f"{folder}/{name}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again; deleted when the application ends."""
-    spark = df.sparkSession
-    out = f"{shared_dir(spark)}/strataloom/{uuid.uuid4().hex}/{name}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
+    """df written to the shared folder and read again: computed once, lineage cut, safe against lost executors."""
+    spark, schema = df.sparkSession, df.schema
+    path = shared_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
