@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: shared storage, byte words, skew-safe joins, packed integer arrays."""
+"""What the operators of this subpackage share: storage, byte words, skew-safe joins, packed integer arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,42 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import saved, shared_path  # noqa: F401
+
 #: A key with at least one row in so many counts as hot; so there are at most so many hot keys, and a table of them can be broadcast.
 HOT_SHARE = 2_000
-_own: dict[str, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset, as in tests, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="strataloom-")
-        found = _own[app]
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the application ends."""
-    out = f"{shared_dir(spark)}/strataloom/{uuid.uuid4().hex}/{name}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return out
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: computed once, lineage cut, safe against lost executors."""
-    spark, schema = df.sparkSession, df.schema
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def text_or_empty(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
