@@ -6,7 +6,7 @@ filters on doc_id, so readers take stripes in parallel and skip stripes and row
 
 The tokenizer never joins what ASCII white space separates (white space is dropped before the split into pieces, and
 normalisation composes nothing across it), so a text is encoded as its words are; the library encodes each word that a worker
-has not met yet, and a worker remembers at most KNOWN_WORDS of them.
+has not met yet, and a worker remembers at most twice KNOWN_WORDS of them.
 
 Defined results: a null text counts as the empty one and has only the end id; rows that repeat a doc_id stand in the order
 of their number of ids and of the ids' checksum; a null doc_id stands first; an empty table gives an empty result.
@@ -15,80 +15,141 @@ Other columns of the input are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from . import common
 
 END_ID = 2
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
+#: The split pattern of the tokenizers read here (fixed value), and the words that are cut by it here.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = regex.compile(r"[!-~¡-¬®-ɏ]*")
+PLAIN_ASCII = re.compile(rb"[!-~]*")
+CUT_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
 #: Text bytes that one file is planned for.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 ORC_OPTIONS = {
     "compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE_BYTES),
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 
 
+class Known:
+    """Byte values by key in two generations: a full young one becomes the old one, and what is met again moves up, so the frequent stay."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        if len(self.young) > KNOWN_WORDS:
+            self.young, self.old = {}, self.young
+
+    def unknown(self, keys: set) -> list:
+        """Those of keys that neither generation knows; the old one's move up."""
+        out = []
+        for key in keys:
+            if key in self.young:
+                continue
+            value = self.old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self.young[key] = value
+        return out
+
+
 class WordEncoder:
-    """Ids of whole texts from the library's ids of their words."""
+    """Ids of whole texts from the library's ids of their words.
+
+    A word of printable ASCII and Latin letters below U+0250 is cut here into the pieces that the tokenizer's split pattern
+    makes of it; pieces recur more than words. The library's model encodes many new pieces in one call: each piece's last
+    token carries the end-of-word mark, so they come apart again. Other words are given to the whole library one by one.
+    """
 
     def __init__(self, tokenizer_path: str):
         self.library = Tokenizer.from_file(tokenizer_path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start = np.zeros(1 << 16, np.int64)
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        for at in range(0, len(fresh), 1_000):
-            part = fresh[at : at + 1_000]
-            found = self.library.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, one in zip(part, found, strict=True):
-                ids, k = one.ids, len(self.number)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if k + 1 >= len(self.start):
-                    self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.number[word], self.start[k + 1] = k, self.used
+        spec = json.loads(self.library.to_str())
+        split = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.known_split = split == [SPLIT]
+        self.cut = regex.compile(SPLIT).findall
+        self.model = Tokenizer.from_file(tokenizer_path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        mark = spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(mark)]] = True
+        self.words, self.pieces = Known(), Known()
+
+    def _learn_pieces(self, pieces: set[bytes]) -> None:
+        fresh = self.pieces.unknown(pieces)
+        for at in range(0, len(fresh), 2_000):
+            part = fresh[at : at + 2_000]
+            ids = np.array(self.model.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.int32)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("the model's tokens do not mark where pieces end")
+            raw, at_byte = ids.tobytes(), 0
+            for piece, cut in zip(part, cuts, strict=True):
+                self.pieces.young[piece], at_byte = raw[at_byte : 4 * cut], 4 * cut
+
+    def _learn(self, words: set[bytes]) -> None:
+        cut, other = {}, []
+        for word in self.words.unknown(words):
+            if word.isalpha() and self.known_split:
+                cut[word] = (word.lower(),)
+            elif b"<|" in word or not self.known_split:
+                other.append(word)
+            elif PLAIN_ASCII.fullmatch(word):
+                cut[word] = CUT_ASCII.findall(word.lower())
+            elif PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
+                cut[word] = [p.encode() for p in self.cut(text.lower())]
+            else:
+                other.append(word)
+        self._learn_pieces(set().union(*cut.values()))
+        get = self.pieces.young.__getitem__
+        self.words.young.update((w, b"".join(map(get, own))) for w, own in cut.items())
+        for word in other:
+            self.words.young[word] = np.array(self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32).tobytes()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with END_ID after each, and where each text starts (one more at the end)."""
-        if len(self.number) > KNOWN_WORDS:
-            self._forget()
+        self.words.turn()
+        self.pieces.turn()
         split = [t.split() for t in texts]
-        fresh = set().union(*split) - self.number.keys() if split else set()
-        self._learn(list(fresh))
-        get = self.number.__getitem__
-        lens = np.fromiter(map(len, split), np.int64, len(split))
-        words = np.concatenate([np.fromiter(map(get, ws), np.int64, len(ws)) for ws in split]) if split else np.zeros(0, np.int64)
-        size = self.start[words + 1] - self.start[words]
-        per_text = np.bincount(np.repeat(np.arange(len(split)), lens), size, len(split)).astype(np.int64) + 1
-        bounds = np.concatenate([[0], np.cumsum(per_text)])
-        out = np.full(bounds[-1], END_ID, np.int32)
-        inside = np.ones(len(out), bool)
-        inside[bounds[1:] - 1] = False
-        shift = np.repeat(self.start[words] - (np.cumsum(size) - size), size)
-        out[inside] = self.flat[np.arange(len(shift)) + shift]
-        return out, bounds
+        self._learn(set().union(*split))
+        get, end = self.words.young.__getitem__, np.array([END_ID], np.int32).tobytes()
+        parts = [b"".join(map(get, ws)) + end for ws in split]
+        return np.frombuffer(bytearray(b"".join(parts)), np.int32), np.cumsum([0, *(len(p) // 4 for p in parts)])
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(tokenizer_path: str) -> WordEncoder:
+    """A worker's encoder; it goes on knowing its words from task to task."""
+    if tokenizer_path not in _encoders:
+        _encoders.clear()
+        _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
+    return _encoders[tokenizer_path]
 
 
 def _encoded(tokenizer_path: str):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
     def run(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         ids, texts, held = [], [], 0
 
         def out():
