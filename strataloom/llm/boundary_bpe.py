@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import operator
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,15 @@ from tokenizers import Tokenizer
 
 from . import common
 
-KNOWN = 250_000
+KNOWN = 100_000
 #: Fragments of more symbols are merged with a heap.
 SHORT = 32
 WORD_END = "</w>"
 #: The split pattern of the tokenizers read here (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = regex.compile(r"[!-~¡-¬®-ɏ]*")
+PLAIN_ASCII = re.compile(rb"[!-~]*")
+CUT_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 def byte_symbols() -> list[str]:
@@ -54,15 +58,15 @@ class BoundaryBpe:
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.rank = {tuple(m): k for k, m in enumerate(spec["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {v: k for k, v in self.vocab.items()} | {v: k for k, v in self.special.items()}
+        names = {v: k for k, v in self.vocab.items()} | {v: k for k, v in self.special.items()}
+        self.tokens = [names.get(k, "") for k in range(max(names) + 1)]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.plain = PLAIN if split == SPLIT else regex.compile("(?!)")
-        self.pieces = regex.compile(SPLIT).findall
+        self.known_split = split == SPLIT
+        self.cut_latin = regex.compile(SPLIT).findall
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbol = byte_symbols()
-        self.inside = {pair for t in self.vocab for pair in self._neighbours(t)}
-        self.fragments: dict[tuple[str, ...], list[int]] = {}
-        self.words = _Learned(self._word)
+        self.inside = {a + b for t in self.vocab for a, b in self._neighbours(t)}
+        self.words, self.pieces, self.fragments = Learned(self._word), Learned(self._piece), Learned(self._fragment)
 
     @staticmethod
     def _symbols(token: str) -> list[str]:
@@ -74,34 +78,35 @@ class BoundaryBpe:
 
     def cuts(self, symbols: list[str]) -> list[int]:
         """The positions in a piece where a cut is certain."""
-        return [k for k in range(1, len(symbols)) if (symbols[k - 1], symbols[k]) not in self.inside]
+        inside = self.inside
+        return [k for k, pair in enumerate(map(operator.add, symbols, symbols[1:]), 1) if pair not in inside]
 
-    def _piece(self, piece: str, out: list[int]) -> None:
-        """piece: in byte symbols."""
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece, given in byte symbols."""
         own = [*piece[:-1], piece[-1] + WORD_END]
-        at = 0
-        for to in [*self.cuts(own), len(own)]:
-            fragment = tuple(own[at:to])
-            ids = self.fragments.get(fragment)
-            if ids is None:
-                if len(self.fragments) >= KNOWN:
-                    self.fragments.clear()
-                ids = self.fragments[fragment] = [self.vocab[t] for t in self.merged([*fragment])]
-            out.extend(ids)
-            at = to
+        cuts = self.cuts(own)
+        if not cuts:
+            return self.fragments[piece + WORD_END]
+        ends = [*cuts, len(piece)]
+        return b"".join([self.fragments[piece[a:b] + (WORD_END if b == len(piece) else "")] for a, b in zip([0, *cuts], ends, strict=True)])
+
+    def _fragment(self, fragment: str) -> bytes:
+        return np.array([self.vocab[t] for t in self.merged(self._symbols(fragment))], np.int32).tobytes()
 
     def merged(self, parts: list[str]) -> list[str]:
         """parts after all merges: always the pair of lowest rank, the leftmost of them."""
         if len(parts) > SHORT:
             return self._merged_long(parts)
-        rank, none = self.rank, len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank.get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
-            least = min(ranks)
-            if least == none:
-                break
+        get, none = self.rank.get, len(self.rank)
+        ranks = [get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
             k = ranks.index(least)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = get((parts[k], parts[k + 1]), none)
+            if k:
+                ranks[k - 1] = get((parts[k - 1], parts[k]), none)
         return parts
 
     def _merged_long(self, parts: list[str]) -> list[str]:
@@ -125,21 +130,24 @@ class BoundaryBpe:
 
     def _word(self, word: bytes) -> bytes:
         """The ids (int32, as bytes) of what stands between white space."""
+        if self.known_split and b"<|" not in word:
+            if word.isalpha():
+                return self.pieces[word.lower().decode()]
+            if PLAIN_ASCII.fullmatch(word):
+                return b"".join([self.pieces[p.decode()] for p in CUT_ASCII.findall(word.lower())])
         text, out = word.decode("utf-8", "replace"), []
-        for part in self.cut_special.split(text) if self.cut_special and b"<|" in word else [text]:
+        for part in self.cut_special.split(text) if self.cut_special and "<|" in text else [text]:
             if part in self.special:
-                out.append(self.special[part])
-            elif part and self.plain.fullmatch(part):
-                for piece in self.pieces(part.lower()):
-                    self._piece("".join([self.symbol[b] for b in piece.encode()]), out)
+                out.append(np.array([self.special[part]], np.int32).tobytes())
+            elif part and self.known_split and PLAIN.fullmatch(part):
+                out += [self.pieces["".join([self.symbol[b] for b in piece.encode()])] for piece in self.cut_latin(part.lower())]
             elif part:
-                for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
-                    self._piece(piece, out)
-        return np.array(out, np.int32).tobytes()
+                out += [self.pieces[piece] for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+        return b"".join(out)
 
     def encode(self, text: bytes) -> np.ndarray:
-        if len(self.words) > KNOWN:
-            self.words.clear()
+        for known in (self.words, self.pieces, self.fragments):
+            known.turn(KNOWN)
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), np.int32)
 
     def decode(self, ids) -> str:
@@ -147,21 +155,42 @@ class BoundaryBpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-class _Learned(dict):
+class Learned(dict):
+    """Values by key, worked out where first asked for, in two generations: what is met again stays known."""
+
     def __init__(self, learn):
-        self.learn = learn
+        self.learn, self.old = learn, {}
 
     def __missing__(self, key):
-        value = self[key] = self.learn(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.learn(key)
+        self[key] = value
         return value
 
+    def turn(self, size: int) -> None:
+        if len(self) > size:
+            self.old = dict(self)
+            self.clear()
+
+
+_bpes: dict[str, BoundaryBpe] = {}
+
+
+def bpe_of(tokenizer_path: str) -> BoundaryBpe:
+    """A worker's encoder; it goes on knowing its words from task to task."""
+    if tokenizer_path not in _bpes:
+        _bpes.clear()
+        _bpes[tokenizer_path] = BoundaryBpe(tokenizer_path)
+    return _bpes[tokenizer_path]
+
 
 def encoded(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids, decoded for every row of docs."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches):
-        bpe = BoundaryBpe(tokenizer_path)
+        bpe = bpe_of(tokenizer_path)
         doc_ids, ids, decoded, held = [], [], [], 0
 
         def out():
