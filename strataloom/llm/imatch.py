@@ -38,18 +38,16 @@ RANGE_KEYS = 2_000_000
 RANGE_ROWS = 2_000
 
 
-def subset_bits(hashes: np.ndarray) -> np.ndarray:
-    """Of each term a bit for each subset that holds it; the last bit is the whole lexicon's."""
-    out, bit = np.full(len(hashes), np.uint64(1) << np.uint64(63)), 0
-    for rate, count in RATES:
-        for _ in range(count):
-            own = common.mix64(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (bit + 1) & (1 << 64) - 1)) >> np.uint64(64 - rate)
-            out |= (own == 0).astype(np.uint64) << np.uint64(bit)
-            bit += 1
-    return out
+_RATE = np.array([rate for rate, count in RATES for _ in range(count)], np.uint64)
+_SEED = np.array([0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1 for k in range(len(_RATE))], np.uint64)
+_BIT = np.arange(64, dtype=np.uint64)
 
 
-SUBSETS = [*range(sum(c for _, c in RATES)), 63]
+def subset_bits(hashes: np.ndarray) -> np.ndarray:
+    """Of each term a bit for each subset that holds it; the last bit is the whole lexicon's."""
+    held = common.mix64(hashes[:, None] ^ _SEED) >> (np.uint64(64) - _RATE) == 0
+    own = np.bitwise_or.reduce(held.astype(np.uint64) << _BIT[: len(_RATE)], axis=1)
+    return own | np.uint64(1) << np.uint64(63)
 
 
 class Fingerprints:
@@ -78,19 +76,17 @@ class Fingerprints:
         distinct = set(common.words(text))
         if len(self.number) > CHUNK_WORDS:
             self._forget()
-        if fresh := distinct - self.number.keys():
-            self._learn(list(fresh))
+        if fresh := [w for w in distinct if w not in self.number]:
+            self._learn(fresh)
         own = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
         inside = own[self.known[own]]
         own = inside if len(inside) >= FEW else own
         terms = self.hashes[own]
         order = np.argsort(terms)
         terms, bits = terms[order], self.bits[own[order]]
-        out = []
-        for k in SUBSETS:
-            chosen = terms[(bits >> np.uint64(k) & np.uint64(1)).astype(bool)]
-            out.append(f"{xxhash.xxh32_intdigest(chosen.tobytes(), k):08x}" if len(chosen) else EMPTY)
-        return "".join(out)
+        subset, at = np.nonzero((bits >> _BIT[:, None] & np.uint64(1)).astype(bool))
+        raw, ends = terms[at].tobytes(), (np.cumsum(np.bincount(subset, minlength=64)) * 8).tolist()
+        return "".join([f"{xxhash.xxh32_intdigest(raw[a:b], k):08x}" if b > a else EMPTY for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))])
 
 
 def likeness(a: str, b: str) -> float:
