@@ -43,9 +43,13 @@ def commit_log(spark, sf_dir):
     return git_log.parsed_log(own.select(line.alias("value"))).select("file", "commit", "status", "author")
 
 
-def repository(spark, sf_dir, language: str = "ts"):
+#: parse_source, dependency_edges and llm_merge are held against SQL that takes only parts below this.
+SQL_PARTS = "p_partkey < 400"
+
+
+def repository(own):
     """A file for each part: it imports the part before (twice every fifth time) and a package, and exports a function."""
-    own, n = table(spark, sf_dir, "part").where("p_partkey < 400"), F.col("p_partkey")
+    n = F.col("p_partkey")
     s = lambda c: c.cast("string")
     near = F.concat(F.lit("import { f"), s(n - n % 7), F.lit(" } from './f"), s(n - n % 7), F.lit("'\n"))
     text = F.concat(
@@ -59,12 +63,13 @@ def repository(spark, sf_dir, language: str = "ts"):
 @query("""SELECT p_partkey AS id, ['f' || p_partkey] AS exports, ['KEY_' || (p_partkey % 10)] AS env_vars,
 CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS local_imports, CASE WHEN p_partkey % 3 = 0 THEN ['axios'] ELSE [] END AS external_imports, 'f' || p_partkey || '(a: number): string' AS signature, p_partkey % 4 = 0 AS todo FROM part WHERE p_partkey < 400""")
 def parse_source(spark, sf_dir):
-    own = parsers.analyses(repository(spark, sf_dir))
+    own = parsers.analyses(repository(table(spark, sf_dir, "part").where(SQL_PARTS)))
     return own.select(F.regexp_extract("path", r"f(\d+)\.ts$", 1).cast("long").alias("id"), "exports", "env_vars", F.size("local_imports").cast("long").alias("local_imports"), "external_imports", F.col("export_details")[0]["signature"].alias("signature"), (F.size("comments.todo") > 0).alias("todo"))
 
 
 def commits_of(spark, sf_dir):
-    own = table(spark, sf_dir, "lineitem").where("l_partkey < 400 AND l_linenumber = 1")
+    """A row for each line item: the parts shipped in a week are the files of a commit."""
+    own = table(spark, sf_dir, "lineitem")
     path = F.concat(F.lit("packages/b"), F.floor(F.col("l_partkey") / 70).cast("string"), F.lit("/src/f"), F.col("l_partkey").cast("string"), F.lit(".ts"))
     message = F.when(F.col("l_linestatus") == "O", "fix: it").otherwise("refactor: that")
     return own.select(path.alias("file"), F.date_trunc("week", "l_shipdate").cast("string").alias("commit"), F.col("l_shipdate").alias("at"), F.col("l_returnflag").alias("author"), message.alias("message"), F.lit("M").alias("status"))
@@ -73,7 +78,7 @@ def commits_of(spark, sf_dir):
 def whole_run(spark, sf_dir):
     covered = spark.createDataFrame([("packages/b0/src/f0.ts", 0.25), ("packages/b0/src/f7.ts", 0.9)], "path string, coverage_pct double")
     docs = spark.createDataFrame([("docs/architecture.md", ".md", 1, "# Design\n## Domain rules\n- packages/b0 must stay free of imports\nsee `packages/b0/src/f0.ts` and `packages/b9/gone.ts`\npackages/b1 must not depend on packages/b1/src.\n## Decisions\n- one package for each brand", "x")], "path string, extension string, size long, content string, hash string")
-    own = repository(spark, sf_dir).unionByName(docs)
+    own = repository(table(spark, sf_dir, "part")).unionByName(docs)
     return generate.run(own, commits_of(spark, sf_dir), covered, Config("."), F.lit(NOW).cast("timestamp"))
 
 
@@ -92,7 +97,7 @@ def generated_markdown(spark, sf_dir):
 @query("""WITH own AS (SELECT p_partkey AS n FROM part WHERE p_partkey < 400) SELECT 'packages/b' || (n // 70) || '/src/f' || n || '.ts' AS src, 'packages/b' || (n // 70) || '/src/f' || (n - n % 7) || '.ts' AS dst
 FROM own, range(2) r(k) WHERE k = 0 OR n % 5 = 0""")
 def dependency_edges(spark, sf_dir):
-    own = repository(spark, sf_dir)
+    own = repository(table(spark, sf_dir, "part").where(SQL_PARTS))
     return generate.dependency_edges(parsers.analyses(own), own.select("path"))
 
 
@@ -108,7 +113,7 @@ def replies(spark, sf_dir):
     text = F.lit(None).cast("string")
     for k, name in enumerate(FORMS):
         text = F.when(key == k, F.lit(said[name])).otherwise(text)
-    return table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("id"), text.alias("prompt"))
+    return table(spark, sf_dir, "part").where(SQL_PARTS).select(F.col("p_partkey").alias("id"), text.alias("prompt"))
 
 
 def _note_columns():

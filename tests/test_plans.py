@@ -204,3 +204,17 @@ def test_fuzzy_and_generated(spark):
     assert all_queries()["fuzzy_search"](spark, SF).count() > 0
     made = source_queries.generated_notes(spark, SF)
     assert made.count() == 200 and made.where("criticality_score > 1 OR criticality_score < 0").count() == 0
+
+
+def test_generated_notes_take_every_part_and_line_item(spark, tmp_path):
+    items = [(1, 5_000, 1, "2001-01-01"), (1, 399, 2, "2001-01-02"), (2, 5_000, 7, "2001-02-01"), (2, 400, 1, "2001-02-01"), (3, 5_000, 3, "2001-02-02")]
+    own = spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int, l_shipdate string")
+    own.selectExpr("l_orderkey", "l_partkey", "l_linenumber", "cast(l_shipdate AS timestamp) AS l_shipdate", "'O' AS l_linestatus", "'A' AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"part {k}") for k in (0, 399, 400, 5_000)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    path = lambda k: f"packages/b{k // 70}/src/f{k}.ts"
+    found = {r["file_path"]: r["debug_signals"] for r in source_queries.whole_run(spark, str(tmp_path)).notes.collect()}
+    assert set(found) == {path(k) for k in (0, 399, 400, 5_000)}
+    weeks = {(k, at[:7]) for _, k, _, at in items}  # a month holds one week here
+    for k in (399, 400, 5_000):
+        assert found[path(k)]["churn_score"] == sum(own == k for own, _ in weeks)
+    assert [(r["path"], r["count"]) for r in found[path(5_000)]["co_changed_files"]] == [(path(399), 1), (path(400), 1)]
