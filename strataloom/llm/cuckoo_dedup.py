@@ -109,29 +109,50 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return common.keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, text_key long, digest binary")
 
 
+def task_sums(rows: DataFrame) -> DataFrame:
+    """digest, top, n: the largest doc_id and the count of each digest, summed inside a task only.
+
+    A task gives its sums out whenever it holds BUCKET_ROWS digests, so a digest may come from it more than once.
+    """
+    schema = pa.schema([("digest", pa.binary()), ("top", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        held: dict[bytes, tuple] = {}
+        sums = lambda: ((d, top, n) for d, (top, n) in held.items())
+        for digest, doc_id in common.rows_of(batches, "digest", "doc_id", step=10_000):
+            held[digest] = _merged(held[digest], (doc_id, 1)) if digest in held else (doc_id, 1)
+            if len(held) >= BUCKET_ROWS:
+                yield from common.record_batches(sums(), schema, 10_000)
+                held.clear()
+        yield from common.record_batches(sums(), schema, 10_000)
+
+    return rows.select("digest", "doc_id").mapInArrow(run, "digest binary, top long, n long")
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Two (top, n) as one; a null id is below all others."""
+    return (b[0] if a[0] is None or b[0] is not None and b[0] > a[0] else a[0]), a[1] + b[1]
+
+
 def index_groups(rows: DataFrame, total: int) -> DataFrame:
     """digest, keep_id, group_size: one row for each live digest, from the indexes of all buckets.
 
-    The rows of a digest are summed where they are read first, so a group of copies costs its bucket a row for each task.
+    The rows of a digest are summed where they are read first, so a group of copies costs its bucket a row for each task;
+    the bucket's index finds, verifies and merges what comes from several tasks.
     """
     buckets = max(1, -(-total // BUCKET_ROWS))
-    summed = rows.groupBy("digest").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
     schema = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         index = CuckooIndex(table.num_rows)
         for digest, top, n in zip(*(table.column(c).to_pylist() for c in ("digest", "top", "n")), strict=True):
             held = index.get(digest)
-            if held is None:
-                index.insert(digest, (top, n))
-            else:
-                best = top if held[0] is None or top is not None and top > held[0] else held[0]
-                index.insert(digest, (best, held[1] + n))
+            index.insert(digest, (top, n) if held is None else _merged(held, (top, n)))
         values = list(index.live.values())
         return pa.table([pa.array(index.live, pa.binary()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())], schema=schema)
 
     bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int")
-    return summed.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "digest binary, keep_id long, group_size long")
+    return task_sums(rows).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "digest binary, keep_id long, group_size long")
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

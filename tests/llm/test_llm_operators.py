@@ -187,6 +187,18 @@ def test_exact_dedup(docs, brute_rows):
     assert cuckoo_dedup.without_copies(docs).count() == len(groups) and cuckoo_dedup.without_copies(docs).columns == docs.columns
 
 
+def test_exact_dedup_merges_in_the_index(spark):
+    """Copies come from several tasks and are merged by the buckets' indexes, not by a group-by before them."""
+    own = [(k if k % 9 else None, hashlib.sha256(b"%d" % (k % 40 if k % 3 else 0)).digest()) for k in range(1_200)]
+    rows = common.saved(spark.createDataFrame(own, "doc_id long, digest binary").repartition(4), "digests")
+    found = cuckoo_dedup.index_groups(rows, 1_200)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    groups = collections.defaultdict(list)
+    for i, d in own:
+        groups[d].append(-1 if i is None else i)
+    assert bag((bytes(r["digest"]), r["keep_id"], r["group_size"]) for r in found.collect()) == bag((d, max(g), len(g)) for d, g in groups.items())
+
+
 def test_cuckoo_index():
     r, index, live = random.Random(1), cuckoo_dedup.CuckooIndex(4), {}
     for k in range(6_000):
