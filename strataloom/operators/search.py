@@ -36,8 +36,8 @@ def matching_terms(index: DataFrame, query: str, prefix: bool = True, fuzzy: flo
     return out.groupBy("term").agg(F.max("weight").alias("weight"))
 
 
-def search(index: DataFrame, query: str, limit: int = 20, prefix: bool = True, fuzzy: float = FUZZY) -> DataFrame:
-    """key, score, fields: documents with a matching term, by BM25+ summed over terms and fields, ties by key.
+def search(index: DataFrame, query: str, limit: int | None = 20, prefix: bool = True, fuzzy: float = FUZZY) -> DataFrame:
+    """key, score, fields: documents with a matching term, by BM25+ summed over terms and fields, ties by key; limit None: all, in no order.
 
     Document counts and mean lengths are taken per field over the whole index; only postings of matching terms are scored.
     """
@@ -48,7 +48,8 @@ def search(index: DataFrame, query: str, limit: int = 20, prefix: bool = True, f
     scored = own.withColumn("df", F.count(F.lit(1)).over(df)).join(F.broadcast(lengths), "field")  # a row for each field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("weight") * idf * (DELTA + F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))))
-    return scored.groupBy("key").agg(F.sum(part).alias("score"), F.sort_array(F.collect_set("field")).alias("fields")).orderBy(F.desc("score"), "key").limit(limit)
+    found = scored.groupBy("key").agg(F.sum(part).alias("score"), F.sort_array(F.collect_set("field")).alias("fields"))
+    return found if limit is None else found.orderBy(F.desc("score"), "key").limit(limit)
 
 
 def substring_scan(items: DataFrame, query: str, limit: int = 20) -> DataFrame:

@@ -202,8 +202,9 @@ s AS (SELECT key, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (0.5
 def bm25_search(spark, sf_dir):
     """Exact terms only; ranks, not scores, are compared."""
     index = search.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["text"])
-    found = search.search(index, "license token", limit=1_000, prefix=False, fuzzy=0)
-    return found.select("key", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "key")).cast("long").alias("rank")).orderBy("rank").limit(10)
+    found = search.search(index, "license token", limit=None, prefix=False, fuzzy=0).select("key", F.round("score", 9).alias("score"))
+    best = found.orderBy(F.desc("score"), "key").limit(10)
+    return best.select("key", F.row_number().over(Window.orderBy(F.desc("score"), "key")).cast("long").alias("rank")).orderBy("rank")
 
 
 @query()

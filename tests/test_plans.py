@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from strataloom.operators import search
 from strataloom.plans import all_queries, all_sql, generate, serve, source_queries
 from strataloom.sources import config, coverage, documents, files, git_log
 from strataloom.streaming import watch
@@ -218,3 +219,11 @@ def test_generated_notes_take_every_part_and_line_item(spark, tmp_path):
     for k in (399, 400, 5_000):
         assert found[path(k)]["churn_score"] == sum(own == k for own, _ in weeks)
     assert [(r["path"], r["count"]) for r in found[path(5_000)]["co_changed_files"]] == [(path(399), 1), (path(400), 1)]
+
+
+def test_bm25_ranks_all_matches_by_the_rounded_score(spark, monkeypatch):
+    """1,500 matches that tie once rounded, the largest keys ahead before that: the least keys come first."""
+    found = spark.range(1_500).select(F.col("id").alias("key"), (1 + F.col("id") * 1e-13).alias("score"))
+    cut = lambda index, query, limit=20, **more: found if limit is None else found.orderBy(F.desc("score"), "key").limit(limit)
+    monkeypatch.setattr(search, "search", cut)
+    assert [tuple(r) for r in all_queries()["bm25_search"](spark, SF).collect()] == [(k, k + 1) for k in range(10)]
