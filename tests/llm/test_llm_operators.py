@@ -187,6 +187,25 @@ def test_exact_dedup(docs, brute_rows):
     assert cuckoo_dedup.without_copies(docs).count() == len(groups) and cuckoo_dedup.without_copies(docs).columns == docs.columns
 
 
+def test_vector_packing_balances_cells(spark):
+    """Most groups are below the share from which they are packed one by one, a few are above; equal texts stay together."""
+    r = random.Random(2)
+    texts = [f"t{k} " + "ab cde " * r.randint(5, 60) for k in range(4_000)] + [f"large{k} " + "ab cde " * 900 for k in range(3)]
+    own = [*enumerate(texts), *((10_000 + k, texts[k]) for k in range(200))]
+    parts, words_ = 2 * vector_packing.CELLS, [len(t.split()) for _, t in own]
+    n = collections.Counter(t for _, t in own)
+    total = sum(len(t) + 8 for _, t in own), sum(words_), len(own)
+    large = sum(max(n[t] * (len(t) + 8) / total[0], n[t] * len(t.split()) / total[1], n[t] / total[2]) * parts > 1 for t in n)
+    assert large == 3
+    out = vector_packing.shard_documents(spark.createDataFrame(own, "doc_id long, text string"), shards=2).collect()
+    assert len(out) == len(own)
+    for value in (lambda x: x["size"], lambda x: x["tokens"], lambda x: 1):
+        held = [sum(value(x) for x in out if x["shard"] == s) for s in range(2)]
+        assert max(held) < 1.02 * sum(held) / 2
+    at = {x["doc_id"]: x["shard"] for x in out}
+    assert all(at[k] == at[10_000 + k] for k in range(200))
+
+
 def test_exact_dedup_merges_in_the_index(spark):
     """Copies come from several tasks and are merged by the buckets' indexes, not by a group-by before them."""
     own = [(k if k % 9 else None, hashlib.sha256(b"%d" % (k % 40 if k % 3 else 0)).digest()) for k in range(1_200)]
