@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import saved, shared_path  # noqa: F401
@@ -38,13 +38,35 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(text).alias("text_key"), F.col(text).alias("text"))
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of docs has, in upper or lower case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of docs whose (doc_id, text_key) is in kept, repeated rows once, with the columns of docs."""
-    marked = docs.withColumn("_sl_id", F.col(doc_id).cast("long")).withColumn("_sl_key", row_key(text))
-    there = kept.select(F.col("doc_id").alias("_sl_there_id"), F.col("text_key").alias("_sl_there_key"))
-    found = marked.join(there, F.col("_sl_id").eqNullSafe(F.col("_sl_there_id")) & (F.col("_sl_key") == F.col("_sl_there_key")), "left_semi")
-    once = F.row_number().over(Window.partitionBy("_sl_id", "_sl_key").orderBy("_sl_key"))
-    return found.withColumn("_sl_once", once).where("_sl_once = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs whose (doc_id, text_key) is in kept, repeated rows once, with the columns of docs as they are."""
+    own_id, own_key, there_id, there_key, once = free_names(docs, "own_id", "own_key", "there_id", "there_key", "once")
+    marked = docs.withColumns({own_id: F.col(doc_id).cast("long"), own_key: row_key(text)})
+    there = kept.select(F.col("doc_id").alias(there_id), F.col("text_key").alias(there_key))
+    found = marked.join(there, F.col(own_id).eqNullSafe(F.col(there_id)) & (F.col(own_key) == F.col(there_key)), "left_semi")
+    first = F.row_number().over(Window.partitionBy(own_id, own_key).orderBy(own_key))
+    return found.withColumn(once, first).where(F.col(once) == 1).select(*own_columns(docs))
+
+
+def input_bytes(docs: DataFrame, text: str = "text") -> int:
+    """About how many bytes docs has: what its files hold, by Spark's own estimate; where Spark has none, the bytes of its texts."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < 1 << 60 else int(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str, step: int = 64) -> Iterator[tuple]:
