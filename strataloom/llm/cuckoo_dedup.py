@@ -1,9 +1,11 @@
 """Exact dedup over cuckoo-filter indexes.
 
 Each document is reduced to the SHA-256 of its text with A-Z in lower case. Digests are dealt into index buckets; the index
-of a bucket is a cuckoo filter of short fingerprints beside the stored digests of its live keys. A digest that the filter
-does not know is new; a hit counts only once the stored digest confirms it; where an insertion finds no place after so many
-evictions, the filter is rebuilt at twice its size from the stored digests.
+of a bucket is a cuckoo filter of short fingerprints, and beside each fingerprint's slot the entry that it stands for: the
+whole digest, the largest doc_id met and the number of rows. A digest none of whose slots holds its fingerprint is new and is
+inserted. A hit counts only once an entry in one of the two places confirms the whole digest; the entry that it supersedes is
+then deleted and the merged one inserted. Where an insertion finds no place after so many evictions, the filter is rebuilt at
+twice its size from the stored entries.
 
 Defined results: a null text counts as the empty one; of equal texts the row with the largest doc_id stays (a null id is
 below all others), and of rows that repeat that doc_id one is kept; an empty table gives an empty result.
@@ -27,16 +29,19 @@ BUCKET_ROWS = 200_000
 
 
 class CuckooIndex:
-    """A cuckoo filter with 16-bit fingerprints, four to a bucket, beside the digests (with a value each) that are live."""
+    """A cuckoo filter with 16-bit fingerprints, SLOTS to a place, and in the same slots the live digests with a value each."""
 
     def __init__(self, capacity: int = 1_024):
-        self.live: dict[bytes, object] = {}
-        self.resizes = 0
+        self.resizes = self.live = 0
         self._clear(max(2, 1 << (max(1, capacity * 5 // (4 * SLOTS)) - 1).bit_length()))
 
-    def _clear(self, buckets: int) -> None:
-        self.mask = buckets - 1
-        self.table: list[list[int]] = [[] for _ in range(buckets)]
+    def __len__(self) -> int:
+        return self.live
+
+    def _clear(self, places: int) -> None:
+        self.mask = places - 1
+        self.marks: list[list[int]] = [[] for _ in range(places)]
+        self.store: list[list[tuple[bytes, object]]] = [[] for _ in range(places)]
 
     def _places(self, digest: bytes) -> tuple[int, int, int]:
         mark = int.from_bytes(digest[8:10], "little") or 1
@@ -49,52 +54,68 @@ class CuckooIndex:
     def maybe(self, digest: bytes) -> bool:
         """What the filter alone says: never False for a live digest."""
         mark, a, b = self._places(digest)
-        return mark in self.table[a] or mark in self.table[b]
+        return mark in self.marks[a] or mark in self.marks[b]
+
+    def _find(self, digest: bytes) -> tuple[int, int] | None:
+        """Place and slot of a live digest: entries are read only where the filter has a hit, and must hold the whole digest."""
+        if not self.maybe(digest):
+            return None
+        mark, a, b = self._places(digest)
+        for at in (a, b):
+            for slot, held in enumerate(self.marks[at]):
+                if held == mark and self.store[at][slot][0] == digest:
+                    return at, slot
+        return None
 
     def get(self, digest: bytes):
-        """The value of a live digest, or None: a hit of the filter, confirmed by the stored digest."""
-        return self.live.get(digest) if self.maybe(digest) else None
+        """The value of a live digest, or None."""
+        found = self._find(digest)
+        return None if found is None else self.store[found[0]][found[1]][1]
 
     def insert(self, digest: bytes, value) -> None:
-        if self.get(digest) is None:
-            self.live[digest] = value
-            if not self._place(digest):
-                self._resize()
-        else:
-            self.live[digest] = value
-
-    def delete(self, digest: bytes) -> bool:
-        """Takes a live digest out of the filter and the store; False if it is not live."""
-        if self.get(digest) is None:
-            return False
-        mark, a, b = self._places(digest)
-        self.table[a if mark in self.table[a] else b].remove(mark)
-        del self.live[digest]
-        return True
-
-    def _place(self, digest: bytes) -> bool:
-        mark, a, b = self._places(digest)
-        for at in (a, b):
-            if len(self.table[at]) < SLOTS:
-                self.table[at].append(mark)
-                return True
-        at = a
+        """Makes a digest live that is not: the caller has looked it up, or deleted it."""
+        self.live += 1
+        left = self._place((digest, value))
+        if left is not None:
+            self._resize(left)
+
+    def delete(self, digest: bytes):
+        """Takes a live digest out of filter and store and returns its value; None if it is not live."""
+        found = self._find(digest)
+        if found is None:
+            return None
+        at, slot = found
+        self.live -= 1
+        self.marks[at].pop(slot)
+        return self.store[at].pop(slot)[1]
+
+    def items(self):
+        """The live digests with their values."""
+        for entries in self.store:
+            yield from entries
+
+    def _place(self, entry: tuple[bytes, object]) -> tuple[bytes, object] | None:
+        """Puts an entry into one of its places, moving others; the entry that is left over, or None."""
+        mark, a, b = self._places(entry[0])
+        at = a if len(self.marks[a]) <= len(self.marks[b]) else b
         for kick in range(MAX_KICKS):
-            row, slot = self.table[at], kick % SLOTS
-            mark, row[slot] = row[slot], mark
+            if len(self.marks[at]) < SLOTS:
+                self.marks[at].append(mark)
+                self.store[at].append(entry)
+                return None
+            slot = kick % SLOTS
+            mark, self.marks[at][slot] = self.marks[at][slot], mark
+            entry, self.store[at][slot] = self.store[at][slot], entry
             at = self._other(at, mark)
-            if len(self.table[at]) < SLOTS:
-                self.table[at].append(mark)
-                return True
-        return False
+        return entry
 
-    def _resize(self) -> None:
-        size = len(self.table)
+    def _resize(self, left: tuple[bytes, object]) -> None:
+        entries, places = [*self.items(), left], len(self.marks)
         while True:
             self.resizes += 1
-            size *= 2
-            self._clear(size)
-            if all(self._place(d) for d in self.live):
+            places *= 2
+            self._clear(places)
+            if all(self._place(e) is None for e in entries):
                 return
 
 
@@ -146,10 +167,10 @@ def index_groups(rows: DataFrame, total: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         index = CuckooIndex(table.num_rows)
         for digest, top, n in zip(*(table.column(c).to_pylist() for c in ("digest", "top", "n")), strict=True):
-            held = index.get(digest)
-            index.insert(digest, (top, n) if held is None else _merged(held, (top, n)))
-        values = list(index.live.values())
-        return pa.table([pa.array(index.live, pa.binary()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())], schema=schema)
+            superseded = index.delete(digest)
+            index.insert(digest, (top, n) if superseded is None else _merged(superseded, (top, n)))
+        digests, values = zip(*index.items(), strict=True)
+        return pa.table([pa.array(digests, pa.binary()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())], schema=schema)
 
     bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int")
     return task_sums(rows).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "digest binary, keep_id long, group_size long")
