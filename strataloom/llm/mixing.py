@@ -5,8 +5,8 @@ again by weight (water filling, solved in closed form); a source's repetition ra
 is taken floor(rate) times and once more if a number hashed from a seed and its doc_id lies below the rate's fraction.
 
 Defined results: a null source is a source of its own, after all others; a null or empty text has size 0; a source of size 0
-has target 0 and rate 0; rows that repeat a doc_id share their hashed number; an empty table gives an empty result.
-All of it is DataFrame operations; sources are ranked in one task, which holds a row for each source, never for a document.
+has target 0 and rate 0; rows that repeat a doc_id share their hashed number; an empty table gives an empty result;
+other columns are handed on as they are, whatever their names. All of it is DataFrame operations; sources are ranked in one task, which holds a row for each source, never for a document.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 CAP = 2.0
@@ -64,20 +66,24 @@ def copies(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **law) -> DataFrame:
-    """docs with _sl_size, _sl_source_size, _sl_target, _sl_rate, _sl_copies added.
+    """docs with one column more, the last: a struct of size, source_size, target, rate, copies.
 
+    It is called mix, with underscores after it as long as docs has a column of that name; the columns of docs stay as they are.
     The table of sources meets the documents by a join that Spark may broadcast where it is small; where it is not, a hot
     source's rows are dealt anew by adaptive execution, as nothing else needs them together.
     """
-    sized = docs.withColumn("_sl_size", word_count(F.col(text)))
+    mix, size, key = common.free_names(docs, "mix", "mix_size", "mix_source")
     sums = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    by = targets(sums, **law).select(F.col("source").alias("_sl_source"), F.col("source_size").alias("_sl_source_size"), F.col("target").alias("_sl_target"), F.col("rate").alias("_sl_rate"))
-    found = sized.join(by, F.col(source).eqNullSafe(F.col("_sl_source")))
-    return found.withColumn("_sl_copies", copies(F.col("_sl_rate"), F.col(doc_id))).drop("_sl_source")
+    by = targets(sums, **law).select(F.col("source").alias(key), F.struct("source_size", "target", "rate").alias(mix))
+    found = docs.withColumn(size, word_count(F.col(text))).join(by, F.col(source).eqNullSafe(F.col(key)))
+    parts = F.struct(F.col(size).alias("size"), f"{mix}.source_size", f"{mix}.target", f"{mix}.rate", copies(F.col(f"{mix}.rate"), F.col(doc_id)).alias("copies"))
+    return found.select(*common.own_columns(docs), parts.alias(mix))
 
 
 def emitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **law) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, with the columns of docs."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    found = mixed(docs, doc_id, text, source, **law).where("_sl_copies > 0")
-    return found.withColumn("_sl_copy", F.explode(F.sequence(F.lit(1), F.col("_sl_copies")))).select(*names)
+    """The mix itself: the rows of docs, each as often as it is taken, with the columns of docs as they are."""
+    found = mixed(docs, doc_id, text, source, **law)
+    mix = found.columns[-1]
+    (copy,) = common.free_names(found, "copy")
+    taken = found.where(F.col(f"{mix}.copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"{mix}.copies"))))
+    return taken.select(*common.own_columns(docs))

@@ -29,8 +29,7 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
-    size = F.col("_sl_size")
-    return out.select("doc_id", size.alias("size"), F.col("_sl_source_size").alias("source_size"), F.col("_sl_target").alias("target"), (size * F.col("_sl_copies")).alias("taken"))
+    return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
