@@ -7,11 +7,13 @@ expectation-maximisation on counts held out from the training texts: the pairs o
 other training texts. Scores then use the counts of all training texts. The end of the text before is the context of a
 text's first token.
 
-How the counts meet the texts, at any size: texts are gathered into chunks of about CHUNK_TOKENS tokens with a local
-dictionary; a chunk asks once for each of its distinct words and pairs (64-bit hashes, sorted, in packed differences), with
+How the counts meet the texts, at any size: texts are gathered into chunks of so many tokens with a local dictionary; a chunk asks once for each of its distinct words and pairs (64-bit hashes, sorted, in packed differences), with
 its own counts, so a frequent word costs a row of a chunk and not of a text; ranges of the hash space sum the counts of all
-chunks and answer each in its own order; chunk and answers meet by the chunk's id. Nothing that grows is sent to the driver:
-it gets the totals and a histogram of likelihood ratios over a fixed grid.
+chunks and answer each in its own order; chunk and answers meet by the chunk's id. Chunks and ranges hold CHUNK_TOKENS and
+RANGE_KEYS, and beyond some 10^10 tokens ROOT times the square root of all tokens, so there is at most one row of a chunk and
+range for ROOT^2 tokens: rows grow with the input and not with its square, and a task's memory with the root. Nothing that
+grows is sent to the driver: it gets the totals and a histogram of likelihood ratios over a fixed grid, each cell with the
+means of its logarithms.
 
 Defined results: a null text counts as the empty one, whose only token is the end; a null doc_id hashes as the empty text;
 texts that repeat are scored and counted each time; without training texts all tokens are unknown and the probability is
@@ -21,6 +23,7 @@ uniform; without deleted texts DEFAULT_WEIGHTS hold. Other columns of the input
 from __future__ import annotations
 
 import itertools
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -33,9 +36,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK_TOKENS = 2_000_000
-#: Distinct words and pairs that one range of the hash space is planned for.
-RANGE_KEYS = 2_500_000
+CHUNK_TOKENS = 1_000_000
+#: Words and pairs of chunks that one range of the hash space is planned for.
+RANGE_KEYS = 1_500_000
+ROOT = 10
+#: Bytes of input to a token, in the estimate of how many tokens there are.
+TOKEN_BYTES = 4
 FOLDS = 10
 HELD_OUT, DELETED = 0, 9
 #: The parts that a text can belong to: scored only, estimating, deleted.
@@ -53,6 +59,12 @@ CHUNK = "chunk long, part int, tokens long, ids binary, lens binary, words binar
 ANSWER = "chunk long, range int, word binary, pair binary, word_est binary, pair_est binary, n long, v long, n_est long, v_est long"
 
 
+def planned(tokens: int) -> tuple[int, int]:
+    """Tokens of a chunk, and ranges of the hash space, for so many tokens."""
+    root = ROOT * math.isqrt(tokens)
+    return max(CHUNK_TOKENS, root), max(1, -(-tokens // max(RANGE_KEYS, root)))
+
+
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = CHUNK_TOKENS) -> DataFrame:
     """Rows of texts in chunks of one part each: ids, words a text, hashes of the distinct words, the words' local numbers."""
     fold = common.crc_remainder(doc_id, FOLDS)
@@ -184,35 +196,42 @@ def bucket_of(context_count: np.ndarray) -> np.ndarray:
 
 
 def held_out_counts(grouped, n: int, v: int) -> DataFrame:
-    """bucket, unigram, pair, n: how many tokens of the deleted texts have which likelihood ratios to the uniform estimate.
+    """bucket, unigram, pair, n, unigram_sum, pair_sum: how many tokens of the deleted texts have which likelihood ratios.
 
-    Ratios as whole steps of 1/GRID binary logarithms; null: the estimate is zero.
+    Ratios to the uniform estimate, in binary logarithms: whole steps of 1/GRID name the cell (null estimates have a step of
+    their own), the sums hold the exact logarithms of its tokens.
     """
-    schema = pa.schema([(c, pa.int64()) for c in ("bucket", "unigram", "pair", "n")])
+    whole = [(c, pa.int64()) for c in ("bucket", "unigram", "pair", "n")]
+    schema = pa.schema([*whole, ("unigram_sum", pa.float64()), ("pair_sum", pa.float64())])
     none = -(1 << 20)
 
     def run(table: pa.Table) -> pa.Table:
         _, _, token, context, word, pair = _joined(table, "_est")
         cw, cu = word[token], word[context]
         with np.errstate(divide="ignore", invalid="ignore"):
-            r1 = np.where((cw > 0) & (n > 0), np.rint(GRID * np.log2(cw / max(n, 1) * (v + 1))), none)
-            r2 = np.where((pair > 0) & (cu > 0), np.rint(GRID * np.log2(pair / np.maximum(cu, 1) * (v + 1))), none)
+            logs = [np.where((cw > 0) & (n > 0), np.log2(cw / max(n, 1) * (v + 1)), 0.0), np.where((pair > 0) & (cu > 0), np.log2(pair / np.maximum(cu, 1) * (v + 1)), 0.0)]
+        r1 = np.where((cw > 0) & (n > 0), np.rint(GRID * logs[0]), none)
+        r2 = np.where((pair > 0) & (cu > 0), np.rint(GRID * logs[1]), none)
         key = (bucket_of(cu).astype(np.int64) << 44) + ((r1.astype(np.int64) + (1 << 21)) << 22) + (r2.astype(np.int64) + (1 << 21))
-        own, count = np.unique(key, return_counts=True)
+        own, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         low = (1 << 22) - 1
-        return pa.table([pa.array(x) for x in (own >> 44, (own >> 22 & low) - (1 << 21), (own & low) - (1 << 21), count.astype(np.int64))], schema=schema)
+        columns = [own >> 44, (own >> 22 & low) - (1 << 21), (own & low) - (1 << 21), count.astype(np.int64), *(np.bincount(inverse, x, len(own)) for x in logs)]
+        return pa.table([pa.array(x) for x in columns], schema=schema)
 
-    rows = grouped.applyInArrow(run, "bucket long, unigram long, pair long, n long")
-    return rows.groupBy("bucket", "unigram", "pair").agg(F.sum("n").alias("n"))
+    rows = grouped.applyInArrow(run, "bucket long, unigram long, pair long, n long, unigram_sum double, pair_sum double")
+    return rows.groupBy("bucket", "unigram", "pair").agg(F.sum("n").alias("n"), F.sum("unigram_sum").alias("unigram_sum"), F.sum("pair_sum").alias("pair_sum"))
 
 
-def learned_weights(histogram: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """Weights (uniform, unigram, pair) of each bucket by expectation-maximisation; a bucket without tokens has those of all."""
+def learned_weights(histogram: list[tuple[int, int, int, int, float, float]]) -> np.ndarray:
+    """Weights (uniform, unigram, pair) of each bucket by expectation-maximisation; a bucket without tokens has those of all.
+
+    histogram: rows of held_out_counts; a cell stands for its tokens with the mean of their logarithms.
+    """
     out = np.tile(np.array(DEFAULT_WEIGHTS), (BUCKETS, 1))
     if not histogram:
         return out
-    rows = np.array(sorted(histogram), np.int64)
-    ratio = np.stack([np.ones(len(rows)), *(np.where(rows[:, k] > -(1 << 19), np.exp2(rows[:, k] / GRID), 0.0) for k in (1, 2))], axis=1)
+    rows = np.array(sorted(histogram), np.float64)
+    ratio = np.stack([np.ones(len(rows)), *(np.where(rows[:, k] > -(1 << 19), np.exp2(rows[:, k + 3] / rows[:, 3]), 0.0) for k in (1, 2))], axis=1)
 
     def fit(which: np.ndarray) -> np.ndarray:
         weights = np.array(DEFAULT_WEIGHTS)
@@ -225,15 +244,15 @@ def learned_weights(histogram: list[tuple[int, int, int, int]]) -> np.ndarray:
 
     out[:] = fit(np.ones(len(rows), bool))
     for b in np.unique(rows[:, 0]):
-        out[b] = fit(rows[:, 0] == b)
+        out[int(b)] = fit(rows[:, 0] == b)
     return out
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
-    chunk_rows = common.saved(chunks(docs, doc_id, text), "chunks")
-    keys = chunk_rows.agg(F.sum(F.col("tokens"))).first()[0] or 0
-    ranges = max(1, -(-keys // RANGE_KEYS))
+    size, _ = planned(common.input_bytes(docs, text) // TOKEN_BYTES)
+    chunk_rows = common.saved(chunks(docs, doc_id, text, size), "chunks")
+    _, ranges = planned(chunk_rows.agg(F.sum(F.col("tokens"))).first()[0] or 0)
     answered = common.saved(answers(requests(chunk_rows, ranges)), "answers")
     n, v, n_est, v_est = (int(x or 0) for x in answered.where("chunk < 0").agg(*(F.sum(c) for c in ("n", "v", "n_est", "v_est"))).first())
     deleted = chunk_rows.where(F.col("part") == DELETED_PART)
