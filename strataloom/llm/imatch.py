@@ -7,9 +7,9 @@ distinct terms in the lexicon in sorted order (by their 64-bit hash) and hashes
 randomised subsets of the lexicon, drawn by the term's own hash at several rates, so likeness is graded: texts that share many
 terms agree on the sparse subsets, equal ones on all. A subset that leaves no term gives the empty part.
 
-Defined results: a null text counts as the empty one; a text with fewer than FEW terms in the lexicon uses all of its terms;
-one without terms has empty parts only, and is like texts of the same kind; rows that repeat have the same fingerprint; an
-empty table gives an empty result. Other columns of the input are not read.
+Defined results: a null text counts as the empty one; a text without terms in the lexicon has empty parts only, and is like
+texts of the same kind; rows that repeat have the same fingerprint; a null doc_id comes after all others, and rows of one
+doc_id follow each other by their texts' XXH64; an empty table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ from . import common
 
 #: The band, as shares of documents.
 LOW, HIGH = 0.001, 0.25
-FEW = 4
 #: The subsets: one in 2**k of the lexicon, and how many such.
 RATES = ((3, 4), (5, 8), (7, 16), (9, 20), (11, 15))
 EMPTY = "-" * 8
 CHUNK_WORDS = 300_000
 RANGE_KEYS = 2_000_000
-#: Rows that one range of neighbouring documents is planned for.
+#: Rows that one range of neighbouring documents is planned for, as long as that makes no more ranges than MOST_RANGES.
 RANGE_ROWS = 2_000
+#: Bounds what the driver gets and what is broadcast: a row for each range.
+MOST_RANGES = 20_000
 
 
 _RATE = np.array([rate for rate, count in RATES for _ in range(count)], np.uint64)
@@ -79,8 +80,7 @@ class Fingerprints:
         if fresh := [w for w in distinct if w not in self.number]:
             self._learn(fresh)
         own = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
-        inside = own[self.known[own]]
-        own = inside if len(inside) >= FEW else own
+        own = own[self.known[own]]
         terms = self.hashes[own]
         order = np.argsort(terms)
         terms, bits = terms[order], self.bits[own[order]]
@@ -152,44 +152,58 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def neighbour_ranges(docs: DataFrame, doc_id: str = "doc_id", rows: int = RANGE_ROWS) -> np.ndarray:
-    """Descending doc_ids, each of a row, that begin the ranges of about so many rows; the first is the largest.
+def neighbour_ranges(slim: DataFrame, rows: int, most: int) -> list[tuple[int | None, int]]:
+    """The first row (doc_id, text_key) of each range, in order, but for the first range; the first of all stands first.
 
-    Percentiles of the ids are values of the column, so the row before a range's first row knows which it is.
+    Ranges hold about so many rows each, and at most so many ranges there are. Spark deals the two columns by range; what each
+    task holds last is where the next range ends, so a row of the table begins each range.
     """
-    n, least, top = docs.agg(F.count(doc_id), F.min(doc_id), F.max(doc_id)).first()
+    n = slim.count()
     if not n:
-        return np.zeros(0, np.int64)
-    count = max(1, -(-n // rows))
-    shares = [k / count for k in range(1, count)]
-    at = docs.agg(F.percentile_approx(doc_id, shares, 100_000)).first()[0] if shares else []
-    return np.unique(np.array([*at, top], np.int64))[::-1].copy()
-
-
-def with_next(docs: DataFrame, use, columns: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of use(triples) over doc_id, text and next text of all rows by descending doc_id (nulls last, ties by text).
-
-    One shuffle brings the rows of a range of doc_ids to one task in order. The first row of each range comes also to the range
-    before it, as its last row's next, and the first row of all to the last range; texts are held two at a time.
+        return []
+    order = [F.col("doc_id").desc_nulls_last(), F.col("text_key")]
+    dealt = slim.select("doc_id", "text_key").repartitionByRange(max(1, min(most, -(-n // rows))), *order)
+    firsts = dealt.groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.bitwise_not("doc_id").alias("down"), "text_key")).alias("first")).select("first.*").collect()
+    return [(None if r["no_id"] else ~r["down"], r["text_key"]) for r in sorted(firsts, key=lambda r: (r["no_id"], r["down"] or 0, r["text_key"]))]
+
+
+def range_numbers(firsts: list[tuple[int | None, int]], ids: np.ndarray, nulls: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The range that each row (doc_id, or null, and text_key) belongs to: the last whose first row is not after it."""
+    down, key = (np.array([f[k] for f in firsts if f[0] is not None], np.int64) for k in (0, 1))
+    null_keys = np.array([k for i, k in firsts if i is None], np.int64)
+    down = ~down
+    low, high = np.searchsorted(down, ~ids, "left"), np.searchsorted(down, ~ids, "right")
+    for one in np.unique(low[high > low]):  # ids with which a range begins: their text_key decides
+        rows = (high > low) & (low == one)
+        high[rows] = one + np.searchsorted(key[one : high[rows][0]], keys[rows], "right")
+    return np.where(nulls, len(down) + np.searchsorted(null_keys, keys, "right"), high) - 1
+
+
+def with_next(docs: DataFrame, use, columns: str, doc_id: str = "doc_id", text: str = "text", rows: int | None = None) -> DataFrame:
+    """Rows of use(triples) over doc_id, text and next text of all rows by descending doc_id (nulls last, ties by text_key).
+
+    One shuffle brings the rows of a range to one task in order. The first row of each range comes also to the range before
+    it, as its last row's next, and the first row of all to the last range; texts are held two at a time.
     """
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    firsts = neighbour_ranges(slim)
-    ascending, count = firsts[::-1].copy(), max(1, len(firsts))
+    slim = common.keyed(docs, doc_id, text)
+    firsts = neighbour_ranges(slim, rows or RANGE_ROWS, MOST_RANGES)
+    count = max(1, len(firsts))
 
     @F.pandas_udf("long")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(count - 1 - np.searchsorted(ascending, ids.to_numpy(np.int64))) if count > 1 else ids * 0
+    def range_of(ids: pd.Series, nulls: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series(range_numbers(firsts, ids.to_numpy(np.int64), nulls.to_numpy(bool), keys.to_numpy(np.int64)))
 
-    dealt = slim.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(count - 1)).otherwise(range_of(F.coalesce("doc_id", F.lit(0)))))
     if count > 1:
-        to = [(int(first), (r - 1) % count) for r, first in enumerate(firsts)]
-        guests = F.broadcast(docs.sparkSession.createDataFrame(to, "doc_id long, to long"))
+        dealt = slim.withColumn("range", range_of(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text_key"))
+        to = [(i, key, (r - 1) % count) for r, (i, key) in enumerate(firsts)]
+        guests = F.broadcast(docs.sparkSession.createDataFrame(to, "first_id long, first_key long, to long"))
         both = F.array(F.struct(F.col("range"), F.lit(0).alias("guest")), F.struct(F.col("to").alias("range"), F.lit(1).alias("guest")))
         places = F.when(F.col("to").isNull(), F.slice(both, 1, 1)).otherwise(both)
-        dealt = dealt.join(guests, "doc_id", "left").withColumn("place", F.explode(places)).select("doc_id", "text", "place.range", "place.guest")
+        begins = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+        dealt = dealt.join(guests, begins, "left").withColumn("place", F.explode(places)).select("doc_id", "text_key", "text", "place.range", "place.guest")
     else:
-        dealt = dealt.withColumn("guest", F.lit(0))
-    ordered = dealt.repartition("range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
+        dealt = slim.withColumns({"range": F.lit(0), "guest": F.lit(0)})
+    ordered = dealt.repartition("range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text_key", "text")
 
     def run(batches):
         def triples():
