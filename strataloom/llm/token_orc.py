@@ -4,209 +4,125 @@ Each text is encoded with the tokenizers library; its ids and the end id are wri
 doc_id order: one range of doc_ids a file, integers in ORC's run-length encoding, row indexes every STRIDE rows and Bloom
 filters on doc_id, so readers take stripes in parallel and skip stripes and row groups by their doc_ids.
 
-The tokenizer never joins what ASCII white space separates (white space is dropped before the split into pieces, and
-normalisation composes nothing across it), so a text is encoded as its words are; the library encodes each word that a worker
-has not met yet, and a worker remembers at most twice KNOWN_WORDS of them.
+Texts are taken apart into words and pieces by word_pieces; the library encodes the pieces of words that a worker does not
+remember, many in one call.
 
 Defined results: a null text counts as the empty one and has only the end id; rows that repeat a doc_id stand in the order
-of their number of ids and of the ids' checksum; a null doc_id stands first; an empty table gives an empty result.
+of their texts' XXH64, and many such may fill several files; a null doc_id stands first; an empty table gives an empty result.
 Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import json
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from . import common
+from . import common, word_pieces
 
 END_ID = 2
-KNOWN_WORDS = 300_000
-#: The split pattern of the tokenizers read here (fixed value), and the words that are cut by it here.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = regex.compile(r"[!-~¡-¬®-ɏ]*")
-PLAIN_ASCII = re.compile(rb"[!-~]*")
-CUT_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: New pieces that the library is given in one call.
+CALL_PIECES = 2_000
+#: What a worker remembers; more than word_pieces.MEMO_BYTES, as the library's calls cost more than own merges.
+MEMO_BYTES = 128 << 20
 STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
-#: Text bytes that one file is planned for.
-FILE_BYTES = 32 << 20
+#: Input bytes that one file is planned for, as long as that makes no more files than MOST_FILES.
+FILE_BYTES = 16 << 20
+MOST_FILES = 100_000
 ORC_OPTIONS = {
     "compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE_BYTES),
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 
 
-class Known:
-    """Byte values by key in two generations: a full young one becomes the old one, and what is met again moves up, so the frequent stay."""
+def library_pieces(tokenizer_path: str) -> word_pieces.Encode:
+    """The library's model on pieces, many in one call; each piece's last token carries the end-of-word mark, so they come apart again."""
+    model = Tokenizer.from_file(tokenizer_path)
+    ends = np.zeros(model.get_vocab_size(), bool)
+    ends[[i for t, i in model.get_vocab(with_added_tokens=False).items() if t.endswith(word_pieces.WORD_END)]] = True
+    model.normalizer, model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
 
-    def __init__(self):
-        self.young: dict = {}
-        self.old: dict = {}
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for at in range(0, len(pieces), CALL_PIECES):
+            joined = b" ".join(pieces[at : at + CALL_PIECES])
+            shown = joined.decode() if joined.isascii() else " ".join(map(word_pieces.in_symbols, pieces[at : at + CALL_PIECES]))
+            out.append(np.array(model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.int32))
+        ids = np.concatenate(out)
+        lens = np.diff(np.flatnonzero(ends[ids]) + 1, prepend=0)
+        if len(lens) != len(pieces):
+            raise ValueError("the model's tokens do not mark where pieces end")
+        return ids, lens
 
-    def turn(self) -> None:
-        if len(self.young) > KNOWN_WORDS:
-            self.young, self.old = {}, self.young
+    return encode
 
-    def unknown(self, keys: set) -> list:
-        """Those of keys that neither generation knows; the old one's move up."""
-        out = []
-        for key in keys:
-            if key in self.young:
-                continue
-            value = self.old.get(key)
-            if value is None:
-                out.append(key)
-            else:
-                self.young[key] = value
-        return out
-
-
-class WordEncoder:
-    """Ids of whole texts from the library's ids of their words.
-
-    A word of printable ASCII and Latin letters below U+0250 is cut here into the pieces that the tokenizer's split pattern
-    makes of it; pieces recur more than words. The library's model encodes many new pieces in one call: each piece's last
-    token carries the end-of-word mark, so they come apart again. Other words are given to the whole library one by one.
-    """
 
-    def __init__(self, tokenizer_path: str):
-        self.library = Tokenizer.from_file(tokenizer_path)
-        spec = json.loads(self.library.to_str())
-        split = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.known_split = split == [SPLIT]
-        self.cut = regex.compile(SPLIT).findall
-        self.model = Tokenizer.from_file(tokenizer_path)
-        self.model.normalizer = normalizers.Sequence([])
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        mark = spec["model"]["end_of_word_suffix"]
-        self.ends = np.zeros(self.library.get_vocab_size(), bool)
-        self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(mark)]] = True
-        self.words, self.pieces = Known(), Known()
-
-    def _learn_pieces(self, pieces: set[bytes]) -> None:
-        fresh = self.pieces.unknown(pieces)
-        for at in range(0, len(fresh), 2_000):
-            part = fresh[at : at + 2_000]
-            ids = np.array(self.model.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.int32)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) != len(part):
-                raise ValueError("the model's tokens do not mark where pieces end")
-            raw, at_byte = ids.tobytes(), 0
-            for piece, cut in zip(part, cuts, strict=True):
-                self.pieces.young[piece], at_byte = raw[at_byte : 4 * cut], 4 * cut
-
-    def _learn(self, words: set[bytes]) -> None:
-        cut, other = {}, []
-        for word in self.words.unknown(words):
-            if word.isalpha() and self.known_split:
-                cut[word] = (word.lower(),)
-            elif b"<|" in word or not self.known_split:
-                other.append(word)
-            elif PLAIN_ASCII.fullmatch(word):
-                cut[word] = CUT_ASCII.findall(word.lower())
-            elif PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
-                cut[word] = [p.encode() for p in self.cut(text.lower())]
-            else:
-                other.append(word)
-        self._learn_pieces(set().union(*cut.values()))
-        get = self.pieces.young.__getitem__
-        self.words.young.update((w, b"".join(map(get, own))) for w, own in cut.items())
-        for word in other:
-            self.words.young[word] = np.array(self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32).tobytes()
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts with END_ID after each, and where each text starts (one more at the end)."""
-        self.words.turn()
-        self.pieces.turn()
-        split = [t.split() for t in texts]
-        self._learn(set().union(*split))
-        get, end = self.words.young.__getitem__, np.array([END_ID], np.int32).tobytes()
-        parts = [b"".join(map(get, ws)) + end for ws in split]
-        return np.frombuffer(bytearray(b"".join(parts)), np.int32), np.cumsum([0, *(len(p) // 4 for p in parts)])
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder_of(tokenizer_path: str) -> WordEncoder:
-    """A worker's encoder; it goes on knowing its words from task to task."""
+_encoders: dict[str, word_pieces.WordPieces] = {}
+
+
+def encoder_of(tokenizer_path: str) -> word_pieces.WordPieces:
+    """A worker's encoder; it goes on knowing its words, up to MEMO_BYTES, from task to task."""
     if tokenizer_path not in _encoders:
         _encoders.clear()
-        _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
+        _encoders[tokenizer_path] = word_pieces.WordPieces(tokenizer_path, library_pieces(tokenizer_path), MEMO_BYTES)
     return _encoders[tokenizer_path]
 
 
+TOKENS = "doc_id long, start long, n_tokens long, tokens array<int>"
+
+
 def _encoded(tokenizer_path: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
     def run(batches):
-        encoder = encoder_of(tokenizer_path)
-        ids, texts, held = [], [], 0
-
-        def out():
-            flat, bounds = encoder.encode(texts)
-            at = 0
-            while at < len(ids):  # rows of one doc_id in a defined order
-                to = at + 1
-                while to < len(ids) and ids[to] == ids[at]:
-                    to += 1
-                if to - at > 1:
-                    order = sorted(range(at, to), key=lambda k: (bounds[k + 1] - bounds[k], zlib.crc32(flat[bounds[k] : bounds[k + 1]].tobytes())))
-                    flat[bounds[at] : bounds[to]] = np.concatenate([flat[bounds[k] : bounds[k + 1]] for k in order])
-                    bounds[at + 1 : to] = bounds[at] + np.cumsum([bounds[k + 1] - bounds[k] for k in order])[:-1]
-                at = to
+        start = 0
+        for heads, flat, bounds in word_pieces.encoded_blocks(common.rows_of(batches, "doc_id", "text"), encoder_of(tokenizer_path), END_ID):
             tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(bounds)), tokens], schema=schema)
-
-        for i, t in common.rows_of(batches, "doc_id", "text"):
-            if held > 1 << 20 and i != ids[-1]:
-                yield out()
-                ids, texts, held = [], [], 0
-            ids.append(i)
-            texts.append(t)
-            held += len(t)
-        if ids:
-            yield out()
+            columns = [pa.array([i for (i,) in heads], pa.int64()), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), tokens]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            start += len(flat)
 
     return run
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Writes doc_id, n_tokens, tokens as ORC files in ascending doc_id order; texts are dealt by range before they are encoded."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = slim.repartitionByRange(max(1, -(-size // FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(_encoded(tokenizer_path), "doc_id long, n_tokens long, tokens array<int>").write.options(**ORC_OPTIONS).orc(path)
+    """Writes doc_id, start (ids before it in its file), n_tokens, tokens as ORC files in ascending doc_id order.
+
+    Texts are dealt by range before they are encoded; the range has the text's hash second, so rows of one doc_id may be split.
+    """
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.row_key(text).alias("text_key"), F.col(text).alias("text"))
+    size = common.input_bytes(docs, text)
+    files = max(1, -(-size // max(FILE_BYTES, -(-size // MOST_FILES))))
+    dealt = slim.repartitionByRange(files, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key").select("doc_id", "text")
+    dealt.mapInArrow(_encoded(tokenizer_path), TOKENS).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, n_tokens long, tokens array<int>").orc(path)
+    return spark.read.schema(TOKENS).orc(path)
 
 
 def checksums(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from the files: start counts the ids of all documents before."""
-    schema = pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    """doc_id, start, n_tokens, ids_crc32 from the files: start counts the ids of all documents before.
+
+    A file's number is that of its range, so files are in order; where a file begins is a sum over a row for each file.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("file", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            tokens = batch.column(1)
-            flat, at = tokens.values.to_numpy(zero_copy_only=False).astype("<u4"), tokens.offsets.to_numpy()
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.string()), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], schema=schema)
-
-    rows = read_tokens(spark, path).select("doc_id", "tokens", F.col("_metadata.file_path").alias("file")).mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long")
-    files = read_tokens(spark, path).select("doc_id", "n_tokens", F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("low"), F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # a row for each file
-    own = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("in_file", F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).join(offsets, "file")
-    return found.select("doc_id", (F.col("offset") + F.col("in_file")).cast("long").alias("start"), "n_tokens", "ids_crc32")
+            tokens = batch.column(3)
+            flat, at = tokens.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), tokens.offsets.to_numpy()
+            sums = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], schema=schema)
+
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long").alias("file")
+    rows = read_tokens(spark, path).select("doc_id", number, "start", "tokens").mapInArrow(run, "doc_id long, file long, start long, n_tokens long, ids_crc32 long")
+    files = read_tokens(spark, path).select(number, "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return rows.join(F.broadcast(offsets), "file").select("doc_id", (F.col("offset") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
