@@ -85,6 +85,17 @@ def is_decision(message: Column, language: Column) -> Column:
     return message.rlike(rules.DECISION_PREFIX) | keyword_hit(message, language, rules.DECISION_WORDS)
 
 
+def diff_report(path: Column, delta: Column, fields: dict[str, tuple[Column, Column]]) -> Column:
+    """The report of a changed note: its score's change from a hundredth on, then what each field gained and lost; fields: (added, removed)."""
+    signed = F.concat(F.when(delta > 0, "+").otherwise(""), F.format_string("%.2f", delta.cast("double")))
+    parts = [F.concat(F.lit("## "), path), F.when(F.abs(delta) >= 0.01, F.concat(F.lit("  score: "), signed))]
+    for name, (added, removed) in fields.items():
+        listed = lambda mark, xs: F.transform(xs, lambda x: F.concat(F.lit(f"    {mark} "), x))
+        own = F.concat(F.array(F.lit(f"  {name}:")), listed("+", added), listed("-", removed))
+        parts.append(F.when(F.size(added) + F.size(removed) > 0, F.array_join(own, "\n")))
+    return F.concat_ws("\n", *parts)
+
+
 def bag_minus(left: Column, right: Column) -> Column:
     """What left holds and right does not, with its repeats and order."""
     return F.filter(left, lambda x: ~F.array_contains(right, x))

@@ -10,10 +10,10 @@ from ..functions.text import lines
 
 
 def style(docs: DataFrame) -> DataFrame:
-    """style, documents: structured with three of the four indicator documents, custom with any document, else none."""
+    """style, documents: the first style with three of the four indicator documents, the second with any document, else the third."""
     known = F.count_if(F.col("path").isin(*rules.STYLE_DOCUMENTS))
-    n = F.count(F.lit(1))
-    return docs.agg(F.when(known >= 3, "structured").when(n > 0, "custom").otherwise("none").alias("style"), n.alias("documents"))
+    n, (full, any_doc, none) = F.count(F.lit(1)), rules.STYLES
+    return docs.agg(F.when(known >= rules.STYLE_INDICATORS, full).when(n > 0, any_doc).otherwise(none).alias("style"), n.alias("documents"))
 
 
 def sections(docs: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
@@ -74,7 +74,9 @@ def file_governance(docs: DataFrame) -> DataFrame:
     """path, governing_docs, constraints, decisions of every path that a document mentions."""
     said = mentioned(docs)
     own = said.groupBy("path").agg(F.sort_array(F.collect_set("doc")).alias("governing_docs"))
-    rules_of = said.select("path").distinct().join(mappings(docs).distinct(), F.col("path").startswith(F.col("pattern"))).join(constraints(docs).select(F.col("path").alias("doc"), "rank", "item"), "doc")
+    below = said.select("path").distinct().select("path", F.explode(ancestors(F.col("path"))).alias("above"))
+    mapped = mappings(docs).select("doc", _clean(F.col("pattern")).alias("above")).distinct()
+    rules_of = below.join(mapped, "above").select("path", "doc").distinct().join(constraints(docs).select(F.col("path").alias("doc"), "rank", "item"), "doc")
     why = said.join(decisions(docs).select(F.col("path").alias("doc"), "rank", "item"), "doc")
 
     def listed(df, name):
@@ -85,6 +87,27 @@ def file_governance(docs: DataFrame) -> DataFrame:
     return out.select("path", "governing_docs", F.coalesce("constraints", empty).alias("constraints"), F.coalesce("decisions", empty).alias("decisions"))
 
 
+def governed(files: DataFrame, known: DataFrame, mapped: DataFrame) -> DataFrame:
+    """path, governing_docs, constraints, decisions of each of files that a document speaks of.
+
+    A file takes what is known of its own path; else of the first known path (by name) that is a directory above it or that it
+    is a directory of; else the documents whose mapped directory holds it. All three are equi-joins on ancestors.
+    """
+    columns = ["path", "governing_docs", "constraints", "decisions"]
+    exact = files.select("path").join(known, "path").select(columns)
+    rest = files.select("path").join(exact, "path", "left_anti")
+    held = rest.select("path", F.explode(ancestors(F.col("path"))).alias("above"))
+    over = held.join(known.select(F.col("path").alias("above"), "governing_docs", "constraints", "decisions"), "above")
+    inside = known.select(F.col("path").alias("key"), "governing_docs", "constraints", "decisions", F.explode(ancestors(F.col("path"))).alias("path")).where("key != path")
+    under = rest.join(inside, "path").select("path", F.col("key").alias("above"), "governing_docs", "constraints", "decisions")
+    first = F.min(F.struct("above", "governing_docs", "constraints", "decisions")).alias("first")
+    contained = over.unionByName(under).groupBy("path").agg(first).select("path", "first.governing_docs", "first.constraints", "first.decisions")
+    empty = F.array().cast("array<string>")
+    prefix = held.join(contained.select("path"), "path", "left_anti").join(mapped.select(_clean(F.col("pattern")).alias("above"), "doc"), "above")
+    named = prefix.groupBy("path").agg(F.array(F.min("doc")).alias("governing_docs")).select("path", "governing_docs", empty.alias("constraints"), empty.alias("decisions"))
+    return exact.unionByName(contained).unionByName(named)
+
+
 def ancestors(path):
     """The path and all directories above it: what turns a prefix test into an equi-join."""
     parts = F.split(path, "/")
@@ -122,11 +145,11 @@ def undeclared_domains(files: DataFrame, mapped: DataFrame) -> DataFrame:
     )
 
 
-def forbidden_rules(docs: DataFrame, negated_only: bool = True) -> DataFrame:
-    """doc, from, to, raw: sentences that forbid a dependency. negated_only: a rule must say not (or cannot)."""
-    place = r"((?:src|lib|internal|pkg|packages|apps|modules)/[\w/-]+)"
-    verb = r"(?:cannot|can not|(?:must|should|may) not)" if negated_only else r"(?:must|should|cannot|can ?not|may not|must not)(?:\s+not)?"
-    pattern = rf"(?i)`?{place}`?\s+{verb}\s+(?:depend on|import from|access|use|reach into)\s+`?{place}`?"
+def forbidden_rules(docs: DataFrame, negated_only: bool = False) -> DataFrame:
+    """doc, from, to, raw: sentences on what a directory must, should or cannot depend on. negated_only: a rule must say not (or cannot)."""
+    place = rules.FORBIDDEN_PLACE
+    verb = r"(?:cannot|can not|(?:must|should|may) not)\s+(?:depend on|import from|access|use|reach into)" if negated_only else rules.FORBIDDEN_VERB
+    pattern = rf"(?i)`?{place}`?\s+{verb}\s+`?{place}`?"
     own = docs.select("path", *(F.regexp_extract_all("content", F.lit(pattern), F.lit(k)).alias(n) for n, k in (("raw", 0), ("from", 1), ("to", 2))))
     each = own.select(F.col("path").alias("doc"), F.explode(F.arrays_zip("raw", "from", "to")).alias("r"))
     return each.select("doc", _clean(F.col("r.from")).alias("from"), _clean(F.col("r.to")).alias("to"), F.trim("r.raw").alias("raw")).where(F.col("from") != F.col("to"))
@@ -162,22 +185,32 @@ def divergences(docs: DataFrame, files: DataFrame, edges: DataFrame) -> DataFram
     return missing_files(said, files).unionByName(undeclared_domains(files, mapped)).unionByName(forbidden_edges(edges, forbidden_rules(docs))).unionByName(hot)
 
 
+def summary_rows(docs: DataFrame, mapped: int = 20) -> DataFrame:
+    """pos, text: the lines that a prompt is told of the documents: by category, 200 characters of each first section, the first mappings."""
+    first = sections(docs).groupBy("path").agg(F.min_by("body", "pos").alias("body"))
+    own = docs.select("path", "category").join(titles(docs), "path").join(first, "path", "left")
+    excerpt = F.trim(F.translate(F.left(F.coalesce("body", F.lit("")), F.lit(200)), "\n", " "))
+    more = F.when(excerpt != "", F.concat(F.lit("\n  "), excerpt, F.when(F.length("body") > 200, "...").otherwise(""))).otherwise("")
+    line = F.concat(F.lit("- **"), "title", F.lit("** (`"), "path", F.lit("`)"), more)
+    each = own.groupBy("category").agg(F.min("path").alias("first"), F.array_sort(F.collect_list(F.struct("path", line.alias("line")))).alias("rows"))
+    text = F.concat(F.lit("### "), "category", F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
+    kinds = each.select(F.lit(1).alias("part"), F.col("first").alias("pos"), text.alias("text"))
+    head = style(docs).select(F.lit(0).alias("part"), F.lit("").alias("pos"), F.concat(F.lit("## Project governance ("), "style", F.lit(")\n"), F.col("documents").cast("string"), F.lit(" governance documents detected.\n")).alias("text"))
+    said = mappings(docs).orderBy("doc", "pattern").limit(mapped).select(F.concat(F.lit("- `"), "pattern", F.lit("` → governed by `"), "doc", F.lit("`")).alias("line"))
+    listed = said.agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    return head.unionByName(kinds).unionByName(listed.select(F.lit(2).alias("part"), F.lit("").alias("pos"), F.concat(F.lit("### Domain mappings\n"), "lines").alias("text")))
+
+
+def summary(docs: DataFrame, chars: int = 4_000) -> DataFrame:
+    """text: the summary of the documents for a prompt, one row, cut."""
+    whole = summary_rows(docs).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "pos", "text"))), lambda r: r["text"]), "\n").alias("text"))
+    return whole.select(F.left("text", F.lit(chars)).alias("text"))
+
+
 def summary_text(docs: DataFrame, chars: int = 4_000) -> str:
-    """What a prompt is told of the documents: by category, 200 characters of each first section, 20 mappings. Documents are few and read on the driver."""
-    first = {r["path"]: r["body"] for r in sections(docs).groupBy("path").agg(F.min_by("body", "pos").alias("body")).collect()}
-    named = {r["path"]: r["title"] for r in titles(docs).collect()}
-    own = style(docs).first()
-    out = [f"## Project governance ({own['style']})", f"{own['documents']} governance documents detected.", ""]
-    listed: dict[str, list[str]] = {}
-    for r in docs.select("path", "category").orderBy("path").collect():
-        listed.setdefault(r["category"], []).append(r["path"])
-    for kind, group in listed.items():
-        out.append(f"### {kind}")
-        for path in group:
-            out.append(f"- **{named[path]}** (`{path}`)")
-            if excerpt := first.get(path, "")[:200].replace("\n", " ").strip():
-                out.append(f"  {excerpt}" + "..." * (len(first[path]) > 200))
-        out.append("")
-    mapped = mappings(docs).limit(20).collect()
-    out += ["### Domain mappings", *(f"- `{r['pattern']}` → governed by `{r['doc']}`" for r in mapped)] if mapped else []
-    return "\n".join(out)[:chars]
+    return summary(docs, chars).first()["text"]
+
+
+def severity_counts(found: DataFrame) -> DataFrame:
+    """severity, n of divergences: what a run reports of them."""
+    return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))

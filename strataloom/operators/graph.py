@@ -113,14 +113,55 @@ def trimmed(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (the least node of it): strongly connected components of two nodes or more, and self-loops.
 
-    Two nodes are in one component if each reaches the other; only edges that survive trimming are followed.
+    Colouring: after trimming, each node takes the least node that reaches it as its colour, passed along edges until none
+    changes; what the colour's own node is reached from, within the colour, is one component. Components found and edges
+    between colours go, the rest is trimmed and coloured again. A round keeps one row for each node and one for each edge;
+    no closure is made.
     """
-    core = trimmed(edges)
-    pairs = closure(core)
-    loops = core.where("src = dst").select(F.col("src").alias("start"), F.col("dst").alias("node"))
-    forward = pairs.select("start", "node").where("start != node")
-    mutual = forward.join(forward.select(F.col("node").alias("start"), F.col("start").alias("node")), ["start", "node"]).unionByName(loops)
-    return mutual.groupBy(F.col("start").alias("node")).agg(F.least(F.min("node"), F.first("start")).alias("component"))
+    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    rest, found = trimmed(edges.where("src != dst")), []
+    while rest.limit(1).count():
+        colours = least_reaching(rest)
+        a, b = colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), colours.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
+        inside = saved(rest.join(a, "src").join(b, "dst").where("a = b").select("src", "dst", F.col("a").alias("colour")), "inside")
+        roots = colours.where("node = colour").select(F.col("node").alias("start"))
+        back = reach_within(roots, inside)
+        own = saved(back.join(back.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "component").select("node", "component"), "component")
+        found.append(own)
+        gone = back.select("node")
+        left = inside.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
+        rest = trimmed(left.select("src", "dst"))
+    for own in found:
+        loops = loops.unionByName(own)
+    return loops.groupBy("node").agg(F.min("component").alias("component"))
+
+
+def least_reaching(edges: DataFrame) -> DataFrame:
+    """node, colour: the least node from which a node can be reached, itself included."""
+    colours = saved(nodes(edges).withColumn("colour", F.col("node")), "colours")
+    while True:
+        passed = edges.join(colours.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("passed"))
+        now = F.least("colour", "passed")
+        colours = saved(colours.select("node", "colour").join(passed, "node", "left").select("node", now.alias("colour"), (now < F.col("colour")).alias("moved")), "colours")
+        if not colours.where("moved").limit(1).count():
+            return colours.select("node", "colour")
+
+
+def reach_within(roots: DataFrame, inside: DataFrame) -> DataFrame:
+    """node, component: what reaches each root along edges (src, dst, colour) of its own colour, the root included; a node has one colour, so one row."""
+    known = [roots.select(F.col("start").alias("node"), F.col("start").alias("component"))]
+    frontier = known[0]
+    while True:
+        step = inside.join(frontier.select(F.col("node").alias("dst"), "component"), "dst").where("colour = component").select(F.col("src").alias("node"), "component").distinct()
+        for own in known:
+            step = step.join(own, "node", "left_anti")
+        frontier = saved(step, "frontier")
+        if not frontier.limit(1).count():
+            out = known[0]
+            for own in known[1:]:
+                out = out.unionByName(own)
+            return saved(out, "reached")
+        known = [saved(known[0].unionByName(known[1]), "reached"), frontier] if len(known) > 1 else [*known, frontier]
 
 
 def ego(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -136,6 +177,20 @@ def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
     return edges.join(kept.select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+def visible(nodes: DataFrame, edges: DataFrame, least: float = 0.0, hidden: tuple[str, ...] = (), focus: str | None = None, depth: int = 1) -> DataFrame:
+    """src, dst between the visible of nodes (node, domain, score).
+
+    Without a focus those from a score on, outside hidden domains. With one its neighbours up to a depth either way, whatever
+    their score, but for those in hidden domains; the focus itself always stays.
+    """
+    shown = ~F.col("domain").isin(*hidden) if hidden else F.lit(True)
+    if focus is None:
+        return induced(edges, nodes.where((F.col("score") >= least) & shown))
+    start = nodes.where(F.col("node") == focus).select(F.col("node").alias("start"))
+    near = ego(edges, start, depth).select("node").distinct()
+    return induced(edges, near.join(nodes.where(shown | (F.col("node") == focus)), "node", "left_semi"))
+
+
 def edge_directions(edges: DataFrame, hops: DataFrame, cyclic: DataFrame) -> DataFrame:
     """src, dst, direction (up, down, neutral), in_cycle (both ends are in some cycle) of the edges between nodes with hops."""
     a, b = hops.select(F.col("node").alias("src"), F.col("hop").alias("a")), hops.select(F.col("node").alias("dst"), F.col("hop").alias("b"))

@@ -19,26 +19,30 @@ def recent(commits: DataFrame, keep: int = TOP) -> DataFrame:
     return commits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
-def cochanged(commits: DataFrame, keep: int | None = TOP, most_files: int | None = None) -> DataFrame:
-    """file, other, n, rank: files that share commits with a file, the most common first, ties by name.
+def pair_counts(commits: DataFrame, most_files: int | None = None) -> DataFrame:
+    """file, other, n: how many commits touch both, for each ordered pair.
 
-    Pairs come from a self-join on the commit, so a commit of k files makes k * k pairs. most_files (off by default) leaves
-    out commits that touch more files than that, as bulk renames do.
+    A self-join on the commit makes each unordered pair once, so a commit of k files makes k (k - 1) / 2 rows; they are summed
+    before they are mirrored. most_files (off by default) leaves out commits of more files than that, as bulk renames are.
     """
     own = commits.select("file", "commit").distinct()
     if most_files is not None:
         own = own.join(own.groupBy("commit").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most_files), "commit").drop("k")
-    pairs = own.join(own.select("commit", F.col("file").alias("other")), "commit").where(F.col("file") != F.col("other"))
+    pairs = own.join(own.select("commit", F.col("file").alias("other")), "commit").where(F.col("file") < F.col("other"))
     counted = pairs.groupBy("file", "other").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "other")))
+    both = F.explode(F.array(F.struct("file", "other"), F.struct(F.col("other").alias("file"), F.col("file").alias("other"))))
+    return counted.select(both.alias("p"), "n").select("p.file", "p.other", "n")
+
+
+def cochanged(commits: DataFrame, keep: int | None = TOP, most_files: int | None = None) -> DataFrame:
+    """file, other, n, rank: files that share commits with a file, the most common first, ties by name."""
+    ranked = pair_counts(commits, most_files).withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "other")))
     return ranked if keep is None else ranked.where(F.col("rank") <= keep)
 
 
 def max_cochange(commits: DataFrame) -> DataFrame:
     """file, max_cochange."""
-    own = commits.select("file", "commit").distinct()
-    pairs = own.join(own.select("commit", F.col("file").alias("other")), "commit").where(F.col("file") != F.col("other"))
-    return pairs.groupBy("file", "other").agg(F.count(F.lit(1)).alias("n")).groupBy("file").agg(F.max("n").alias("max_cochange"))
+    return pair_counts(commits).groupBy("file").agg(F.max("n").alias("max_cochange"))
 
 
 def git_signals(commits: DataFrame) -> DataFrame:

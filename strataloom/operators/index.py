@@ -42,6 +42,17 @@ def of_domain(index: DataFrame, name: str) -> DataFrame:
     return ranked(index.where(F.col("domain") == name))
 
 
+def domain_summary(index: DataFrame, name: str) -> DataFrame:
+    """domain, files, average (to two decimals) of one domain."""
+    own = index.where(F.col("domain") == name)
+    return own.agg(F.lit(name).alias("domain"), F.count(F.lit(1)).alias("files"), F.round(F.sum("score") / F.count(F.lit(1)), 2).alias("average"))
+
+
+def totals(index: DataFrame) -> DataFrame:
+    """total_files, stale_files, average (to two decimals; null of an empty index)."""
+    return index.agg(F.count(F.lit(1)).alias("total_files"), F.count_if("stale").alias("stale_files"), F.round(F.sum("score") / F.count(F.lit(1)), 2).alias("average"))
+
+
 def domains(index: DataFrame) -> DataFrame:
     """domain, files, score_sum, score_max, rank (by average score); averages are left as sum and count, which are exact."""
     own = index.groupBy("domain").agg(F.count(F.lit(1)).alias("files"), F.sum("score").alias("score_sum"), F.max("score").alias("score_max"))

@@ -170,6 +170,12 @@ def differences(old: DataFrame, new: DataFrame) -> DataFrame:
     return out.where(changed | (F.abs("score_delta") >= 0.01))
 
 
+def diff_texts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """file_path, text: the report of each note that changed."""
+    fields = {f: (F.col(f)["added"], F.col(f)["removed"]) for f in rules.NOTE_FIELDS}
+    return differences(old, new).select("file_path", text.diff_report(F.col("file_path"), F.col("score_delta"), fields).alias("text"))
+
+
 def search_documents(notes: DataFrame) -> DataFrame:
     """id, a text for each field, and all evidence: what the index is built on."""
     fields = [F.array_join(all_items(F.col(f)), " ").alias(f) for f in rules.NOTE_FIELDS]
@@ -193,3 +199,16 @@ def markdown(notes: DataFrame) -> DataFrame:
     log = F.array_join(F.transform("recent_changes", lambda c: F.concat(_s("- "), F.date_format(c["date"], "yyyy-MM-dd"), _s(" `"), F.left(c["hash"].cast("string"), _s(7)), _s("` "), c["message"], _s(" ("), c["author"], _s(")"))), "\n")
     head = F.concat(_s("# "), "file_path", _s("\n\nscore "), F.col("criticality_score").cast("string"), _s(", model "), "model")
     return notes.select("file_path", F.concat_ws("\n\n", head, *map(section, rules.NOTE_FIELDS), F.when(F.size("recent_changes") > 0, F.concat(_s("## Changes\n\n"), log))).alias("text"))
+
+
+def pretty(own: DataFrame) -> DataFrame:
+    """file_path, text: each note as indented JSON."""
+    return own.select("file_path", F.to_json(F.struct(*own.columns), {"pretty": "true"}).alias("text"))
+
+
+def write_files(own: DataFrame, folder: str) -> None:
+    """A pretty JSON file for each note, in a folder of its own that its path names; a path that leads out of the repository is an error."""
+    outside = own.where(F.col("file_path").rlike(r"(^|/)\.\.(/|$)") | F.startswith("file_path", F.lit("/"))).select("file_path").limit(1).collect()
+    if outside:
+        raise ValueError(f"{outside[0][0]!r} leads out of {folder!r}")
+    pretty(own).select(F.col("file_path").alias("name"), F.col("text").alias("value")).write.mode("overwrite").partitionBy("name").text(folder)

@@ -1,7 +1,7 @@
 """Facts of source files by language: imports, exports with signatures, hooks, environment variables, calls, comments.
 
-A parser is a function (text) -> dict, registered by suffix and run in Arrow batches; what one raises leaves an empty row with
-the error. TypeScript goes through a small scanner that blanks comments and strings of the same length, so declarations are
+A parser is a function (text, options) -> dict, registered by suffix and run in Arrow batches; what one raises leaves an empty
+row with the error. Options carry the settings' own call patterns and packages, and the Go module that a file lies in. TypeScript goes through a small scanner that blanks comments and strings of the same length, so declarations are
 found by pattern at brace depth 0 and read back from the original text. Types that are not written are not inferred.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +25,18 @@ FACTS = (
     "comments struct<todo:array<string>,fixme:array<string>,hack:array<string>,invariant:array<string>,decision:array<string>>, "
     "has_side_effects boolean, signatures array<string>, error string"
 )
-PARSERS: dict[str, Callable[[str], dict]] = {}
+
+
+@dataclass(frozen=True)
+class Options:
+    """call_patterns and packages count beside the fixed ones; a pattern that does not compile is left out."""
+
+    call_patterns: tuple[str, ...] = ()
+    packages: tuple[str, ...] = ()
+    module: str | None = None
+
+
+PARSERS: dict[str, Callable[[str, Options], dict]] = {}
 
 
 def parser(*suffixes: str):
@@ -50,7 +62,18 @@ def groups(pattern: str, text: str, flags: int = re.MULTILINE) -> list[str]:
 
 
 def called(text: str, more: tuple[str, ...] = ()) -> list[str]:
-    return once(groups("|".join(f"(?:{p})" for p in (*rules.API_CALLS, *more)), text))
+    return once(groups("|".join(f"(?:{p})" for p in (*rules.API_CALLS, *usable(more))), text))
+
+
+def usable(patterns: tuple[str, ...]) -> tuple[str, ...]:
+    out = []
+    for p in patterns:
+        try:
+            re.compile(p)
+        except re.error:
+            continue
+        out.append(p)
+    return tuple(out)
 
 
 def side_effects(imports: list[str], more: tuple[str, ...] = ()) -> bool:
@@ -75,7 +98,7 @@ def tagged(text: str, marker: str) -> dict:
 
 
 @parser(".py")
-def python(text: str) -> dict:
+def python(text: str, options: Options = Options()) -> dict:
     imports = once(groups(r"^import\s+([\w.]+)|^from\s+(\.*[\w.]*)\s+import\b", text))
     local = [i for i in imports if i.startswith(".")]
     external = [i for i in imports if not i.startswith(".")]
@@ -97,8 +120,8 @@ def python(text: str) -> dict:
     requests = groups(r"(?:requests|httpx|aiohttp)\s*\.\s*(?:get|post|put|delete|patch)\s*\(\s*['\"`]([^'\"`]+)['\"`]", text)
     return empty() | {
         "imports": imports, "local_imports": local, "external_imports": external, "exports": exports, "export_details": details,
-        "symbols": once(groups(r"^(?:async\s+def|def|class)\s+(\w+)", text)), "env_vars": environment, "api_calls": once([*requests, *called(text)]), "comments": tagged(text, "#"),
-        "has_side_effects": side_effects(external) or bool(re.search(r"\b(sentry|datadog|mixpanel|firebase|analytics)\b", text, re.IGNORECASE)), "signatures": [d["signature"] for d in details],
+        "symbols": once(groups(r"^(?:async\s+def|def|class)\s+(\w+)", text)), "env_vars": environment, "api_calls": once([*requests, *called(text, options.call_patterns)]), "comments": tagged(text, "#"),
+        "has_side_effects": side_effects(external, options.packages) or bool(re.search(r"\b(sentry|datadog|mixpanel|firebase|analytics)\b", text, re.IGNORECASE)), "signatures": [d["signature"] for d in details],
     }
 
 
@@ -109,7 +132,8 @@ def _docstring(rows: list[str]) -> str | None:
 
 
 @parser(".go")
-def go(text: str, module: str | None = None) -> dict:
+def go(text: str, options: Options = Options()) -> dict:
+    module = options.module
     block = re.search(r"^import\s*\(([^)]*)\)", text, re.MULTILINE)
     imports = once([*groups(r'^import\s+(?:[\w.]+\s+)?"([^"]+)"', text), *(re.findall(r'"([^"]+)"', block[1]) if block else [])])
     local = [i for i in imports if i.startswith(".") or module and (i == module or i.startswith(module + "/"))]
@@ -135,7 +159,7 @@ def go(text: str, module: str | None = None) -> dict:
     return empty() | {
         "imports": imports, "local_imports": local, "external_imports": external, "exports": exports, "export_details": listed, "symbols": once(groups(r"^(?:func\s+(?:\([^)]*\)\s*)?|type\s+)(\w+)", text)),
         "env_vars": once(groups(r'os\.(?:Getenv|LookupEnv)\(\s*"([A-Z_][A-Z0-9_]*)"', text)), "api_calls": once(groups(r'http\.(?:Get|Post|Head|PostForm|NewRequest)\(\s*(?:"[A-Z]+"\s*,\s*)?"([^"]+)"', text)),
-        "comments": tagged(text, "//"), "has_side_effects": side_effects(external), "signatures": [d["signature"] for d in listed],
+        "comments": tagged(text, "//"), "has_side_effects": side_effects(external, options.packages), "signatures": [d["signature"] for d in listed],
     }
 
 
@@ -171,10 +195,10 @@ def _closing(code: str, at: int) -> int:
 
 
 def _result(code: str, text: str, at: int) -> str:
-    m = re.match(r"\s*:\s*", code[at:])
+    m = _COLON.match(code, at)
     if not m:
         return ""
-    begin = k = at + m.end()
+    begin = k = m.end()
     depth = 0
     while k < len(code) and (depth or code[k] not in "{;\n=" or k == begin):
         depth += (code[k] in "{([<") - (code[k] in "})]>")
@@ -182,6 +206,70 @@ def _result(code: str, text: str, at: int) -> str:
     return " ".join(text[begin:k].split())
 
 
+_COLON = re.compile(r"\s*:\s*")
+_CALL = re.compile(r"\s*(?:<[^>]*>)?\s*\(")
+_ARROW = re.compile(r"\s*(?::[^=]+)?=\s*(async\s+)?(?:function\b\s*\w*\s*)?(?:<[^>]*>)?\(")
+_BODY = re.compile(r"\s*(?::[^=;]+)?(?:=>|\{)")
+_OBJECT = re.compile(r"\s*(?::[^=]+)?=\s*\{")
+_ALIAS = re.compile(r"\s*(?:<[^>]*>)?\s*=\s*")
+_HEAD = re.compile(r"[^{]*")
+_EXPORT_DEFAULT = re.compile(r"\s*export\s+default")
+_METHOD = re.compile(r"[ \t]*((?:(?:public|protected|private|static|async|override|abstract)\s+)*)(?!constructor\b|get\s|set\s|if\b|for\b|while\b|switch\b|return\b)([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\(")
+_PROPERTY = re.compile(r"\s*(?:readonly\s+)?([A-Za-z_$][\w$]*)(\?)?\s*:\s*")
+_MEMBER = re.compile(r"\s*([A-Za-z_$][\w$]*|['\"][^'\"]*['\"])")
+
+
+def _alias_end(code: str, at: int) -> int:
+    """Where a type's expression ends: at a semicolon, an empty line or a line that begins anew, outside all brackets."""
+    depth, k = 0, at
+    while k < len(code):
+        c = code[k]
+        depth += (c in "{([") - (c in "})]")
+        if depth <= 0 and (c == ";" or c == "\n" and re.compile(r"[^\S\n]*\n|[^\s|&]").match(code, k + 1)):
+            return k
+        k += 1
+    return k
+
+
+def _members(code: str, begin: int, close: int, marks: str) -> list[int]:
+    """Where the members of a body begin: after its bracket and after each of marks (or a closing brace) outside inner brackets."""
+    out, depth, fresh = [], 0, True
+    for k in range(begin + 1, close):
+        c = code[k]
+        if fresh and not c.isspace():
+            out.append(k)
+            fresh = False
+        depth += (c in "{([") - (c in "})]")
+        if not depth and (c in marks or c == "}"):
+            fresh = True
+    return out
+
+
+def _shapes(code: str, text: str, kind: str, name: str, end: int) -> str | None:
+    """A class with its first five methods that are not private, an interface with its first six properties, an enum with its members."""
+    begin = code.find("{", end)
+    if begin < 0:
+        return None
+    close = _closing(code, begin)
+    own = []
+    if kind == "class":
+        for at in _members(code, begin, close, ";\n"):
+            m = _METHOD.match(code, at)
+            if m and "private" not in m[1]:
+                to = _closing(code, m.end() - 1)
+                result = _result(code, text, to + 1)
+                own.append(f"{m[2]}({' '.join(text[m.end() : to].split())})" + (f": {result}" if result else ""))
+        return f"class {name} {{ {'; '.join(own[:5])} }}"
+    if kind == "interface":
+        starts = _members(code, begin, close, ";,\n")
+        for at, to in zip(starts, [*starts[1:], close], strict=True):
+            if m := _PROPERTY.match(code, at):
+                own.append(f"{m[1]}{m[2] or ''}: {' '.join(text[m.end() : to].split()).rstrip(';,').strip() or 'unknown'}")
+        return f"interface {name} {{ {'; '.join(own[:6])}{'; ...' if len(own) > 6 else ''} }}"
+    own = [m[1] for at in _members(code, begin, close, ",") if (m := _MEMBER.match(text, at))]
+    return f"enum {name} {{ {', '.join(own)} }}"
+
+
 def _short(s: str, n: int) -> str:
     return s if len(s) <= n else s[:n] + "..."
 
@@ -192,12 +280,17 @@ def _jsdoc(text: str, at: int) -> str | None:
     return next((x for x in said if x and not x.startswith("@")), None)
 
 
+#: The order in which the signatures of a file are listed.
+_LISTED = {"function": 0, "const": 1, "class": 2, "interface": 3, "type": 4, "enum": 5}
+
+
 @parser(".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs")
-def typescript(text: str) -> dict:
+def typescript(text: str, options: Options = Options()) -> dict:
     code = blanked(text)
     depth = _depths(code)
     top = lambda pattern: [m for m in re.finditer(pattern, code, re.MULTILINE) if depth[m.start() + len(m[0]) - len(m[0].lstrip())] == 0]
-    quoted = lambda at: text[at + 1 : at + 1 + (re.search(r"[\"'`]", code[at + 1 :]) or re.match("", "")).start()]
+    closing_quote = re.compile(r"[\"'`]")
+    quoted = lambda at: text[at + 1 : m.start()] if (m := closing_quote.search(code, at + 1)) else ""
     imports = [quoted(m.end() - 1) for m in top(r"^[ \t]*import\b(?!\s*\()[^\"'`;()]*[\"']")]
     imports += [quoted(m.end() - 1) for m in re.finditer(r"\bimport\s*\(\s*[\"'`]", code)]
     local = [i for i in imports if i.startswith((".", "@/", "~/"))]
@@ -205,36 +298,39 @@ def typescript(text: str) -> dict:
     declared, symbols, signatures, named_hooks = [], [], [], []
     for m in top(r"^[ \t]*(export\s+)?(default\s+)?(?:declare\s+)?(abstract\s+)?(async\s+)?(function\*?|class|interface|type|enum|const|let|var)\s+([A-Za-z_$][\w$]*)"):
         exported, kind, name, end = bool(m[1]), m[5].rstrip("*"), m[6], m.end()
-        after = code[end:]
-        said, what = None, kind
-        if kind == "function" and (p := re.match(r"\s*(?:<[^>]*>)?\s*\(", after)):
-            close = _closing(code, end + p.end() - 1)
-            parameters = " ".join(text[end + p.end() : close].split())
-            result = _short(_result(code, text, close + 1), 50)
-            said = f"{'async ' if m[4] else ''}{name}({parameters})" + (f": {result}" if result else "")
+        said, what, listed = None, kind, None
+        if kind == "function" and (p := _CALL.match(code, end)):
+            close = _closing(code, p.end() - 1)
+            parameters = " ".join(text[p.end() : close].split())
+            result = _result(code, text, close + 1)
+            said = f"{'async ' if m[4] else ''}{name}({parameters})" + (f": {_short(result, 50)}" if result else "")
+            listed = f"{name}({parameters})" + (f": {result}" if result else "")
         elif kind in ("const", "let", "var"):
-            arrow = re.match(r"\s*(?::[^=]+)?=\s*(async\s+)?(?:function\b\s*\w*\s*)?(?:<[^>]*>)?\(", after)
+            arrow = _ARROW.match(code, end)
             if arrow:
-                close = _closing(code, end + arrow.end() - 1)
-                result = _short(_result(code, text, close + 1), 50)
-                if re.match(r"\s*(?::[^=;]+)?(?:=>|\{)", code[close + 1 :]):
-                    said, what = f"{'async ' if arrow[1] else ''}{name}({' '.join(text[end + arrow.end() : close].split())})" + (f": {result}" if result else ""), "const"
-            if arrow and said or re.match(r"\s*(?::[^=]+)?=\s*\{", after):
+                close = _closing(code, arrow.end() - 1)
+                result = _result(code, text, close + 1)
+                if body := _BODY.match(code, close + 1):
+                    parameters = " ".join(text[arrow.end() : close].split())
+                    said, what = f"{'async ' if arrow[1] else ''}{name}({parameters})" + (f": {_short(result, 50)}" if result else ""), "const"
+                    listed = f"{name}({parameters})" + (f": {result}" if result else "") if body[0].endswith("=>") else None
+            if arrow and said or _OBJECT.match(code, end):
                 symbols.append(name)
-        elif kind == "type" and (eq := re.match(r"\s*(?:<[^>]*>)?\s*=\s*", after)):
-            stop = re.search(r";|\n\s*\n|\n(?=\S)|\Z", after[eq.end() :]).start() + eq.end()
-            said = f"type {name} = {_short(' '.join(text[end + eq.end() : end + stop].split()), 60)}"
+        elif kind == "type" and (eq := _ALIAS.match(code, end)):
+            whole = " ".join(text[eq.end() : _alias_end(code, eq.end())].split())
+            said, listed = f"type {name} = {_short(whole, 60)}", f"type {name} = {_short(whole, 120)}"
         elif kind in ("class", "interface", "enum"):
-            head = re.match(r"[^{]*", after)[0].strip()
+            head = _HEAD.match(code, end)[0].strip()
             said = f"{kind} {name}" + (f" {' '.join(head.split())}" if head else "")
+            listed = _shapes(code, text, kind, name, end)
         if kind in ("function", "class", "enum"):
             symbols.append(name)
         if re.match(r"use[A-Z]", name) and kind in ("function", "const", "let", "var"):
             named_hooks.append(name)
-        if said:
-            signatures.append(said)
+        if listed:
+            signatures.append((_LISTED["const" if kind in ("let", "var") else kind], m.start(), listed))
         declared.append((name, exported, said, what if kind not in ("let", "var") else "const", m.start()))
-    exports = [("default" if re.match(r"\s*export\s+default", code[at:]) else n) for n, e, _, _, at in declared if e]
+    exports = [("default" if _EXPORT_DEFAULT.match(code, at) else n) for n, e, _, _, at in declared if e]
     for m in top(r"^[ \t]*export\s*(?:type\s*)?\{([^}]*)\}"):
         exports += [x.split(" as ")[-1].strip() for x in m[1].split(",") if x.strip()]
     if top(r"^[ \t]*export\s+default\b(?!\s+(?:async\s+)?(?:function|class)\b)"):
@@ -243,37 +339,59 @@ def typescript(text: str) -> dict:
     for name, exported, said, what, at in declared:
         if exported and said and name not in seen:
             seen.add(name)
-            begin = at + len(code[at:]) - len(code[at:].lstrip())
-            details.append({"name": name, "signature": said, "kind": what, "doc_comment": _jsdoc(text, begin)})
+            while code[at].isspace():
+                at += 1
+            details.append({"name": name, "signature": said, "kind": what, "doc_comment": _jsdoc(text, at)})
     comments = tagged(text, "//")
     return empty() | {
         "imports": imports, "local_imports": local, "external_imports": external, "exports": once(exports), "export_details": details, "symbols": once(symbols), "hooks": once(named_hooks),
-        "env_vars": once(groups(r"process\.env\.([A-Z_][A-Z0-9_]*)", text)), "api_calls": called(text), "comments": comments, "has_side_effects": side_effects(external) or bool(comments["hack"]), "signatures": once(signatures),
+        "env_vars": once(groups(r"process\.env\.([A-Z_][A-Z0-9_]*)", text)), "api_calls": called(text, options.call_patterns), "comments": comments,
+        "has_side_effects": side_effects(external, options.packages) or bool(comments["hack"]), "signatures": once(x for *_, x in sorted(signatures)),
     }
 
 
-def parse(path: str, text: str) -> dict:
+def parse(path: str, text: str, options: Options = Options()) -> dict:
     """The facts of a file by its suffix; empty for other suffixes and where the parser fails."""
     own = PARSERS.get("." + path.rpartition(".")[2])
     if own is None:
         return empty()
     try:
-        return own(text or "")
+        return own(text or "", options)
     except Exception as error:
         return empty() | {"error": f"{type(error).__name__}: {error}"}
 
 
-def analyses(files: DataFrame) -> DataFrame:
-    """path and FACTS of every file (path, content)."""
+def analyses(files: DataFrame, options: Options = Options(), modules: DataFrame | None = None) -> DataFrame:
+    """path and FACTS of every file (path, content). modules (dir, module): Go files are parsed with the module of the nearest directory above."""
+    own = files.select("path", F.col("content").cast("string").alias("content"))
+    own = own.withColumn("module", F.lit(None).cast("string")) if modules is None else own.join(with_go_modules(own, modules), "path", "left")
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame([{"path": p} | parse(p, t) for p, t in zip(batch["path"], batch["content"], strict=True)])
+            rows = zip(batch["path"], batch["content"], batch["module"], strict=True)
+            yield pd.DataFrame([{"path": p} | parse(p, t, replace(options, module=m or options.module)) for p, t, m in rows])
+
+    return own.select("path", "content", "module").mapInPandas(run, f"path string, {FACTS}")
+
 
-    return files.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, f"path string, {FACTS}")
+def skeleton(path: str, text: str, whole_lines: int = 200, import_lines: int = 20) -> str:
+    """A short form of a long file: its first import lines, its exported declarations with what is said above them, its tagged comments."""
+    rows = (text or "").split("\n")
+    if len(rows) <= whole_lines:
+        return text or ""
+    facts = parse(path, text)
+    head = [r for r in rows if re.match(r"\s*(import|from)\b", r)][:import_lines]
+    said = [f"// {d['doc_comment']}\n{d['signature']}" if d["doc_comment"] else d["signature"] for d in facts["export_details"]]
+    return "\n".join([*head, *said, *(f"// {tag.upper()}: {x}" for tag, own in facts["comments"].items() for x in own)])
 
 
 def with_go_modules(files: DataFrame, modules: DataFrame) -> DataFrame:
     """path, module: the Go module of the nearest directory above that has one (modules: dir, module)."""
     own = files.select("path", F.explode(F.concat(ancestors(paths.dirname(F.col("path"))), F.array(F.lit(".")))).alias("dir"))
     return own.join(modules, "dir").groupBy("path").agg(F.max_by("module", F.when(F.col("dir") == ".", 0).otherwise(F.length("dir"))).alias("module"))
+
+
+def go_modules(files: DataFrame) -> DataFrame:
+    """dir, module of every go.mod among files (path, content)."""
+    own = files.where(paths.basename(F.col("path")) == "go.mod")
+    return own.select(paths.dirname(F.col("path")).alias("dir"), F.regexp_extract(F.col("content").cast("string"), r"(?m)^module\s+(\S+)", 1).alias("module")).where("module != ''")

@@ -45,6 +45,25 @@ def resolved(imports: DataFrame, files: DataFrame, aliases: dict[str, list[str]]
     return own.select(columns).unionByName(packages.select(columns)).withColumn("best", best).where("best = 1").select("file", "pos", "specifier", F.col("path").alias("target"))
 
 
+HOVER_TAILS = ("", ".ts", ".tsx", "/index.ts")
+
+
+def hover(index: DataFrame, file: str, specifier: str) -> DataFrame:
+    """path, score, purpose, stale of the first file that a relative import can mean and that has an entry; no row for other imports."""
+    base = paths.normalised(F.concat_ws("/", paths.dirname(F.lit(file)), F.lit(specifier)))
+    names = F.array(*(F.concat(base, F.lit(t)) for t in HOVER_TAILS))
+    own = index.withColumn("at", F.array_position(names, F.col("path"))).where((F.col("at") > 0) & F.lit(specifier.startswith(".")))
+    return own.orderBy("at").limit(1).select("path", "score", "purpose", "stale")
+
+
+def hovers(imports: DataFrame, index: DataFrame) -> DataFrame:
+    """file, specifier, path, score: hover of all relative imports at once, an equi-join on the candidates."""
+    base = paths.normalised(F.concat_ws("/", paths.dirname(F.col("file")), F.col("specifier")))
+    each = F.posexplode(F.array(*(F.concat(base, F.lit(t)) for t in HOVER_TAILS))).alias("at", "path")
+    own = imports.where(F.startswith("specifier", F.lit("."))).select("file", "specifier", each).join(index.select("path", "score"), "path")
+    return own.groupBy("file", "specifier").agg(F.min(F.struct("at", "path", "score")).alias("first")).select("file", "specifier", "first.path", "first.score")
+
+
 def related_tests(files: DataFrame, tests: DataFrame) -> DataFrame:
     """path, test: tests named after a file, or in a __tests__ directory below its own with its name in theirs; each once.
 

@@ -21,19 +21,22 @@ def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def matching_terms(index: DataFrame, query: str, prefix: bool = True, fuzzy: float = FUZZY) -> DataFrame:
-    """term, weight: the index's terms that a query word is, begins, or nearly is, with the best weight."""
-    out = None
-    for word in sorted({w for w in query.lower().split() if w}):
-        distance = max(1, round(fuzzy * len(word))) if fuzzy else 0
-        edit = F.levenshtein("term", F.lit(word), distance)
-        near = (edit > 0) & (edit <= distance) if distance else F.lit(False)
-        by_prefix = F.col("term").startswith(word) if prefix else F.lit(False)
-        weight = F.when(F.col("term") == word, 1.0).when(by_prefix, PREFIX_WEIGHT * F.lit(len(word)) / F.length("term")).when(near, FUZZY_WEIGHT / (1 + edit))
-        own = index.select("term").distinct().withColumn("weight", weight.cast("double")).where("weight IS NOT NULL")
-        out = own if out is None else out.unionByName(own)
-    if out is None:
+    """term, weight: the index's terms that a query word is, begins, or nearly is, with the best weight; one pass over the terms for all words."""
+    words = sorted({w for w in query.lower().split() if w})
+    if not words:
         raise ValueError("the query is empty")
-    return out.groupBy("term").agg(F.max("weight").alias("weight"))
+    weights = []
+    for word in words:
+        distance = max(1, round(fuzzy * len(word))) if fuzzy else 0
+        weight = F.when(F.col("term") == word, 1.0)
+        if prefix:
+            weight = weight.when(F.col("term").startswith(word), PREFIX_WEIGHT * F.lit(len(word)) / F.length("term"))
+        if distance:
+            edit = F.levenshtein("term", F.lit(word), distance)
+            weight = weight.when((edit > 0) & (edit <= distance), FUZZY_WEIGHT / (1 + edit))
+        weights.append(weight.cast("double"))
+    best = F.greatest(*weights) if len(weights) > 1 else weights[0]
+    return index.select("term").distinct().withColumn("weight", best).where("weight IS NOT NULL")
 
 
 def search(index: DataFrame, query: str, limit: int | None = 20, prefix: bool = True, fuzzy: float = FUZZY) -> DataFrame:

@@ -2,7 +2,7 @@
 
 
 def all_queries():
-    from . import graph_queries, history_queries, source_queries, text_queries  # noqa: F401
+    from . import graph_queries, history_queries, more_queries, source_queries, text_queries  # noqa: F401
     from .catalog import QUERIES
 
     return dict(QUERIES)

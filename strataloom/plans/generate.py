@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths, scoring
+from ..functions import paths, rules, scoring
 from ..functions.storage import saved
-from ..operators import governance, graph, history, incremental, index, notes, parsers, resolve, search
+from ..operators import governance, graph, history, incremental, index, notes, parsers, prompts, resolve, search, synthesis
 from ..sources import coverage, documents, files, git_log
-from ..sources.config import Config
+from ..sources.config import Config, merged_aliases
 
 COMMITS = "file string, commit string, at timestamp, author string, message string, status string"
 
@@ -21,6 +22,8 @@ class Run:
     """The tables of a run; all are lazy plans over saved inputs."""
 
     files: DataFrame
+    documents: DataFrame
+    signals: DataFrame
     analyses: DataFrame
     edges: DataFrame
     notes: DataFrame
@@ -32,29 +35,51 @@ class Run:
     fingerprints: DataFrame
 
 
-def dependency_edges(analyses: DataFrame, all_files: DataFrame, aliases: dict[str, list[str]] | None = None, go_module: str | None = None) -> DataFrame:
-    """src, dst of local imports that mean a file; an import written twice is two edges. A dotted Python module becomes a path."""
+def dependency_edges(analyses: DataFrame, all_files: DataFrame, aliases: dict[str, list[str]] | None = None, go_module: str | None = None, modules: DataFrame | None = None) -> DataFrame:
+    """src, dst of local imports that mean a file; an import written twice is two edges. A dotted Python module becomes a path.
+
+    modules (dir, module): an import of a Go file's own module means a path below the module's directory.
+    """
     own = analyses.select(F.col("path").alias("file"), F.posexplode("local_imports").alias("pos", "specifier"))
     dots = F.length(F.regexp_extract("specifier", r"^(\.+)", 1))
     python = F.concat(F.when(dots <= 1, "./").otherwise(F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0)))), F.translate(F.regexp_replace("specifier", r"^\.+", ""), ".", "/"))
     fixed = own.withColumn("specifier", F.when(F.col("file").endswith(".py") & F.col("specifier").startswith("."), python).otherwise(F.col("specifier")))
+    if modules is not None:
+        fixed = below_modules(fixed, modules)
     defaults = {"@/": ["src"], "~/": ["src"]}
     return resolve.resolved(fixed, all_files, aliases or {k.rstrip("/"): v for k, v in defaults.items()}, go_module).select(F.col("file").alias("src"), F.col("target").alias("dst"))
 
 
-def run(all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, aliases: dict[str, list[str]] | None = None, go_module: str | None = None) -> Run:
+def below_modules(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """imports (file, pos, specifier) with those of a Go file's own module made relative to the file."""
+    files = imports.where(F.col("file").endswith(".go")).select(F.col("file").alias("path")).distinct()
+    known = parsers.with_go_modules(files, modules).join(modules, "module").select(F.col("path").alias("file"), "module", "dir")
+    spec, up = F.col("specifier"), paths.dirname(F.col("file"))
+    inside = (spec == F.col("module")) | F.startswith(spec, F.concat("module", F.lit("/")))
+    below = F.concat_ws("/", F.when(F.col("dir") != ".", F.col("dir")), F.ltrim(F.expr("substring(specifier, length(module) + 1)"), F.lit("/")))
+    steps = F.when(up == ".", F.lit("./")).otherwise(F.repeat(F.lit("../"), F.size(F.split(up, "/"))))
+    return imports.join(known, "file", "left").select("file", "pos", F.when(inside, F.concat(steps, below)).otherwise(spec).alias("specifier"))
+
+
+def run(all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, aliases: dict[str, list[str]] | None = None, go_module: str | None = None, stored: tuple[DataFrame, DataFrame] | None = None) -> Run:
     """All tables of a repository from its files (path, extension, size, content, hash), history and coverage.
 
-    Analyses and edges are saved once, since every later table reads them; all else is joined by path in one plan.
+    stored (analyses, hashes of an earlier run): files whose hash is the same are not parsed again. Analyses and edges are saved once, since every later table reads them; all else is joined by path in one plan.
     """
     own = files.scanned(all_files, config.include, config.exclude)
-    analysed = saved(parsers.analyses(own), "analyses")
-    edges = saved(dependency_edges(analysed, all_files.select("path"), aliases, go_module), "edges")
+    options, modules = parsers.Options(config.api_call_patterns, config.side_effect_packages, go_module), parsers.go_modules(all_files)
+    analysed = saved(reused(own, all_files, options, modules, *stored) if stored else parsers.analyses(own, options, modules), "analyses")
+    edges = saved(dependency_edges(analysed, all_files.select("path"), aliases, go_module, modules), "edges")
+    return assembled(own, all_files, analysed, edges, commits, covered, config, now)
+
+
+def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column) -> Run:
+    """The tables of a run from saved analyses and edges."""
     docs = saved(documents.governance_docs(all_files), "docs")
     found = saved(governance.divergences(docs, own.select("path"), edges), "divergences")
     signals = saved(
         notes.signals(
-            analysed, edges, resolve.related_tests(own, all_files), covered, history.git_signals(commits), graph.strong_components(edges), found, governance.file_governance(docs)
+            analysed, edges, resolve.related_tests(own, all_files), covered, history.git_signals(commits), graph.strong_components(edges), found, governance.governed(own.select("path"), governance.file_governance(docs), governance.mappings(docs))
         ), "signals",
     )
     made = saved(notes.assembled(notes.items(signals, config.language), signals, now), "notes")
@@ -62,16 +87,61 @@ def run(all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Co
     entries = index.entries(flat, graph.reverse(edges, own.select(F.col("path").alias("node"))), now, config.stale_days)
     hashes = all_files.select("path", "hash")
     texts = notes.search_documents(made)
-    return Run(own, analysed, edges, made, entries, index.graph_nodes(own.select("path"), entries), found, search.postings(texts, "id", texts.columns[1:]), hashes, incremental.fingerprints(edges, hashes))
+    return Run(own, docs, signals, analysed, edges, made, entries, index.graph_nodes(own.select("path"), entries), found, search.postings(texts, "id", texts.columns[1:]), hashes, incremental.fingerprints(edges, hashes))
 
 
 def run_repository(spark: SparkSession, config: Config, now: Column, **more) -> Run:
     """run over a checked-out repository."""
     everything = ("**/*",)
     all_files = saved(files.scan_repository(spark, config.root, everything, ("**/.git/**", "**/node_modules/**")), "files")
-    reports = all_files.where("path = 'coverage/lcov.info'").select(F.col("content").alias("value"))
     commits = saved(git_log.history(spark, config.root), "commits")
-    return run(all_files, commits, coverage.lcov(reports), config, now, **more)
+    more.setdefault("aliases", aliases_of(all_files) or None)
+    return run(all_files, commits, coverage.coverage(all_files, config.root), config, now, **more)
+
+
+def aliases_of(all_files: DataFrame) -> dict[str, list[str]]:
+    """The path aliases of a repository's own settings: a few files of the root, read on the driver."""
+    found = {r["path"]: r["content"] for r in all_files.where(F.col("path").isin("tsconfig.json", *rules.BUNDLER_FILES)).select("path", "content").collect()}
+    return merged_aliases(found.pop("tsconfig.json", None), found)
+
+
+def reused(own: DataFrame, all_files: DataFrame, options: parsers.Options, modules: DataFrame, analyses: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Analyses of own: the stored ones where path and hash are those of the earlier run, all others parsed."""
+    same = own.join(hashes.select("path", "hash"), ["path", "hash"], "left_semi").join(analyses.select("path"), "path", "left_semi").select("path")
+    kept = analyses.join(same, "path", "left_semi")
+    return kept.unionByName(parsers.analyses(own.join(same, "path", "left_anti"), options, modules))
+
+
+def written_notes(made: Run, pattern: str | None = None) -> DataFrame:
+    """The notes that a run writes; with a glob only those of paths that match it: graph and signals are of all files all the same."""
+    return made.notes if pattern is None else made.notes.where(paths.any_glob(F.col("file_path"), (pattern,)))
+
+
+def merged_notes(stored: DataFrame, fresh: DataFrame, present: DataFrame) -> DataFrame:
+    """What aggregates are made of after a run over some files: its notes over the stored ones, without those of files that are gone."""
+    return incremental.upserted(stored, fresh, "file_path", present.select(F.col("path").alias("file_path")))
+
+
+def prompted(made: Run, all_files: DataFrame, config: Config, context: str | None = None, max_lines: int | None = None) -> DataFrame:
+    """path, file_type, prompt of every file of a run."""
+    tests = resolve.related_tests(made.files, all_files)
+    return prompts.prompts(made.signals, made.files, made.edges, tests, prompts.system_prompt(config.language, context), max_lines)
+
+
+def synthesised_notes(made: Run, planned: DataFrame, asked: DataFrame, complete, model: str, **more) -> DataFrame:
+    """The notes of a run, those that the plan sends to a model (path, hit, uses_llm) merged with its replies."""
+    chosen = planned.where("uses_llm AND NOT hit").select(F.col("path").alias("file_path")).join(asked.select(F.col("path").alias("file_path"), "prompt"), "file_path")
+    own = made.notes.join(chosen, "file_path")
+    told = synthesis.synthesised(own, complete, model, **more).drop("prompt")
+    return made.notes.join(chosen.select("file_path"), "file_path", "left_anti").unionByName(told.select(*made.notes.columns))
+
+
+def report(made: Run, top: int = 5) -> DataFrame:
+    """kind, name, value: the first files by score, how many files have no tests, divergences by severity."""
+    first = index.ranked(made.index).limit(top).select(F.lit("top").alias("kind"), F.col("path").alias("name"), F.col("score").cast("double").alias("value"))
+    bare = made.notes.agg(F.count_if(~F.coalesce("debug_signals.has_tests", F.lit(False))).cast("double").alias("value")).select(F.lit("untested").alias("kind"), F.lit("files").alias("name"), "value")
+    counts = governance.severity_counts(made.divergences).select(F.lit("divergences").alias("kind"), F.col("severity").alias("name"), F.col("n").cast("double").alias("value"))
+    return first.unionByName(bare).unionByName(counts)
 
 
 def plan(made: Run, stored_hashes: DataFrame, stored_fingerprints: DataFrame, changes: DataFrame, config: Config, provider: bool, force: bool = False) -> DataFrame:
@@ -86,27 +156,37 @@ def plan(made: Run, stored_hashes: DataFrame, stored_fingerprints: DataFrame, ch
     return joined.select("path", F.coalesce("hit", F.lit(False)).alias("hit"), boosted.alias("boosted"), uses.alias("uses_llm"), (F.col("score") >= config.high_threshold).alias("premium"))
 
 
+TABLES = ("files", "documents", "signals", "analyses", "notes", "index", "nodes", "edges", "divergences", "hashes", "fingerprints")
+
+
+def stored(spark: SparkSession, out: str) -> Run:
+    """A written run, read back: what serving starts from; no postings or notes are made anew."""
+    return Run(**{f.name: spark.read.parquet(f"{out}/{f.name}") for f in dataclasses.fields(Run)})
+
+
 def write(made: Run, out: str) -> None:
-    """The tables as Parquet under a folder; notes also as JSON lines."""
-    for name in ("notes", "index", "nodes", "edges", "divergences", "postings", "hashes", "fingerprints", "analyses"):
+    """The tables as Parquet under a folder; notes also as JSON lines and a pretty file each, the index also as JSON and Markdown; postings by term."""
+    for name in TABLES:
         getattr(made, name).write.mode("overwrite").parquet(f"{out}/{name}")
+    made.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{out}/postings")
     made.notes.write.mode("overwrite").json(f"{out}/notes_json")
+    notes.write_files(made.notes, f"{out}/notes_files")
+    index.ranked(made.index).write.mode("overwrite").json(f"{out}/index_json")
+    index.markdown(made.index).select("text").coalesce(1).write.mode("overwrite").text(f"{out}/index_markdown", lineSep="\n\n")
+    made.fingerprints.orderBy("path", "dep").write.mode("overwrite").json(f"{out}/fingerprints_json")
     notes.markdown(made.notes).select("text").write.mode("overwrite").text(f"{out}/notes_markdown", lineSep="\n\f\n")
 
 
 def apply_changes(spark: SparkSession, out: str, changed: DataFrame, all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column) -> None:
-    """A micro-batch of changed files (filename) against stored tables: their analyses and edges are replaced, all aggregates rebuilt.
+    """A micro-batch of changed files (filename) against stored tables: their analyses and edges are replaced, all else is made anew from them.
 
-    Idempotent: the same batch again gives the same tables. New versions are written beside the old ones and then take their place.
+    Idempotent: the same batch again gives the same tables. New versions are saved beside the old ones and then take their place.
     """
-    fresh = saved(parsers.analyses(all_files.join(changed.select(F.col("filename").alias("path")).distinct(), "path", "left_semi")), "fresh")
+    options, modules = parsers.Options(config.api_call_patterns, config.side_effect_packages), parsers.go_modules(all_files)
+    own = files.scanned(all_files, config.include, config.exclude)
+    fresh = saved(parsers.analyses(own.join(changed.select(F.col("filename").alias("path")).distinct(), "path", "left_semi"), options, modules), "fresh")
     old = spark.read.parquet(f"{out}/analyses")
-    analysed = saved(incremental.upserted(old, fresh, present=all_files.select("path")), "analyses")
-    edges = graph.with_replaced(spark.read.parquet(f"{out}/edges"), dependency_edges(fresh, all_files.select("path")), fresh.select(F.col("path").alias("src")))
-    saved_edges = saved(edges, "edges")
-    analysed.write.mode("overwrite").parquet(f"{out}/analyses")
-    saved_edges.write.mode("overwrite").parquet(f"{out}/edges")
-    none = spark.createDataFrame([], "type string, severity string, message string, file string, doc string")
-    bare = spark.createDataFrame([], "path string, governing_docs array<string>, constraints array<string>, decisions array<string>")
-    signals = saved(notes.signals(analysed, saved_edges, resolve.related_tests(all_files, all_files), covered, history.git_signals(commits), graph.strong_components(saved_edges), none, bare), "signals")
-    notes.assembled(notes.items(signals, config.language), signals, now).write.mode("overwrite").parquet(f"{out}/notes")
+    analysed = saved(incremental.upserted(old, fresh, present=own.select("path")), "analyses")
+    stored_edges = spark.read.parquet(f"{out}/edges").join(own.select(F.col("path").alias("src")), "src", "left_semi")
+    edges = graph.with_replaced(stored_edges, dependency_edges(fresh, all_files.select("path"), modules=modules), fresh.select(F.col("path").alias("src")))
+    write(assembled(saved(own, "files"), all_files, analysed, saved(edges, "edges"), commits, covered, config, now), out)

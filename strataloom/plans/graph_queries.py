@@ -1,4 +1,8 @@
-"""Queries on the dependency graph. A few line items play imports between parts and suppliers, modulo NODES."""
+"""Queries on the dependency graph. Every line item is an import: its part depends on one of the next parts of its package.
+
+A package has PACKAGE parts; beyond its end the import wraps round in every third package, which makes cycles there, and stays
+at the last part in others. So nodes and edges grow with the tables, and what a node reaches is bounded by its package.
+"""
 
 from __future__ import annotations
 
@@ -9,16 +13,18 @@ from ..functions.storage import saved
 from ..operators import graph, index
 from .catalog import query, table
 
-NODES = 300
-EDGES = f"edges AS (SELECT l_partkey % {NODES} AS src, (l_suppkey * 3) % {NODES} AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 49)"
+PACKAGE = 20
+EDGES = f"""items AS (SELECT l_partkey AS src, l_partkey // {PACKAGE} AS package, l_partkey % {PACKAGE} + 1 + l_linenumber % 4 AS spot FROM lineitem),
+edges AS (SELECT src, package * {PACKAGE} + CASE WHEN spot < {PACKAGE} THEN spot WHEN package % 3 = 0 THEN spot % {PACKAGE} ELSE {PACKAGE} - 1 END AS dst FROM items)"""
 ALL = f"{EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"
 HUB = f"{ALL}, hub AS (SELECT dst AS start FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)"
-REACH = f"{ALL}, reach(start, node) AS (SELECT src, dst FROM edges UNION SELECT r.start, e.dst FROM reach r JOIN edges e ON e.src = r.node)"
+REACH = f"{ALL}, links AS (SELECT DISTINCT src, dst FROM edges), reach(start, node) AS (SELECT src, dst FROM links UNION SELECT r.start, e.dst FROM reach r JOIN links e ON e.src = r.node)"
 
 
 def edges(spark, sf_dir):
-    own = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity >= 49")
-    return own.select((F.col("l_partkey") % NODES).alias("src"), (F.col("l_suppkey") * 3 % NODES).alias("dst"))
+    package, at = F.floor(F.col("l_partkey") / PACKAGE), F.col("l_partkey") % PACKAGE + 1 + F.col("l_linenumber") % 4
+    to = F.when(at < PACKAGE, at).when(package % 3 == 0, at % PACKAGE).otherwise(PACKAGE - 1)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (package * PACKAGE + to).alias("dst"))
 
 
 def hub(own):
@@ -70,7 +76,7 @@ def ego_network(spark, sf_dir):
     return graph.ego(own, start, 2).where(~F.col("node").isin(start.first()[0]) | (F.col("hop") == 0))
 
 
-@query(f"""WITH RECURSIVE {EGO}, reach(start, node) AS (SELECT src, dst FROM edges UNION SELECT r.start, e.dst FROM reach r JOIN edges e ON e.src = r.node),
+@query(f"""WITH RECURSIVE {EGO}, links AS (SELECT DISTINCT src, dst FROM edges), reach(start, node) AS (SELECT src, dst FROM links UNION SELECT r.start, e.dst FROM reach r JOIN links e ON e.src = r.node),
 c AS (SELECT DISTINCT a.start AS node FROM reach a JOIN reach b ON a.node = b.start AND b.node = a.start)
 SELECT DISTINCT src, dst, CASE WHEN a.hop >= 0 AND b.hop > a.hop THEN 'down' WHEN b.hop <= 0 AND a.hop < b.hop THEN 'up' ELSE 'neutral' END AS direction,
 src IN (SELECT node FROM c) AND dst IN (SELECT node FROM c) AS in_cycle FROM edges JOIN hops a ON a.node = src JOIN hops b ON b.node = dst""")
@@ -105,11 +111,11 @@ def file_analysis(spark, sf_dir):
     return all_.select("node", "consumers", F.col("transitive_dependents").alias("dependents"), F.coalesce("cyclic", F.lit(False)).alias("in_cycle"), hot.alias("hotspot"))
 
 
-@query(f"WITH {ALL} SELECT src, dst FROM edges WHERE src % 50 <> 0 UNION ALL SELECT node AS src, (node + 1) % {NODES} AS dst FROM nodes WHERE node % 50 = 0 AND node IN (SELECT src FROM edges)")
+@query(f"WITH {ALL} SELECT src, dst FROM edges WHERE src % 50 <> 0 UNION ALL SELECT node AS src, node + 1 AS dst FROM nodes WHERE node % 50 = 0 AND node IN (SELECT src FROM edges)")
 def edge_replace(spark, sf_dir):
     own = edges(spark, sf_dir)
     files = own.where("src % 50 = 0").select("src").distinct()
-    return graph.with_replaced(own, files.select("src", ((F.col("src") + 1) % NODES).alias("dst")), files)
+    return graph.with_replaced(own, files.select("src", (F.col("src") + 1).alias("dst")), files)
 
 
 @query(f"""WITH {ALL} SELECT node::VARCHAR AS path, if(node % 4 = 0, '.', 'd' || (node % 10)) AS domain, if(node % 4 = 0, 0, (node % 100) * 0.01)::DECIMAL(6,2) AS score FROM nodes""")

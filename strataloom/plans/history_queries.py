@@ -1,4 +1,7 @@
-"""Queries on history and scores. A customer plays a file, the week of an order a commit, the order's priority an author."""
+"""Queries on history and scores. A customer plays a file, the week of an order in a block of 50 customers a commit, the order's priority an author.
+
+So a commit has at most 50 files at any size, and pairs of files that share commits grow as the tables do.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +16,8 @@ CHURN_SQL = """
 SELECT o_custkey AS file, count(DISTINCT date_trunc('week', o_orderdate)) AS churn, count(DISTINCT o_orderpriority) AS authors
 FROM orders GROUP BY o_custkey"""
 PAIRS_SQL = """
-own AS (SELECT DISTINCT o_custkey AS file, date_trunc('week', o_orderdate) AS commit FROM orders),
-pairs AS (SELECT a.file, b.file AS other, count(*) AS n FROM own a JOIN own b ON a.commit = b.commit AND a.file <> b.file GROUP BY 1, 2)"""
+own AS (SELECT DISTINCT o_custkey AS file, date_trunc('week', o_orderdate) AS week, o_custkey // 50 AS block FROM orders),
+pairs AS (SELECT a.file, b.file AS other, count(*) AS n FROM own a JOIN own b ON a.week = b.week AND a.block = b.block AND a.file <> b.file GROUP BY 1, 2)"""
 SIGNALS_SQL = f"""
 churned AS ({CHURN_SQL}), {PAIRS_SQL},
 most AS (SELECT file, max(n) AS max_cochange FROM pairs GROUP BY file),
@@ -36,7 +39,7 @@ SCORED_SQL = f"{SIGNALS_SQL}, scored AS (SELECT *, {SCORE_SQL} AS score FROM sig
 
 def commits(spark, sf_dir):
     own = table(spark, sf_dir, "orders")
-    return own.select(F.col("o_custkey").alias("file"), F.date_trunc("week", "o_orderdate").alias("commit"), F.col("o_orderpriority").alias("author"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("order"))
+    return own.select(F.col("o_custkey").alias("file"), F.struct(F.date_trunc("week", "o_orderdate").alias("week"), F.floor(F.col("o_custkey") / 50).alias("block")).alias("commit"), F.col("o_orderpriority").alias("author"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("order"))
 
 
 def signals(spark, sf_dir):

@@ -36,17 +36,13 @@ def diff_status(spark, sf_dir):
     return git_log.parsed_diff(table(spark, sf_dir, "orders").select(line.alias("value")))
 
 
-@query("""SELECT 'f' || l_partkey AS file, l_orderkey::VARCHAR AS commit, 'M' AS status, 'ann | co' AS author FROM lineitem WHERE l_linenumber <= 2""")
+@query("""SELECT 'f' || l_partkey AS file, l_orderkey::VARCHAR AS commit, 'M' AS status, 'ann | co' AS author FROM lineitem""")
 def commit_log(spark, sf_dir):
-    own = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(F.array_join(F.transform(F.collect_list("l_partkey"), lambda p: F.concat(F.lit("M\tf"), p.cast("string"))), "\n").alias("rows"))
+    own = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.collect_list("l_partkey"), lambda p: F.concat(F.lit("M\tf"), p.cast("string"))), "\n").alias("rows"))
     line = F.concat(F.lit("\u001e"), F.col("l_orderkey").cast("string"), F.lit("\u001f2001-01-01T00:00:00+00:00\u001fann | co\u001ffix: a | b\n\n"), "rows", F.lit("\n"))
     return git_log.parsed_log(own.select(line.alias("value"))).select("file", "commit", "status", "author")
 
 
-#: parse_source, dependency_edges and llm_merge are held against SQL that takes only parts below this.
-SQL_PARTS = "p_partkey < 400"
-
-
 def repository(own):
     """A file for each part: it imports the part before (twice every fifth time) and a package, and exports a function."""
     n = F.col("p_partkey")
@@ -61,18 +57,18 @@ def repository(own):
 
 
 @query("""SELECT p_partkey AS id, ['f' || p_partkey] AS exports, ['KEY_' || (p_partkey % 10)] AS env_vars,
-CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS local_imports, CASE WHEN p_partkey % 3 = 0 THEN ['axios'] ELSE [] END AS external_imports, 'f' || p_partkey || '(a: number): string' AS signature, p_partkey % 4 = 0 AS todo FROM part WHERE p_partkey < 400""")
+CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS local_imports, CASE WHEN p_partkey % 3 = 0 THEN ['axios'] ELSE [] END AS external_imports, 'f' || p_partkey || '(a: number): string' AS signature, p_partkey % 4 = 0 AS todo FROM part""")
 def parse_source(spark, sf_dir):
-    own = parsers.analyses(repository(table(spark, sf_dir, "part").where(SQL_PARTS)))
+    own = parsers.analyses(repository(table(spark, sf_dir, "part")))
     return own.select(F.regexp_extract("path", r"f(\d+)\.ts$", 1).cast("long").alias("id"), "exports", "env_vars", F.size("local_imports").cast("long").alias("local_imports"), "external_imports", F.col("export_details")[0]["signature"].alias("signature"), (F.size("comments.todo") > 0).alias("todo"))
 
 
 def commits_of(spark, sf_dir):
-    """A row for each line item: the parts shipped in a week are the files of a commit."""
+    """A row for each line item: the parts of a package shipped in a week are the files of a commit, 70 at most."""
     own = table(spark, sf_dir, "lineitem")
     path = F.concat(F.lit("packages/b"), F.floor(F.col("l_partkey") / 70).cast("string"), F.lit("/src/f"), F.col("l_partkey").cast("string"), F.lit(".ts"))
     message = F.when(F.col("l_linestatus") == "O", "fix: it").otherwise("refactor: that")
-    return own.select(path.alias("file"), F.date_trunc("week", "l_shipdate").cast("string").alias("commit"), F.col("l_shipdate").alias("at"), F.col("l_returnflag").alias("author"), message.alias("message"), F.lit("M").alias("status"))
+    return own.select(path.alias("file"), F.concat(F.date_trunc("week", "l_shipdate").cast("string"), F.lit(" b"), F.floor(F.col("l_partkey") / 70).cast("string")).alias("commit"), F.col("l_shipdate").alias("at"), F.col("l_returnflag").alias("author"), message.alias("message"), F.lit("M").alias("status"))
 
 
 def whole_run(spark, sf_dir):
@@ -94,10 +90,10 @@ def generated_markdown(spark, sf_dir):
     return notes.markdown(whole_run(spark, sf_dir).notes)
 
 
-@query("""WITH own AS (SELECT p_partkey AS n FROM part WHERE p_partkey < 400) SELECT 'packages/b' || (n // 70) || '/src/f' || n || '.ts' AS src, 'packages/b' || (n // 70) || '/src/f' || (n - n % 7) || '.ts' AS dst
+@query("""WITH own AS (SELECT p_partkey AS n FROM part) SELECT 'packages/b' || (n // 70) || '/src/f' || n || '.ts' AS src, 'packages/b' || (n // 70) || '/src/f' || (n - n % 7) || '.ts' AS dst
 FROM own, range(2) r(k) WHERE k = 0 OR n % 5 = 0""")
 def dependency_edges(spark, sf_dir):
-    own = repository(table(spark, sf_dir, "part").where(SQL_PARTS))
+    own = repository(table(spark, sf_dir, "part"))
     return generate.dependency_edges(parsers.analyses(own), own.select("path"))
 
 
@@ -113,7 +109,7 @@ def replies(spark, sf_dir):
     text = F.lit(None).cast("string")
     for k, name in enumerate(FORMS):
         text = F.when(key == k, F.lit(said[name])).otherwise(text)
-    return table(spark, sf_dir, "part").where(SQL_PARTS).select(F.col("p_partkey").alias("id"), text.alias("prompt"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("prompt"))
 
 
 def _note_columns():
@@ -121,7 +117,7 @@ def _note_columns():
     return [one.cast(synthesis.FIELD).alias(f) for f in rules.NOTE_FIELDS]
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 5 < 3 THEN 'fake' ELSE 'static' END AS model, CASE WHEN p_partkey % 5 < 3 THEN 1 ELSE 0 END::BIGINT AS inferred, 1::BIGINT AS evidence, CASE WHEN p_partkey % 5 < 3 THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence FROM part WHERE p_partkey < 400""")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 5 < 3 THEN 'fake' ELSE 'static' END AS model, CASE WHEN p_partkey % 5 < 3 THEN 1 ELSE 0 END::BIGINT AS inferred, 1::BIGINT AS evidence, CASE WHEN p_partkey % 5 < 3 THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence FROM part""")
 def llm_merge(spark, sf_dir):
     """The injected model gives back its prompt; evidence that is there already is not repeated."""
     own = replies(spark, sf_dir).select("id", "prompt", *_note_columns(), F.lit("static").alias("model"))

@@ -79,6 +79,12 @@ def bundler_aliases(text: str) -> dict[str, list[str]]:
     return {k: [v.removeprefix("./").strip("/")] for k, v in found}
 
 
+def merged_aliases(tsconfig: str | None, bundlers: dict[str, str]) -> dict[str, list[str]]:
+    """The paths of a tsconfig, and over them the aliases of the first bundler's settings (name -> text) that are there."""
+    first = next((bundlers[name] for name in rules.BUNDLER_FILES if name in bundlers), None)
+    return (tsconfig_aliases(tsconfig) if tsconfig else {}) | (bundler_aliases(first) if first is not None else {})
+
+
 def repositories(spec: str) -> dict[str, str]:
     """alias -> root of "a=/p,b=/q" or of one path, whose last segment is then its alias; repeated aliases and empty parts are errors."""
     out: dict[str, str] = {}

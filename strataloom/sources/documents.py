@@ -23,7 +23,8 @@ def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A state table; where there is none or it cannot be read, an empty one."""
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     if own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own):
-        return spark.read.schema(schema).parquet(path)
+        found = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
+        return found.where(F.col(found.columns[0]).isNotNull())
     return spark.createDataFrame([], schema)
 
 

@@ -7,6 +7,8 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import saved, shared_path
+
 LOG_FORMAT = "%x1e%H%x1f%aI%x1f%an%x1f%s"
 LOG_ARGS = ("log", "--no-color", "--name-status", "-M", f"--format={LOG_FORMAT}")
 
@@ -23,16 +25,67 @@ def read_diff(root: str, base: str) -> str:
 
 
 def parsed_log(logs: DataFrame) -> DataFrame:
-    """file, commit, at, author, message, status of a table of logs (value): a row for each commit and file, renames under the new name."""
+    """file, commit, at, author, message, status, was of a table of logs (value): a row for each commit and file; was: its name before a rename."""
     commit = logs.select(F.explode(F.split("value", "\u001e")).alias("c")).where(F.trim("c") != "")
     head = F.split(F.substring_index("c", "\n", 1), "\u001f")
     files = F.filter(F.split("c", "\n"), lambda x: F.contains(x, F.lit("\t")) & ~F.contains(x, F.lit("\u001f")))
     each = commit.select(head.alias("h"), F.explode(files).alias("f")).withColumn("f", F.split("f", "\t"))
-    return each.select(F.element_at("f", -1).alias("file"), F.col("h")[0].alias("commit"), F.to_timestamp(F.col("h")[1]).alias("at"), F.col("h")[2].alias("author"), F.col("h")[3].alias("message"), F.left(F.col("f")[0], F.lit(1)).alias("status"))
+    return each.select(F.element_at("f", -1).alias("file"), F.col("h")[0].alias("commit"), F.to_timestamp(F.col("h")[1]).alias("at"), F.col("h")[2].alias("author"), F.col("h")[3].alias("message"), F.left(F.col("f")[0], F.lit(1)).alias("status"), F.when(F.startswith(F.col("f")[0], F.lit("R")), F.col("f")[1]).alias("was"))
+
+
+def write_log(spark: SparkSession, root: str, piece_bytes: int = 8 << 20) -> str:
+    """The log of a repository in pieces of whole commits, as files in the shared folder; the driver holds one piece at a time."""
+    folder = shared_path(spark, "log")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(folder))
+    run = subprocess.Popen(["git", "-C", root, *LOG_ARGS], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+    rest, number = b"", 0
+
+    def put(piece: bytes) -> None:
+        nonlocal number
+        out = system.create(path(f"{folder}/{number:06d}.log"))
+        out.write(bytearray(piece))
+        out.close()
+        number += 1
+
+    while chunk := run.stdout.read(piece_bytes):
+        whole = (rest + chunk).rfind(b"\x1e")
+        rest += chunk
+        if len(rest) >= piece_bytes and whole > 0:
+            put(rest[:whole])
+            rest = rest[whole:]
+    if run.wait() == 0 and rest:
+        put(rest)
+    return folder
 
 
 def history(spark: SparkSession, root: str) -> DataFrame:
-    return parsed_log(spark.createDataFrame([(read_log(root),)], "value string"))
+    """The log of a repository, each file under the name it has now."""
+    pieces = spark.read.format("binaryFile").load(write_log(spark, root))
+    return followed(parsed_log(pieces.select(F.decode("content", "UTF-8").alias("value"))))
+
+
+def followed(commits: DataFrame, most: int = 50) -> DataFrame:
+    """commits (with was, the old name of a renamed file) under each file's latest name, so its history goes on before a rename.
+
+    A rename says that the old name, up to that commit, is the new one; names are led on until none is renamed any more, at
+    most so many times.
+    """
+    renames = saved(commits.where("was IS NOT NULL AND was != file").select(F.col("was").alias("file"), F.col("file").alias("next"), F.col("at").alias("until")), "renames")
+    own = commits.drop("was").withColumn("id", F.monotonically_increasing_id()) if renames.limit(1).count() else None
+    if own is None:
+        return commits.drop("was")
+    own = saved(own.withColumn("seen", F.col("at")), "named")
+    names = own.columns
+    for _ in range(most):
+        hop = own.join(renames, "file").where(F.col("until") >= F.col("seen"))
+        led = saved(hop.groupBy("id").agg(F.min(F.struct("until", "next")).alias("hop")), "hops")
+        if not led.limit(1).count():
+            break
+        moved = own.join(led, "id", "left")
+        own = saved(moved.select(*(F.coalesce("hop.next", "file").alias(c) if c == "file" else F.when(F.col("hop").isNotNull(), F.timestamp_add("MICROSECOND", F.lit(1), F.col("hop.until"))).otherwise(F.col("seen")).alias(c) if c == "seen" else F.col(c) for c in names)), "named")
+    return own.drop("id", "seen")
 
 
 def parsed_diff(lines: DataFrame) -> DataFrame:
