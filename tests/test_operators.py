@@ -217,7 +217,7 @@ def test_parsers():
 
 
 def test_a_failing_parser_leaves_an_empty_row(spark, monkeypatch):
-    monkeypatch.setitem(parsers.PARSERS, ".ts", lambda text: 1 / 0)
+    monkeypatch.setitem(parsers.PARSERS, ".ts", lambda text, options: 1 / 0)
     assert parsers.parse("a.ts", "x")["error"].startswith("ZeroDivisionError") and parsers.parse("a.ts", "x")["imports"] == []
 
 

@@ -130,7 +130,14 @@ def test_serving(made):
     assert serve.call(made, "get_stats").first()["total"] == 5
     assert serve.call(made, "get_file_note", file_path="src/index.ts").count() == 1
     assert serve.call(made, "get_architecture_context", top_n=2).count() == 2
-    assert {r["node"]: r["transitive_dependents"] for r in serve.call(made, "get_file_analysis").collect()}["src/utils.ts"] == 2
+    assert {r["node"]: r["transitive_dependents"] for r in serve.call(made, "get_all_analyses").collect()}["src/utils.ts"] == 2
+    one = serve.call(made, "get_file_analysis", path="src/utils.ts").collect()
+    assert [(r["node"], r["transitive_dependents"], r["transitive_dependencies"], r["in_cycle"]) for r in one] == [("src/utils.ts", 2, 0, False)]
+    assert {(r["src"], r["dst"]) for r in serve.call(made, "get_links").collect()} == {("src/index.ts", "src/utils.ts"), ("src/user.controller.ts", "src/index.ts"), ("pkg/a.py", "pkg/b.py")}
+    assert serve.call(made, "get_hover", file_path="src/index.ts", specifier="./utils").first()["path"] == "src/utils.ts"
+    told = serve.call(made, "get_governance_context").first()
+    assert told["detected"] and told["documents"][0]["path"] == "docs/architecture.md" and "governance" in told["summary"]
+    assert serve.call(made, "get_architecture_totals").first()["total_files"] == 5 and serve.call(made, "get_domain_summary", domain="src").first()["files"] == 3
     assert serve.call(made, "get_index").count() == 5 and serve.call(made, "get_graph").count() == 5 and serve.call(made, "get_cycles").count() == 0
     for bad in ({"name": "none"}, {"name": "get_domain", "domain": "none"}, {"name": "full_text_search", "query": ""}, {"name": "get_file_note", "file_path": "/etc/passwd"}):
         with pytest.raises(ValueError):
@@ -208,17 +215,17 @@ def test_fuzzy_and_generated(spark):
 
 
 def test_generated_notes_take_every_part_and_line_item(spark, tmp_path):
-    items = [(1, 5_000, 1, "2001-01-01"), (1, 399, 2, "2001-01-02"), (2, 5_000, 7, "2001-02-01"), (2, 400, 1, "2001-02-01"), (3, 5_000, 3, "2001-02-02")]
+    items = [(1, 5_000, 1, "2001-01-01"), (1, 4_999, 2, "2001-01-02"), (2, 5_000, 7, "2001-02-01"), (2, 5_001, 1, "2001-02-01"), (3, 5_000, 3, "2001-02-02")]
     own = spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int, l_shipdate string")
     own.selectExpr("l_orderkey", "l_partkey", "l_linenumber", "cast(l_shipdate AS timestamp) AS l_shipdate", "'O' AS l_linestatus", "'A' AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
-    spark.createDataFrame([(k, f"part {k}") for k in (0, 399, 400, 5_000)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, f"part {k}") for k in (0, 4_999, 5_001, 5_000)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     path = lambda k: f"packages/b{k // 70}/src/f{k}.ts"
     found = {r["file_path"]: r["debug_signals"] for r in source_queries.whole_run(spark, str(tmp_path)).notes.collect()}
-    assert set(found) == {path(k) for k in (0, 399, 400, 5_000)}
+    assert set(found) == {path(k) for k in (0, 4_999, 5_001, 5_000)}
     weeks = {(k, at[:7]) for _, k, _, at in items}  # a month holds one week here
-    for k in (399, 400, 5_000):
+    for k in (4_999, 5_001, 5_000):
         assert found[path(k)]["churn_score"] == sum(own == k for own, _ in weeks)
-    assert [(r["path"], r["count"]) for r in found[path(5_000)]["co_changed_files"]] == [(path(399), 1), (path(400), 1)]
+    assert [(r["path"], r["count"]) for r in found[path(5_000)]["co_changed_files"]] == [(path(4_999), 1), (path(5_001), 1)]
 
 
 def test_bm25_ranks_all_matches_by_the_rounded_score(spark, monkeypatch):
