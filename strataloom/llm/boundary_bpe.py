@@ -2,13 +2,12 @@
 
 Every token of the vocabulary is a run of byte symbols, the last of a piece marked as its end. Two symbols that stand side by
 side in no token can never end up in one token, so the place between them is a certain cut: a piece is cut there, each
-fragment is merged on its own (lowest rank first, then leftmost) and the ids are concatenated. Fragments recur far more often
-than words, and a worker remembers the ids of at most KNOWN of either.
+fragment is merged on its own (lowest rank first, then leftmost) and the ids are concatenated.
 
-Pieces come from the tokenizer's own normaliser and splitter. For words made of printable ASCII and Latin letters below
-U+0250 (where Unicode versions agree, and composition leaves all as they are) they come from the same split pattern here;
-for all others from the library's normaliser and pre-tokenizer. ASCII white space is dropped by the splitter and nothing is
-joined across it, so texts are taken word by word. Special tokens written in a text become their ids, as in the library.
+The fragments of many words are merged together, as rows of a matrix for each length: in a round every row that still has a
+pair of the merge list merges its first pair of lowest rank. Fragments of more than LONG symbols are merged one by one with a
+heap. Words and pieces come from word_pieces, as does the bound of what a worker remembers. Special tokens written in a text
+become their ids, as in the library.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; rows that repeat are encoded alike; texts
 of any length are encoded whole; an empty table gives an empty result. Other columns of the input are not read.
@@ -17,168 +16,152 @@ of any length are encoded whole; an empty table gives an empty result. Other col
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
-import operator
-import re
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from . import common
-
-KNOWN = 100_000
-#: Fragments of more symbols are merged with a heap.
-SHORT = 32
-WORD_END = "</w>"
-#: The split pattern of the tokenizers read here (fixed value).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = regex.compile(r"[!-~¡-¬®-ɏ]*")
-PLAIN_ASCII = re.compile(rb"[!-~]*")
-CUT_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-
-
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next from U+0100 on."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    out, free = [], 0x100
-    for b in range(256):
-        out.append(chr(b if b in printable else free))
-        free += b not in printable
-    return out
+from . import common, word_pieces
+from .word_pieces import SYMBOLS, WORD_END
+
+LONG = 32
+#: Symbols that are merged in one matrix.
+MATRIX_SYMBOLS = 1 << 19
+
+
+def _symbols(token: str) -> list[str]:
+    return [*token[: -len(WORD_END) - 1], token[-len(WORD_END) - 1 :]] if token.endswith(WORD_END) and len(token) > len(WORD_END) else [*token]
+
+
+class Merges:
+    """The pairs of token ids that merge, in ascending order, with their rank and what they become."""
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+        self.width = max(vocab.values()) + 1
+        pairs = np.array([vocab[a] * self.width + vocab[b] for a, b in merges], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.none = pairs[order], len(merges)
+        self.rank = np.append(order, self.none).astype(np.int32)
+        self.into = np.array([vocab[a + b] for a, b in merges], np.int32)  # by rank
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, none for those that do not merge."""
+        key = a.astype(np.int64) * self.width + b
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[np.minimum(at, len(self.pairs) - 1)] == key, self.rank[at], self.none) if self.none else np.zeros(len(key), np.int32)
+
+    def merged_rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of equally many ids after all merges, and how many each has then."""
+        rows, width = ids.shape
+        out, left = ids, np.full(rows, width)
+        rank = self.ranks(ids[:, :-1].reshape(-1), ids[:, 1:].reshape(-1)).reshape(rows, width - 1)
+        own, ids = np.arange(rows), ids.copy()
+        while True:
+            first = rank.argmin(axis=1)
+            least = rank[np.arange(len(own)), first]
+            going = least < self.none
+            if not going.all():
+                out[own[~going]] = ids[~going]
+                own, ids, rank, first, least = own[going], ids[going], rank[going], first[going], least[going]
+            if not len(own):
+                return out, left
+            left[own] -= 1
+            row = np.arange(len(own))
+            after = np.arange(width) + (np.arange(width) > first[:, None])
+            ids = np.take_along_axis(np.concatenate([ids, ids[:, -1:]], axis=1), after, axis=1)
+            ids[row, first] = self.into[least]
+            # the pair right of the merged one takes its place; the last column is free now
+            rank = np.take_along_axis(np.concatenate([rank, np.full((len(own), 1), self.none, np.int32)], axis=1), after[:, : width - 1] , axis=1)
+            size = left[own]
+            right = first + 1 < size
+            rank[row, np.minimum(first, width - 2)] = np.where(right, self.ranks(ids[row, first], ids[row, np.minimum(first + 1, width - 1)]), self.none)
+            before = first > 0
+            rank[row[before], first[before] - 1] = self.ranks(ids[row[before], first[before] - 1], ids[row[before], first[before]])
+
+    def merged_long(self, ids: list[int]) -> list[int]:
+        n = len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
 
+        def pushed(places: list[int]) -> list[tuple[int, int, int, int]]:
+            a, b = [ids[k] for k in places], [ids[after[k]] for k in places]
+            return [(r, k, x, y) for r, k, x, y in zip(self.ranks(np.array(a, np.int64), np.array(b, np.int64)).tolist(), places, a, b, strict=True) if r < self.none]
 
-class BoundaryBpe:
-    def __init__(self, tokenizer_path: str):
-        spec = json.load(open(tokenizer_path, encoding="utf-8"))  # noqa: SIM115
-        self.library = Tokenizer.from_file(tokenizer_path)
-        self.vocab: dict[str, int] = spec["model"]["vocab"]
-        self.rank = {tuple(m): k for k, m in enumerate(spec["model"]["merges"])}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        names = {v: k for k, v in self.vocab.items()} | {v: k for k, v in self.special.items()}
-        self.tokens = [names.get(k, "") for k in range(max(names) + 1)]
-        split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.known_split = split == SPLIT
-        self.cut_latin = regex.compile(SPLIT).findall
-        self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.symbol = byte_symbols()
-        self.inside = {a + b for t in self.vocab for a, b in self._neighbours(t)}
-        self.words, self.pieces, self.fragments = Learned(self._word), Learned(self._piece), Learned(self._fragment)
-
-    @staticmethod
-    def _symbols(token: str) -> list[str]:
-        return [*token[: -len(WORD_END) - 1], token[-len(WORD_END) - 1 :]] if token.endswith(WORD_END) and len(token) > len(WORD_END) else [*token]
-
-    def _neighbours(self, token: str):
-        own = self._symbols(token)
-        return zip(own, own[1:], strict=False)
-
-    def cuts(self, symbols: list[str]) -> list[int]:
-        """The positions in a piece where a cut is certain."""
-        inside = self.inside
-        return [k for k, pair in enumerate(map(operator.add, symbols, symbols[1:]), 1) if pair not in inside]
-
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a piece, given in byte symbols."""
-        own = [*piece[:-1], piece[-1] + WORD_END]
-        cuts = self.cuts(own)
-        if not cuts:
-            return self.fragments[piece + WORD_END]
-        ends = [*cuts, len(piece)]
-        return b"".join([self.fragments[piece[a:b] + (WORD_END if b == len(piece) else "")] for a, b in zip([0, *cuts], ends, strict=True)])
-
-    def _fragment(self, fragment: str) -> bytes:
-        return np.array([self.vocab[t] for t in self.merged(self._symbols(fragment))], np.int32).tobytes()
-
-    def merged(self, parts: list[str]) -> list[str]:
-        """parts after all merges: always the pair of lowest rank, the leftmost of them."""
-        if len(parts) > SHORT:
-            return self._merged_long(parts)
-        get, none = self.rank.get, len(self.rank)
-        ranks = [get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
-        while ranks and (least := min(ranks)) < none:
-            k = ranks.index(least)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del ranks[k]
-            if k < len(ranks):
-                ranks[k] = get((parts[k], parts[k + 1]), none)
-            if k:
-                ranks[k - 1] = get((parts[k - 1], parts[k]), none)
-        return parts
-
-    def _merged_long(self, parts: list[str]) -> list[str]:
-        n, rank = len(parts), self.rank
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(rank[p], k, p) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rank]
+        heap = pushed([*range(n - 1)])
         heapq.heapify(heap)
         while heap:
-            _, k, (a, b) = heapq.heappop(heap)
+            rank, k, a, b = heapq.heappop(heap)
             to = after[k]
-            if parts[k] != a or to < 0 or parts[to] != b:
+            if ids[k] != a or to < 0 or ids[to] != b:
                 continue
-            parts[k], parts[to] = a + b, ""
+            ids[k], ids[to] = int(self.into[rank]), -1
             after[k] = after[to]
             if after[k] >= 0:
                 before[after[k]] = k
-            for left, right in ((before[k], k), (k, after[k])):
-                if left >= 0 and right >= 0 and (pair := (parts[left], parts[right])) in rank:
-                    heapq.heappush(heap, (rank[pair], left, pair))
-        return [p for p in parts if p]
-
-    def _word(self, word: bytes) -> bytes:
-        """The ids (int32, as bytes) of what stands between white space."""
-        if self.known_split and b"<|" not in word:
-            if word.isalpha():
-                return self.pieces[word.lower().decode()]
-            if PLAIN_ASCII.fullmatch(word):
-                return b"".join([self.pieces[p.decode()] for p in CUT_ASCII.findall(word.lower())])
-        text, out = word.decode("utf-8", "replace"), []
-        for part in self.cut_special.split(text) if self.cut_special and "<|" in text else [text]:
-            if part in self.special:
-                out.append(np.array([self.special[part]], np.int32).tobytes())
-            elif part and self.known_split and PLAIN.fullmatch(part):
-                out += [self.pieces["".join([self.symbol[b] for b in piece.encode()])] for piece in self.cut_latin(part.lower())]
-            elif part:
-                out += [self.pieces[piece] for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
-        return b"".join(out)
-
-    def encode(self, text: bytes) -> np.ndarray:
-        for known in (self.words, self.pieces, self.fragments):
-            known.turn(KNOWN)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), np.int32)
-
-    def decode(self, ids) -> str:
-        """As the library does where the tokenizer names no decoder: the tokens with a space between."""
-        return " ".join(map(self.tokens.__getitem__, ids))
-
+            for item in pushed([p for p in (before[k], k) if p >= 0 and after[p] >= 0]):
+                heapq.heappush(heap, item)
+        return [i for i in ids if i >= 0]
 
-class Learned(dict):
-    """Values by key, worked out where first asked for, in two generations: what is met again stays known."""
 
-    def __init__(self, learn):
-        self.learn, self.old = learn, {}
+class BoundaryBpe:
+    def __init__(self, tokenizer_path: str):
+        with open(tokenizer_path, encoding="utf-8") as file:
+            spec = json.load(file)
+        vocab: dict[str, int] = spec["model"]["vocab"]
+        self.merges = Merges(vocab, [tuple(m) for m in spec["model"]["merges"]])
+        #: Of a byte, and 256 more where it ends a piece: its token; and which two may stand side by side in a token.
+        self.alone = np.array([vocab[s + end] for end in ("", WORD_END) for s in SYMBOLS], np.int32)
+        number = {s + end: b + 256 * k for k, end in enumerate(("", WORD_END)) for b, s in enumerate(SYMBOLS)}
+        self.inside = np.zeros((512, 512), bool)
+        for token in vocab:
+            own = [number[s] for s in _symbols(token)]
+            self.inside[own[:-1], own[1:]] = True
+        names = {v: k for k, v in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.tokens = np.array([names.get(k, "") for k in range(max(names) + 1)], object)
+        self.words = word_pieces.WordPieces(tokenizer_path, self.piece_ids)
+
+    def starts(self, symbols: np.ndarray) -> np.ndarray:
+        """Where fragments start: after a piece's end, and between symbols that no token holds side by side."""
+        cut = (symbols[:-1] >= 256) | ~self.inside[symbols[:-1], symbols[1:]]
+        return np.flatnonzero(np.concatenate([[True], cut]))
+
+    def piece_ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and how many each has."""
+        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        symbols = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int16)
+        ends = np.cumsum(lens)
+        symbols[ends - 1] += 256
+        starts = self.starts(symbols)
+        sizes = np.diff(starts, append=len(symbols))
+        ids = self.alone[symbols]
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= LONG)]).tolist():
+            own = starts[sizes == size]
+            for at in range(0, len(own), step := max(1, MATRIX_SYMBOLS // size)):
+                places = own[at : at + step, None] + np.arange(size)
+                merged, left = self.merges.merged_rows(ids[places])
+                ids[places] = np.where(np.arange(size) < left[:, None], merged, -1)
+        for at, size in zip(starts[sizes > LONG].tolist(), sizes[sizes > LONG].tolist(), strict=True):
+            merged = self.merges.merged_long(ids[at : at + size].tolist())
+            ids[at : at + size] = -1
+            ids[at : at + len(merged)] = merged
+        there = ids >= 0
+        return ids[there], np.diff(np.cumsum(there)[ends - 1], prepend=0)
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.learn(key)
-        self[key] = value
-        return value
+    def encode(self, text: bytes) -> np.ndarray:
+        return self.words.encode_long(text)
 
-    def turn(self, size: int) -> None:
-        if len(self) > size:
-            self.old = dict(self)
-            self.clear()
+    def decode(self, ids: np.ndarray) -> str:
+        """As the library does where the tokenizer names no decoder: the tokens with a space between."""
+        return " ".join(self.tokens[ids].tolist())
 
 
 _bpes: dict[str, BoundaryBpe] = {}
 
 
 def bpe_of(tokenizer_path: str) -> BoundaryBpe:
-    """A worker's encoder; it goes on knowing its words from task to task."""
+    """A worker's encoder; it goes on knowing its words, up to word_pieces.MEMO_BYTES, from task to task."""
     if tokenizer_path not in _bpes:
         _bpes.clear()
         _bpes[tokenizer_path] = BoundaryBpe(tokenizer_path)
@@ -191,24 +174,10 @@ def encoded(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text:
 
     def run(batches):
         bpe = bpe_of(tokenizer_path)
-        doc_ids, ids, decoded, held = [], [], [], 0
-
-        def out():
-            bounds = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists, pa.array(decoded, pa.string())], schema=schema)
-
-        for i, t in common.rows_of(batches, "doc_id", "text", step=16):
-            own = bpe.encode(t)
-            doc_ids.append(i)
-            ids.append(own)
-            decoded.append(bpe.decode(own.tolist()))
-            held += len(t)
-            if held > 1 << 20:
-                yield out()
-                doc_ids, ids, decoded, held = [], [], [], 0
-        if doc_ids:
-            yield out()
+        for heads, ids, bounds in word_pieces.encoded_blocks(common.rows_of(batches, "doc_id", "text", step=16), bpe.words):
+            decoded = [bpe.decode(ids[a:b]) for a, b in itertools.pairwise(bounds.tolist())]
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([pa.array([i for (i,) in heads], pa.int64()), lists, pa.array(decoded, pa.string())], schema=schema)
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(run, "doc_id long, ids array<int>, decoded string")

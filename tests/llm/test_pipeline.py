@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from strataloom.llm import mixing, ppm_langid, queries, sql
-from test_llm_operators import brute_components, brute_fingerprint, brute_targets, lower, words
+from test_llm_operators import brute_targets, brute_wide, brute_wide_components, lower, words
 
 
 def test_stages_follow_each_other():
@@ -29,7 +29,7 @@ def test_run(spark, docs, brute_rows, tmp_path):
         if key not in newest or (r[0] is not None and (newest[key][0] is None or r[0] > newest[key][0])):
             newest[key] = r
     rows = list(newest.values())
-    label = brute_components([brute_fingerprint(r[1]) for r in rows])
+    label = brute_wide_components([brute_wide(r[1]) for r in rows])
     groups = collections.defaultdict(list)
     for r, c in zip(rows, label, strict=True):
         groups[c].append(r)
@@ -49,9 +49,19 @@ def test_run(spark, docs, brute_rows, tmp_path):
     assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in out) == expected
 
 
-def test_columns_are_kept(spark, docs):
+def test_columns_are_kept(spark, docs, brute_rows):
+    """Other columns keep their names and values, also those that an operator might want for itself."""
+    own = {r: None for r in brute_rows}
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, "").columns == docs.columns
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert all(tuple(r) in own for r in out.collect())
+
+
+def test_empty_table(spark, nothing, tmp_path):
+    nothing.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "ids_sha256" in out.columns
 
 
 def test_every_operator_has_a_query():
