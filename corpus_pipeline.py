@@ -1,7 +1,7 @@
 """A corpus pipeline of five operators, each stage written as Parquet and read again.
 
 Language ID drops what no learned language explains, exact dedup keeps the newest of equal texts, SimHash near-dedup one
-document of each group, mixing repeats and leaves out documents by their source's rate, BPE encodes what is left.
+document of each group of texts that share four fifths of their 5-word shingles (wide links, see golay_simhash), mixing repeats and leaves out documents by their source's rate, BPE encodes what is left.
 Nulls, empty texts, repeated rows and empty tables pass through as each operator defines it.
 """
 
@@ -23,7 +23,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return golay_simhash.without_near_copies(docs)
+    return golay_simhash.without_near_copies(docs, wide=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
