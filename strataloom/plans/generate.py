@@ -93,7 +93,7 @@ def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges:
 def run_repository(spark: SparkSession, config: Config, now: Column, **more) -> Run:
     """run over a checked-out repository."""
     everything = ("**/*",)
-    all_files = saved(files.scan_repository(spark, config.root, everything, ("**/.git/**", "**/node_modules/**")), "files")
+    all_files = saved(files.scan_repository(spark, config.root, everything, ("**/.git/**", "**/node_modules/**", f"{config.output}/**")), "files")
     commits = saved(git_log.history(spark, config.root), "commits")
     more.setdefault("aliases", aliases_of(all_files) or None)
     return run(all_files, commits, coverage.coverage(all_files, config.root), config, now, **more)

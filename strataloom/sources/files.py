@@ -18,14 +18,15 @@ def scanned(files: DataFrame, include=rules.DEFAULT_INCLUDE, exclude=rules.DEFAU
 def scan_repository(spark: SparkSession, root: str, include=rules.DEFAULT_INCLUDE, exclude=rules.DEFAULT_EXCLUDE) -> DataFrame:
     """path, extension, size, content, hash of a repository's files.
 
-    Globs act on the path before content is selected, so files that are left out are listed and not read.
+    Globs act on the path before content is selected, so files that are left out are listed and not read. What is no UTF-8 in a
+    file becomes replacement characters.
     """
     own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     home = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
     named = own.select(paths.relative(F.regexp_replace("path", "^file:/+", "file:/"), home.replace("file:///", "file:/")).alias("path"), "length", "content")
     kept = scanned(named, include, exclude)
-    return kept.select("path", paths.extension(F.col("path")).alias("extension"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"), F.sha1("content").alias("hash"))
+    return kept.select("path", paths.extension(F.col("path")).alias("extension"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha1("content").alias("hash"))
 
 
 def listing(files: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def write_log(spark: SparkSession, root: str, piece_bytes: int = 8 << 20) -> str
 def history(spark: SparkSession, root: str) -> DataFrame:
     """The log of a repository, each file under the name it has now."""
     pieces = spark.read.format("binaryFile").load(write_log(spark, root))
-    return followed(parsed_log(pieces.select(F.decode("content", "UTF-8").alias("value"))))
+    return followed(parsed_log(pieces.select(F.make_valid_utf8(F.col("content").cast("string")).alias("value"))))
 
 
 def followed(commits: DataFrame, most: int = 50) -> DataFrame:
