@@ -78,7 +78,7 @@ def is_hotspot(score: Column, dependents: Column, tested: Column) -> Column:
 
 
 def cross_signals() -> Column:
-    """Facts that only several signals together show, from consumers, has_tests, coverage_pct, has_env_vars, churn, authors, has_side_effects."""
+    """Facts (fixed values: results depend on the sentences) that only several signals together show, from consumers, has_tests, coverage_pct, has_env_vars, churn, authors, has_side_effects."""
     n = F.col("consumers")
     return F.array_compact(
         F.array(

@@ -70,7 +70,7 @@ def signals(analyses: DataFrame, edges: DataFrame, tests: DataFrame, coverage: D
 
 
 def items(own: DataFrame, language: str = "en") -> DataFrame:
-    """The long rows (path, field, list, pos, text, kind, at) of signals."""
+    """The long rows (path, field, list, pos, text, kind, at) of signals. The sentences are fixed values: results depend on them."""
     said = lambda d: F.concat(d["signature"], F.when(d["doc_comment"].isNull(), "").otherwise(F.concat(_s(" — "), d["doc_comment"])))
     hook = lambda h: F.coalesce(F.get(F.filter("export_details", lambda d: d["name"] == h), _s(0))["signature"], F.concat(h, _s("()")))
     details = F.filter("export_details", lambda d: ~F.array_contains("hooks", d["name"]))
