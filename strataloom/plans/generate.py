@@ -188,5 +188,5 @@ def apply_changes(spark: SparkSession, out: str, changed: DataFrame, all_files:
     old = spark.read.parquet(f"{out}/analyses")
     analysed = saved(incremental.upserted(old, fresh, present=own.select("path")), "analyses")
     stored_edges = spark.read.parquet(f"{out}/edges").join(own.select(F.col("path").alias("src")), "src", "left_semi")
-    edges = graph.with_replaced(stored_edges, dependency_edges(fresh, all_files.select("path"), modules=modules), fresh.select(F.col("path").alias("src")))
+    edges = graph.with_replaced(stored_edges, dependency_edges(fresh, all_files.select("path"), aliases_of(all_files) or None, modules=modules), fresh.select(F.col("path").alias("src")))
     write(assembled(saved(own, "files"), all_files, analysed, saved(edges, "edges"), commits, covered, config, now), out)
