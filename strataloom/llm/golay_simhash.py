@@ -29,7 +29,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -339,7 +339,18 @@ def wide_links(groups: DataFrame) -> DataFrame:
 
     keyed = groups.select("fp", "more").mapInArrow(key_rows, "key int, fp long, more long")
     found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link_rows, ", ".join(f"{n} long" for n in names)).distinct()
-    return found.select(F.struct(F.col("a_fp").alias("fp"), F.col("a_more").alias("more")).alias("a"), F.struct(F.col("b_fp").alias("fp"), F.col("b_more").alias("more")).alias("b"))
+    named = found.select(F.struct(F.col("a_fp").alias("fp"), F.col("a_more").alias("more")).alias("a"), F.struct(F.col("b_fp").alias("fp"), F.col("b_more").alias("more")).alias("b"))
+    return contracted(contracted(named))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Links a, b with the same components, and fewer of them: b keeps its least a, to which its other ones are linked instead.
+
+    Many nodes share their roots, so what is linked anew is mostly the same few pairs. Nothing is gathered into a list.
+    """
+    least = edges.select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("least"))
+    both = F.explode(F.array(F.struct(F.col("least").alias("a"), "b"), F.struct(F.col("least").alias("a"), F.col("a").alias("b"))))
+    return least.select(both.alias("link")).select("link.a", "link.b").where("a != b").distinct()
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
