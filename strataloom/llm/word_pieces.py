@@ -79,10 +79,11 @@ class Memo:
 
     def begin(self, keys: set[bytes]) -> list[bytes]:
         """The keys that are not known; the caller adds them."""
-        missing = keys - self.young.keys()
-        again = missing & self.old.keys()
+        missing = keys.difference(self.young)  # difference() with a dict looks up the set's keys; operators on views go through the dict
+        unknown = missing.difference(self.old)
+        again = missing.difference(unknown)
         self.add(again, [*map(self.old.__getitem__, again)])
-        return [*(missing - again)]
+        return [*unknown]
 
     def add(self, keys: Iterable[bytes], values: list[bytes]) -> None:
         self.young.update(zip(keys, values, strict=True))
