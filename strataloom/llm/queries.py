@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boundary_bpe, common, cuckoo_dedup, deleted_interpolation, golay_simhash, imatch, mixing, ppm_langid, secret_dfa, token_orc, vector_packing
+from . import boundary_bpe, common, cuckoo_dedup, deleted_interpolation, golay_simhash, imatch, merkle_manifest, mixing, ppm_langid, secret_dfa, token_orc, vector_packing, whitening, winnowing
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,24 @@ def op10_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.bits").alias("bits_per_byte"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle_manifest.manifest(common.documents(spark, sf_dir))
+    digest = lambda c, name: F.lower(F.hex(c)).alias(name)
+    return out.select(F.col("id").alias("doc_id"), digest("leaf", "leaf"), digest("subroot", "subroot"), digest("root", "root"), digest("siblings", "proof_sha256"), digest("shown_root", "folded_root"), (F.col("shown_root") == F.col("root")).alias("verified"))
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnowing.decontaminated(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op2_token_orc, op3_vector_packing, op4_mix_sources, op5_imatch, op6_exact_dedup, op7_simhash_golay, op8_boundary_bpe, op9_secret_dfa, op10_ppm_langid)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_token_orc, op3_vector_packing, op4_mix_sources, op5_imatch, op6_exact_dedup, op7_simhash_golay, op8_boundary_bpe, op9_secret_dfa, op10_ppm_langid, op11_merkle_manifest, op12_winnowing, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
