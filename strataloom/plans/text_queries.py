@@ -198,13 +198,48 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT key, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (0.5::DOUBLE + tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.3::DOUBLE + 0.7::DOUBLE * length / mean)))) AS score FROM tf JOIN df USING (term) JOIN lens USING (key), stats GROUP BY key)"""
 
 
+def documents_index(spark, sf_dir):
+    return search.text_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["text"])
+
+
+def ranked_keys(found):
+    return found.select("key", F.row_number().over(Window.orderBy(F.desc("score"), "key")).cast("long").alias("rank")).orderBy("rank")
+
+
 @query(f"WITH {BM25_SQL} SELECT key, row_number() OVER (ORDER BY round(score, 9) DESC, key) AS rank FROM s ORDER BY rank LIMIT 10")
 def bm25_search(spark, sf_dir):
-    """Exact terms only; ranks, not scores, are compared."""
-    index = search.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["text"])
-    found = search.search(index, "license token", limit=None, prefix=False, fuzzy=0).select("key", F.round("score", 9).alias("score"))
-    best = found.orderBy(F.desc("score"), "key").limit(10)
-    return best.select("key", F.row_number().over(Window.orderBy(F.desc("score"), "key")).cast("long").alias("rank")).orderBy("rank")
+    """Exact terms only, the first ten by blocks; ranks, not scores, are compared."""
+    return ranked_keys(search.search(documents_index(spark, sf_dir), "license token", 10, prefix=False, fuzzy=0))
+
+
+@query(f"WITH {BM25_SQL} SELECT key, row_number() OVER (ORDER BY round(score, 9) DESC, key) AS rank FROM s ORDER BY rank LIMIT 10")
+def hyphen_search(spark, sf_dir):
+    """A query is split where texts are: at whatever is no letter or digit."""
+    return ranked_keys(search.search(documents_index(spark, sf_dir), "(License)-token", 10, prefix=False, fuzzy=0))
+
+
+TERMS_SQL = r"SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM "
+
+
+@query(f"""WITH known AS ({TERMS_SQL} documents), asked AS (SELECT term AS word FROM ({TERMS_SQL} benchmark) WHERE length(term) BETWEEN 3 AND 12)
+SELECT word, term, levenshtein(word, term)::INT AS distance FROM asked JOIN known ON length(term) <= 14 AND abs(length(term) - length(word)) <= 2 AND word <> term
+WHERE levenshtein(word, term) <= CASE WHEN length(word) < 8 THEN 1 ELSE 2 END""")
+def near_terms(spark, sf_dir):
+    """The terms of all documents near each of the benchmark's words of 3 to 12 letters, by forms with letters left out."""
+    known = table(spark, sf_dir, "documents").select(F.explode(search.terms("text")).alias("term")).distinct().where(F.length("term") <= search.FORM_LETTERS)
+    forms = known.select(F.explode(search.forms_of(F.col("term"))).alias("form"), "term")
+    words = table(spark, sf_dir, "benchmark").select(F.explode(search.terms("text")).alias("word")).distinct().where(F.length("word").between(3, 12))
+    return search.near_terms(words, forms, F.when(F.length("word") < 8, 1).otherwise(2))
+
+
+@query("""WITH q AS (SELECT DISTINCT substr(url, length(url) - 7, 6) AS query FROM pages WHERE page_id % 100 = 0)
+SELECT query, count(*) AS n, min(page_id) AS first FROM q JOIN pages ON contains(lower(url), lower(query)) WHERE length(query) >= 3 GROUP BY query""")
+def trigram_search(spark, sf_dir):
+    """A piece of the address of every hundredth page, looked for in all addresses by its rarest trigrams."""
+    pages = table(spark, sf_dir, "pages")
+    index = search.gram_index(pages.select(F.col("page_id").alias("key"), F.lit(0).alias("score"), F.lit("url").alias("field"), F.col("url").alias("text")))
+    queries = pages.where("page_id % 100 = 0").select(F.expr("substr(url, length(url) - 7, 6)").alias("query")).distinct()
+    return search.substring_matches(index, queries).groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
 
 
 @query("""WITH now AS (SELECT doc_id AS path, sha1(text) AS hash FROM documents), was AS (SELECT doc_id AS path, CASE WHEN quality = 1 THEN sha1(text) ELSE 'old' END AS hash FROM documents JOIN labels USING (doc_id) UNION ALL SELECT -1, 'gone')

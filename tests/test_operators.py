@@ -156,15 +156,106 @@ def test_quota_and_ranking(spark):
 
 
 def test_search(spark):
-    docs = spark.createDataFrame([("a", "payment gateway token", "x"), ("b", "user profile", "payment"), ("c", "something else", "y")], "id string, purpose string, notes string")
-    built = search.postings(docs, "id", ["purpose", "notes"])
+    docs = spark.createDataFrame([("a", "payment gateway token", "x"), ("b", "user profile", "payment"), ("c", "something else on", "y"), ("d", "see api-route", None)], "id string, purpose string, notes string")
+    built = search.text_index(docs, "id", ["purpose", "notes"])
     get = lambda q, **k: [r["key"] for r in search.search(built, q, **k).collect()]
     assert set(get("payment")) == {"a", "b"} and get("paymnt") and get("gate") == ["a"] and get("zzzzzz") == []
     assert get("gate", prefix=False, fuzzy=0) == []
-    with pytest.raises(ValueError):
-        get(" ")
-    items = spark.createDataFrame([("a", 1, "f", "Alpha Beta"), ("b", 2, "f", "beta"), ("c", 3, "f", "x")], "key string, score int, field string, text string")
-    assert [r["key"] for r in search.substring_scan(items, "BETA", 1).collect()] == ["b"]
+    assert get("api-route") == ["d"] and get("(Profile)") == ["b"] and get("of") == []  # two letters allow for no edit
+    for empty in (" ", "-"):
+        with pytest.raises(ValueError):
+            get(empty)
+
+
+def brute_search(docs, query, limit, prefix, fuzzy):
+    """BM25+ over all terms and documents."""
+    import collections
+    import math
+    import re
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i, *(0 for _ in b)] if not b else _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    cut = lambda t: [w for w in re.split(r"[^a-z0-9]+", t.lower()) if w]
+    fields = {f: {k: collections.Counter(cut(t[f])) for k, t in docs.items() if cut(t[f])} for f in next(iter(docs.values()))}
+    weight = {}
+    for term in {t for f in fields.values() for c in f.values() for t in c}:
+        for w in set(cut(query)):
+            most, d = round(fuzzy * len(w)), distance(term, w)
+            own = 1.0 if term == w else 0.375 * len(w) / len(term) if prefix and term.startswith(w) else 0.45 / (1 + d) if 0 < d <= most else 0
+            weight[term] = max(weight.get(term, 0), own)
+    scores, found = collections.Counter(), collections.defaultdict(set)
+    for f, own in fields.items():
+        mean = sum(sum(c.values()) for c in own.values()) / len(own)
+        df = collections.Counter(t for c in own.values() for t in c)
+        for k, c in own.items():
+            for t, tf in c.items():
+                if weight[t]:
+                    idf = math.log(1 + (len(own) - df[t] + 0.5) / (df[t] + 0.5))
+                    scores[k] += weight[t] * idf * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * sum(c.values()) / mean)))
+                    found[k].add(f)
+    return [(k, sorted(found[k])) for k in sorted(scores, key=lambda k: (-round(scores[k], 9), k))][:limit]
+
+
+def test_blocks_give_the_same_best_and_are_not_all_read(spark, monkeypatch):
+    """Against all scores, with several fields, prefixes, near and long words; documents that tie come by key."""
+    import random
+
+    monkeypatch.setattr(search, "BLOCK_DOCS", 4)
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(30)] + ["license", "licence", "licenses", "internationalization", "internationalisation", "internationalizations", "lic"]
+    docs = {k: {"text": " ".join(r.choices(words, k=r.randint(0, 90))), "title": r.choice(["", "license w3", "w4"])} for k in range(400)}
+    docs |= {k: {"text": "license tie", "title": ""} for k in range(500, 530)}
+    own = spark.createDataFrame([(k, t["text"], t["title"]) for k, t in docs.items()], "id long, text string, title string").repartition(3)
+    built = search.text_index(own, "id", ["text", "title"])
+    for query, limit, prefix, fuzzy in (("license w3", 10, False, 0), ("licens", 7, True, 0.2), ("internationalisations w1", 5, True, 0.2), ("tie", 12, False, 0), ("lic-w4", 50, True, 0.2), ("license", 10_000, True, 0.2)):
+        out = [(x["key"], x["fields"]) for x in search.search(built, query, limit, prefix, fuzzy).collect()]
+        assert out == brute_search(docs, query, limit, prefix, fuzzy), query
+        assert {(x["key"]) for x in search.search(built, query, None, prefix, fuzzy).collect()} >= {k for k, _ in out}
+    weights = search.weighed(built, "tie w3", False, 0)
+    first, rest = search.ranges_to_read(built, weights, 3)
+    assert first.count() + rest.count() < 0.7 * built.blocks.join(weights, ["term", "field"]).count()
+
+
+def test_near_terms(spark):
+    """Against all distances: words of 3 to 12 letters, one and two edits, letters beyond the BMP."""
+    import random
+
+    r = random.Random(8)
+    base = ["".join(r.choices("abcé😀", k=r.randint(1, 14))) for _ in range(150)]
+    known = sorted(set(base) | {b[: (k := r.randrange(len(b)))] + r.choice(["", "a", "zz"]) + b[k + r.randint(0, 1) :] for b in base for _ in range(3)} - {""})
+    known = [t for t in known if len(t) <= search.FORM_LETTERS]
+    words = [w for w in base if 3 <= len(w) <= 12]
+    terms = spark.createDataFrame([(t,) for t in known], "term string")
+    own = spark.createDataFrame([(w,) for w in sorted(set(words))], "word string")
+    found = {tuple(x) for x in search.near_terms(own, terms.select(F.explode(search.forms_of(F.col("term"))).alias("form"), "term")).collect()}
+    all_ = own.crossJoin(terms).withColumn("distance", F.levenshtein("word", "term")).where("distance BETWEEN 1 AND 2")
+    assert found == {tuple(x) for x in all_.collect()} and len(found) > 100
+    plan = search.near_terms(own, terms.select(F.explode(search.forms_of(F.col("term"))).alias("form"), "term"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "(form" in plan
+
+
+def test_substrings_by_trigrams(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(k, k % 3, r.choice(["f", "g"]), "".join(r.choices("abAB é", k=r.randint(0, 25)))) for k in range(300)] + [(1_000, 1, "f", None), (1_001, 1, "f", "")]
+    items = spark.createDataFrame(rows, "key long, score long, field string, text string").repartition(3)
+    index = search.gram_index(items)
+    queries = sorted({t[at : at + r.randint(1, 6)] for _, _, _, t in r.sample(rows[:300], 110) if len(t) > 8 for at in [r.randrange(len(t) - 7)]} | {"zzzz", "aba", "ABA", "a", "  "})
+    for q in queries:
+        assert search.substring_search(index, q, 1_000).collect() == search.substring_scan(items, q, 1_000).collect(), q
+    assert len(queries) >= 40
+    assert [x["key"] for x in search.substring_search(index, "ABA", 2).collect()] == [x["key"] for x in search.substring_scan(items, "aba", 2).collect()]
 
 
 @pytest.mark.parametrize("reply", ['{"a": 1}', '```json\n{"a": 1}\n```', 'Sure: {"a": 1} done', 'x {"a": 1, "b": "} \\" {"} y', "{bad} then {\"a\": 1}"])
