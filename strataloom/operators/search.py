@@ -1,8 +1,8 @@
 """Full-text search over fields of documents, and search for substrings.
 
-An index is four tables. Documents are dealt into ranges of about BLOCK_DOCS of like length; a block holds the postings of a
-term in a field and a range, with the greatest term frequency and the least length in it, so what any of its documents can
-score is bounded without reading them. The best k are found in two steps: the ranges with the highest bounds are scored, and
+An index is five tables. Documents are dealt into ranges of about BLOCK_DOCS of like length; a block is the postings of a
+term in a field and a range, and has a row of its own with the greatest term frequency and the least length in it, so what
+any of its documents can score is bounded without reading its postings. The best k are found in two steps: the ranges with the highest bounds are scored, and
 then only those whose bound reaches the k-th score. The dictionary holds each term under all its forms with up to two
 letters left out; two words within two edits of each other share a form, so near terms are found by a join and verified.
 
@@ -34,8 +34,9 @@ RAREST = 3
 
 @dataclass
 class TextIndex:
-    """blocks: term, field, range, n, most_tf, least_length, entries (key, tf, length); terms: term, field, df; forms: form, term; fields: field, n, mean."""
+    """postings: term, field, range, key, tf, length; blocks: term, field, range, n, most_tf, least_length; terms: term, field, df; forms: form, term; fields: field, n, mean."""
 
+    postings: DataFrame
     blocks: DataFrame
     terms: DataFrame
     forms: DataFrame
@@ -89,12 +90,11 @@ def text_index(docs: DataFrame, key: str, fields: list[str]) -> TextIndex:
     parts = F.element_at(F.create_map(*(F.lit(x) for p in sizes_of.items() for x in p)), F.col("spread")) if sizes_of else F.lit(1)
     rank = (F.col("spread").cast("long") * (1 << 40) + F.pmod(F.xxhash64("key"), parts)).alias("range")
     postings = own.select("key", "field", "length", rank, F.explode("terms").alias("term")).groupBy("term", "field", "range", "key").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    entry = F.struct("key", "tf", "length")
-    blocks = postings.groupBy("term", "field", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.array_sort(F.collect_list(entry)).alias("entries"))
-    kept = saved(blocks, "blocks")
-    words = saved(kept.groupBy("term", "field").agg(F.sum("n").alias("df")), "terms")
+    kept = saved(postings, "postings")
+    blocks = kept.groupBy("term", "field", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
+    words = kept.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     forms = words.where(F.length("term") <= FORM_LETTERS).select("term").distinct().select(F.explode(forms_of(F.col("term"))).alias("form"), "term")
-    return TextIndex(kept, words, forms, own.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")))
+    return TextIndex(kept, blocks, words, forms, own.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")))
 
 
 def near_terms(words: DataFrame, forms: DataFrame, most: Column | int = EDITS) -> DataFrame:
@@ -157,39 +157,37 @@ def weighed(index: TextIndex, query: str, prefix: bool = True, fuzzy: float = FU
     return index.terms.join(matching_terms(index, query, prefix, fuzzy), "term").join(F.broadcast(fields), "field")  # a row for each field
 
 
-def scored(blocks: DataFrame) -> DataFrame:
-    """key, score, fields from blocks with the weights of their terms."""
-    each = blocks.select("field", "weight", "df", "docs", "mean", F.explode("entries").alias("e")).select("*", "e.*")
-    found = each.groupBy("key").agg(F.sum(_part("tf", "length")).alias("score"), F.sort_array(F.collect_set("field")).alias("fields"))
+def scored(postings: DataFrame) -> DataFrame:
+    """key, score, fields from postings with the weights of their terms."""
+    found = postings.groupBy("key").agg(F.sum(_part("tf", "length")).alias("score"), F.sort_array(F.collect_set("field")).alias("fields"))
     return found.withColumn("score", F.round("score", DIGITS))
 
 
-def ranges_to_read(index: TextIndex, own: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """The blocks of the terms in own (see weighed) in the first ranges by bound, and those in all other ranges that may hold one of the best.
+def ranges_to_read(index: TextIndex, own: DataFrame, limit: int) -> DataFrame:
+    """range of the ranges that may hold one of the best for the terms in own (see weighed).
 
-    Any limit ranges hold as many matches at least, so the limit-th score of the first ones is one that the others' bounds have to reach.
+    The first limit ranges by bound hold as many matches at least, so the limit-th score in them is one that the bounds of
+    all others have to reach.
     """
-    matched = index.blocks.join(own, ["term", "field"])
-    bounds = saved(matched.groupBy("range").agg(F.sum(_part("most_tf", "least_length")).alias("bound")), "bounds")
-    first = saved(bounds.orderBy(F.desc("bound"), "range").limit(limit), "first")
-    read = matched.join(F.broadcast(first.select("range")), "range", "left_semi")  # limit rows
-    least = scored(read).orderBy(F.desc("score"), "key").limit(limit).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).first()
-    rest = bounds.join(F.broadcast(first.select("range")), "range", "left_anti")
-    rest = rest.where(F.col("bound") >= least["score"] - 10.0**-DIGITS) if least["n"] >= limit else rest
-    return read, matched.join(rest.select("range"), "range", "left_semi")
+    bounds = saved(index.blocks.join(own, ["term", "field"]).groupBy("range").agg(F.sum(_part("most_tf", "least_length")).alias("bound")), "bounds")
+    first = [r["range"] for r in bounds.orderBy(F.desc("bound"), "range").limit(limit).collect()]
+    read = index.postings.where(F.col("range").isin(first)).join(own, ["term", "field"])
+    best = [r["score"] for r in scored(read).select("score").orderBy(F.desc("score")).limit(limit).collect()]
+    most = F.col("bound") >= (best[-1] - 10.0**-DIGITS if best and len(best) >= limit else 0.0)
+    return bounds.where(most | F.col("range").isin(first)).select("range")
 
 
 def search(index: TextIndex, query: str, limit: int | None = 20, prefix: bool = True, fuzzy: float = FUZZY) -> DataFrame:
     """key, score, fields: documents with a matching term, by BM25+ summed over terms and fields, ties by key; limit None: all, in no order.
 
-    Document counts and mean lengths are taken per field over the whole index; only blocks of matching terms are scored, and
+    Document counts and mean lengths are taken per field over the whole index; only postings of matching terms are scored, and
     with a limit only those of ranges that can hold one of the best.
     """
     own = saved(weighed(index, query, prefix, fuzzy), "weights")
+    matched = index.postings.join(own, ["term", "field"])
     if limit is None:
-        return scored(index.blocks.join(own, ["term", "field"]))
-    read, rest = ranges_to_read(index, own, limit)
-    return scored(read.unionByName(rest)).orderBy(F.desc("score"), "key").limit(limit)
+        return scored(matched)
+    return scored(matched.join(ranges_to_read(index, own, limit), "range", "left_semi")).orderBy(F.desc("score"), "key").limit(limit)
 
 
 def grams_of(text: Column) -> Column:
