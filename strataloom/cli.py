@@ -15,7 +15,7 @@ from .sources import config as settings
 from .sources import files, git_log
 from .sources.documents import state
 
-HASHES, FINGERPRINTS = "path string, hash string", "path string, dep string, hash string"
+HASHES = "path string, hash string"
 
 
 def _session() -> SparkSession:
@@ -64,54 +64,51 @@ def _out(config: settings.Config) -> str:
 def scan(spark: SparkSession, args, say) -> None:
     config = _config(args)
     found = files.scan_repository(spark, config.root, config.include, config.exclude)
-    rows = files.listing(found).collect() if args.format == "json" else found.select(F.format_string("%10d  %s", "size", "path").alias("value")).collect()
+    rows = files.listing(found).collect() if args.format == "json" else files.by_path(found.select("path", "size")).select(F.format_string("%10d  %s", "size", "path").alias("value")).collect()
     for r in rows:
         say(r["value"])
 
 
-def made_by(spark: SparkSession, config: settings.Config, force: bool = False) -> generate.Run:
+def made_by(spark: SparkSession, config: settings.Config, earlier: generate.Run | None, chosen: generate.Chosen, **more) -> generate.Run:
     """A run over a repository; what an earlier one stored is used for files that are as they were."""
-    out = _out(config)
-    stored = None
-    if not force and os.path.isdir(f"{out}/analyses"):
-        stored = (generate.saved(spark.read.parquet(f"{out}/analyses"), "stored"), generate.saved(state(spark, f"{out}/hashes", HASHES), "stored"))
-    return generate.run_repository(spark, config, F.current_timestamp(), stored=stored)
+    return generate.run_repository(spark, config, F.current_timestamp(), earlier=earlier, chosen=chosen, **more)
 
 
 def run(spark: SparkSession, args, say) -> None:
     config = _config(args)
     out = _out(config)
-    made = made_by(spark, config, args.force)
+    earlier = generate.stored(spark, out)
+    made = made_by(spark, config, earlier, generate.Chosen(args.force, args.filter))
     changes = git_log.changes(spark, config.root, args.diff_base) if args.diff_base else spark.createDataFrame([], "path string, edit string")
-    planned = generate.plan(made, state(spark, f"{out}/hashes", HASHES), state(spark, f"{out}/fingerprints", FINGERPRINTS), changes, config, provider=False, force=args.force)
     if args.dry_run:
-        counts = generate.incremental.dry_run(planned).first()
+        counts = generate.incremental.dry_run(generate.plan(made, earlier, changes, config, provider=False, force=args.force)).first()
         say(f"{counts['write']} to write, {counts['skip']} to skip, {counts['llm']} for a model")
         return
-    chosen = generate.written_notes(made, args.filter)
-    old = None
-    if os.path.isdir(f"{out}/notes"):
-        old = generate.saved(spark.read.parquet(f"{out}/notes"), "old_notes")
-        made.notes = generate.saved(generate.merged_notes(old, chosen, made.files), "notes") if args.filter else made.notes
-    elif args.filter:
-        made.notes = generate.saved(chosen, "notes")
-    if args.diff and old is not None:
-        for r in generate.notes.diff_texts(old, made.notes).orderBy("file_path").collect():
-            say(r["text"])
-    generate.write(made, out)
-    say(f"{made.notes.count()} notes in {out}")
+    _written(made, earlier, out, args.diff, say)
     if args.verbose:
         for r in generate.report(made).collect():
             say(f"{r['kind']}: {r['name']} {r['value']:g}")
 
 
+def _written(made: generate.Run, earlier: generate.Run | None, out: str, diff: bool, say) -> None:
+    if diff and earlier is not None:
+        for r in generate.notes.diff_texts(earlier.notes, made.notes).orderBy("file_path").collect():
+            say(r["text"])
+    folder = generate.write(made, out)
+    say(f"{made.fresh.count()} of {made.notes.count()} notes made, in {folder}")
+
+
 def update(spark: SparkSession, args, say) -> None:
-    """All tables anew where a stored note is stale; else nothing."""
+    """Makes the stale notes anew, and only them."""
     config = _config(args)
-    stale = generate.incremental.update_set(spark.read.parquet(f"{_out(config)}/index")).count()
+    earlier = generate.stored(spark, _out(config))
+    if earlier is None:
+        raise SystemExit(f"no notes in {_out(config)}; run generate first")
+    old = generate.saved(generate.incremental.update_set(generate.restaled(earlier.index, F.current_timestamp(), config.stale_days)), "stale")
+    stale = old.count()
     say(f"{stale} stale notes")
     if stale:
-        generate.write(made_by(spark, config), _out(config))
+        _written(made_by(spark, config, earlier, generate.Chosen(paths=old)), earlier, _out(config), args.diff, say)
 
 
 def watch(spark: SparkSession, args, say) -> None:
@@ -121,7 +118,7 @@ def watch(spark: SparkSession, args, say) -> None:
     while args.rounds is None or rounds < args.rounds:
         rounds += 1
         all_files = generate.saved(files.scan_repository(spark, config.root, ("**/*",), ("**/.git/**", "**/node_modules/**", f"{config.output}/**")), "files")
-        moved = generate.saved(generate.incremental.status(all_files.select("path", "hash"), state(spark, f"{out}/hashes", HASHES)).where("status != 'unchanged'"), "moved")
+        moved = generate.saved(generate.incremental.status(all_files.select("path", "hash"), _parsed(spark, out)).where("status != 'unchanged'"), "moved")
         if n := moved.count():
             commits = generate.saved(git_log.history(spark, config.root), "commits")
             generate.apply_changes(spark, out, moved.select(F.col("path").alias("filename")), all_files, commits, generate.coverage.coverage(all_files, config.root), config, F.current_timestamp())
@@ -130,11 +127,29 @@ def watch(spark: SparkSession, args, say) -> None:
             time.sleep(args.seconds)
 
 
+def _parsed(spark: SparkSession, out: str):
+    folder = generate.current(spark, out)
+    if folder is None:
+        raise SystemExit(f"no notes in {out}; run generate first")
+    return state(spark, f"{folder}/parsed", HASHES)
+
+
 def serve(spark: SparkSession, args, say, lines=sys.stdin) -> None:
     roots = settings.repositories(args.roots or args.root)
-    repositories = {alias: (root, generate.stored(spark, _out(settings.load_config(root)))) for alias, root in roots.items()}
+    outs = {alias: _out(settings.load_config(root)) for alias, root in roots.items()}
+    held: dict[str, tuple[str, generate.Run]] = {}
+
+    def newest(alias: str) -> generate.Run:
+        """The current version; a run that has ended since the last request is seen by the next."""
+        folder = generate.current(spark, outs[alias])
+        if folder is None:
+            raise SystemExit(f"no notes of {alias}; run generate first")
+        if alias not in held or held[alias][0] != folder:
+            held[alias] = folder, generate.stored(spark, outs[alias])
+        return held[alias][1]
+
     for line in lines:
-        if (reply := protocol.answered(repositories, line)) is not None:
+        if (reply := protocol.answered({alias: (root, newest(alias)) for alias, root in roots.items()}, line)) is not None:
             say(reply)
 
 

@@ -7,11 +7,20 @@ costs a round at most.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import saved
 
+#: Edges that one task, or the driver for a broadcast, takes at most: some 32 MB. Larger graphs go by rounds of joins.
+LOCAL_EDGES = 2_000_000
+#: Bytes of the bitmaps of a block of targets, and targets in a block at most.
+BITMAP_BYTES, BLOCK_TARGETS = 64 << 20, 4_096
+
 
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
@@ -85,8 +94,87 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def closure_counts(edges: DataFrame) -> DataFrame:
-    """node, transitive_dependencies, transitive_dependents: sizes of the closures, the node itself left out."""
+    """node, transitive_dependencies, transitive_dependents: sizes of the closures, the node itself left out.
+
+    Components are made nodes of a graph without cycles, of which every edge leads to a lower level. Where it has at most
+    LOCAL_EDGES edges all tasks get it, and each takes a block of targets: one bit for each of them at every node, passed up
+    level by level, so there is no row for a pair. Larger graphs go by the closure of pairs.
+    """
     all_nodes = nodes(edges)
+    components = saved(all_nodes.join(strong_components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+    sizes = saved(components.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    a, b = (components.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("src", "a"), ("dst", "b")))
+    links = saved(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("a != b").select("a", "b").distinct(), "links")
+    if links.count() > LOCAL_EDGES or sizes.count() > LOCAL_EDGES:
+        return _pair_counts(edges, all_nodes)
+    ranked = saved(sizes.withColumn("rank", F.monotonically_increasing_id()), "ranked")
+    found = ranked.select("component", "rank").toArrow()
+    place = {r: k for k, r in enumerate(found["rank"].to_pylist())}
+    ends = links.join(ranked.select(F.col("component").alias("a"), F.col("rank").alias("x")), "a").join(ranked.select(F.col("component").alias("b"), F.col("rank").alias("y")), "b").select("x", "y").toArrow()
+    index = lambda c: np.array([place[r] for r in ends[c].to_pylist()], np.int64)
+    size = np.array(ranked.select("rank", "size").toArrow().sort_by("rank")["size"].to_pylist(), np.int64)
+    order = np.argsort(np.array(found["rank"].to_pylist(), np.int64), kind="stable")  # size is by rank, as places are not
+    weight = np.empty(len(place), np.int64)
+    weight[order] = size
+    out = ranked.select("rank", "component", "size")
+    for name, x, y in (("transitive_dependencies", "x", "y"), ("transitive_dependents", "y", "x")):
+        counted = reached_counts(edges.sparkSession, index(x), index(y), weight)
+        ids = edges.sparkSession.createDataFrame(pa.table({"place": pa.array(range(len(place)), pa.int64()), "rank": found["rank"].cast(pa.int64())}))
+        out = out.join(counted.join(ids, "place").select("rank", F.col("n").alias(name)), "rank", "left")
+    each = lambda c: (F.coalesce(c, F.lit(0)) + F.col("size") - 1).cast("long").alias(c)
+    return components.join(out, "component").select("node", each("transitive_dependencies"), each("transitive_dependents"))
+
+
+def reached_counts(spark, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """place, n: the weight of what each node of an acyclic graph reaches, itself left out. Nodes are numbered; a node that reaches nothing may be missing."""
+    level = levels(src, dst, len(weight))
+    order = np.lexsort((src, level[src]))
+    shared = spark.sparkContext.broadcast((src[order], dst[order], level, weight))
+    block = int(min(BLOCK_TARGETS, max(64, BITMAP_BYTES * 8 // max(1, len(weight)) // 64 * 64)))
+    starts = spark.range(0, len(weight), block, max(1, min(4_096, -(-len(weight) // block))))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        src, dst, level, weight = shared.value
+        cuts = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]])) if len(src) else np.zeros(0, np.int64)
+        heads = src[cuts]
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], level[heads][1:] != level[heads][:-1]])), len(heads)) if len(heads) else np.zeros(1, np.int64)
+        for batch in batches:
+            for start in batch.column("id").to_pylist():
+                own = np.arange(start, min(start + block, len(weight)))
+                bits = np.zeros((len(weight), -(-len(own) // 64)), np.uint64)
+                bits[own, (own - start) // 64] = np.uint64(1) << ((own - start) % 64).astype(np.uint64)
+                for k in range(len(bounds) - 1):
+                    first, last = bounds[k], bounds[k + 1]
+                    at, to = cuts[first], cuts[last] if last < len(cuts) else len(src)
+                    bits[heads[first:last]] |= np.bitwise_or.reduceat(bits[dst[at:to]], cuts[first:last] - at, axis=0)
+                if (weight[own] == 1).all():
+                    n = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+                else:
+                    n = sum(((bits[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(np.int64) * int(w) for k, w in enumerate(weight[own].tolist()))
+                n[own] -= weight[own]
+                some = np.flatnonzero(n)
+                yield pa.record_batch({"place": pa.array(some, pa.int64()), "n": pa.array(n[some], pa.int64())})
+
+    return starts.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+
+
+def levels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Of each node of an acyclic graph the length of the longest path from it, by taking off, round after round, what leads nowhere."""
+    out, left = np.zeros(n, np.int64), np.bincount(src, minlength=n)
+    order = np.argsort(dst, kind="stable")
+    back, starts = src[order], np.searchsorted(dst[order], np.arange(n + 1))
+    ready, level = np.flatnonzero(left == 0), 0
+    while len(ready):
+        out[ready] = level
+        sizes = starts[ready + 1] - starts[ready]
+        spots = np.repeat(starts[ready] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        hit, counts = np.unique(back[spots], return_counts=True)
+        left[hit] -= counts
+        ready, level = hit[left[hit] == 0], level + 1
+    return out
+
+
+def _pair_counts(edges: DataFrame, all_nodes: DataFrame) -> DataFrame:
     pairs = closure(edges).where("start != node")
     forward = pairs.groupBy(F.col("start").alias("node")).agg(F.count(F.lit(1)).alias("transitive_dependencies"))
     back = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("transitive_dependents"))
@@ -94,33 +182,35 @@ def closure_counts(edges: DataFrame) -> DataFrame:
     return all_nodes.join(forward, "node", "left").join(back, "node", "left").select("node", zero("transitive_dependencies"), zero("transitive_dependents"))
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """Edges that can lie on a cycle: nodes without an incoming or outgoing edge go, until none is left to go.
+def trimmed(edges: DataFrame, enough: int = 0) -> DataFrame:
+    """Edges that can lie on a cycle: nodes without an incoming or outgoing edge go, until none is left to go or at most enough edges are left.
 
-    Most dependency graphs are nearly acyclic, so what the closure is computed on afterwards is small.
+    Most dependency graphs are nearly acyclic, so what components are looked for in afterwards is small.
     """
     rest = saved(edges.select("src", "dst").distinct(), "rest")
     count = rest.count()
-    while True:
+    while count > enough:
         kept = rest.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         rest = saved(kept.select("src", "dst"), "rest")
         now = rest.count()
         if now == count:
             return rest
         count = now
+    return rest
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (the least node of it): strongly connected components of two nodes or more, and self-loops.
 
-    Colouring: after trimming, each node takes the least node that reaches it as its colour, passed along edges until none
-    changes; what the colour's own node is reached from, within the colour, is one component. Components found and edges
-    between colours go, the rest is trimmed and coloured again. A round keeps one row for each node and one for each edge;
+    Edges that cannot lie on a cycle are trimmed. As soon as at most LOCAL_EDGES edges are left one task finishes, however
+    long the paths are. Above that by colouring: each node takes the least node that reaches it as its colour, passed along
+    edges until none changes; what the colour's own node is reached from, within the colour, is one component. Components
+    found and edges between colours go, the rest is trimmed again. A round keeps one row for each node and one for each edge;
     no closure is made.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
-    rest, found = trimmed(edges.where("src != dst")), []
-    while rest.limit(1).count():
+    rest, found = trimmed(edges.where("src != dst"), LOCAL_EDGES), []
+    while (left := rest.limit(LOCAL_EDGES + 1).count()) > LOCAL_EDGES:
         colours = least_reaching(rest)
         a, b = colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), colours.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
         inside = saved(rest.join(a, "src").join(b, "dst").where("a = b").select("src", "dst", F.col("a").alias("colour")), "inside")
@@ -130,12 +220,90 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found.append(own)
         gone = back.select("node")
         left = inside.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
-        rest = trimmed(left.select("src", "dst"))
+        rest = trimmed(left.select("src", "dst"), LOCAL_EDGES)
+    if left:
+        found.append(local_components(rest))
     for own in found:
         loops = loops.unionByName(own)
     return loops.groupBy("node").agg(F.min("component").alias("component"))
 
 
+def local_components(edges: DataFrame) -> DataFrame:
+    """node, component of at most LOCAL_EDGES edges, in one task."""
+    kind = edges.schema["src"].dataType
+
+    def run(table: pa.Table) -> pa.Table:
+        names, ends = np.unique(np.concatenate([table["src"].to_numpy(), table["dst"].to_numpy()]), return_inverse=True)
+        n = len(ends) // 2
+        of = component_numbers(ends[:n], ends[n:], len(names))
+        size, least = np.bincount(of), np.full(of.max(initial=-1) + 1, len(names))
+        np.minimum.at(least, of, np.arange(len(names)))
+        kept = np.flatnonzero(size[of] > 1)
+        return pa.table({"node": pa.array(names[kept], table.schema.field("src").type), "component": pa.array(names[least[of[kept]]], table.schema.field("src").type)})
+
+    return edges.select("src", "dst", F.lit(0).alias("all")).groupBy("all").applyInArrow(run, f"node {kind.simpleString()}, component {kind.simpleString()}")
+
+
+def component_numbers(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """A number for each node, the same for nodes that reach each other: one depth-first search with a stack of its own."""
+    order = np.argsort(src, kind="stable")
+    ahead, starts = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    seen, low, of, path, count = [-1] * n, [0] * n, [-1] * n, [], 0
+    parts = 0
+    for root in range(n):
+        if seen[root] >= 0:
+            continue
+        work = [(root, starts[root])]
+        seen[root] = low[root] = count
+        count += 1
+        path.append(root)
+        while work:
+            node, at = work.pop()
+            if at < starts[node + 1]:
+                work.append((node, at + 1))
+                to = ahead[at]
+                if seen[to] < 0:
+                    seen[to] = low[to] = count
+                    count += 1
+                    path.append(to)
+                    work.append((to, starts[to]))
+                elif of[to] < 0:
+                    low[node] = min(low[node], seen[to])
+                continue
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[node])
+            if low[node] == seen[node]:
+                while of[node] < 0:
+                    of[path.pop()] = parts
+                parts += 1
+    return np.array(of, np.int64)
+
+
+def cycle_witnesses(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """component, cycle: for each component one shortest cycle through its least node, as the nodes from it round to it again.
+
+    Of several the one that comes first by its nodes. Breadth-first search from the least nodes of all components at once,
+    along edges inside them: a node keeps the first path of the least length to it, so there is a row for each node.
+    """
+    own = strong_components(edges) if components is None else components
+    own = saved(own, "components")
+    a, b = (own.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("src", "component"), ("dst", "other")))
+    inside = saved(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("component = other").select("src", "dst", "component"), "inside")
+    frontier = own.where("node = component").select("component", "node", F.array("node").alias("path"))
+    seen, found = frontier.select("node"), []
+    while frontier.limit(1).count():
+        step = frontier.select("component", F.col("node").alias("src"), "path").join(inside, ["component", "src"]).groupBy("component", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        step = saved(step, "step")
+        found.append(step.where("node = component").select("component", F.col("path").alias("cycle")))
+        done = step.where("node = component").select("component")
+        frontier = saved(step.join(done, "component", "left_anti").join(seen, "node", "left_anti"), "frontier")
+        seen = saved(seen.union(frontier.select("node")), "seen")
+    out = found[0] if found else own.select("component", F.array("node").alias("cycle")).limit(0)
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def least_reaching(edges: DataFrame) -> DataFrame:
     """node, colour: the least node from which a node can be reached, itself included."""
     colours = saved(nodes(edges).withColumn("colour", F.col("node")), "colours")

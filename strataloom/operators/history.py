@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import saved
+
 TOP = 10
+#: Files of a commit that are paired at once.
+PIECE = 1_000
 
 
 def churn(commits: DataFrame) -> DataFrame:
@@ -22,14 +26,25 @@ def recent(commits: DataFrame, keep: int = TOP) -> DataFrame:
 def pair_counts(commits: DataFrame, most_files: int | None = None) -> DataFrame:
     """file, other, n: how many commits touch both, for each ordered pair.
 
-    A self-join on the commit makes each unordered pair once, so a commit of k files makes k (k - 1) / 2 rows; they are summed
-    before they are mirrored. most_files (off by default) leaves out commits of more files than that, as bulk renames are.
+    A self-join makes each unordered pair of a commit once, so a commit of k files makes k (k - 1) / 2 rows; they are summed
+    before they are mirrored. A commit of more than PIECE files is cut into pieces, and each pair of pieces is a key of the
+    join of its own, so a task has the pairs of two pieces at most. most_files (off by default) leaves out commits of more
+    files than that, as bulk renames are.
     """
     own = commits.select("file", "commit").distinct()
+    sizes = own.groupBy("commit").agg(F.count(F.lit(1)).alias("k"))
+    if most_files is not None:
+        sizes = sizes.where(F.col("k") <= most_files)
+    large = saved(sizes.where(F.col("k") > PIECE).withColumn("pieces", F.ceil(F.col("k") / PIECE).cast("int")), "large")
     if most_files is not None:
-        own = own.join(own.groupBy("commit").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most_files), "commit").drop("k")
-    pairs = own.join(own.select("commit", F.col("file").alias("other")), "commit").where(F.col("file") < F.col("other"))
-    counted = pairs.groupBy("file", "other").agg(F.count(F.lit(1)).alias("n"))
+        own = own.join(sizes.select("commit"), "commit", "left_semi")
+    cut = own.join(large.select("commit", "pieces"), "commit", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    cut = cut.withColumn("piece", F.pmod(F.xxhash64("file"), F.col("pieces")).cast("int"))
+    last = F.col("pieces") - 1
+    left = cut.select("commit", "file", F.col("piece").alias("a"), F.explode(F.sequence("piece", last)).alias("b"))
+    right = cut.select("commit", F.col("file").alias("other"), F.explode(F.sequence(F.lit(0), "piece")).alias("a"), F.col("piece").alias("b"))
+    pairs = left.join(right, ["commit", "a", "b"]).where((F.col("a") < F.col("b")) | (F.col("file") < F.col("other")))
+    counted = pairs.groupBy(F.least("file", "other").alias("file"), F.greatest("file", "other").alias("other")).agg(F.count(F.lit(1)).alias("n"))
     both = F.explode(F.array(F.struct("file", "other"), F.struct(F.col("other").alias("file"), F.col("file").alias("other"))))
     return counted.select(both.alias("p"), "n").select("p.file", "p.other", "n")
 

@@ -6,8 +6,11 @@ survives shuffles. One grouped aggregation assembles them.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import os
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,8 +210,34 @@ def pretty(own: DataFrame) -> DataFrame:
 
 
 def write_files(own: DataFrame, folder: str) -> None:
-    """A pretty JSON file for each note, in a folder of its own that its path names; a path that leads out of the repository is an error."""
+    """A pretty JSON file for each note, at its own path and ".json" below a folder; a path that leads out of the repository is an error.
+
+    A file is written under another name and then renamed, so that a reader, or a task that runs twice, never meets half of one.
+    """
     outside = own.where(F.col("file_path").rlike(r"(^|/)\.\.(/|$)") | F.startswith("file_path", F.lit("/"))).select("file_path").limit(1).collect()
     if outside:
         raise ValueError(f"{outside[0][0]!r} leads out of {folder!r}")
-    pretty(own).select(F.col("file_path").alias("name"), F.col("text").alias("value")).write.mode("overwrite").partitionBy("name").text(folder)
+
+    def put(rows):
+        attempt = TaskContext.get().taskAttemptId()
+        for r in rows:
+            target = os.path.join(folder, f"{r['file_path']}.json")
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(f"{target}.{attempt}", "w", encoding="utf-8") as f:
+                f.write(r["text"])
+            os.replace(f"{target}.{attempt}", target)
+
+    pretty(own).select("file_path", "text").foreachPartition(put)
+
+
+def remove_files(spark, folder: str, present: DataFrame, before: DataFrame | None) -> None:
+    """Deletes the files of notes that there were before (file_path) and are no longer."""
+    if before is None:
+        return
+
+    def drop(rows):
+        for r in rows:
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(os.path.join(folder, f"{r['file_path']}.json"))
+
+    before.join(present, "file_path", "left_anti").foreachPartition(drop)

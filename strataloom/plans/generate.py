@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +32,39 @@ class Run:
     nodes: DataFrame
     divergences: DataFrame
     postings: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
+    forms: DataFrame
+    fields: DataFrame
+    items: DataFrame
+    grams: DataFrame
+    counts: DataFrame
+    #: Of all files as they are now: what analyses are made of.
+    parsed: DataFrame
+    #: Of files as they were when their note was made, and of the dependencies they had then.
     hashes: DataFrame
     fingerprints: DataFrame
+    #: digest: of the settings that analyses and notes depend on.
+    settings: DataFrame
+    #: path of the files whose note this run has made.
+    fresh: DataFrame
+
+    @property
+    def text(self) -> search.TextIndex:
+        return search.TextIndex(self.postings, self.blocks, self.terms, self.forms, self.fields)
+
+    @property
+    def substrings(self) -> search.GramIndex:
+        return search.GramIndex(self.items, self.grams, self.counts)
+
+
+@dataclass(frozen=True)
+class Chosen:
+    """Whose notes a run makes: all that need one, or with force all; of them those that match a glob, or those that are listed (path)."""
+
+    force: bool = False
+    pattern: str | None = None
+    paths: DataFrame | None = None
 
 
 def dependency_edges(analyses: DataFrame, all_files: DataFrame, aliases: dict[str, list[str]] | None = None, go_module: str | None = None, modules: DataFrame | None = None) -> DataFrame:
@@ -61,20 +93,54 @@ def below_modules(imports: DataFrame, modules: DataFrame) -> DataFrame:
     return imports.join(known, "file", "left").select("file", "pos", F.when(inside, F.concat(steps, below)).otherwise(spec).alias("specifier"))
 
 
-def run(all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, aliases: dict[str, list[str]] | None = None, go_module: str | None = None, stored: tuple[DataFrame, DataFrame] | None = None) -> Run:
+def settings_digest(config: Config) -> str:
+    """Of the settings that analyses and notes depend on; a change of them makes all anew."""
+    return hashlib.sha1(repr((config.language, config.api_call_patterns, config.side_effect_packages)).encode()).hexdigest()
+
+
+def due(own: DataFrame, now: DataFrame, prints: DataFrame, earlier: Run | None, config: Config, chosen: Chosen) -> DataFrame:
+    """path of the files whose note is to be made: without an earlier run of the same settings all of own, else those that are
+    new or changed, or whose dependencies have changed."""
+    if chosen.paths is not None:
+        return own.join(chosen.paths, "path", "left_semi").select("path")
+    out = own.select("path")
+    if earlier is not None and not chosen.force and same_settings(earlier, config):
+        out = out.join(hits(now, prints, earlier).where("hit"), "path", "left_anti")
+    return out if chosen.pattern is None else out.where(paths.any_glob(F.col("path"), (chosen.pattern,)))
+
+
+def same_settings(earlier: Run, config: Config) -> bool:
+    return [r["digest"] for r in earlier.settings.collect()] == [settings_digest(config)]
+
+
+def hits(now: DataFrame, prints: DataFrame, earlier: Run) -> DataFrame:
+    """path, hit: files that are as they were when their note was made, with dependencies that are so too.
+
+    A file without a stored fingerprint gets its present one as if it had been stored, so it is not stale for lack of one.
+    """
+    before = incremental.bootstrapped(earlier.fingerprints, prints)
+    known = before.select("path").unionByName(prints.select("path")).distinct()
+    noted = earlier.notes.select(F.col("file_path").alias("path"))
+    return incremental.cache_hits(incremental.status(now, earlier.hashes).join(noted, "path", "left_semi"), incremental.stale_dependencies(prints, before, known))
+
+
+def run(all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, aliases: dict[str, list[str]] | None = None, go_module: str | None = None, earlier: Run | None = None, chosen: Chosen | None = None) -> Run:
     """All tables of a repository from its files (path, extension, size, content, hash), history and coverage.
 
-    stored (analyses, hashes of an earlier run): files whose hash is the same are not parsed again. Analyses and edges are saved once, since every later table reads them; all else is joined by path in one plan.
+    earlier: files whose hash is the same are not parsed again, and notes that are still right stay as they are, with the
+    time they were made at. Analyses and edges are saved once, since every later table reads them; all else is joined by path
+    in one plan.
     """
     own = files.scanned(all_files, config.include, config.exclude)
     options, modules = parsers.Options(config.api_call_patterns, config.side_effect_packages, go_module), parsers.go_modules(all_files)
-    analysed = saved(reused(own, all_files, options, modules, *stored) if stored else parsers.analyses(own, options, modules), "analyses")
+    kept = earlier is not None and same_settings(earlier, config)
+    analysed = saved(reused(own, all_files, options, modules, earlier.analyses, earlier.parsed) if kept else parsers.analyses(own, options, modules), "analyses")
     edges = saved(dependency_edges(analysed, all_files.select("path"), aliases, go_module, modules), "edges")
-    return assembled(own, all_files, analysed, edges, commits, covered, config, now)
+    return assembled(own, all_files, analysed, edges, commits, covered, config, now, earlier, chosen)
 
 
-def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column) -> Run:
-    """The tables of a run from saved analyses and edges."""
+def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, earlier: Run | None = None, chosen: Chosen | None = None) -> Run:
+    """The tables of a run from saved analyses and edges; index, search and nodes are of the stored and the fresh notes together."""
     docs = saved(documents.governance_docs(all_files), "docs")
     found = saved(governance.divergences(docs, own.select("path"), edges), "divergences")
     signals = saved(
@@ -82,12 +148,34 @@ def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges:
             analysed, edges, resolve.related_tests(own, all_files), covered, history.git_signals(commits), graph.strong_components(edges), found, governance.governed(own.select("path"), governance.file_governance(docs), governance.mappings(docs))
         ), "signals",
     )
-    made = saved(notes.assembled(notes.items(signals, config.language), signals, now), "notes")
+    hashes = all_files.select("path", "hash")
+    prints = incremental.fingerprints(edges, hashes)
+    fresh = saved(due(own, hashes, prints, earlier, config, chosen or Chosen()), "fresh")
+    told = signals.join(fresh, "path", "left_semi")
+    made = notes.assembled(notes.items(told, config.language), told, now)
+    noted, held = hashes, prints
+    if earlier is not None:
+        made = merged_notes(earlier.notes, made, own)
+        old = own.select("path").join(fresh, "path", "left_anti")  # what was not made anew is as it was
+        noted = hashes.join(old, "path", "left_anti").unionByName(earlier.hashes.join(old, "path", "left_semi"))
+        held = prints.join(old, "path", "left_anti").unionByName(incremental.bootstrapped(earlier.fingerprints, prints).join(old, "path", "left_semi"))
+    made = saved(made, "notes")
     flat = made.select(F.col("file_path").alias("path"), F.col("criticality_score").alias("score"), "model", F.col("purpose.observed").alias("purpose_observed"), F.col("purpose.inferred").alias("purpose_inferred"), "generated_at")
     entries = index.entries(flat, graph.reverse(edges, own.select(F.col("path").alias("node"))), now, config.stale_days)
-    hashes = all_files.select("path", "hash")
     texts = notes.search_documents(made)
-    return Run(own, docs, signals, analysed, edges, made, entries, index.graph_nodes(own.select("path"), entries), found, search.postings(texts, "id", texts.columns[1:]), hashes, incremental.fingerprints(edges, hashes))
+    words, grams = search.text_index(texts, "id", texts.columns[1:]), search.gram_index(note_texts(made))
+    settings = all_files.sparkSession.createDataFrame([(settings_digest(config),)], "digest string")
+    return Run(
+        own, docs, signals, analysed, edges, made, entries, index.graph_nodes(own.select("path"), entries), found, words.postings, words.blocks, words.terms, words.forms, words.fields,
+        grams.items, grams.grams, grams.counts, hashes, noted, held, settings, fresh,
+    )
+
+
+def note_texts(made: DataFrame) -> DataFrame:
+    """key, score, field, text: what notes say, for substrings."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.concat(F.col(f)["observed"], F.col(f)["inferred"], F.transform(F.col(f)["evidence"], lambda e: e["detail"])).alias("texts")) for f in rules.NOTE_FIELDS))
+    each = made.select(F.col("file_path").alias("key"), F.col("criticality_score").alias("score"), F.explode(fields).alias("f"))
+    return each.select("key", "score", "f.field", F.explode("f.texts").alias("text"))
 
 
 def run_repository(spark: SparkSession, config: Config, now: Column, **more) -> Run:
@@ -112,11 +200,6 @@ def reused(own: DataFrame, all_files: DataFrame, options: parsers.Options, modul
     return kept.unionByName(parsers.analyses(own.join(same, "path", "left_anti"), options, modules))
 
 
-def written_notes(made: Run, pattern: str | None = None) -> DataFrame:
-    """The notes that a run writes; with a glob only those of paths that match it: graph and signals are of all files all the same."""
-    return made.notes if pattern is None else made.notes.where(paths.any_glob(F.col("file_path"), (pattern,)))
-
-
 def merged_notes(stored: DataFrame, fresh: DataFrame, present: DataFrame) -> DataFrame:
     """What aggregates are made of after a run over some files: its notes over the stored ones, without those of files that are gone."""
     return incremental.upserted(stored, fresh, "file_path", present.select(F.col("path").alias("file_path")))
@@ -136,6 +219,11 @@ def synthesised_notes(made: Run, planned: DataFrame, asked: DataFrame, complete,
     return made.notes.join(chosen.select("file_path"), "file_path", "left_anti").unionByName(told.select(*made.notes.columns))
 
 
+def restaled(entries: DataFrame, now: Column, days: int) -> DataFrame:
+    """The index with stale as of now: notes grow old while they are stored."""
+    return entries.withColumn("stale", index.is_stale(F.col("generated_at"), now, days))
+
+
 def report(made: Run, top: int = 5) -> DataFrame:
     """kind, name, value: the first files by score, how many files have no tests, divergences by severity."""
     first = index.ranked(made.index).limit(top).select(F.lit("top").alias("kind"), F.col("path").alias("name"), F.col("score").cast("double").alias("value"))
@@ -144,49 +232,93 @@ def report(made: Run, top: int = 5) -> DataFrame:
     return first.unionByName(bare).unionByName(counts)
 
 
-def plan(made: Run, stored_hashes: DataFrame, stored_fingerprints: DataFrame, changes: DataFrame, config: Config, provider: bool, force: bool = False) -> DataFrame:
-    """path, hit, boosted, uses_llm, premium: what a run would do with each file."""
+def plan(made: Run, earlier: Run | None, changes: DataFrame, config: Config, provider: bool, force: bool = False) -> DataFrame:
+    """path, hit, boosted, uses_llm, premium: what a run would do with each file, given an earlier one."""
     own = made.index.select("path", "score", F.size("dependents").cast("long").alias("consumers")).join(changes, "path", "left").withColumn("category", paths.category(F.col("path")))
-    state = incremental.status(made.hashes, stored_hashes)
-    stale = incremental.stale_dependencies(made.fingerprints.join(stored_fingerprints.select("path").distinct(), "path", "left_semi"), stored_fingerprints, stored_fingerprints.select("path").distinct())
     forced = index.quota(own, config.new_source_quota).select("path", F.lit(True).alias("forced"))
     boosted = F.col("score") + scoring.as_score(scoring.boost_points(F.col("category"), F.col("edit")))
-    joined = own.join(incremental.cache_hits(state, stale, force=force), "path", "left").join(forced, "path", "left")
+    joined = own.join(forced, "path", "left")
+    if earlier is None or force or not same_settings(earlier, config):
+        joined = joined.withColumn("hit", F.lit(False))
+    else:
+        joined = joined.join(hits(made.parsed, incremental.fingerprints(made.edges, made.parsed), earlier), "path", "left")
     uses = scoring.synthesis_gate(F.lit(provider), paths.is_skipped(F.col("category")), boosted, config.llm_threshold, F.coalesce("forced", F.lit(False)))
     return joined.select("path", F.coalesce("hit", F.lit(False)).alias("hit"), boosted.alias("boosted"), uses.alias("uses_llm"), (F.col("score") >= config.high_threshold).alias("premium"))
 
 
-TABLES = ("files", "documents", "signals", "analyses", "notes", "index", "nodes", "edges", "divergences", "hashes", "fingerprints")
+#: What look-ups narrow a table by: its rows lie in ranges of it, so that files and row groups are pruned.
+SORTED = {"postings": "term", "blocks": "term", "terms": "term", "forms": "form", "grams": "gram", "counts": "gram", "notes": "file_path", "index": "path", "nodes": "path", "edges": "src", "divergences": "file"}
 
 
-def stored(spark: SparkSession, out: str) -> Run:
-    """A written run, read back: what serving starts from; no postings or notes are made anew."""
-    return Run(**{f.name: spark.read.parquet(f"{out}/{f.name}") for f in dataclasses.fields(Run)})
+def versions(spark: SparkSession, out: str):
+    """Hadoop's file system of a folder, and its path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def write(made: Run, out: str) -> None:
-    """The tables as Parquet under a folder; notes also as JSON lines and a pretty file each, the index also as JSON and Markdown; postings by term."""
-    for name in TABLES:
-        getattr(made, name).write.mode("overwrite").parquet(f"{out}/{name}")
-    made.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{out}/postings")
-    made.notes.write.mode("overwrite").json(f"{out}/notes_json")
-    notes.write_files(made.notes, f"{out}/notes_files")
-    index.ranked(made.index).write.mode("overwrite").json(f"{out}/index_json")
-    index.markdown(made.index).select("text").coalesce(1).write.mode("overwrite").text(f"{out}/index_markdown", lineSep="\n\n")
-    made.fingerprints.orderBy("path", "dep").write.mode("overwrite").json(f"{out}/fingerprints_json")
-    notes.markdown(made.notes).select("text").write.mode("overwrite").text(f"{out}/notes_markdown", lineSep="\n\f\n")
+def current(spark: SparkSession, out: str) -> str | None:
+    """The folder of the version that readers are to take: the last one of which all tables were written."""
+    system, path = versions(spark, out)
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/v*/_DONE")
+    found = [str(f.getPath().getParent().getName()) for f in system.globStatus(pattern) or []] if system.exists(path) else []
+    return f"{out}/{max(found)}" if found else None
+
+
+def stored(spark: SparkSession, out: str) -> Run | None:
+    """The current version of a written run, read back: what serving and the next run start from; None where there is none."""
+    folder = current(spark, out)
+    return folder and Run(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in dataclasses.fields(Run)})
+
+
+def write(made: Run, out: str, keep: int = 2) -> str:
+    """The tables as Parquet in the folder of a new version, which counts once all of them are written; older ones but for the last keep go.
+
+    Notes also as JSON lines and a pretty file each, the index also as JSON and Markdown.
+    """
+    spark = made.notes.sparkSession
+    system, _ = versions(spark, out)
+    last = current(spark, out)
+    folder = f"{out}/v{int(last.rpartition('/v')[2]) + 1 if last else 1:09d}"
+    for f in dataclasses.fields(Run):
+        table = getattr(made, f.name)
+        if by := SORTED.get(f.name):
+            table = table.repartitionByRange(by).sortWithinPartitions(by)
+        table.write.mode("overwrite").parquet(f"{folder}/{f.name}")
+    made.notes.write.mode("overwrite").json(f"{folder}/notes_json")
+    notes.write_files(made.notes.join(made.fresh.select(F.col("path").alias("file_path")), "file_path", "left_semi"), f"{out}/notes")
+    notes.remove_files(spark, f"{out}/notes", made.notes.select("file_path"), last and spark.read.parquet(f"{last}/notes").select("file_path"))
+    index.ranked(made.index).write.mode("overwrite").json(f"{folder}/index_json")
+    index.markdown(made.index).select("text").coalesce(1).write.mode("overwrite").text(f"{folder}/index_markdown", lineSep="\n\n")
+    made.fingerprints.orderBy("path", "dep").write.mode("overwrite").json(f"{folder}/fingerprints_json")
+    notes.markdown(made.notes).select("text").write.mode("overwrite").text(f"{folder}/notes_markdown", lineSep="\n\f\n")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system.create(hadoop(f"{folder}/_DONE")).close()
+    done = sorted(str(f.getPath().getParent().getName()) for f in system.globStatus(hadoop(f"{out}/v*/_DONE")))
+    for name in done[:-keep]:
+        system.delete(hadoop(f"{out}/{name}"), True)
+    return folder
 
 
 def apply_changes(spark: SparkSession, out: str, changed: DataFrame, all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column) -> None:
-    """A micro-batch of changed files (filename) against stored tables: their analyses and edges are replaced, all else is made anew from them.
+    """A micro-batch of changed files (filename) against the current version, written as the next one.
 
-    Idempotent: the same batch again gives the same tables. New versions are saved beside the old ones and then take their place.
+    Analyses and edges of the files are replaced; notes are made anew for them, for files that depend on them or did, and for
+    what they depend on or did; all other notes stay. Idempotent: the same batch again gives the same tables.
     """
+    earlier = stored(spark, out)
     options, modules = parsers.Options(config.api_call_patterns, config.side_effect_packages), parsers.go_modules(all_files)
-    own = files.scanned(all_files, config.include, config.exclude)
-    fresh = saved(parsers.analyses(own.join(changed.select(F.col("filename").alias("path")).distinct(), "path", "left_semi"), options, modules), "fresh")
-    old = spark.read.parquet(f"{out}/analyses")
-    analysed = saved(incremental.upserted(old, fresh, present=own.select("path")), "analyses")
-    stored_edges = spark.read.parquet(f"{out}/edges").join(own.select(F.col("path").alias("src")), "src", "left_semi")
-    edges = graph.with_replaced(stored_edges, dependency_edges(fresh, all_files.select("path"), aliases_of(all_files) or None, modules=modules), fresh.select(F.col("path").alias("src")))
-    write(assembled(saved(own, "files"), all_files, analysed, saved(edges, "edges"), commits, covered, config, now), out)
+    own = saved(files.scanned(all_files, config.include, config.exclude), "files")
+    moved = saved(changed.select(F.col("filename").alias("path")).distinct(), "moved")
+    fresh = saved(parsers.analyses(own.join(moved, "path", "left_semi"), options, modules), "analyses_of_changed")
+    analysed = saved(incremental.upserted(earlier.analyses, fresh, present=own.select("path")), "analyses")
+    kept = earlier.edges.join(own.select(F.col("path").alias("src")), "src", "left_semi")
+    edges = saved(graph.with_replaced(kept, dependency_edges(fresh, all_files.select("path"), aliases_of(all_files) or None, modules=modules), fresh.select(F.col("path").alias("src"))), "edges")
+    write(assembled(own, all_files, analysed, edges, commits, covered, config, now, earlier, Chosen(paths=affected(moved, earlier.edges, edges))), out)
+
+
+def affected(moved: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """path: files that changed (moved), and their neighbours on either side, as edges were and as they are."""
+    links = before.select("src", "dst").union(after.select("src", "dst")).distinct()
+    up = links.join(moved.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("src").alias("path"))
+    down = links.join(moved.withColumnRenamed("path", "src"), "src", "left_semi").select(F.col("dst").alias("path"))
+    return moved.union(up).union(down).distinct()

@@ -63,6 +63,42 @@ def scc_members(spark, sf_dir):
     return graph.strong_components(edges(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {REACH}, own AS (SELECT node, least(node, min(other)) AS component FROM (SELECT a.start AS node, b.start AS other FROM reach a JOIN reach b ON a.node = b.start AND b.node = a.start) GROUP BY node),
+inside AS (SELECT l.src, l.dst, a.component FROM links l JOIN own a ON a.node = l.src JOIN own b ON b.node = l.dst AND a.component = b.component),
+walk(component, node, level, path) AS (SELECT component, component, 0, [component] FROM own WHERE node = component
+UNION ALL SELECT w.component, i.dst, w.level + 1, min(list_append(w.path, i.dst)) FROM walk w JOIN inside i ON i.component = w.component AND i.src = w.node WHERE w.level < {PACKAGE} AND (w.level = 0 OR w.node <> w.component) GROUP BY w.component, i.dst, w.level)
+SELECT component, array_to_string(arg_min(path, level), ' ') AS cycle FROM walk WHERE level > 0 AND node = component GROUP BY component""")
+def cycle_witness(spark, sf_dir):
+    return graph.cycle_witnesses(edges(spark, sf_dir)).select("component", F.array_join("cycle", " ").alias("cycle"))
+
+
+CHAIN = "links AS (SELECT s_suppkey AS src, s_suppkey + 1 AS dst FROM supplier UNION SELECT s_suppkey, 1 FROM supplier WHERE s_suppkey % 9 = 0)"
+
+
+@query(f"""WITH {CHAIN}, n AS (SELECT DISTINCT unnest([src, dst]) AS node FROM links), top AS (SELECT max(src) AS ring FROM links WHERE dst = 1 AND src > 1), ends AS (SELECT min(node) AS first, max(node) AS last FROM n)
+SELECT n.node, (last - n.node + CASE WHEN n.node BETWEEN 1 AND ring THEN n.node - 1 ELSE 0 END)::BIGINT AS transitive_dependencies,
+(CASE WHEN n.node BETWEEN 1 AND ring THEN ring - first ELSE n.node - first END)::BIGINT AS transitive_dependents FROM n, top, ends""")
+def chain_reach(spark, sf_dir):
+    """One path through all suppliers, from every ninth of which an edge leads back to the first: what each reaches, however long the path."""
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("src"))
+    links = own.select("src", (F.col("src") + 1).alias("dst")).union(own.where("src % 9 = 0").select("src", F.lit(1).cast("long")))
+    return graph.closure_counts(links)
+
+
+CONNECTED = "edges AS (SELECT l_orderkey AS src, l_orderkey * 3 // 5 + l_linenumber AS dst FROM lineitem WHERE l_orderkey * 3 // 5 + l_linenumber <> l_orderkey)"
+
+
+@query(f"""WITH RECURSIVE {CONNECTED}, links AS (SELECT DISTINCT src, dst FROM edges), own AS (SELECT DISTINCT unnest([src, dst]) AS node FROM links),
+low AS (SELECT node FROM own WHERE node <= 20), reach(start, node) AS (SELECT src, dst FROM links WHERE src <= 20 UNION SELECT r.start, e.dst FROM reach r JOIN links e ON e.src = r.node),
+m AS (SELECT a.start AS node, b.start AS other FROM reach a JOIN reach b ON a.node = b.start AND b.node = a.start)
+SELECT node, least(node, min(other)) AS component FROM m GROUP BY node""")
+def connected_components(spark, sf_dir):
+    """A graph that hangs together: an order depends on some of about three fifths its number, so all lead to a few cycles among the least."""
+    to = F.floor(F.col("l_orderkey") * 3 / 5) + F.col("l_linenumber")
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), to.cast("long").alias("dst"))
+    return graph.strong_components(own.where("src != dst"))
+
+
 EGO = f"""{HUB}, up(node, level) AS (SELECT start, 0 FROM hub UNION SELECT e.src, b.level + 1 FROM up b JOIN edges e ON e.dst = b.node WHERE b.level < 2),
 down(node, level) AS (SELECT start, 0 FROM hub UNION SELECT e.dst, b.level + 1 FROM down b JOIN edges e ON e.src = b.node WHERE b.level < 2),
 u AS (SELECT node, min(level) AS level FROM up GROUP BY node), d AS (SELECT node, min(level) AS level FROM down GROUP BY node),

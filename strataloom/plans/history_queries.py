@@ -96,6 +96,16 @@ def cochange_top10(spark, sf_dir):
     return history.cochanged(commits(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("""WITH own AS (SELECT DISTINCT l_suppkey AS file, l_orderkey::VARCHAR AS commit FROM lineitem UNION SELECT s_suppkey, 'all' FROM supplier),
+pairs AS (SELECT a.file, b.file AS other, count(*) AS n FROM own a JOIN own b ON a.commit = b.commit AND a.file <> b.file GROUP BY 1, 2)
+SELECT file, other, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n DESC, other) AS rank FROM pairs) WHERE rank <= 10""")
+def large_commit(spark, sf_dir):
+    """Suppliers of an order change together, and one commit changes all suppliers: it is paired piece by piece."""
+    small = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").cast("string").alias("commit"))
+    own = small.union(table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("all")))
+    return history.cochanged(own).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"""WITH churned AS ({CHURN_SQL}), {PAIRS_SQL}, most AS (SELECT file, max(n) AS max_cochange FROM pairs GROUP BY file)
 SELECT file, churn, max_cochange, ({POINTS["co_change"]})::BIGINT AS points FROM churned JOIN most USING (file)""")
 def cochange_ratio(spark, sf_dir):

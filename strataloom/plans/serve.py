@@ -12,7 +12,7 @@ from ..functions.scoring import is_hotspot
 from ..operators import business_rules, governance, graph, index, resolve, search
 from ..sources import documents
 from ..sources.config import inside
-from .generate import Run
+from .generate import Run, note_texts
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -83,17 +83,17 @@ def full_text_search(made: Run, query: str, limit: int = 20) -> DataFrame:
         found = substring_search(made, query, limit).select("key", F.col("score").cast("double").alias("score"), F.array_distinct(F.transform("matches", lambda m: m["field"])).alias("fields"))
         meta = made.index.select(F.col("path").alias("key"), F.col("score").alias("criticality"), "domain")
         return found.join(meta, "key", "left").fillna({"criticality": 0, "domain": ""}).select("key", "score", "fields", "criticality", "domain").orderBy(F.desc("score"), "key")
-    hits = search.search(made.postings, query, limit)
+    hits = search.search(made.text, query, limit)
     meta = made.index.select(F.col("path").alias("key"), F.col("score").alias("criticality"), "domain")
     return hits.join(meta, "key", "left").fillna({"criticality": 0, "domain": ""}).orderBy(F.desc("score"), "key")
 
 
 @tool
 def substring_search(made: Run, query: str, limit: int = 20) -> DataFrame:
-    """What the search falls back to without an index."""
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.concat(F.col(f)["observed"], F.col(f)["inferred"], F.transform(F.col(f)["evidence"], lambda e: e["detail"])).alias("texts")) for f in rules.NOTE_FIELDS))
-    each = made.notes.select(F.col("file_path").alias("key"), F.col("criticality_score").alias("score"), F.explode(fields).alias("f")).select("key", "score", "f.field", F.explode("f.texts").alias("text"))
-    return search.substring_scan(each, query, limit)
+    """What the search falls back to without an index: by trigrams where there are any."""
+    if made.grams is None:
+        return search.substring_scan(note_texts(made.notes), query, limit)
+    return search.substring_search(made.substrings, query, limit)
 
 
 @tool

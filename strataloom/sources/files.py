@@ -9,10 +9,10 @@ from ..functions import paths, rules
 
 
 def scanned(files: DataFrame, include=rules.DEFAULT_INCLUDE, exclude=rules.DEFAULT_EXCLUDE) -> DataFrame:
-    """The files whose path matches an include glob and no exclude glob, no hidden segment, each path once, by path."""
+    """The files whose path matches an include glob and no exclude glob, no hidden segment, each path once."""
     path = F.col("path")
     hidden = path.rlike(r"(^|/)\.")
-    return files.where(paths.any_glob(path, include) & ~paths.any_glob(path, exclude) & ~hidden).dropDuplicates(["path"]).orderBy("path")
+    return files.where(paths.any_glob(path, include) & ~paths.any_glob(path, exclude) & ~hidden).dropDuplicates(["path"])
 
 
 def scan_repository(spark: SparkSession, root: str, include=rules.DEFAULT_INCLUDE, exclude=rules.DEFAULT_EXCLUDE) -> DataFrame:
@@ -29,6 +29,11 @@ def scan_repository(spark: SparkSession, root: str, include=rules.DEFAULT_INCLUD
     return kept.select("path", paths.extension(F.col("path")).alias("extension"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha1("content").alias("hash"))
 
 
+def by_path(files: DataFrame) -> DataFrame:
+    """Files in the order of their paths as people sort them (Unicode collation), not by code points."""
+    return files.orderBy(F.collate("path", "UNICODE"), "path")
+
+
 def listing(files: DataFrame) -> DataFrame:
-    """A JSON object for each file of a scan."""
-    return files.select(F.to_json(F.struct("path", "extension", "size")).alias("value"))
+    """A JSON object for each file of a scan, by path."""
+    return by_path(files.select("path", "extension", "size")).select(F.to_json(F.struct("path", "extension", "size")).alias("value"))

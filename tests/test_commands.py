@@ -1,5 +1,6 @@
 """Commands, stored tables and requests over a small repository; prompts, aliases, renames, governance and shapes of signatures."""
 
+import dataclasses
 import json
 import subprocess
 import time
@@ -46,7 +47,7 @@ def test_commands(spark, root):
     assert {json.loads(x)["path"] for x in said} == {"src/index.ts", "src/utils.ts", "src/orders.service.ts", "lib/deep.ts"}
     said.clear()
     cli.main(["generate", "--root", root, "--verbose"], said.append)
-    assert said[0].startswith("4 notes") and any(x.startswith("untested: files") for x in said)
+    assert said[0].startswith("4 of 4 notes made") and any(x.startswith("untested: files") for x in said)
     said.clear()
     cli.main(["generate", "--root", root, "--dry-run"], said.append)
     assert said == ["0 to write, 4 to skip, 0 for a model"]
@@ -71,15 +72,34 @@ def test_commands(spark, root):
     assert by[None]["error"]["code"] == -32700 and by[5]["error"]["code"] == by[9]["error"]["code"] == -32601 and by[6]["error"]["code"] == by[7]["error"]["code"] == -32602
     assert len(said) == 10
     made = generate.stored(spark, f"{root}/notes/tables")
+    with open(f"{root}/notes/tables/notes/src/utils.ts.json") as f:
+        assert json.load(f)["file_path"] == "src/utils.ts"
     assert {(r["src"], r["dst"]) for r in made.edges.collect()} == {("src/index.ts", "src/utils.ts"), ("src/orders.service.ts", "lib/deep.ts")}
     notes = {r["file_path"]: r["debug_signals"] for r in made.notes.collect()}
     assert notes["src/utils.ts"]["coverage_pct"] == 0.25 and notes["src/orders.service.ts"]["churn_score"] == 2
     asked = {r["path"]: r for r in generate.prompted(made, made.files, config.Config(root)).collect()}
     assert asked["src/orders.service.ts"]["file_type"] == "service" and "lib/deep.ts: deep" in asked["src/orders.service.ts"]["prompt"]
     old = made.notes.where("file_path = 'src/index.ts'")
-    assert generate.merged_notes(made.notes, old, made.files).count() == 4 and generate.written_notes(made, "src/*.service.ts").count() == 1
-    made.postings = None
-    assert generate.index.ranked(made.index).count() == 4
+    assert generate.merged_notes(made.notes, old, made.files).count() == 4
+    made.postings = made.grams = None
+    assert protocol.serve.call(made, "full_text_search", query="FIXME: mo").first()["key"] == "src/utils.ts"
+    before = {r["file_path"]: r["generated_at"] for r in made.notes.collect()}
+    said.clear()
+    cli.main(["generate", "--root", root], said.append)
+    assert said[0].startswith("0 of 4 notes made")
+    cli.main(["update", "--root", root], said.append)
+    assert said[1] == "0 stale notes"
+    old = generate.stored(spark, f"{root}/notes/tables")
+    assert {r["file_path"]: r["generated_at"] for r in old.notes.collect()} == before
+    aged = generate.saved(old.notes.withColumn("generated_at", F.when(F.col("file_path") == "lib/deep.ts", F.lit("2001-01-01").cast("timestamp")).otherwise(F.col("generated_at"))), "aged")
+    times = aged.select(F.col("file_path").alias("path"), "generated_at")
+    generate.write(dataclasses.replace(old, notes=aged, index=generate.saved(old.index.drop("generated_at").join(times, "path").select(*old.index.columns), "index")), f"{root}/notes/tables")
+    said.clear()
+    cli.main(["update", "--root", root], said.append)
+    assert said[0] == "1 stale notes" and said[1].startswith("1 of 4 notes made")
+    now = {r["file_path"]: r["generated_at"] for r in generate.stored(spark, f"{root}/notes/tables").notes.collect()}
+    assert now.pop("lib/deep.ts") > before.pop("lib/deep.ts") and now == before
+    assert generate.index.ranked(generate.stored(spark, f"{root}/notes/tables").index).count() == 4
 
 
 def test_one_run_at_a_time():
@@ -100,6 +120,25 @@ def test_renames_are_followed(spark, root):
     assert {(r["file"], r["commit"]) for r in git_log.followed(own).collect()} == {("d", "1"), ("d", "2"), ("d", "3"), ("b", "4"), ("x", "5")}
 
 
+def test_names_of_all_kinds(spark, tmp_path):
+    """History, renames and differences of names that git would quote."""
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=A", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    names = ["é.ts", 'qu"ote.ts', "back\\slash.ts", "tab\there.ts", "日本.ts"]
+    for name in names:
+        (tmp_path / name).write_text(f"export const a = 1 // {name}\n" * 5)
+    git("add", ".")
+    git("commit", "-qm", "first")
+    time.sleep(1.1)
+    git("mv", "é.ts", "ü.ts")
+    git("commit", "-qm", "second")
+    (tmp_path / "日本.ts").write_text("x\n")
+    git("commit", "-qam", "third")
+    found = {r["file"]: r["n"] for r in git_log.history(spark, str(tmp_path)).groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found == {"ü.ts": 2, 'qu"ote.ts': 1, "back\\slash.ts": 1, "tab\there.ts": 1, "日本.ts": 2}
+    assert {(r["path"], r["edit"]) for r in git_log.changes(spark, str(tmp_path), "HEAD~2").collect()} == {("ü.ts", "modified"), ("é.ts", "deleted"), ("日本.ts", "modified")}
+
+
 def test_coverage_falls_back(spark):
     rows = [("coverage/coverage-summary.json", '{"total": {"lines": {"pct": 9}}, "/r/a.ts": {"lines": {"pct": 50}}}')]
     files = spark.createDataFrame(rows, "path string, content string")

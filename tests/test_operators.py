@@ -155,6 +155,87 @@ def test_quota_and_ranking(spark):
     assert index.quota(own, 0).count() == 0
 
 
+def random_graphs():
+    r = random.Random(6)
+    out = [(a, b) for k in range(5) for a, b in ((100 * k + r.randint(0, 13), 100 * k + r.randint(0, 13)) for _ in range(16 + 3 * k))]
+    return out + [(a, b) for a, b in ((r.randint(0, 450), r.randint(0, 450)) for _ in range(40)) if a // 100 < b // 100]
+
+
+def brute_reach(edges):
+    ahead = {n: {b for a, b in edges if a == n} for e in edges for n in e}
+
+    def reach(n):
+        seen, todo = set(), [n]
+        while todo:
+            for b in ahead[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        return seen
+
+    return ahead, {n: reach(n) for n in ahead}
+
+
+@pytest.mark.parametrize("local", [2_000_000, 0])
+def test_components_and_reach(spark, monkeypatch, local):
+    """In one task and by rounds of joins, against plain search; names as well as numbers; one target and many in a block."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    monkeypatch.setattr(graph, "BLOCK_TARGETS", 64)
+    edges = random_graphs()
+    ahead, reach = brute_reach(edges)
+    expected = {n: min(m for m in reach[n] if n in reach[m]) for n in ahead if n in reach[n]}
+    own = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    assert {r["node"]: r["component"] for r in graph.strong_components(own).collect()} == expected
+    counts = {r["node"]: (r["transitive_dependencies"], r["transitive_dependents"]) for r in graph.closure_counts(own).collect()}
+    assert counts == {n: (len(reach[n] - {n}), sum(n in reach[m] for m in ahead if m != n)) for n in ahead}
+    if local:
+        named = spark.createDataFrame([(f"n{a:03d}", f"n{b:03d}") for a, b in edges], "src string, dst string")
+        assert {r["node"]: r["component"] for r in graph.strong_components(named).collect()} == {f"n{n:03d}": f"n{c:03d}" for n, c in expected.items()}
+        assert {r["node"]: r["transitive_dependents"] for r in graph.closure_counts(named).collect()} == {f"n{n:03d}": c for n, (_, c) in counts.items()}
+        nothing = spark.createDataFrame([], "src long, dst long")
+        assert graph.strong_components(nothing).count() == graph.closure_counts(nothing).count() == graph.cycle_witnesses(nothing).count() == 0
+
+
+def test_long_chain(spark):
+    """10,000 nodes in a row, a cycle at the end: no round for each node."""
+    links = [(k, k + 1) for k in range(10_000)] + [(10_000, 9_000)]
+    own = spark.createDataFrame(links, "src long, dst long")
+    found = {r["node"]: r["component"] for r in graph.strong_components(own).collect()}
+    assert found == {n: 9_000 for n in range(9_000, 10_001)}
+    counts = {r["node"]: (r["transitive_dependencies"], r["transitive_dependents"]) for r in graph.closure_counts(own).collect()}
+    assert counts == {n: (10_000 - n, n) if n < 9_000 else (1_000, 10_000) for n in range(10_001)}
+
+
+def test_cycle_witnesses(spark):
+    """One shortest cycle for each component, the first by its nodes; a self-loop is a cycle."""
+    edges = random_graphs() + [(900, 900), (901, 902), (902, 901), (901, 901)]
+    ahead, reach = brute_reach(edges)
+    least = {min(m for m in reach[n] if n in reach[m]) for n in ahead if n in reach[n]}
+    expected = {}
+    for start in least:
+        paths = [[start]]
+        while start not in expected:
+            paths = [[*p, b] for p in paths for b in sorted(ahead[p[-1]]) if b == start or (b not in p and start in reach[b])]
+            if done := [p for p in paths if p[-1] == start]:
+                expected[start] = min(done)
+            best = {}
+            for p in sorted(paths):
+                best.setdefault(p[-1], p)
+            paths = list(best.values())
+    found = {r["component"]: r["cycle"] for r in graph.cycle_witnesses(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert found == expected and found[901] == [901, 901] and any(len(c) > 3 for c in found.values())
+
+
+def test_large_commits_are_cut(spark, monkeypatch):
+    """Pieces of a commit give each pair once, as an uncut commit does; no key of the join has more than two pieces' pairs."""
+    rows = [(f"f{k}", "big", k) for k in range(120)] + [(f"f{k}", f"c{k % 9}", k) for k in range(60)] + [("f1", "big", 1)]
+    own = spark.createDataFrame(rows, "file string, commit string, n int")
+    whole = {(r["file"], r["other"]): r["n"] for r in history.pair_counts(own).collect()}
+    assert len(whole) == 120 * 119
+    monkeypatch.setattr(history, "PIECE", 10)
+    assert {(r["file"], r["other"]): r["n"] for r in history.pair_counts(own).collect()} == whole
+    assert {(r["file"], r["other"]): r["n"] for r in history.pair_counts(own, most_files=100).collect()} == {k: n for k in whole if (n := whole[k] - 1)}
+
+
 def test_search(spark):
     docs = spark.createDataFrame([("a", "payment gateway token", "x"), ("b", "user profile", "payment"), ("c", "something else on", "y"), ("d", "see api-route", None)], "id string, purpose string, notes string")
     built = search.text_index(docs, "id", ["purpose", "notes"])

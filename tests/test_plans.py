@@ -1,5 +1,7 @@
 """Sources, the whole run, serving queries, streaming, and the entry module."""
 
+import dataclasses
+import os
 import subprocess
 
 import duckdb
@@ -61,7 +63,7 @@ def made(spark, repo):
 
 def test_scan(spark, repo):
     out = files.scan_repository(spark, repo)
-    assert [r["path"] for r in out.collect()] == ["src/index.ts", "src/user.controller.ts", "src/utils.ts"]
+    assert [r["path"] for r in files.by_path(out).collect()] == ["src/index.ts", "src/user.controller.ts", "src/utils.ts"]
     one = out.where("path = 'src/utils.ts'").first()
     assert one["extension"] == ".ts" and one["size"] == len(one["content"]) and len(one["hash"]) == 40
     assert '"path":"src/index.ts"' in files.listing(out).first()["value"]
@@ -147,19 +149,56 @@ def test_serving(made):
 def test_plan_write_and_incremental(spark, made, repo, tmp_path):
     nothing = spark.createDataFrame([], "path string, edit string")
     own = config.Config(repo, include=("**/*.ts", "**/*.py"))
-    plan = {r["path"]: r for r in generate.plan(made, made.hashes, made.fingerprints, nothing, own, True).collect()}
-    assert all(r["hit"] for r in plan.values())
+    plan = {r["path"]: r for r in generate.plan(made, made, nothing, own, True).collect()}
+    assert all(r["hit"] for r in plan.values()) and not generate.plan(made, made, nothing, own, True, force=True).where("hit").count()
     changed = made.hashes.withColumn("hash", F.when(F.col("path") == "src/utils.ts", "old").otherwise(F.col("hash")))
     prints = made.fingerprints.withColumn("hash", F.when(F.col("dep") == "src/utils.ts", "old").otherwise(F.col("hash")))
-    assert {r["path"] for r in generate.plan(made, changed, prints, nothing, own, True).where("NOT hit").collect()} == {"src/utils.ts", "src/index.ts"}
-    generate.write(made, str(tmp_path))
+    earlier = dataclasses.replace(made, hashes=changed, fingerprints=prints)
+    assert {r["path"] for r in generate.plan(made, earlier, nothing, own, True).where("NOT hit").collect()} == {"src/utils.ts", "src/index.ts"}
+    out = str(tmp_path)
+    assert generate.stored(spark, out) is None
+    generate.write(made, out)
     everything = files.scan_repository(spark, repo, ("src/*.ts", "pkg/*.py"), ("**/*.test.ts",))
     edited = everything.withColumn("content", F.when(F.col("path") == "src/index.ts", "export const alone = 1").otherwise(F.col("content")))
     batch = spark.createDataFrame([("src/index.ts",)], "filename string")
+    later = F.lit("2024-06-09").cast("timestamp")
     for _ in range(2):
-        generate.apply_changes(spark, str(tmp_path), batch, edited, git_log.history(spark, repo), spark.createDataFrame([], "path string, coverage_pct double"), own, now())
-    out = {r["file_path"]: r["debug_signals"]["reverse_dep_count"] for r in spark.read.parquet(f"{tmp_path}/notes").collect()}
-    assert out["src/utils.ts"] == 0 and out["src/index.ts"] == 1
+        generate.apply_changes(spark, out, batch, edited, git_log.history(spark, repo), spark.createDataFrame([], "path string, coverage_pct double"), own, later)
+    kept = generate.stored(spark, out)
+    found = {r["file_path"]: r for r in kept.notes.collect()}
+    assert found["src/utils.ts"]["debug_signals"]["reverse_dep_count"] == 0 and found["src/index.ts"]["debug_signals"]["reverse_dep_count"] == 1
+    days = {p: str(r["generated_at"])[:10] for p, r in found.items()}
+    assert days == {"src/index.ts": "2024-06-09", "src/utils.ts": "2024-06-09", "src/user.controller.ts": "2024-06-09", "pkg/a.py": "2024-06-01", "pkg/b.py": "2024-06-01"}
+    assert serve.call(kept, "full_text_search", query="alone").count() >= 0 and serve.call(kept, "get_index").count() == 5
+    assert len([n for n in os.listdir(out) if n.startswith("v")]) == 2  # the current version and the one before
+
+
+def test_unchanged_files_keep_their_notes(spark, repo, made):
+    """Notes of files that are as they were stay, whatever time it is; settings, force, a glob and a list choose otherwise."""
+    own, later = config.Config(repo, include=("**/*.ts", "**/*.py")), F.lit("2025-01-01").cast("timestamp")
+    days = lambda run: {r["file_path"]: str(r["generated_at"])[:4] for r in run.notes.collect()}
+    again = lambda own=own, **chosen: generate.run_repository(spark, own, later, earlier=made, chosen=generate.Chosen(**chosen))
+    same = again()
+    assert set(days(same).values()) == {"2024"} and same.fresh.count() == 0
+    assert same.index.where("stale").count() == 5 and same.notes.count() == 5
+    assert set(days(again(force=True)).values()) == {"2025"}
+    some = days(again(force=True, pattern="src/*.ts"))
+    assert {p for p, y in some.items() if y == "2025"} == {p for p in some if p.startswith("src/")} and len(some) == 5
+    one = again(paths=spark.createDataFrame([("pkg/b.py",), ("gone.py",)], "path string"))
+    assert {p for p, y in days(one).items() if y == "2025"} == {"pkg/b.py"}
+    assert set(days(again(dataclasses.replace(own, language="de"))).values()) == {"2025"}
+    gone = dataclasses.replace(made, notes=made.notes.where("file_path != 'pkg/b.py'"))
+    assert {p for p, y in days(generate.run_repository(spark, own, later, earlier=gone)).items() if y == "2025"} == {"pkg/b.py"}
+
+
+def test_history_by_ranges(spark, repo, monkeypatch):
+    """Ranges of one commit give the same rows as one range; a date leaves ranges out."""
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole, cut = git_log.history(spark, repo), git_log.commit_texts(spark, repo, 1)
+    assert cut.rdd.getNumPartitions() == 4 and rows(git_log.history(spark, repo, size=1)) == rows(whole)
+    latest = whole.agg(F.max("at")).first()[0]
+    assert rows(git_log.history(spark, repo, since=latest)) == rows(whole.where(F.col("at") >= F.lit(latest)))
+    assert git_log.commit_texts(spark, repo, 1).where(F.col("at") > F.lit("2999-01-01").cast("timestamp")).rdd.getNumPartitions() == 1
 
 
 def test_documents(spark, tmp_path):
