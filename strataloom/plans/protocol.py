@@ -1,4 +1,9 @@
-"""Requests by line: JSON-RPC over the serving queries, for one repository or several, and one run at a time with its log."""
+"""Requests by line: JSON-RPC over the serving queries, for one repository or several, and one run at a time with its log.
+
+A reply holds a page of rows and, where there are more, a mark to ask for the next page with. Rows are ordered by the query's
+own order and then by all other plain columns, and a page begins after the last row of the one before, so a result of any size
+comes whole, page by page, and a page's filter on sorted tables prunes what comes before it.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +13,16 @@ import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
+
 from . import serve
 from .generate import Run
 
 PROTOCOL = "2024-11-05"
 PARSE_ERROR, NO_METHOD, BAD_PARAMETERS, FAILED = -32700, -32601, -32602, -32603
-#: Rows of a reply; more are told to be left out.
+#: Rows of a page at most.
 MOST_ROWS = 1_000
 KINDS = {"str": "string", "int": "integer", "float": "number", "bool": "boolean"}
 
@@ -62,19 +71,53 @@ def tools() -> list[dict]:
     out = [{"name": "list_repos", "description": "The repositories that are served.", "inputSchema": {"type": "object", "properties": {}}}]
     for name, f in sorted(serve.TOOLS.items()):
         parameters = {k: p for k, p in inspect.signature(f).parameters.items() if k != "made"}
-        properties = {k: {"type": KINDS.get(str(p.annotation).split(" | ")[0], "string")} for k, p in parameters.items()} | {"repo": {"type": "string"}}
+        properties = {k: {"type": KINDS.get(str(p.annotation).split(" | ")[0], "string")} for k, p in parameters.items()} | {"repo": {"type": "string"}, "page": {"type": "integer"}, "after": {"type": "string"}}
         required = [k for k, p in parameters.items() if p.default is inspect.Parameter.empty]
         out.append({"name": name, "description": (f.__doc__ or name).strip(), "inputSchema": {"type": "object", "properties": properties, "required": required}})
     return out
 
 
-def chosen(repositories: dict[str, tuple[str, Run]], alias: str | None) -> Run:
-    """The run of an alias; without one that of the only repository."""
+def chosen(repositories: dict[str, tuple[str, Run]], alias: str | None) -> dict[str, Run]:
+    """The runs of an alias, of several with commas, or with "*" of all; without an alias that of the only repository."""
     if alias is None and len(repositories) == 1:
-        return next(iter(repositories.values()))[1]
-    if alias not in repositories:
+        return {k: run for k, (_, run) in repositories.items()}
+    wanted = list(repositories) if alias == "*" else (alias or "").split(",")
+    if any(a not in repositories for a in wanted):
         raise Refused(BAD_PARAMETERS, f"no repository {alias!r}; there are {', '.join(repositories)}")
-    return repositories[alias][1]
+    return {a: repositories[a][1] for a in wanted}
+
+
+def asked(runs: dict[str, Run], name: str, parameters: dict) -> DataFrame:
+    """The rows of a query; of several repositories those of each, with a column repo, and no table of any other is read."""
+    found = [serve.call(run, name, **parameters).withColumn("repo", F.lit(alias)) for alias, run in runs.items()]
+    if len(found) == 1:
+        return found[0].drop("repo")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def page_of(found: DataFrame, order: list[tuple[str, bool]], after: list | None, size: int) -> tuple[list[dict], list | None]:
+    """A page of rows and the mark of the next one. order: columns and whether they ascend; a mark: the last row's keys, and how many rows equal to it came."""
+    plain = [f.name for f in found.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    order = [(c, up) for c, up in order if c in plain]
+    keys = order + [(c, True) for c in plain if c not in dict(order)]
+    last, seen = after or (None, 0)
+    if last is not None:
+        later, same = F.lit(False), F.lit(True)
+        for (c, up), value in zip(keys, last, strict=True):
+            own = F.lit(value).cast(found.schema[c].dataType)
+            beyond = (F.col(c).isNotNull() if value is None else F.col(c) > own) if up else (F.lit(False) if value is None else F.col(c).isNull() | (F.col(c) < own))
+            later, same = later | (same & F.coalesce(beyond, F.lit(False))), same & F.col(c).eqNullSafe(own)
+        found = found.where(later | same)
+    sort = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in keys]
+    marked = found.orderBy(*sort).limit(seen + size + 1).select(F.to_json(F.struct("*")).alias("row"), F.array(*(F.col(c).cast("string") for c, _ in keys)).alias("key"))
+    rows = [(json.loads(r["row"]), list(r["key"])) for r in marked.collect()][seen:]
+    if len(rows) <= size:
+        return [r for r, _ in rows], None
+    end, here = rows[size - 1][1], [k for _, k in rows[:size]]
+    return [r for r, _ in rows[:size]], [end, sum(k == end for k in here) + (seen if end == last else 0)]
 
 
 def called(repositories: dict[str, tuple[str, Run]], name: str, arguments: dict) -> dict:
@@ -82,14 +125,16 @@ def called(repositories: dict[str, tuple[str, Run]], name: str, arguments: dict)
         return {"count": len(repositories), "repos": [{"alias": k, "root": root} for k, (root, _) in repositories.items()]}
     if name not in serve.TOOLS:
         raise Refused(NO_METHOD, f"no query {name!r}")
-    own = {k: v for k, v in arguments.items() if k != "repo"}
+    own = {k: v for k, v in arguments.items() if k not in ("repo", "page", "after")}
     try:
         inspect.signature(serve.TOOLS[name]).bind(None, **own)
-        found = serve.call(chosen(repositories, arguments.get("repo")), name, **own)
+        size = min(MOST_ROWS, max(1, int(arguments.get("page", MOST_ROWS))))
+        after = json.loads(arguments["after"]) if arguments.get("after") else None
+        found = asked(chosen(repositories, arguments.get("repo")), name, own)
     except (TypeError, ValueError) as error:
         raise Refused(BAD_PARAMETERS, str(error)) from error
-    rows = [json.loads(x) for x in found.limit(MOST_ROWS + 1).toJSON().collect()]
-    return {"count": min(len(rows), MOST_ROWS), "more": len(rows) > MOST_ROWS, "rows": rows[:MOST_ROWS]}
+    rows, mark = page_of(found, serve.ORDER.get(name, []), after, size)
+    return {"count": len(rows), "more": mark is not None, "next": mark and json.dumps(mark), "rows": rows}
 
 
 def answered(repositories: dict[str, tuple[str, Run]], line: str) -> str | None:

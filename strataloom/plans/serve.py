@@ -15,6 +15,16 @@ from ..sources.config import inside
 from .generate import Run, note_texts
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {}
+#: The order of the rows of a query that ranks, as columns and whether they ascend; what follows in it is any order that is total.
+ORDER: dict[str, list[tuple[str, bool]]] = {
+    **{name: [("score", False), ("path", True)] for name in ("search_by_criticality", "get_index", "get_architecture_context", "get_domain")},
+    "get_impact": [("level", True), ("score", False), ("path", True)],
+    "full_text_search": [("score", False), ("key", True)],
+    "substring_search": [("score", False), ("key", True)],
+    "get_graph": [("path", True)],
+    "get_links": [("src", True), ("dst", True)],
+    "get_cycles": [("component", True), ("node", True)],
+}
 
 
 def tool(f):
@@ -156,7 +166,9 @@ def get_hover(made: Run, file_path: str, specifier: str) -> DataFrame:
 
 @tool
 def get_cycles(made: Run) -> DataFrame:
-    return graph.strong_components(made.edges)
+    """node, component of the files on cycles, and for each component one shortest cycle, by name."""
+    own = graph.saved(graph.strong_components(made.edges), "components")
+    return own.join(graph.cycle_witnesses(made.edges, own).withColumn("cycle", F.array_join("cycle", " -> ")), "component").select("node", "component", "cycle")
 
 
 @tool

@@ -4,6 +4,7 @@ import dataclasses
 import json
 import subprocess
 import time
+import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,28 @@ def test_commands(spark, root):
     assert generate.index.ranked(generate.stored(spark, f"{root}/notes/tables").index).count() == 4
 
 
+def test_pages_bring_all_rows(spark):
+    """3,000 nodes and repeated, null and descending keys come whole, in order, whatever the page; two repositories, and no other, are read."""
+    nodes = spark.createDataFrame([(f"f{k % 1_500:04d}", k % 7 * 0.1 if k % 50 else None, ["x"]) for k in range(3_000)], "path string, score double, more array<string>").repartition(5)
+    for order, size in (([("path", True)], 1_000), ([("score", False), ("path", True)], 701)):
+        rows, mark, pages = [], None, 0
+        while pages == 0 or mark is not None:
+            page, mark = protocol.page_of(nodes, order, json.loads(json.dumps(mark)) if mark else None, size)
+            rows, pages = rows + page, pages + 1
+            assert len(page) <= size
+        sort = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in order]
+        assert pages == -(-3_000 // size)
+        assert [(r["path"], r.get("score")) for r in rows] == [(r["path"], r["score"]) for r in nodes.orderBy(*sort, "score").collect()]
+    run = lambda name: types.SimpleNamespace(nodes=nodes.where(F.col("path") == name))
+    repositories = {"a": ("/a", run("f0001")), "b": ("/b", run("f0002")), "c": ("/c", None)}
+    found = protocol.called(repositories, "get_graph", {"repo": "a,b", "page": 3})
+    assert found["more"] and [r["repo"] for r in found["rows"]] == ["a", "a", "b"]
+    rest = protocol.called(repositories, "get_graph", {"repo": "a,b", "page": 3, "after": found["next"]})
+    assert [(r["repo"], r["path"]) for r in rest["rows"]] == [("b", "f0002")] and not rest["more"] and rest["next"] is None
+    with pytest.raises(protocol.Refused):
+        protocol.called(repositories, "get_graph", {"repo": "a,x"})
+
+
 def test_one_run_at_a_time():
     job, gate = protocol.Job(), []
     job.start(lambda say: (say("a"), say("b"), gate or time.sleep(0.5)))
