@@ -104,7 +104,7 @@ class Settle(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("burst", "edit string, at timestamp, events long, due long")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.state.get() if self.state.exists() else None
         edit, at, events = (held[0], held[1], held[2]) if held else (None, None, 0)
         for r in rows:
@@ -112,12 +112,12 @@ class Settle(StatefulProcessor):
             events += 1
         if held:
             self.handle.deleteTimer(held[3])
-        due = timers.getCurrentProcessingTimeInMs() + self.gap
+        due = timerValues.getCurrentProcessingTimeInMs() + self.gap
         self.handle.registerTimer(due)
         self.state.update((edit, at, events, due))
         return iter(())
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         edit, at, events, _ = self.state.get()
         self.state.clear()
         yield Row(filename=key[0], edit=edit, last_at=at, events=events)

@@ -36,7 +36,7 @@ def test_restart_sees_every_change_once(spark, tmp_path):
     seen, out = [], str(tmp_path / "state")
     apply = lambda batch, n: seen.extend(tuple(r) for r in batch.select("filename", "edit").collect())
 
-    def until(names, seconds=90):
+    def until(names, seconds=40):
         end = time.time() + seconds
         while {n for n, _ in seen} < names and time.time() < end:
             time.sleep(0.3)
