@@ -37,7 +37,7 @@ class TextIndex:
     """postings: term, field, range, key, tf, length; blocks: term, field, range, n, most_tf, least_length; terms: term, field, df; forms: form, term; fields: field, n, mean."""
 
     postings: DataFrame
-    blocks: DataFrame
+    blocks: DataFrame | None
     terms: DataFrame
     forms: DataFrame
     fields: DataFrame
@@ -78,9 +78,24 @@ def forms_of(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), one, F.flatten(F.transform(one, without_letter))))
 
 
-def text_index(docs: DataFrame, key: str, fields: list[str]) -> TextIndex:
-    """The index of docs (key, fields); a key names one document. Texts are split once."""
-    split = docs.select(F.col(key).alias("key"), *(terms(F.col(f"`{f}`")).alias(f"t{k}") for k, f in enumerate(fields)))
+def counted(words: Column, n: Column) -> Column:
+    """(term, tf) of each distinct word of a sorted array of n words, one at least: a run of equal words is a term."""
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get(words, k) != F.get(words, F.greatest(k - 1, F.lit(0)))))
+    ends = F.concat(F.slice(starts, 2, n), F.array(n))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(words, a).alias("term"), (b - a).cast("long").alias("tf")))
+
+
+def blocks_of(postings: DataFrame) -> DataFrame:
+    """A row for each block of the postings."""
+    return postings.groupBy("term", "field", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
+
+
+def text_index(docs: DataFrame, key: str, fields: list[str], blocks: bool = True) -> TextIndex:
+    """The index of docs (key, fields); a key names one document. Texts are split once, and terms counted where a text is read.
+
+    Without blocks, for an index that one query is asked of, a search makes the rows of those blocks only that its terms have.
+    """
+    split = docs.select(F.col(key).alias("key"), *(F.array_sort(terms(F.col(f"`{f}`"))).alias(f"t{k}") for k, f in enumerate(fields)))
     sizes = [F.greatest(F.size(f"t{k}"), F.lit(0)) for k in range(len(fields))]  # of a null text 0
     total = sum(sizes[1:], sizes[0])
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"t{k}").alias("terms"), sizes[k].alias("length")) for k, f in enumerate(fields))))
@@ -89,12 +104,10 @@ def text_index(docs: DataFrame, key: str, fields: list[str]) -> TextIndex:
     sizes_of = {r["spread"]: -(-r["n"] // BLOCK_DOCS) for r in own.groupBy("spread").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class of length
     parts = F.element_at(F.create_map(*(F.lit(x) for p in sizes_of.items() for x in p)), F.col("spread")) if sizes_of else F.lit(1)
     rank = (F.col("spread").cast("long") * (1 << 40) + F.pmod(F.xxhash64("key"), parts)).alias("range")
-    postings = own.select("key", "field", "length", rank, F.explode("terms").alias("term")).groupBy("term", "field", "range", "key").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    kept = saved(postings, "postings")
-    blocks = kept.groupBy("term", "field", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
-    words = kept.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+    postings = saved(own.select("key", "field", "length", rank, F.explode(counted(F.col("terms"), F.col("length"))).alias("e")).select("e.term", "field", "range", "key", "e.tf", "length"), "postings")
+    words = postings.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     forms = words.where(F.length("term") <= FORM_LETTERS).select("term").distinct().select(F.explode(forms_of(F.col("term"))).alias("form"), "term")
-    return TextIndex(kept, blocks, words, forms, own.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")))
+    return TextIndex(postings, blocks_of(postings) if blocks else None, words, forms, own.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")))
 
 
 def near_terms(words: DataFrame, forms: DataFrame, most: Column | int = EDITS) -> DataFrame:
@@ -169,7 +182,8 @@ def ranges_to_read(index: TextIndex, own: DataFrame, limit: int) -> DataFrame:
     The first limit ranges by bound hold as many matches at least, so the limit-th score in them is one that the bounds of
     all others have to reach.
     """
-    bounds = saved(index.blocks.join(own, ["term", "field"]).groupBy("range").agg(F.sum(_part("most_tf", "least_length")).alias("bound")), "bounds")
+    blocks = blocks_of(index.postings.join(own.select("term", "field"), ["term", "field"], "left_semi")) if index.blocks is None else index.blocks
+    bounds = saved(blocks.join(own, ["term", "field"]).groupBy("range").agg(F.sum(_part("most_tf", "least_length")).alias("bound")), "bounds")
     first = [r["range"] for r in bounds.orderBy(F.desc("bound"), "range").limit(limit).collect()]
     read = index.postings.where(F.col("range").isin(first)).join(own, ["term", "field"])
     best = [r["score"] for r in scored(read).select("score").orderBy(F.desc("score")).limit(limit).collect()]

@@ -210,6 +210,6 @@ def fuzzy_search(spark, sf_dir):
     """Prefix and fuzzy terms too; ranks, not scores, are compared."""
     from pyspark.sql import Window
 
-    own = search.text_index(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", ["text", "source"])
+    own = search.text_index(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", ["text", "source"], blocks=False)
     best = search.search(own, "licens tokne src1", 20)
     return best.select("key", "fields", F.row_number().over(Window.orderBy(F.desc("score"), "key")).cast("long").alias("rank")).orderBy("rank")

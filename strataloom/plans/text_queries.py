@@ -199,7 +199,7 @@ s AS (SELECT key, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (0.5
 
 
 def documents_index(spark, sf_dir):
-    return search.text_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["text"])
+    return search.text_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["text"], blocks=False)
 
 
 def ranked_keys(found):
