@@ -14,6 +14,7 @@ from .plans import generate, protocol
 from .sources import config as settings
 from .sources import files, git_log
 from .sources.documents import state
+from .streaming import feed
 
 HASHES = "path string, hash string"
 
@@ -112,19 +113,45 @@ def update(spark: SparkSession, args, say) -> None:
 
 
 def watch(spark: SparkSession, args, say) -> None:
-    """Looks at the hashes again and again; a change gives a micro-batch against the stored tables."""
-    config = _config(args)
-    out, rounds = _out(config), 0
-    while args.rounds is None or rounds < args.rounds:
+    """What has changed since the last run is applied, by hashes; then changes are applied as they come, or with --rounds looked for so many times."""
+    config, rounds = _config(args), 1
+    caught_up(spark, config, say)
+    while args.rounds is not None and rounds < args.rounds:
+        time.sleep(args.seconds)
+        caught_up(spark, config, say)
         rounds += 1
-        all_files = generate.saved(files.scan_repository(spark, config.root, ("**/*",), ("**/.git/**", "**/node_modules/**", f"{config.output}/**")), "files")
-        moved = generate.saved(generate.incremental.status(all_files.select("path", "hash"), _parsed(spark, out)).where("status != 'unchanged'"), "moved")
-        if n := moved.count():
-            commits = generate.saved(git_log.history(spark, config.root), "commits")
-            generate.apply_changes(spark, out, moved.select(F.col("path").alias("filename")), all_files, commits, generate.coverage.coverage(all_files, config.root), config, F.current_timestamp())
-            say(f"{n} files changed")
-        if args.rounds is None or rounds < args.rounds:
-            time.sleep(args.seconds)
+    if args.rounds is None:
+        watching(spark, config, say, args.seconds).awaitTermination()
+
+
+def _scanned(spark: SparkSession, config: settings.Config):
+    return generate.saved(files.scan_repository(spark, config.root, ("**/*",), ("**/.git/**", "**/node_modules/**", f"{config.output}/**")), "files")
+
+
+def caught_up(spark: SparkSession, config: settings.Config, say) -> None:
+    """A micro-batch of the files whose hash is not that of the current version."""
+    all_files = _scanned(spark, config)
+    moved = generate.saved(generate.incremental.status(all_files.select("path", "hash"), _parsed(spark, _out(config))).where("status != 'unchanged'"), "moved")
+    if n := moved.count():
+        _applied(spark, config, all_files, moved.select(F.col("path").alias("filename")))
+        say(f"{n} files changed")
+
+
+def _applied(spark: SparkSession, config: settings.Config, all_files, changed) -> None:
+    commits = generate.saved(git_log.history(spark, config.root), "commits")
+    generate.apply_changes(spark, _out(config), changed, all_files, commits, generate.coverage.coverage(all_files, config.root), config, F.current_timestamp())
+
+
+def watching(spark: SparkSession, config: settings.Config, say, seconds: float = 2.0):
+    """The running query that applies settled changes; its looks and checkpoint are in the output folder, so it goes on where it ended."""
+
+    def apply(batch, number: int) -> None:
+        own = [(r["filename"],) for r in batch.select("filename").distinct().collect()]  # of a listing that the driver has
+        _applied(spark, config, _scanned(spark, config), spark.createDataFrame(own, "filename string"))
+        say(f"{len(own)} files changed")
+
+    folder = os.path.join(os.path.dirname(_out(config)), "watch")
+    return feed.start(spark, os.path.abspath(config.root), folder, apply, every=f"{int(seconds * 1000)} milliseconds", skip=config.output.split("/")[0])
 
 
 def _parsed(spark: SparkSession, out: str):

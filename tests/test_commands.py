@@ -103,6 +103,26 @@ def test_commands(spark, root):
     assert generate.index.ranked(generate.stored(spark, f"{root}/notes/tables").index).count() == 4
 
 
+def test_watching_applies_changes_as_they_come(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.ts").write_text("import { b } from './b'\n")
+    (tmp_path / "src/b.ts").write_text("export const b = 1\n")
+    said = []
+    cli.main(["generate", "--root", str(tmp_path)], said.append)
+    own = config.load_config(str(tmp_path))
+    query = cli.watching(spark, own, said.append, 0.5)
+    while not (tmp_path / ".ai-notes/watch/looks/seen.json").exists():
+        time.sleep(0.2)
+    (tmp_path / "src/b.ts").write_text("// TODO: more\nexport const b = 1\n")
+    end = time.time() + 300
+    while len(said) < 2 and time.time() < end:
+        time.sleep(0.5)
+    query.stop()
+    assert said[1] == "1 files changed"
+    notes = {r["file_path"]: r["known_pitfalls"]["observed"] for r in generate.stored(spark, f"{tmp_path}/.ai-notes/tables").notes.collect()}
+    assert "TODO: more" in notes["src/b.ts"] and set(notes) == {"src/a.ts", "src/b.ts"}
+
+
 def test_pages_bring_all_rows(spark):
     """3,000 nodes and repeated, null and descending keys come whole, in order, whatever the page; two repositories, and no other, are read."""
     nodes = spark.createDataFrame([(f"f{k % 1_500:04d}", k % 7 * 0.1 if k % 50 else None, ["x"]) for k in range(3_000)], "path string, score double, more array<string>").repartition(5)
