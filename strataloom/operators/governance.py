@@ -119,7 +119,7 @@ def missing_files(said: DataFrame, files: DataFrame) -> DataFrame:
     own = said.groupBy("path").agg(F.min("doc").alias("doc")).where(F.col("path").rlike(r"\.[a-zA-Z0-9]{1,5}$"))
     gone = own.join(files.select("path"), "path", "left_anti")
     return gone.select(
-        F.lit("missing_file").alias("type"), F.lit("warn").alias("severity"), F.concat(F.lit('Documentation references "'), "path", F.lit('" but no such file exists in the repo.')).alias("message"),
+        F.lit("missing_file").alias("type"), F.lit("warn").alias("severity"), F.format_string(rules.MISSING_FILE_SAID, "path").alias("message"),
         F.lit(None).cast("string").alias("file"), "doc", F.col("path").alias("evidence"),
     )
 
@@ -140,7 +140,7 @@ def undeclared_domains(files: DataFrame, mapped: DataFrame) -> DataFrame:
     out = own.select("path").distinct().join(covered, "path", "left_anti").crossJoin(F.broadcast(named))  # named is one row
     shown = F.concat(F.lit("Declared: "), F.array_join(F.slice("all", 1, 5), ", "), F.when(F.size("all") > 5, ", …").otherwise(""))
     return out.select(
-        F.lit("undeclared_domain").alias("type"), F.lit("info").alias("severity"), F.lit("File lives outside every domain declared by the architecture docs.").alias("message"),
+        F.lit("undeclared_domain").alias("type"), F.lit("info").alias("severity"), F.lit(rules.UNDECLARED_DOMAIN_SAID).alias("message"),
         F.col("path").alias("file"), "doc", shown.alias("evidence"),
     )
 
@@ -159,7 +159,7 @@ def forbidden_edges(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
     """One row for each edge and rule it breaks, repeats kept. Edges meet rules by the ancestors of their source, an equi-join."""
     numbered = edges.select("src", "dst", F.explode(ancestors(F.col("src"))).alias("from"))
     broken = numbered.join(forbidden, "from").where((F.col("dst") == F.col("to")) | F.startswith("dst", F.concat("to", F.lit("/"))))
-    message = F.concat(F.lit('"'), "src", F.lit('" imports from "'), "dst", F.lit('" but the docs forbid this dependency ('), "from", F.lit(" → "), "to", F.lit(")."))
+    message = F.format_string(rules.FORBIDDEN_SAID, "src", "dst", "from", "to")
     return broken.select(F.lit("forbidden_dependency").alias("type"), F.lit("error").alias("severity"), message.alias("message"), F.col("src").alias("file"), "doc", F.col("raw").alias("evidence"))
 
 
@@ -172,7 +172,7 @@ def undocumented_hotspots(edges: DataFrame, files: DataFrame, said: DataFrame, m
     out = plain.join(covered, "path", "left_anti")
     n = F.col("n").cast("string")
     return out.select(
-        F.lit("undocumented_hotspot").alias("type"), F.lit("warn").alias("severity"), F.concat(F.lit("File has "), n, F.lit(" consumers but is not referenced by any governance document.")).alias("message"),
+        F.lit("undocumented_hotspot").alias("type"), F.lit("warn").alias("severity"), F.format_string(rules.UNDOCUMENTED_HOTSPOT_SAID, n).alias("message"),
         F.col("path").alias("file"), F.lit(None).cast("string").alias("doc"), F.concat(n, F.lit(" reverse dependencies")).alias("evidence"),
     )
 
