@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import os
 import sys
 import time
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from .sources.documents import state
 from .streaming import feed
 
 HASHES = "path string, hash string"
+#: How a report names figures of a kind.
+SHOWN = {"untested": "untested: files", **{f"divergences_{s}": f"divergences: {s}" for s in ("error", "warn", "info")}}
 
 
 def _session() -> SparkSession:
@@ -34,13 +38,17 @@ def _parser() -> argparse.ArgumentParser:
             own.add_argument("--format", choices=("table", "json"), default="table")
         if name in ("generate", "update"):
             own.add_argument("--diff", action="store_true", help="report what notes gained and lost")
+            own.add_argument("--provider", help="module:callable that is given a prompt and replies; asked about the files that matter")
+            own.add_argument("--model", help="the name that notes with its replies carry")
+            own.add_argument("--premium", help="module:callable for files of a high score")
+            own.add_argument("--premium-model")
+            own.add_argument("--verbose", action="store_true")
         if name == "generate":
             own.add_argument("--force", action="store_true")
             own.add_argument("--filter", help="write only notes of paths that match a glob")
             own.add_argument("--dry-run", action="store_true")
             own.add_argument("--diff-base", help="a revision; added and modified files are favoured")
             own.add_argument("--new-source-quota", type=int)
-            own.add_argument("--verbose", action="store_true")
         if name == "watch":
             own.add_argument("--rounds", type=int, help="stop after so many looks")
             own.add_argument("--seconds", type=float, default=2.0)
@@ -50,8 +58,6 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _config(args) -> settings.Config:
-    from dataclasses import replace
-
     own = settings.load_config(args.root)
     own = replace(own, language=args.language) if args.language else own
     quota = getattr(args, "new_source_quota", None)
@@ -70,6 +76,21 @@ def scan(spark: SparkSession, args, say) -> None:
         say(r["value"])
 
 
+def provider_of(args, config: settings.Config) -> generate.Provider | None:
+    """Who the command names; never who a repository's own settings name, since its code is run."""
+
+    def named(spec: str, model: str | None) -> generate.Provider:
+        module, _, name = spec.partition(":")
+        if not name:
+            raise SystemExit(f"not module:callable: {spec!r}")
+        return generate.Provider(getattr(importlib.import_module(module), name), model or spec, context=settings.load_context(config.root))
+
+    if not args.provider:
+        return None
+    first = named(args.provider, args.model)
+    return replace(first, premium=named(args.premium, args.premium_model)) if args.premium else first
+
+
 def made_by(spark: SparkSession, config: settings.Config, earlier: generate.Run | None, chosen: generate.Chosen, **more) -> generate.Run:
     """A run over a repository; what an earlier one stored is used for files that are as they were."""
     return generate.run_repository(spark, config, F.current_timestamp(), earlier=earlier, chosen=chosen, **more)
@@ -79,24 +100,27 @@ def run(spark: SparkSession, args, say) -> None:
     config = _config(args)
     out = _out(config)
     earlier = generate.stored(spark, out)
-    made = made_by(spark, config, earlier, generate.Chosen(args.force, args.filter))
     changes = git_log.changes(spark, config.root, args.diff_base) if args.diff_base else spark.createDataFrame([], "path string, edit string")
+    provider = provider_of(args, config)
+    made = made_by(spark, config, earlier, generate.Chosen(args.force, args.filter), provider=None if args.dry_run else provider, changes=changes)
     if args.dry_run:
-        counts = generate.incremental.dry_run(generate.plan(made, earlier, changes, config, provider=False, force=args.force)).first()
+        counts = generate.incremental.dry_run(generate.plan(made, earlier, changes, config, provider=provider is not None, force=args.force)).first()
         say(f"{counts['write']} to write, {counts['skip']} to skip, {counts['llm']} for a model")
         return
-    _written(made, earlier, out, args.diff, say)
-    if args.verbose:
-        for r in generate.report(made).collect():
-            say(f"{r['kind']}: {r['name']} {r['value']:g}")
+    _written(made, earlier, out, args, say)
 
 
-def _written(made: generate.Run, earlier: generate.Run | None, out: str, diff: bool, say) -> None:
-    if diff and earlier is not None:
+def _written(made: generate.Run, earlier: generate.Run | None, out: str, args, say) -> None:
+    if args.diff and earlier is not None:
         for r in generate.notes.diff_texts(earlier.notes, made.notes).orderBy("file_path").collect():
             say(r["text"])
-    folder = generate.write(made, out)
-    say(f"{made.fresh.count()} of {made.notes.count()} notes made, in {folder}")
+    done = generate.write(made, out)
+    say(f"{done.figures['made']} of {done.figures['notes']} notes made, in {done.folder}")
+    if args.verbose:
+        for name, value in done.figures.items():
+            say(f"{SHOWN.get(name, name + ':')} {value:g}")
+        for r in generate.first_files(made).collect():
+            say(f"top: {r['path']} {r['score']:g}")
 
 
 def update(spark: SparkSession, args, say) -> None:
@@ -109,7 +133,7 @@ def update(spark: SparkSession, args, say) -> None:
     stale = old.count()
     say(f"{stale} stale notes")
     if stale:
-        _written(made_by(spark, config, earlier, generate.Chosen(paths=old)), earlier, _out(config), args.diff, say)
+        _written(made_by(spark, config, earlier, generate.Chosen(paths=old), provider=provider_of(args, config)), earlier, _out(config), args, say)
 
 
 def watch(spark: SparkSession, args, say) -> None:
@@ -175,8 +199,18 @@ def serve(spark: SparkSession, args, say, lines=sys.stdin) -> None:
             held[alias] = folder, generate.stored(spark, outs[alias])
         return held[alias][1]
 
+    def remade(root: str):
+        def work(log) -> None:
+            own = settings.load_config(root)
+            earlier = generate.stored(spark, _out(own))
+            done = generate.write(made_by(spark, own, earlier, generate.Chosen()), _out(own))
+            log(f"{done.figures['made']} of {done.figures['notes']} notes made, in {done.folder}")
+
+        return work
+
+    runs = {alias: (protocol.Job(), remade(root)) for alias, root in roots.items()}
     for line in lines:
-        if (reply := protocol.answered({alias: (root, newest(alias)) for alias, root in roots.items()}, line)) is not None:
+        if (reply := protocol.answered({alias: (root, newest(alias)) for alias, root in roots.items()}, line, runs)) is not None:
             say(reply)
 
 

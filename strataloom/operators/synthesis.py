@@ -17,6 +17,8 @@ from ..functions import rules
 EVIDENCE_KINDS = ("code", "git", "test", "graph", "comment", "doc")
 DELAYS = (1.0, 2.0, 4.0)
 _transient = re.compile(r"429|rate limit|timeout|network|ECONNRESET|ETIMEDOUT", re.IGNORECASE)
+#: Of a call: what the reply says it cost, the time it took, and what kept its reply from being used.
+CALL = "struct<cost:double,duration_ms:bigint,error:string>"
 FIELD = "struct<observed:array<string>,inferred:array<string>,confidence:double,evidence:array<struct<type:string,detail:string>>>"
 
 
@@ -89,21 +91,33 @@ def with_retry(call: Callable[[], str], delays: tuple[float, ...] = DELAYS, slee
     raise AssertionError
 
 
-def synthesised(notes: DataFrame, complete: Callable[[str], str], model: str, timeout: float = 30.0, parallel: int = 5, delays: tuple[float, ...] = DELAYS) -> DataFrame:
-    """notes (path, prompt, six fields, model) with each field merged with the model's reply; on any failure the static note stays.
+def told(reply, model: str, took: int) -> tuple[str, str, dict]:
+    """Text, model and call of a reply: a text, or a mapping with content and maybe model and usage (cost, duration_ms)."""
+    if isinstance(reply, str):
+        return reply, model, {"cost": None, "duration_ms": took, "error": None}
+    used = reply.get("usage") or {}
+    cost, lasted = used.get("cost"), used.get("duration_ms")
+    return reply["content"], reply.get("model") or model, {"cost": None if cost is None else float(cost), "duration_ms": took if lasted is None else int(lasted), "error": None}
+
+
+def synthesised(notes: DataFrame, complete: Callable[[str], str | dict], model: str, timeout: float = 30.0, parallel: int = 5, delays: tuple[float, ...] = DELAYS) -> DataFrame:
+    """notes (path, prompt, six fields, model) with each field merged with the model's reply, and the call (CALL); on any failure the static note stays.
 
     Calls of a batch run side by side, at most `parallel` at a time in a task; a row is idempotent, so a task can be run again.
     """
-    columns = notes.columns
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in notes.schema)
+    columns = [*notes.columns, "call"]
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in notes.schema), f"call {CALL}"])
 
     def one(row: dict) -> dict:
+        began, call = time.monotonic(), {"cost": None, "duration_ms": None, "error": None}
         try:
-            reply = checked_note(parsed_json(with_retry(lambda: complete(row["prompt"]), delays)))
-        except Exception:
-            return row
+            answer = with_retry(lambda: complete(row["prompt"]), delays)
+            text, name, call = told(answer, model, int((time.monotonic() - began) * 1000))
+            reply = checked_note(parsed_json(text))
+        except Exception as error:
+            return {**row, "call": {**call, "error": f"{type(error).__name__}: {error}"[:500]}}
         plain = {n: {k: [dict(e) for e in v] if k == "evidence" else v if k == "confidence" else list(v) for k, v in row[n].items()} for n in rules.NOTE_FIELDS}
-        return {**row, **{n: merged_field(plain[n], reply[n]) for n in rules.NOTE_FIELDS}, "model": model}
+        return {**row, **{n: merged_field(plain[n], reply[n]) for n in rules.NOTE_FIELDS}, "model": name, "call": call}
 
     def run(batches):
         with ThreadPoolExecutor(parallel) as pool:
@@ -114,7 +128,7 @@ def synthesised(notes: DataFrame, complete: Callable[[str], str], model: str, ti
                     try:
                         out.append(w.result(timeout))
                     except Late:
-                        out.append(r)
+                        out.append({**r, "call": {"cost": None, "duration_ms": int(timeout * 1000), "error": "no reply in time"}})
                 yield pd.DataFrame(out, columns=columns)
 
     return notes.mapInPandas(run, ddl)

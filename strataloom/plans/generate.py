@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules, scoring
@@ -48,6 +49,8 @@ class Run:
     settings: DataFrame
     #: path of the files whose note this run has made.
     fresh: DataFrame
+    #: path, model, cost, duration_ms, error: of the calls to a model that this run has made.
+    calls: DataFrame
 
     @property
     def text(self) -> search.TextIndex:
@@ -67,6 +70,25 @@ class Chosen:
     paths: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class Provider:
+    """A model: a callable from a prompt to a reply (a text, or a mapping with content, model and usage) and its name.
+
+    premium: another one for files of a high score. The callables run in Python workers, so they are picklable or importable there.
+    """
+
+    complete: Callable[[str], str | dict]
+    model: str
+    premium: Provider | None = None
+    context: str | None = None
+    max_lines: int | None = None
+    timeout: float = 30.0
+    delays: tuple[float, ...] = synthesis.DELAYS
+
+
+CALLS = "path string, model string, cost double, duration_ms long, error string"
+
+
 def dependency_edges(analyses: DataFrame, all_files: DataFrame, aliases: dict[str, list[str]] | None = None, go_module: str | None = None, modules: DataFrame | None = None) -> DataFrame:
     """src, dst of local imports that mean a file; an import written twice is two edges. A dotted Python module becomes a path.
 
@@ -124,22 +146,22 @@ def hits(now: DataFrame, prints: DataFrame, earlier: Run) -> DataFrame:
     return incremental.cache_hits(incremental.status(now, earlier.hashes).join(noted, "path", "left_semi"), incremental.stale_dependencies(prints, before, known))
 
 
-def run(all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, aliases: dict[str, list[str]] | None = None, go_module: str | None = None, earlier: Run | None = None, chosen: Chosen | None = None) -> Run:
+def run(all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, aliases: dict[str, list[str]] | None = None, go_module: str | None = None, earlier: Run | None = None, chosen: Chosen | None = None, provider: Provider | None = None, changes: DataFrame | None = None) -> Run:
     """All tables of a repository from its files (path, extension, size, content, hash), history and coverage.
 
     earlier: files whose hash is the same are not parsed again, and notes that are still right stay as they are, with the
     time they were made at. Analyses and edges are saved once, since every later table reads them; all else is joined by path
-    in one plan.
+    in one plan. provider: who is asked about the files that plan sends to a model, favouring changes (path, edit).
     """
     own = files.scanned(all_files, config.include, config.exclude)
     options, modules = parsers.Options(config.api_call_patterns, config.side_effect_packages, go_module), parsers.go_modules(all_files)
     kept = earlier is not None and same_settings(earlier, config)
     analysed = saved(reused(own, all_files, options, modules, earlier.analyses, earlier.parsed) if kept else parsers.analyses(own, options, modules), "analyses")
     edges = saved(dependency_edges(analysed, all_files.select("path"), aliases, go_module, modules), "edges")
-    return assembled(own, all_files, analysed, edges, commits, covered, config, now, earlier, chosen)
+    return assembled(own, all_files, analysed, edges, commits, covered, config, now, earlier, chosen, provider, changes)
 
 
-def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, earlier: Run | None = None, chosen: Chosen | None = None) -> Run:
+def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, earlier: Run | None = None, chosen: Chosen | None = None, provider: Provider | None = None, changes: DataFrame | None = None) -> Run:
     """The tables of a run from saved analyses and edges; index, search and nodes are of the stored and the fresh notes together."""
     docs = saved(documents.governance_docs(all_files), "docs")
     found = saved(governance.divergences(docs, own.select("path"), edges), "divergences")
@@ -159,18 +181,26 @@ def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges:
         old = own.select("path").join(fresh, "path", "left_anti")  # what was not made anew is as it was
         noted = hashes.join(old, "path", "left_anti").unionByName(earlier.hashes.join(old, "path", "left_semi"))
         held = prints.join(old, "path", "left_anti").unionByName(incremental.bootstrapped(earlier.fingerprints, prints).join(old, "path", "left_semi"))
-    made = saved(made, "notes")
-    flat = made.select(F.col("file_path").alias("path"), F.col("criticality_score").alias("score"), "model", F.col("purpose.observed").alias("purpose_observed"), F.col("purpose.inferred").alias("purpose_inferred"), "generated_at")
-    entries = index.entries(flat, graph.reverse(edges, own.select(F.col("path").alias("node"))), now, config.stale_days)
+    made, calls = saved(made, "notes"), all_files.sparkSession.createDataFrame([], CALLS)
+    if provider is not None:
+        wanted = gated(indexed(made, own, edges, now, config), changes, config, True).where("uses_llm").join(fresh, "path", "left_semi")
+        made, calls = synthesised_notes(made, saved(wanted, "asked"), prompted(signals, own, edges, all_files, config, provider), provider, config.concurrency)
+    entries = indexed(made, own, edges, now, config)
     texts = notes.search_documents(made)
     words, grams = search.text_index(texts, "id", texts.columns[1:]), search.gram_index(note_texts(made))
     settings = all_files.sparkSession.createDataFrame([(settings_digest(config),)], "digest string")
     return Run(
         own, docs, signals, analysed, edges, made, entries, index.graph_nodes(own.select("path"), entries), found, words.postings, words.blocks, words.terms, words.forms, words.fields,
-        grams.items, grams.grams, grams.counts, hashes, noted, held, settings, fresh,
+        grams.items, grams.grams, grams.counts, hashes, noted, held, settings, fresh, calls,
     )
 
 
+def indexed(made: DataFrame, own: DataFrame, edges: DataFrame, now: Column, config: Config) -> DataFrame:
+    """The index of notes."""
+    flat = made.select(F.col("file_path").alias("path"), F.col("criticality_score").alias("score"), "model", F.col("purpose.observed").alias("purpose_observed"), F.col("purpose.inferred").alias("purpose_inferred"), "generated_at")
+    return index.entries(flat, graph.reverse(edges, own.select(F.col("path").alias("node"))), now, config.stale_days)
+
+
 def note_texts(made: DataFrame) -> DataFrame:
     """key, score, field, text: what notes say, for substrings."""
     fields = F.array(*(F.struct(F.lit(f).alias("field"), F.concat(F.col(f)["observed"], F.col(f)["inferred"], F.transform(F.col(f)["evidence"], lambda e: e["detail"])).alias("texts")) for f in rules.NOTE_FIELDS))
@@ -205,18 +235,30 @@ def merged_notes(stored: DataFrame, fresh: DataFrame, present: DataFrame) -> Dat
     return incremental.upserted(stored, fresh, "file_path", present.select(F.col("path").alias("file_path")))
 
 
-def prompted(made: Run, all_files: DataFrame, config: Config, context: str | None = None, max_lines: int | None = None) -> DataFrame:
-    """path, file_type, prompt of every file of a run."""
-    tests = resolve.related_tests(made.files, all_files)
-    return prompts.prompts(made.signals, made.files, made.edges, tests, prompts.system_prompt(config.language, context), max_lines)
+def prompted(signals: DataFrame, own: DataFrame, edges: DataFrame, all_files: DataFrame, config: Config, provider: Provider) -> DataFrame:
+    """path, file_type, prompt of every file of own."""
+    tests = resolve.related_tests(own, all_files)
+    return prompts.prompts(signals, own, edges, tests, prompts.system_prompt(config.language, provider.context), provider.max_lines)
+
 
+def synthesised_notes(made: DataFrame, wanted: DataFrame, asked: DataFrame, provider: Provider, parallel: int) -> tuple[DataFrame, DataFrame]:
+    """Notes, those of wanted (path, premium) merged with a model's replies, and the calls made for them (CALLS).
 
-def synthesised_notes(made: Run, planned: DataFrame, asked: DataFrame, complete, model: str, **more) -> DataFrame:
-    """The notes of a run, those that the plan sends to a model (path, hit, uses_llm) merged with its replies."""
-    chosen = planned.where("uses_llm AND NOT hit").select(F.col("path").alias("file_path")).join(asked.select(F.col("path").alias("file_path"), "prompt"), "file_path")
-    own = made.notes.join(chosen, "file_path")
-    told = synthesis.synthesised(own, complete, model, **more).drop("prompt")
-    return made.notes.join(chosen.select("file_path"), "file_path", "left_anti").unionByName(told.select(*made.notes.columns))
+    Replies are saved, so nothing that reads the notes or the calls asks again.
+    """
+    parts = ["file_path", *rules.NOTE_FIELDS, "model"]
+    texts = wanted.join(asked.select("path", "prompt"), "path").withColumnRenamed("path", "file_path")
+    own = made.select(*parts).join(texts, "file_path")
+    tiers = [(provider, own)] if provider.premium is None else [(provider, own.where("NOT premium")), (provider.premium, own.where("premium"))]
+    replies = None
+    for tier, rows in tiers:
+        found = synthesis.synthesised(rows.select(*parts, "prompt"), tier.complete, tier.model, tier.timeout, parallel, tier.delays).drop("prompt")
+        replies = found if replies is None else replies.unionByName(found)
+    replies = saved(replies, "replies")
+    rest = made.join(wanted.select(F.col("path").alias("file_path")), "file_path", "left_anti")
+    merged = made.drop(*parts[1:]).join(replies.drop("call"), "file_path").select(*made.columns)
+    calls = replies.select(F.col("file_path").alias("path"), "model", "call.cost", "call.duration_ms", "call.error")
+    return saved(rest.unionByName(merged), "notes_with_replies"), calls
 
 
 def restaled(entries: DataFrame, now: Column, days: int) -> DataFrame:
@@ -224,26 +266,29 @@ def restaled(entries: DataFrame, now: Column, days: int) -> DataFrame:
     return entries.withColumn("stale", index.is_stale(F.col("generated_at"), now, days))
 
 
-def report(made: Run, top: int = 5) -> DataFrame:
-    """kind, name, value: the first files by score, how many files have no tests, divergences by severity."""
-    first = index.ranked(made.index).limit(top).select(F.lit("top").alias("kind"), F.col("path").alias("name"), F.col("score").cast("double").alias("value"))
-    bare = made.notes.agg(F.count_if(~F.coalesce("debug_signals.has_tests", F.lit(False))).cast("double").alias("value")).select(F.lit("untested").alias("kind"), F.lit("files").alias("name"), "value")
-    counts = governance.severity_counts(made.divergences).select(F.lit("divergences").alias("kind"), F.col("severity").alias("name"), F.col("n").cast("double").alias("value"))
-    return first.unionByName(bare).unionByName(counts)
+def first_files(made: Run, top: int = 5) -> DataFrame:
+    """path, score: the first files by score, for a report."""
+    return index.ranked(made.index).limit(top).select("path", "score")
 
 
 def plan(made: Run, earlier: Run | None, changes: DataFrame, config: Config, provider: bool, force: bool = False) -> DataFrame:
     """path, hit, boosted, uses_llm, premium: what a run would do with each file, given an earlier one."""
-    own = made.index.select("path", "score", F.size("dependents").cast("long").alias("consumers")).join(changes, "path", "left").withColumn("category", paths.category(F.col("path")))
-    forced = index.quota(own, config.new_source_quota).select("path", F.lit(True).alias("forced"))
-    boosted = F.col("score") + scoring.as_score(scoring.boost_points(F.col("category"), F.col("edit")))
-    joined = own.join(forced, "path", "left")
+    joined = gated(made.index, changes, config, provider)
     if earlier is None or force or not same_settings(earlier, config):
         joined = joined.withColumn("hit", F.lit(False))
     else:
         joined = joined.join(hits(made.parsed, incremental.fingerprints(made.edges, made.parsed), earlier), "path", "left")
+    return joined.select("path", F.coalesce("hit", F.lit(False)).alias("hit"), "boosted", "uses_llm", "premium")
+
+
+def gated(entries: DataFrame, changes: DataFrame | None, config: Config, provider: bool) -> DataFrame:
+    """path, boosted, uses_llm, premium: which files of an index a model is asked about, and which of them a better one."""
+    changes = entries.sparkSession.createDataFrame([], "path string, edit string") if changes is None else changes
+    own = entries.select("path", "score", F.size("dependents").cast("long").alias("consumers")).join(changes, "path", "left").withColumn("category", paths.category(F.col("path")))
+    forced = index.quota(own, config.new_source_quota).select("path", F.lit(True).alias("forced"))
+    boosted = F.col("score") + scoring.as_score(scoring.boost_points(F.col("category"), F.col("edit")))
     uses = scoring.synthesis_gate(F.lit(provider), paths.is_skipped(F.col("category")), boosted, config.llm_threshold, F.coalesce("forced", F.lit(False)))
-    return joined.select("path", F.coalesce("hit", F.lit(False)).alias("hit"), boosted.alias("boosted"), uses.alias("uses_llm"), (F.col("score") >= config.high_threshold).alias("premium"))
+    return own.join(forced, "path", "left").select("path", boosted.alias("boosted"), uses.alias("uses_llm"), (F.col("score") >= config.high_threshold).alias("premium"))
 
 
 #: What look-ups narrow a table by: its rows lie in ranges of it, so that files and row groups are pruned.
@@ -270,19 +315,44 @@ def stored(spark: SparkSession, out: str) -> Run | None:
     return folder and Run(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in dataclasses.fields(Run)})
 
 
-def write(made: Run, out: str, keep: int = 2) -> str:
+@dataclass(frozen=True)
+class Written:
+    """The folder of a version, and the figures of the run: counted while its tables were written, by no query of their own."""
+
+    folder: str
+    figures: dict[str, float]
+
+
+def _figures() -> dict[str, tuple[Column, ...]]:
+    """What is counted of a table's rows as they are written."""
+    one, level = F.count(F.lit(1)), F.col("severity")
+    return {
+        "notes": (one.alias("notes"), F.count_if(~F.coalesce("debug_signals.has_tests", F.lit(False))).alias("untested"), F.count_if(F.col("model") != "static").alias("synthesised")),
+        "fresh": (one.alias("made"),),
+        "analyses": (one.alias("files"), F.count_if(F.col("error").isNotNull()).alias("parse_errors")),
+        "edges": (one.alias("edges"),),
+        "calls": (one.alias("calls"), F.count_if(F.col("error").isNotNull()).alias("failed_calls"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms")),
+        "divergences": tuple(F.count_if(level == s).alias(f"divergences_{s}") for s in ("error", "warn", "info")),
+    }
+
+
+def write(made: Run, out: str, keep: int = 2) -> Written:
     """The tables as Parquet in the folder of a new version, which counts once all of them are written; older ones but for the last keep go.
 
-    Notes also as JSON lines and a pretty file each, the index also as JSON and Markdown.
+    Figures are observed on the plans that write the tables. Notes also as JSON lines and a pretty file each, the index also as JSON and Markdown.
     """
     spark = made.notes.sparkSession
     system, _ = versions(spark, out)
     last = current(spark, out)
     folder = f"{out}/v{int(last.rpartition('/v')[2]) + 1 if last else 1:09d}"
+    counted, seen = _figures(), {}
     for f in dataclasses.fields(Run):
         table = getattr(made, f.name)
         if by := SORTED.get(f.name):
             table = table.repartitionByRange(by).sortWithinPartitions(by)
+        if f.name in counted:
+            seen[f.name] = Observation(f.name)
+            table = table.observe(seen[f.name], *counted[f.name])
         table.write.mode("overwrite").parquet(f"{folder}/{f.name}")
     made.notes.write.mode("overwrite").json(f"{folder}/notes_json")
     notes.write_files(made.notes.join(made.fresh.select(F.col("path").alias("file_path")), "file_path", "left_semi"), f"{out}/notes")
@@ -296,7 +366,7 @@ def write(made: Run, out: str, keep: int = 2) -> str:
     done = sorted(str(f.getPath().getParent().getName()) for f in system.globStatus(hadoop(f"{out}/v*/_DONE")))
     for name in done[:-keep]:
         system.delete(hadoop(f"{out}/{name}"), True)
-    return folder
+    return Written(folder, {k: v for o in seen.values() for k, v in o.get.items()})
 
 
 def apply_changes(spark: SparkSession, out: str, changed: DataFrame, all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column) -> None:

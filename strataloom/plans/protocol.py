@@ -42,7 +42,7 @@ class Job:
     error: str | None = None
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
-    def start(self, work: Callable[[Callable[[str], None]], None], wait: bool = False) -> None:
+    def start(self, work: Work, wait: bool = False) -> None:
         with self._lock:
             if self.running:
                 raise Refused(409, "a run is going on")
@@ -66,6 +66,16 @@ class Job:
         return {"running": self.running, "error": self.error, "lines": self.log[since:], "next": len(self.log)}
 
 
+#: What a job does, given where it writes its log.
+Work = Callable[[Callable[[str], None]], None]
+RUN_TOOLS = {"start_run": "Makes a repository's tables and notes anew, one run at a time.", "run_status": "Whether a run goes on, what stopped it, and its log from a position on."}
+
+
+def run_tools() -> list[dict]:
+    properties = {"start_run": {"repo": {"type": "string"}}, "run_status": {"repo": {"type": "string"}, "since": {"type": "integer"}}}
+    return [{"name": n, "description": said, "inputSchema": {"type": "object", "properties": properties[n], "required": []}} for n, said in RUN_TOOLS.items()]
+
+
 def tools() -> list[dict]:
     """Name, description and parameters of every serving query."""
     out = [{"name": "list_repos", "description": "The repositories that are served.", "inputSchema": {"type": "object", "properties": {}}}]
@@ -137,8 +147,22 @@ def called(repositories: dict[str, tuple[str, Run]], name: str, arguments: dict)
     return {"count": len(rows), "more": mark is not None, "next": mark and json.dumps(mark), "rows": rows}
 
 
-def answered(repositories: dict[str, tuple[str, Run]], line: str) -> str | None:
-    """The reply to one line; None to a notification or an empty line."""
+def run_asked(runs: dict[str, tuple[Job, Work]], name: str, arguments: dict) -> dict:
+    """Starts the run of a repository, or tells how it goes; since: the position in its log to tell from."""
+    alias = arguments.get("repo") or (next(iter(runs)) if len(runs) == 1 else None)
+    if alias not in runs:
+        raise Refused(BAD_PARAMETERS, f"no repository {alias!r}; there are {', '.join(runs)}")
+    job, work = runs[alias]
+    if name == "start_run":
+        job.start(work)
+    try:
+        return job.status(max(0, int(arguments.get("since", 0))))
+    except (TypeError, ValueError) as error:
+        raise Refused(BAD_PARAMETERS, str(error)) from error
+
+
+def answered(repositories: dict[str, tuple[str, Run]], line: str, runs: dict[str, tuple[Job, Work]] | None = None) -> str | None:
+    """The reply to one line; None to a notification or an empty line. runs: the repositories whose tables a request may have made anew."""
     if not line.strip():
         return None
     identity = None
@@ -153,9 +177,10 @@ def answered(repositories: dict[str, tuple[str, Run]], line: str) -> str | None:
         if method == "initialize":
             result = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "strataloom", "version": "1.0.0"}}
         elif method == "tools/list":
-            result = {"tools": tools()}
+            result = {"tools": tools() + (run_tools() if runs else [])}
         elif method == "tools/call":
-            found = called(repositories, parameters.get("name", ""), parameters.get("arguments") or {})
+            name, arguments = parameters.get("name", ""), parameters.get("arguments") or {}
+            found = run_asked(runs, name, arguments) if runs and name in RUN_TOOLS else called(repositories, name, arguments)
             result = {"content": [{"type": "text", "text": json.dumps(found, indent=2)}]}
         else:
             raise Refused(NO_METHOD, f"no method {method!r}")

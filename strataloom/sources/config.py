@@ -10,6 +10,7 @@ from dataclasses import dataclass, field, fields
 from ..functions import rules
 
 CONTEXT_CHARS = 4_000
+CONTEXT_FILE = "strataloom.context.md"
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,15 @@ def project_context(text: str | None, chars: int = CONTEXT_CHARS) -> str | None:
     return None if not own else own if len(own) <= chars else own[:chars] + "\n[... truncated]"
 
 
+def load_context(root: str, name: str = CONTEXT_FILE) -> str | None:
+    """The project context of a repository; None where there is none to read."""
+    try:
+        with open(os.path.join(root, name), encoding="utf-8") as f:
+            return project_context(f.read())
+    except (OSError, ValueError):
+        return None
+
+
 def tsconfig_aliases(text: str) -> dict[str, list[str]]:
     """The paths of a tsconfig with comments."""
     try:

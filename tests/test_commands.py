@@ -3,6 +3,7 @@
 import dataclasses
 import json
 import subprocess
+import sys
 import time
 import types
 
@@ -78,7 +79,7 @@ def test_commands(spark, root):
     assert {(r["src"], r["dst"]) for r in made.edges.collect()} == {("src/index.ts", "src/utils.ts"), ("src/orders.service.ts", "lib/deep.ts")}
     notes = {r["file_path"]: r["debug_signals"] for r in made.notes.collect()}
     assert notes["src/utils.ts"]["coverage_pct"] == 0.25 and notes["src/orders.service.ts"]["churn_score"] == 2
-    asked = {r["path"]: r for r in generate.prompted(made, made.files, config.Config(root)).collect()}
+    asked = {r["path"]: r for r in generate.prompted(made.signals, made.files, made.edges, made.files, config.Config(root), generate.Provider(str, "m")).collect()}
     assert asked["src/orders.service.ts"]["file_type"] == "service" and "lib/deep.ts: deep" in asked["src/orders.service.ts"]["prompt"]
     old = made.notes.where("file_path = 'src/index.ts'")
     assert generate.merged_notes(made.notes, old, made.files).count() == 4
@@ -103,6 +104,62 @@ def test_commands(spark, root):
     assert generate.index.ranked(generate.stored(spark, f"{root}/notes/tables").index).count() == 4
 
 
+def a_model():
+    """A model that knows of one pitfall, breaks on a file, and is paid; a function of its own, so that workers need no module of the tests."""
+
+    def reply(prompt):
+        if "File: src/broken.ts" in prompt:
+            raise ValueError("no such file")
+        field = lambda *inferred: {"observed": [], "inferred": list(inferred), "confidence": 0.9, "evidence": [{"type": "code", "detail": "read"}]}
+        note = {n: field() for n in ("purpose", "invariants", "sensitive_dependencies", "important_decisions", "impact_validation")} | {"known_pitfalls": field("mind the gap", prompt.count("Keep to the plan") * "context")}
+        return {"content": "```json\n" + json.dumps(note) + "\n```", "usage": {"cost": 0.25}}
+
+    return reply
+
+
+def test_runs_ask_a_model(spark, tmp_path, monkeypatch):
+    """Files that matter are asked about once, failures keep the static note, usage is counted as tables are written; cached files are not asked about."""
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.ts").write_text("import { b } from './b'\nimport x from './broken'\n")
+    (tmp_path / "src/b.ts").write_text("export const b = process.env.B\n")
+    (tmp_path / "src/broken.ts").write_text("export default 1\n")
+    (tmp_path / "strataloom.context.md").write_text("  Keep to the plan\n")
+    (tmp_path / "strataloom.json").write_text(json.dumps({"llm_threshold": 0}))
+    module = types.ModuleType("fake_model")
+    module.ask = a_model()
+    monkeypatch.setitem(sys.modules, "fake_model", module)
+    said = []
+    cli.main(["generate", "--root", str(tmp_path), "--provider", "fake_model:ask", "--model", "fake", "--dry-run"], said.append)
+    assert said == ["3 to write, 0 to skip, 3 for a model"]
+    said.clear()
+    cli.main(["generate", "--root", str(tmp_path), "--provider", "fake_model:ask", "--model", "fake", "--verbose"], said.append)
+    figures = dict(x.split(": ", 1) for x in said[1:] if not x.startswith("top"))
+    assert said[0].startswith("3 of 3 notes made") and figures["calls"] == "3" and figures["failed_calls"] == "1" and figures["cost"] == "0.5"
+    assert figures["synthesised"] == "2" and figures["parse_errors"] == "0" and figures["edges"] == "2" and figures["divergences"] == "info 0"
+    assert sum(x.startswith("top: src/") for x in said) == 3
+    made = generate.stored(spark, f"{tmp_path}/.ai-notes/tables")
+    notes = {r["file_path"]: r for r in made.notes.collect()}
+    assert {k: r["model"] for k, r in notes.items()} == {"src/a.ts": "fake", "src/b.ts": "fake", "src/broken.ts": "static"}
+    assert notes["src/a.ts"]["known_pitfalls"]["inferred"] == ["mind the gap", "context"] and notes["src/a.ts"]["debug_signals"]["direct_dep_count"] == 2
+    assert {r["path"]: r["model"] for r in made.index.collect()}["src/b.ts"] == "fake"
+    assert {r["path"]: (r["cost"], r["error"]) for r in made.calls.collect()}["src/broken.ts"] == (None, "ValueError: no such file")
+    assert protocol.serve.call(made, "full_text_search", query="gap").count() == 2
+    said.clear()
+    cli.main(["generate", "--root", str(tmp_path), "--provider", "fake_model:ask", "--verbose"], said.append)
+    assert said[0].startswith("0 of 3 notes made") and "calls: 0" in said and "cost: 0" in said and "synthesised: 2" in said
+
+
+def test_a_better_model_for_high_scores(spark):
+    one = "struct<observed:array<string>,inferred:array<string>,confidence:double,evidence:array<struct<type:string,detail:string>>>"
+    bare = F.struct(F.array().cast("array<string>").alias("observed"), F.array().cast("array<string>").alias("inferred"), F.lit(0.1).alias("confidence"), F.array().cast("array<struct<type:string,detail:string>>").alias("evidence")).cast(one)
+    names = spark.createDataFrame([(f"f{k}", k % 2 == 0) for k in range(9)], "path string, premium boolean")
+    notes = names.select(F.col("path").alias("file_path"), *(bare.alias(n) for n in generate.rules.NOTE_FIELDS), F.lit("static").alias("model"))
+    provider = generate.Provider(a_model(), "small", premium=generate.Provider(a_model(), "large"))
+    made, calls = generate.synthesised_notes(notes, names.where("path != 'f8'"), names.select("path", F.lit("File: x").alias("prompt")), provider, 3)
+    assert {r["file_path"]: r["model"] for r in made.collect()} == {f"f{k}": "static" if k == 8 else "large" if k % 2 == 0 else "small" for k in range(9)}
+    assert calls.count() == 8 and generate.prompts.usage(calls).first()["cost"] == 2.0
+
+
 def test_watching_applies_changes_as_they_come(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.ts").write_text("import { b } from './b'\n")
@@ -157,6 +214,32 @@ def test_one_run_at_a_time():
     assert job.status()["error"].startswith("ZeroDivisionError")
 
 
+def test_runs_by_request(spark, tmp_path):
+    (tmp_path / "a.ts").write_text("export const a = 1\n")
+    cli.main(["generate", "--root", str(tmp_path)], [].append)
+    (tmp_path / "b.ts").write_text("import { a } from './a'\n")
+    call = lambda name, **a: json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": a}})
+    said = []
+
+    def lines():
+        yield call("start_run")
+        yield call("start_run")
+        while json.loads(json.loads(said[-1]).get("result", {"content": [{"text": '{"running": true}'}]})["content"][0]["text"])["running"]:
+            time.sleep(0.5)
+            yield call("run_status", since=0)
+        yield call("get_graph")
+        yield call("run_status", repo="none")
+        yield json.dumps({"jsonrpc": "2.0", "id": 2, "method": "tools/list"})
+
+    cli.serve(spark, cli._parser().parse_args(["serve", "--root", str(tmp_path)]), said.append, lines())
+    replies = [json.loads(x) for x in said]
+    assert replies[1]["error"]["code"] == 409 and replies[-2]["error"]["code"] == -32602
+    status = json.loads(replies[-4]["result"]["content"][0]["text"])
+    assert not status["running"] and status["error"] is None and status["lines"][0].startswith("1 of 2 notes made") and status["next"] == 1
+    assert json.loads(replies[-3]["result"]["content"][0]["text"])["count"] == 2
+    assert {"start_run", "run_status"} <= {t["name"] for t in replies[-1]["result"]["tools"]}
+
+
 def test_renames_are_followed(spark, root):
     rows = [("b", "1", 1, None), ("c", "2", 2, "b"), ("d", "3", 3, "c"), ("b", "4", 4, None), ("x", "5", 5, None)]
     own = spark.createDataFrame(rows, "file string, commit string, at int, was string").withColumn("at", F.timestamp_seconds("at"))
