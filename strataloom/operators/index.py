@@ -88,8 +88,13 @@ def quota(candidates: DataFrame, most: int = 8) -> DataFrame:
 
 
 def markdown(index: DataFrame) -> DataFrame:
-    """domain, best, text: a section for each domain, its files by score."""
-    line = F.concat(F.lit("- `"), "path", F.lit("` ("), F.col("score").cast("string"), F.lit(") "), F.left("purpose", F.lit(80)))
-    each = index.groupBy("domain").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "path", line.alias("line")))).alias("rows"))
-    head = F.concat(F.lit("## "), "domain", F.lit(" — "), F.col("n").cast("string"), F.lit(" files, average "), F.round(F.col("total") / F.col("n"), 2).cast("string"))
-    return each.select("domain", "best", F.concat_ws("\n", head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("text")).orderBy(F.desc("best"), "domain")
+    """domain, best, score, path, text: the lines of the index in order, a heading (path is null) for each domain and below it its files by score.
+
+    A line is a row, so neither a domain nor the whole is ever one row or one task: the order is a range sort, which a large domain is split by too.
+    """
+    domains = index.groupBy("domain").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
+    average = F.round(F.col("total") / F.col("n"), 2).cast("string")
+    heads = domains.select("domain", "best", F.lit(None).cast(index.schema["score"].dataType).alias("score"), F.lit(None).cast("string").alias("path"), F.concat(F.lit("## "), "domain", F.lit(" — "), F.col("n").cast("string"), F.lit(" files, average "), average).alias("text"))
+    line = F.concat(F.lit("- `"), "path", F.lit("` ("), F.col("score").cast("string"), F.lit(") "), F.coalesce(F.left("purpose", F.lit(80)), F.lit("")))
+    files = index.select("domain", "score", "path", line.alias("text")).join(domains.select("domain", "best"), "domain").select(*heads.columns)
+    return heads.unionByName(files).orderBy(F.desc("best"), "domain", F.desc_nulls_first("score"), F.asc_nulls_first("path"))

@@ -358,7 +358,8 @@ def write(made: Run, out: str, keep: int = 2) -> Written:
     notes.write_files(made.notes.join(made.fresh.select(F.col("path").alias("file_path")), "file_path", "left_semi"), f"{out}/notes")
     notes.remove_files(spark, f"{out}/notes", made.notes.select("file_path"), last and spark.read.parquet(f"{last}/notes").select("file_path"))
     index.ranked(made.index).write.mode("overwrite").json(f"{folder}/index_json")
-    index.markdown(made.index).select("text").coalesce(1).write.mode("overwrite").text(f"{folder}/index_markdown", lineSep="\n\n")
+    lines = F.when(F.col("path").isNull(), F.concat(F.lit("\n"), "text")).otherwise(F.col("text"))
+    index.markdown(made.index).select(lines.alias("text")).write.mode("overwrite").text(f"{folder}/index_markdown")  # part after part in order
     made.fingerprints.orderBy("path", "dep").write.mode("overwrite").json(f"{folder}/fingerprints_json")
     notes.markdown(made.notes).select("text").write.mode("overwrite").text(f"{folder}/notes_markdown", lineSep="\n\f\n")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path

@@ -112,13 +112,12 @@ def index_totals(spark, sf_dir):
     return index.totals(entries(spark, sf_dir)).withColumn("average", F.col("average").cast("double"))
 
 
-@query(f"""WITH {ENTRIES_SQL}, g AS (SELECT domain, max(score) AS best, count(*) AS n, list('- `' || path || '` (' || score || ') does ' || split_part(path, '/f', -1) ORDER BY score DESC, path) AS lines FROM e GROUP BY domain)
-SELECT domain, best, n, array_to_string(lines, chr(10)) AS body FROM g""")
+@query(f"""WITH {ENTRIES_SQL}, g AS (SELECT domain, max(score) AS best, count(*) AS n FROM e GROUP BY domain)
+SELECT domain, best, NULL AS score, NULL AS path, '## ' || domain || ' — ' || n || ' files' AS text FROM g
+UNION ALL SELECT e.domain, g.best, e.score, e.path, '- `' || e.path || '` (' || e.score || ') does ' || split_part(e.path, '/f', -1) FROM e JOIN g ON g.domain = e.domain""")
 def index_markdown(spark, sf_dir):
-    """The heading holds a rounded average; what is below it is compared."""
-    own = index.markdown(entries(spark, sf_dir))
-    rows = F.split("text", "\n")
-    return own.select("domain", "best", (F.size(rows) - 1).cast("long").alias("n"), F.array_join(F.slice(rows, 2, F.size(rows)), "\n").alias("body"))
+    """A line is a row. The heading's rounded average is left out; all else is compared."""
+    return index.markdown(entries(spark, sf_dir)).withColumn("text", F.when(F.col("path").isNull(), F.regexp_replace("text", ", average [^,]*$", "")).otherwise(F.col("text")))
 
 
 @query("""WITH RECURSIVE items AS (SELECT l_partkey AS src, l_partkey // 20 AS package, l_partkey % 20 + 1 + l_linenumber % 4 AS spot FROM lineitem),
