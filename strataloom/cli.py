@@ -182,6 +182,8 @@ def _parsed(spark: SparkSession, out: str):
     folder = generate.current(spark, out)
     if folder is None:
         raise SystemExit(f"no notes in {out}; run generate first")
+    if len(generate.chain(spark, folder)) > 1:
+        return generate.read_version(spark, folder).parsed
     return state(spark, f"{folder}/parsed", HASHES)
 
 

@@ -90,10 +90,11 @@ def blocks_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term", "field", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
 
 
-def text_index(docs: DataFrame, key: str, fields: list[str], blocks: bool = True) -> TextIndex:
+def text_index(docs: DataFrame, key: str, fields: list[str], blocks: bool = True, parts: dict[int, int] | None = None) -> TextIndex:
     """The index of docs (key, fields); a key names one document. Texts are split once, and terms counted where a text is read.
 
     Without blocks, for an index that one query is asked of, a search makes the rows of those blocks only that its terms have.
+    parts: how many ranges an index that docs are added to has of each class of length.
     """
     split = docs.select(F.col(key).alias("key"), *(F.array_sort(terms(F.col(f"`{f}`"))).alias(f"t{k}") for k, f in enumerate(fields)))
     sizes = [F.greatest(F.size(f"t{k}"), F.lit(0)) for k in range(len(fields))]  # of a null text 0
@@ -101,7 +102,8 @@ def text_index(docs: DataFrame, key: str, fields: list[str], blocks: bool = True
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"t{k}").alias("terms"), sizes[k].alias("length")) for k, f in enumerate(fields))))
     spread = F.floor(F.log2(total + 1) * LENGTH_CLASSES).cast("int")
     own = saved(split.select("key", spread.alias("spread"), each.alias("e")).where("e.length > 0").select("key", "spread", "e.*"), "split")
-    sizes_of = {r["spread"]: -(-r["n"] // BLOCK_DOCS) for r in own.groupBy("spread").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class of length
+    known = parts or {}
+    sizes_of = {r["spread"]: max(known.get(r["spread"], 1), -(-r["n"] // BLOCK_DOCS)) for r in own.groupBy("spread").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class of length
     parts = F.element_at(F.create_map(*(F.lit(x) for p in sizes_of.items() for x in p)), F.col("spread")) if sizes_of else F.lit(1)
     rank = (F.col("spread").cast("long") * (1 << 40) + F.pmod(F.xxhash64("key"), parts)).alias("range")
     postings = saved(own.select("key", "field", "length", rank, F.explode(counted(F.col("terms"), F.col("length"))).alias("e")).select("e.term", "field", "range", "key", "e.tf", "length"), "postings")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, rules, scoring
 from ..functions.storage import saved
-from ..operators import governance, graph, history, incremental, index, notes, parsers, prompts, resolve, search, synthesis
+from ..operators import delta, governance, graph, history, incremental, index, notes, parsers, prompts, resolve, search, synthesis
 from ..sources import coverage, documents, files, git_log
 from ..sources.config import Config, merged_aliases
 
@@ -51,6 +51,8 @@ class Run:
     fresh: DataFrame
     #: path, model, cost, duration_ms, error: of the calls to a model that this run has made.
     calls: DataFrame
+    #: node, component: files on cycles.
+    components: DataFrame
 
     @property
     def text(self) -> search.TextIndex:
@@ -165,9 +167,10 @@ def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges:
     """The tables of a run from saved analyses and edges; index, search and nodes are of the stored and the fresh notes together."""
     docs = saved(documents.governance_docs(all_files), "docs")
     found = saved(governance.divergences(docs, own.select("path"), edges), "divergences")
+    components = saved(graph.strong_components(edges), "components")
     signals = saved(
         notes.signals(
-            analysed, edges, resolve.related_tests(own, all_files), covered, history.git_signals(commits), graph.strong_components(edges), found, governance.governed(own.select("path"), governance.file_governance(docs), governance.mappings(docs))
+            analysed, edges, resolve.related_tests(own, all_files), covered, history.git_signals(commits), components, found, governance.governed(own.select("path"), governance.file_governance(docs), governance.mappings(docs))
         ), "signals",
     )
     hashes = all_files.select("path", "hash")
@@ -191,7 +194,7 @@ def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges:
     settings = all_files.sparkSession.createDataFrame([(settings_digest(config),)], "digest string")
     return Run(
         own, docs, signals, analysed, edges, made, entries, index.graph_nodes(own.select("path"), entries), found, words.postings, words.blocks, words.terms, words.forms, words.fields,
-        grams.items, grams.grams, grams.counts, hashes, noted, held, settings, fresh, calls,
+        grams.items, grams.grams, grams.counts, hashes, noted, held, settings, fresh, calls, components,
     )
 
 
@@ -291,6 +294,15 @@ def gated(entries: DataFrame, changes: DataFrame | None, config: Config, provide
     return own.join(forced, "path", "left").select("path", boosted.alias("boosted"), uses.alias("uses_llm"), (F.col("score") >= config.high_threshold).alias("premium"))
 
 
+#: Tables that a batch of changes alters in part, with the names of what it replaces rows by; all others are written whole: governance
+#: documents and what departs from them, the settings, and what the run itself has made.
+KEYED = {
+    "files": "path", "signals": "path", "analyses": "path", "edges": "src", "notes": "file_path", "index": "path", "nodes": "path", "postings": "key", "blocks": "term, field, range", "terms": "term, field",
+    "forms": "term", "fields": "field", "items": "key", "grams": "item", "counts": "gram", "parsed": "path", "hashes": "path", "fingerprints": "path", "components": "node",
+}
+#: After so many versions that hold changes a full one is written.
+MOST_LAYERS = 8
+
 #: What look-ups narrow a table by: its rows lie in ranges of it, so that files and row groups are pruned.
 SORTED = {"postings": "term", "blocks": "term", "terms": "term", "forms": "form", "grams": "gram", "counts": "gram", "notes": "file_path", "index": "path", "nodes": "path", "edges": "src", "divergences": "file"}
 
@@ -312,7 +324,32 @@ def current(spark: SparkSession, out: str) -> str | None:
 def stored(spark: SparkSession, out: str) -> Run | None:
     """The current version of a written run, read back: what serving and the next run start from; None where there is none."""
     folder = current(spark, out)
-    return folder and Run(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in dataclasses.fields(Run)})
+    return folder and read_version(spark, folder)
+
+
+def read_version(spark: SparkSession, folder: str) -> Run:
+    """The tables of a version: of one that holds changes those of the last full one, under all changes since."""
+    *above, base = chain(spark, folder)
+    found = {}
+    for f in dataclasses.fields(Run):
+        if f.name not in KEYED or not above:
+            found[f.name] = spark.read.parquet(f"{folder}/{f.name}")
+            continue
+        found[f.name] = spark.read.parquet(f"{base}/{f.name}")
+        for layer in reversed(above):
+            found[f.name] = delta.applied(found[f.name], delta.Change(spark.read.parquet(f"{layer}/{f.name}_gone"), spark.read.parquet(f"{layer}/{f.name}_rows")))
+    return Run(**found)
+
+
+def chain(spark: SparkSession, folder: str) -> list[str]:
+    """A version, the one that its changes are to, and so on to a full one."""
+    out = [folder]
+    while True:
+        system, path = versions(spark, f"{out[-1]}/_OVER_*")
+        below = [str(f.getPath().getName()).removeprefix("_OVER_") for f in system.globStatus(path) or []]
+        if not below:
+            return out
+        out.append(f"{folder.rpartition('/')[0]}/{below[0]}")
 
 
 @dataclass(frozen=True)
@@ -342,54 +379,141 @@ def write(made: Run, out: str, keep: int = 2) -> Written:
     Figures are observed on the plans that write the tables. Notes also as JSON lines and a pretty file each, the index also as JSON and Markdown.
     """
     spark = made.notes.sparkSession
-    system, _ = versions(spark, out)
     last = current(spark, out)
-    folder = f"{out}/v{int(last.rpartition('/v')[2]) + 1 if last else 1:09d}"
+    folder = _next(out, last)
     counted, seen = _figures(), {}
     for f in dataclasses.fields(Run):
-        table = getattr(made, f.name)
-        if by := SORTED.get(f.name):
-            table = table.repartitionByRange(by).sortWithinPartitions(by)
+        table = _by_range(getattr(made, f.name), f.name)
         if f.name in counted:
             seen[f.name] = Observation(f.name)
             table = table.observe(seen[f.name], *counted[f.name])
         table.write.mode("overwrite").parquet(f"{folder}/{f.name}")
     made.notes.write.mode("overwrite").json(f"{folder}/notes_json")
     notes.write_files(made.notes.join(made.fresh.select(F.col("path").alias("file_path")), "file_path", "left_semi"), f"{out}/notes")
-    notes.remove_files(spark, f"{out}/notes", made.notes.select("file_path"), last and spark.read.parquet(f"{last}/notes").select("file_path"))
-    index.ranked(made.index).write.mode("overwrite").json(f"{folder}/index_json")
-    lines = F.when(F.col("path").isNull(), F.concat(F.lit("\n"), "text")).otherwise(F.col("text"))
-    index.markdown(made.index).select(lines.alias("text")).write.mode("overwrite").text(f"{folder}/index_markdown")  # part after part in order
+    notes.remove_files(spark, f"{out}/notes", made.notes.select("file_path"), last and read_version(spark, last).notes.select("file_path"))
+    _listings(made.index, folder)
     made.fingerprints.orderBy("path", "dep").write.mode("overwrite").json(f"{folder}/fingerprints_json")
     notes.markdown(made.notes).select("text").write.mode("overwrite").text(f"{folder}/notes_markdown", lineSep="\n\f\n")
+    _done(spark, out, folder, keep)
+    return Written(folder, {k: v for o in seen.values() for k, v in o.get.items()})
+
+
+def _next(out: str, last: str | None) -> str:
+    return f"{out}/v{int(last.rpartition('/v')[2]) + 1 if last else 1:09d}"
+
+
+def _by_range(table: DataFrame, name: str) -> DataFrame:
+    return table.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name]) if name in SORTED else table
+
+
+def _listings(entries: DataFrame, folder: str) -> None:
+    """The index as JSON and Markdown: a line for each file."""
+    index.ranked(entries).write.mode("overwrite").json(f"{folder}/index_json")
+    lines = F.when(F.col("path").isNull(), F.concat(F.lit("\n"), "text")).otherwise(F.col("text"))
+    index.markdown(entries).select(lines.alias("text")).write.mode("overwrite").text(f"{folder}/index_markdown")  # part after part in order
+
+
+def _done(spark: SparkSession, out: str, folder: str, keep: int) -> None:
+    """Marks a version as one that counts; older ones go, but for the last keep and what these hold changes to."""
+    system, _ = versions(spark, out)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     system.create(hadoop(f"{folder}/_DONE")).close()
     done = sorted(str(f.getPath().getParent().getName()) for f in system.globStatus(hadoop(f"{out}/v*/_DONE")))
-    for name in done[:-keep]:
-        system.delete(hadoop(f"{out}/{name}"), True)
-    return Written(folder, {k: v for o in seen.values() for k, v in o.get.items()})
+    needed = {f.rpartition("/")[2] for name in done[-keep:] for f in chain(spark, f"{out}/{name}")}
+    for name in done:
+        if name not in needed:
+            system.delete(hadoop(f"{out}/{name}"), True)
+
+
+def write_changes(spark: SparkSession, changes: dict[str, delta.Change], wholes: dict[str, DataFrame], out: str, keep: int = 2) -> str:
+    """A new version that holds what a batch changes in the current one (see KEYED), and the other tables whole.
+
+    Rows written are in proportion to the changes, but for the index's listings. Notes' own files are those of the batch;
+    notes and fingerprints as one JSON or Markdown export come with the next full version, after MOST_LAYERS of these.
+    """
+    last = current(spark, out)
+    folder, before = _next(out, last), read_version(spark, last)
+    if len(chain(spark, last)) > MOST_LAYERS:
+        merged = {name: delta.applied(getattr(before, name), change) for name, change in changes.items()}
+        return write(Run(**merged, **wholes), out, keep).folder
+    for name, change in changes.items():
+        change.gone.write.mode("overwrite").parquet(f"{folder}/{name}_gone")
+        _by_range(change.rows, name).write.mode("overwrite").parquet(f"{folder}/{name}_rows")
+    for name, table in wholes.items():
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+    system, path = versions(spark, f"{folder}/_OVER_{last.rpartition('/')[2]}")
+    system.create(path).close()
+    notes.write_files(changes["notes"].rows, f"{out}/notes")
+    notes.remove_files(spark, f"{out}/notes", changes["notes"].rows.select("file_path"), changes["notes"].gone)
+    _listings(read_version(spark, folder).index, folder)
+    _done(spark, out, folder, keep)
+    return folder
 
 
 def apply_changes(spark: SparkSession, out: str, changed: DataFrame, all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column) -> None:
     """A micro-batch of changed files (filename) against the current version, written as the next one.
 
-    Analyses and edges of the files are replaced; notes are made anew for them, for files that depend on them or did, and for
-    what they depend on or did; all other notes stay. Idempotent: the same batch again gives the same tables.
+    What a change can reach is made anew, and all other rows stay: analyses of the files; edges of these, and where files came
+    or went of all whose imports now mean another file; components around the edges that came and went; signals, notes, index
+    and search rows of affected files: those and their neighbours, as edges were and as they are, the files of tests that
+    changed, and files that are on a cycle anew or no longer. Departures from documents are found anew as a table; in notes of other
+    files they, like history, coverage and governance, are taken up by the next run that makes them. Idempotent: the same batch again gives the same tables.
     """
     earlier = stored(spark, out)
     options, modules = parsers.Options(config.api_call_patterns, config.side_effect_packages), parsers.go_modules(all_files)
     own = saved(files.scanned(all_files, config.include, config.exclude), "files")
-    moved = saved(changed.select(F.col("filename").alias("path")).distinct(), "moved")
-    fresh = saved(parsers.analyses(own.join(moved, "path", "left_semi"), options, modules), "analyses_of_changed")
-    analysed = saved(incremental.upserted(earlier.analyses, fresh, present=own.select("path")), "analyses")
-    kept = earlier.edges.join(own.select(F.col("path").alias("src")), "src", "left_semi")
-    edges = saved(graph.with_replaced(kept, dependency_edges(fresh, all_files.select("path"), aliases_of(all_files) or None, modules=modules), fresh.select(F.col("path").alias("src"))), "edges")
-    write(assembled(own, all_files, analysed, edges, commits, covered, config, now, earlier, Chosen(paths=affected(moved, earlier.edges, edges))), out)
-
-
-def affected(moved: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """path: files that changed (moved), and their neighbours on either side, as edges were and as they are."""
-    links = before.select("src", "dst").union(after.select("src", "dst")).distinct()
-    up = links.join(moved.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("src").alias("path"))
-    down = links.join(moved.withColumnRenamed("path", "src"), "src", "left_semi").select(F.col("dst").alias("path"))
-    return moved.union(up).union(down).distinct()
+    hashes = all_files.select("path", "hash")
+    went = earlier.parsed.select("path").union(earlier.files.select("path")).distinct().join(own.select("path"), "path", "left_anti").join(hashes, "path", "left_anti")
+    came = own.select("path").join(earlier.files.select("path"), "path", "left_anti")
+    left = earlier.files.select("path").join(own.select("path"), "path", "left_anti")
+    moved = saved(changed.select(F.col("filename").alias("path")).union(went).union(came).union(left).distinct(), "moved")
+    analyses = delta.Change(moved, saved(parsers.analyses(own.join(moved, "path", "left_semi"), options, modules), "analyses_of_changed"))
+
+    aliases, known = aliases_of(all_files) or None, all_files.select("path")
+    settled = moved.where(F.col("path").isin("tsconfig.json", *rules.BUNDLER_FILES) | F.col("path").rlike(r"(^|/)go\.mod$"))
+    others = came.union(left).union(hashes.select("path").join(earlier.parsed, "path", "left_anti")).union(went).union(settled).limit(1).count()
+    if others:  # an import may mean another file than before
+        resolved = saved(dependency_edges(delta.applied(earlier.analyses, analyses), known, aliases, modules=modules), "resolved")
+        sign = earlier.edges.select("src", "dst", F.lit(-1).alias("n")).unionByName(resolved.select("src", "dst", F.lit(1).alias("n")))
+        turned = sign.groupBy("src", "dst").agg(F.sum("n").alias("n")).where("n != 0").select("src")
+        sources = saved(turned.union(moved.select("path")).distinct(), "sources")
+        fresh_edges = saved(resolved.join(sources, "src", "left_semi"), "fresh_edges")
+    else:
+        sources = moved.select(F.col("path").alias("src"))
+        fresh_edges = saved(dependency_edges(analyses.rows, known, aliases, modules=modules), "fresh_edges")
+    edges = delta.Change(sources, fresh_edges)
+    linked = saved(delta.applied(earlier.edges, edges), "edges")
+    old_edges = saved(earlier.edges.join(sources, "src", "left_semi"), "old_edges")
+    cycles = delta.components(earlier.components, old_edges.select("src", "dst").exceptAll(fresh_edges.select("src", "dst")), fresh_edges.select("src", "dst").exceptAll(old_edges.select("src", "dst")), linked)
+
+    docs = saved(documents.governance_docs(all_files), "docs")
+    found = saved(governance.divergences(docs, own.select("path"), linked), "divergences")
+    told = earlier.components.join(cycles.gone, "node", "left_semi").select("node", F.lit(1).alias("n")).unionByName(cycles.rows.select("node", F.lit(-1).alias("n")))
+    looped = told.groupBy("node").agg(F.sum("n").alias("n")).where("n != 0").select("node")
+    tests = resolve.related_tests(own, all_files)
+    tested = tests.join(moved.withColumnRenamed("path", "test"), "test", "left_semi").select("path").union(
+        earlier.signals.select("path", F.explode("related_tests").alias("test")).join(moved.withColumnRenamed("path", "test"), "test", "left_semi").select("path")
+    )
+    up = linked.union(earlier.edges).join(moved.withColumnRenamed("path", "dst"), "dst", "left_semi").select("src")
+    near = moved.union(sources).union(old_edges.select("dst")).union(fresh_edges.select("dst")).union(up).union(looped).union(tested)
+    gone = saved(near.distinct(), "affected")
+
+    part = own.join(gone, "path", "left_semi")
+    about = linked.join(gone.select(F.col("path").alias("src"), F.lit(True).alias("a")), "src", "left").join(gone.select(F.col("path").alias("dst"), F.lit(True).alias("b")), "dst", "left").where("a OR b").select("src", "dst")
+    about = saved(about, "edges_of_affected")
+    analysed = delta.applied(earlier.analyses, analyses).join(gone, "path", "left_semi")
+    governed = governance.governed(part.select("path"), governance.file_governance(docs), governance.mappings(docs))
+    loops = delta.applied(earlier.components, cycles)
+    signals = saved(notes.signals(analysed, about, tests.join(gone, "path", "left_semi"), covered, history.git_signals(commits), loops, found, governed), "signals")
+    made = saved(notes.assembled(notes.items(signals, config.language), signals, now), "notes")
+    entries = saved(indexed(made, part, about, now, config), "index")
+    texts, keys = notes.search_documents(made), gone.select(F.col("path").alias("key"))
+    over = lambda rows, key="path": delta.Change(gone.withColumnRenamed("path", key), rows)
+    some = hashes.join(gone.union(moved).distinct(), "path", "left_semi")
+    changes = {
+        "files": over(part), "signals": over(signals), "analyses": analyses, "edges": edges, "notes": over(made, "file_path"), "index": over(entries), "nodes": over(index.graph_nodes(part.select("path"), entries)),
+        "parsed": delta.Change(moved, hashes.join(moved, "path", "left_semi")), "hashes": over(some), "fingerprints": over(incremental.fingerprints(about, hashes).join(gone, "path", "left_semi")), "components": cycles,
+        **delta.text_changes(earlier.text, keys, texts, "id", texts.columns[1:]), **delta.gram_changes(earlier.substrings, keys, note_texts(made)),
+    }
+    settings = spark.createDataFrame([(settings_digest(config),)], "digest string")
+    write_changes(spark, changes, {"documents": docs, "divergences": found, "settings": settings, "fresh": part.select("path"), "calls": spark.createDataFrame([], CALLS)}, out)

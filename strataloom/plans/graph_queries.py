@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import as_score, is_hotspot
 from ..functions.storage import saved
-from ..operators import graph, index
+from ..operators import delta, graph, index
 from .catalog import query, table
 
 PACKAGE = 20
@@ -21,10 +21,10 @@ HUB = f"{ALL}, hub AS (SELECT dst AS start FROM edges GROUP BY dst ORDER BY coun
 REACH = f"{ALL}, links AS (SELECT DISTINCT src, dst FROM edges), reach(start, node) AS (SELECT src, dst FROM links UNION SELECT r.start, e.dst FROM reach r JOIN links e ON e.src = r.node)"
 
 
-def edges(spark, sf_dir):
+def edges(spark, sf_dir, *more):
     package, at = F.floor(F.col("l_partkey") / PACKAGE), F.col("l_partkey") % PACKAGE + 1 + F.col("l_linenumber") % 4
     to = F.when(at < PACKAGE, at).when(package % 3 == 0, at % PACKAGE).otherwise(PACKAGE - 1)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (package * PACKAGE + to).alias("dst"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (package * PACKAGE + to).alias("dst"), *more)
 
 
 def hub(own):
@@ -72,6 +72,19 @@ def cycle_witness(spark, sf_dir):
     return graph.cycle_witnesses(edges(spark, sf_dir)).select("component", F.array_join("cycle", " ").alias("cycle"))
 
 
+#: Imports shipped late come and those returned early go.
+CAME, WENT = "l_shipdate >= DATE '1998-08-01'", "l_returnflag = 'R' AND l_shipdate < DATE '1992-06-01'"
+
+
+@query(f"""WITH RECURSIVE {REACH.replace("FROM lineitem", f"FROM lineitem WHERE NOT ({WENT})")}, m AS (SELECT a.start AS node, b.start AS other FROM reach a JOIN reach b ON a.node = b.start AND b.node = a.start)
+SELECT node, least(node, min(other)) AS component FROM m GROUP BY node""")
+def components_after_changes(spark, sf_dir):
+    """Components of the graph before some imports came and others went, changed to those of the graph as it is then."""
+    own = saved(edges(spark, sf_dir, F.expr(CAME).alias("came"), F.expr(WENT).alias("went")), "edges")
+    before = saved(graph.strong_components(own.where("NOT came")), "before")
+    return delta.applied(before, delta.components(before, own.where("went"), own.where("came"), own.where("NOT went")))
+
+
 CHAIN = "links AS (SELECT s_suppkey AS src, s_suppkey + 1 AS dst FROM supplier UNION SELECT s_suppkey, 1 FROM supplier WHERE s_suppkey % 9 = 0)"
 
 

@@ -167,7 +167,7 @@ def get_hover(made: Run, file_path: str, specifier: str) -> DataFrame:
 @tool
 def get_cycles(made: Run) -> DataFrame:
     """node, component of the files on cycles, and for each component one shortest cycle, by name."""
-    own = graph.saved(graph.strong_components(made.edges), "components")
+    own = made.components
     return own.join(graph.cycle_witnesses(made.edges, own).withColumn("cycle", F.array_join("cycle", " -> ")), "component").select("node", "component", "cycle")
 
 
@@ -187,7 +187,7 @@ def get_file_analysis(made: Run, path: str) -> DataFrame:
 @tool
 def get_all_analyses(made: Run) -> DataFrame:
     """get_file_analysis of all files at once, from the closure of all pairs: for small graphs."""
-    own = graph.degrees(made.edges, made.files.select(F.col("path").alias("node"))).join(graph.closure_counts(made.edges), "node", "left").join(graph.strong_components(made.edges).select("node", F.lit(True).alias("in_cycle")), "node", "left")
+    own = graph.degrees(made.edges, made.files.select(F.col("path").alias("node"))).join(graph.closure_counts(made.edges), "node", "left").join(made.components.select("node", F.lit(True).alias("in_cycle")), "node", "left")
     return _with_hotspot(made, own)
 
 
