@@ -163,7 +163,7 @@ def caught_up(spark: SparkSession, config: settings.Config, say) -> None:
 
 def _applied(spark: SparkSession, config: settings.Config, all_files, changed) -> None:
     commits = generate.saved(git_log.history(spark, config.root), "commits")
-    generate.apply_changes(spark, _out(config), changed, all_files, commits, generate.coverage.coverage(all_files, config.root), config, F.current_timestamp())
+    generate.apply_changes(spark, _out(config), changed, all_files, commits, generate.coverage.coverage(all_files, config.root), config, F.current_timestamp(), in_part=True)
 
 
 def watching(spark: SparkSession, config: settings.Config, say, seconds: float = 2.0):

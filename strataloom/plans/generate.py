@@ -425,15 +425,16 @@ def _done(spark: SparkSession, out: str, folder: str, keep: int) -> None:
             system.delete(hadoop(f"{out}/{name}"), True)
 
 
-def write_changes(spark: SparkSession, changes: dict[str, delta.Change], wholes: dict[str, DataFrame], out: str, keep: int = 2) -> str:
+def write_changes(spark: SparkSession, changes: dict[str, delta.Change], wholes: dict[str, DataFrame], out: str, keep: int = 2, in_part: bool = True) -> str:
     """A new version that holds what a batch changes in the current one (see KEYED), and the other tables whole.
 
     Rows written are in proportion to the changes, but for the index's listings. Notes' own files are those of the batch;
-    notes and fingerprints as one JSON or Markdown export come with the next full version, after MOST_LAYERS of these.
+    notes and fingerprints as one JSON or Markdown export come with the next full version, after MOST_LAYERS of these or at
+    once without in_part. What kept versions hold changes to is kept with them.
     """
     last = current(spark, out)
     folder, before = _next(out, last), read_version(spark, last)
-    if len(chain(spark, last)) > MOST_LAYERS:
+    if not in_part or len(chain(spark, last)) > MOST_LAYERS:
         merged = {name: delta.applied(getattr(before, name), change) for name, change in changes.items()}
         return write(Run(**merged, **wholes), out, keep).folder
     for name, change in changes.items():
@@ -450,8 +451,8 @@ def write_changes(spark: SparkSession, changes: dict[str, delta.Change], wholes:
     return folder
 
 
-def apply_changes(spark: SparkSession, out: str, changed: DataFrame, all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column) -> None:
-    """A micro-batch of changed files (filename) against the current version, written as the next one.
+def apply_changes(spark: SparkSession, out: str, changed: DataFrame, all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, in_part: bool = False) -> None:
+    """A micro-batch of changed files (filename) against the current version, written as the next one: whole, or in part.
 
     What a change can reach is made anew, and all other rows stay: analyses of the files; edges of these, and where files came
     or went of all whose imports now mean another file; components around the edges that came and went; signals, notes, index
@@ -516,4 +517,4 @@ def apply_changes(spark: SparkSession, out: str, changed: DataFrame, all_files:
         **delta.text_changes(earlier.text, keys, texts, "id", texts.columns[1:]), **delta.gram_changes(earlier.substrings, keys, note_texts(made)),
     }
     settings = spark.createDataFrame([(settings_digest(config),)], "digest string")
-    write_changes(spark, changes, {"documents": docs, "divergences": found, "settings": settings, "fresh": part.select("path"), "calls": spark.createDataFrame([], CALLS)}, out)
+    write_changes(spark, changes, {"documents": docs, "divergences": found, "settings": settings, "fresh": part.select("path"), "calls": spark.createDataFrame([], CALLS)}, out, in_part=in_part)

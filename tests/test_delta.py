@@ -101,7 +101,7 @@ def test_batches_give_what_a_run_over_all_gives(spark, tmp_path, monkeypatch):
                 (root / f"src/f{k}.ts").unlink()
             else:
                 put(k)
-        generate.apply_changes(spark, out, spark.createDataFrame([(p,) for p in edited], "filename string"), scan(), commits, covered, own, now)
+        generate.apply_changes(spark, out, spark.createDataFrame([(p,) for p in edited], "filename string"), scan(), commits, covered, own, now, in_part=True)
         folder = generate.current(spark, out)
         assert len(generate.chain(spark, folder)) == 2 - batch
         if batch == 0:
