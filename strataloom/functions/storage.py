@@ -40,3 +40,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by a hash of keys over all cores, for work in Python whose cost is not told by the size of what it reads.
+
+    A table of a few MB is one split, so one core would do all; adaptive execution leaves this number of partitions as it is.
+    """
+    spark = df.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(count, *keys)

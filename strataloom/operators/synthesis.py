@@ -9,35 +9,34 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions import rules
+from ..functions.storage import spread
 
 EVIDENCE_KINDS = ("code", "git", "test", "graph", "comment", "doc")
 DELAYS = (1.0, 2.0, 4.0)
 _transient = re.compile(r"429|rate limit|timeout|network|ECONNRESET|ETIMEDOUT", re.IGNORECASE)
 #: Of a call: what the reply says it cost, the time it took, and what kept its reply from being used.
 CALL = "struct<cost:double,duration_ms:bigint,error:string>"
+_CALL = pa.field("call", pa.struct([("cost", pa.float64()), ("duration_ms", pa.int64()), ("error", pa.string())]))
 FIELD = "struct<observed:array<string>,inferred:array<string>,confidence:double,evidence:array<struct<type:string,detail:string>>>"
 
 
+#: What counts between braces: a whole string with its escapes (one that is not closed goes to the end), or a brace.
+_mark = re.compile(r'"(?:\\.|[^"\\])*(?:"|\\?\Z)|[{}]', re.DOTALL)
+
+
 def _objects(text: str):
     """The balanced {...} of a text, strings and their escapes honoured."""
     for start in (m.start() for m in re.finditer(r"\{", text)):
-        depth, quoted, escaped = 0, False, False
-        for at in range(start, len(text)):
-            c = text[at]
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = quoted
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted and c in "{}":
-                depth += 1 if c == "{" else -1
+        depth = 0
+        for m in _mark.finditer(text, start):
+            if m[0] in "{}":
+                depth += 1 if m[0] == "{" else -1
                 if not depth:
-                    yield text[start : at + 1]
+                    yield text[start : m.end()]
                     break
 
 
@@ -105,7 +104,6 @@ def synthesised(notes: DataFrame, complete: Callable[[str], str | dict], model:
 
     Calls of a batch run side by side, at most `parallel` at a time in a task; a row is idempotent, so a task can be run again.
     """
-    columns = [*notes.columns, "call"]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in notes.schema), f"call {CALL}"])
 
     def one(row: dict) -> dict:
@@ -116,19 +114,18 @@ def synthesised(notes: DataFrame, complete: Callable[[str], str | dict], model:
             reply = checked_note(parsed_json(text))
         except Exception as error:
             return {**row, "call": {**call, "error": f"{type(error).__name__}: {error}"[:500]}}
-        plain = {n: {k: [dict(e) for e in v] if k == "evidence" else v if k == "confidence" else list(v) for k, v in row[n].items()} for n in rules.NOTE_FIELDS}
-        return {**row, **{n: merged_field(plain[n], reply[n]) for n in rules.NOTE_FIELDS}, "model": name, "call": call}
+        return {**row, **{n: merged_field(row[n], reply[n]) for n in rules.NOTE_FIELDS}, "model": name, "call": call}
 
     def run(batches):
         with ThreadPoolExecutor(parallel) as pool:
             for batch in batches:
-                rows = batch.to_dict("records")
+                rows = batch.to_pylist()
                 waiting, out = [pool.submit(one, r) for r in rows], []
                 for r, w in zip(rows, waiting, strict=True):
                     try:
                         out.append(w.result(timeout))
                     except Late:
                         out.append({**r, "call": {"cost": None, "duration_ms": int(timeout * 1000), "error": "no reply in time"}})
-                yield pd.DataFrame(out, columns=columns)
+                yield pa.RecordBatch.from_pylist(out, pa.schema([*batch.schema, _CALL]))
 
-    return notes.mapInPandas(run, ddl)
+    return spread(notes, notes.columns[0]).mapInArrow(run, ddl)
