@@ -23,6 +23,16 @@ def recent(commits: DataFrame, keep: int = TOP) -> DataFrame:
     return commits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
+def distinct_rows(commits: DataFrame, most_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """file, commit, each once, and commit, k, pieces of the commits of more than PIECE files."""
+    own = commits.select("file", "commit").distinct()
+    sizes = own.groupBy("commit").agg(F.count(F.lit(1)).alias("k"))
+    if most_files is not None:
+        sizes = sizes.where(F.col("k") <= most_files)
+        own = own.join(sizes.select("commit"), "commit", "left_semi")
+    return own, saved(sizes.where(F.col("k") > PIECE).withColumn("pieces", F.ceil(F.col("k") / PIECE).cast("int")), "large")
+
+
 def pair_counts(commits: DataFrame, most_files: int | None = None) -> DataFrame:
     """file, other, n: how many commits touch both, for each ordered pair.
 
@@ -31,33 +41,70 @@ def pair_counts(commits: DataFrame, most_files: int | None = None) -> DataFrame:
     join of its own, so a task has the pairs of two pieces at most. most_files (off by default) leaves out commits of more
     files than that, as bulk renames are.
     """
-    own = commits.select("file", "commit").distinct()
-    sizes = own.groupBy("commit").agg(F.count(F.lit(1)).alias("k"))
-    if most_files is not None:
-        sizes = sizes.where(F.col("k") <= most_files)
-    large = saved(sizes.where(F.col("k") > PIECE).withColumn("pieces", F.ceil(F.col("k") / PIECE).cast("int")), "large")
-    if most_files is not None:
-        own = own.join(sizes.select("commit"), "commit", "left_semi")
+    own, large = distinct_rows(commits, most_files)
     cut = own.join(large.select("commit", "pieces"), "commit", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     cut = cut.withColumn("piece", F.pmod(F.xxhash64("file"), F.col("pieces")).cast("int"))
     last = F.col("pieces") - 1
     left = cut.select("commit", "file", F.col("piece").alias("a"), F.explode(F.sequence("piece", last)).alias("b"))
     right = cut.select("commit", F.col("file").alias("other"), F.explode(F.sequence(F.lit(0), "piece")).alias("a"), F.col("piece").alias("b"))
     pairs = left.join(right, ["commit", "a", "b"]).where((F.col("a") < F.col("b")) | (F.col("file") < F.col("other")))
-    counted = pairs.groupBy(F.least("file", "other").alias("file"), F.greatest("file", "other").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    return mirrored(summed(pairs))
+
+
+def summed(pairs: DataFrame) -> DataFrame:
+    """file, other, n: how often each unordered pair comes, the lesser name first."""
+    return pairs.groupBy(F.least("file", "other").alias("file"), F.greatest("file", "other").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def mirrored(counted: DataFrame) -> DataFrame:
     both = F.explode(F.array(F.struct("file", "other"), F.struct(F.col("other").alias("file"), F.col("file").alias("other"))))
     return counted.select(both.alias("p"), "n").select("p.file", "p.other", "n")
 
 
+def best_pairs(commits: DataFrame, keep: int, most_files: int | None = None) -> DataFrame:
+    """file, other, n of pair_counts, of which the first `keep` of each file by n, ties by name, are among the rows; others may be left out.
+
+    Pairs that share a commit of at most PIECE files are all made. Of those that share larger commits only, a file needs its
+    first ones. Files in the same larger commits are a class; classes that share such a commit are paired, and of each the
+    first keep + 1 names count for the other (one may be the file itself), of all classes together the first keep + 1. A name
+    left out has keep others before it, whose n can but be greater for the smaller commits they share with the file as well.
+    """
+    own, large = distinct_rows(commits, most_files)
+    if large.isEmpty():
+        return mirrored(summed(small_pairs(own)))
+    within = own.join(F.broadcast(large.select("commit")) if large.count() <= 2_000 else large.select("commit"), "commit", "left_semi")
+    kinds = saved(within.groupBy("file").agg(F.sort_array(F.collect_list("commit")).alias("kind")), "kinds")
+    small = small_pairs(own.join(large.select("commit"), "commit", "left_anti"))
+    a, b = (kinds.select(F.col("file").alias(n), F.col("kind").alias(k)) for n, k in (("file", "x"), ("other", "y")))
+    shared = F.coalesce(F.size(F.array_intersect("x", "y")), F.lit(0))
+    close = summed(small).join(a, "file", "left").join(b, "other", "left")
+    close = mirrored(close.select("file", "other", (F.col("n") + F.when(F.col("x").isNull() | F.col("y").isNull(), 0).otherwise(shared)).alias("n")))
+    first = kinds.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("file"))).where(F.col("place") <= keep + 1)
+    kind = saved(kinds.select("kind").distinct(), "kind")
+    each = kind.select(F.col("kind").alias("x"), F.explode("kind").alias("commit"))
+    met = each.join(each.select(F.col("x").alias("y"), "commit"), "commit").select("x", "y").distinct()
+    named = met.withColumn("n", shared.cast("long")).join(first.select(F.col("kind").alias("y"), F.col("file").alias("other")), "y")
+    order = Window.partitionBy("x").orderBy(F.desc("n"), "other")
+    named = named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep + 1).select("x", "other", "n")
+    far = a.join(named, "x").where("file != other").select("file", "other", "n")
+    return close.unionByName(far).groupBy("file", "other").agg(F.max("n").alias("n"))
+
+
+def small_pairs(own: DataFrame) -> DataFrame:
+    """file, other: each unordered pair of each commit once."""
+    return own.join(own.select(F.col("file").alias("other"), "commit"), "commit").where("file < other").select("file", "other")
+
+
 def cochanged(commits: DataFrame, keep: int | None = TOP, most_files: int | None = None) -> DataFrame:
     """file, other, n, rank: files that share commits with a file, the most common first, ties by name."""
-    ranked = pair_counts(commits, most_files).withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "other")))
+    pairs = pair_counts(commits, most_files) if keep is None else best_pairs(commits, keep, most_files)
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "other")))
     return ranked if keep is None else ranked.where(F.col("rank") <= keep)
 
 
 def max_cochange(commits: DataFrame) -> DataFrame:
     """file, max_cochange."""
-    return pair_counts(commits).groupBy("file").agg(F.max("n").alias("max_cochange"))
+    return best_pairs(commits, 1).groupBy("file").agg(F.max("n").alias("max_cochange"))
 
 
 def git_signals(commits: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from strataloom.functions import rules
-from strataloom.operators import parsers, synthesis
+from strataloom.operators import history, parsers, synthesis
 
 
 def test_parsing_and_merging_use_all_cores(spark):
@@ -43,3 +43,24 @@ def test_objects_of_a_reply(spark):
     for _ in range(5_000):
         text = "".join(r.choice('{}"\\ax\n') for _ in range(r.randint(0, 14)))
         assert list(synthesis._objects(text)) == list(walk(text))
+
+
+def test_first_pairs_of_large_commits(spark, monkeypatch):
+    """The first pairs of each file are those of all pairs, whatever larger commits files share; a commit of all files makes no row for each pair."""
+    monkeypatch.setattr(history, "PIECE", 10)
+    for seed in range(3):
+        r = random.Random(seed)
+        rows = [(f"f{k}", c) for c, share in (("all", 1.0), ("x", 0.5), ("y", 0.3), ("z", 0.3)) for k in range(60) if r.random() < share]
+        rows += [(f"f{r.randrange(70)}", f"c{r.randrange(30)}") for _ in range(90)]
+        own = spark.createDataFrame(rows, "file string, commit string")
+        for keep in (1, 4):
+            wanted = {}
+            for x in sorted(history.pair_counts(own).collect(), key=lambda x: (x["file"], -x["n"], x["other"])):
+                wanted.setdefault(x["file"], []).append((x["other"], x["n"]))
+            found = {}
+            for x in sorted(history.cochanged(own, keep).collect(), key=lambda x: (x["file"], x["rank"])):
+                found.setdefault(x["file"], []).append((x["other"], x["n"]))
+            assert found == {f: v[:keep] for f, v in wanted.items()}
+    monkeypatch.setattr(history, "PIECE", 1_000)
+    everything = spark.range(3_000).select(F.concat(F.lit("f"), "id").alias("file"), F.lit("all").alias("commit"))
+    assert history.best_pairs(everything, 10).count() <= 3_000 * 11
