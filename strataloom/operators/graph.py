@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import saved
@@ -20,6 +20,8 @@ from ..functions.storage import saved
 LOCAL_EDGES = 2_000_000
 #: Bytes of the bitmaps of a block of targets, and targets in a block at most.
 BITMAP_BYTES, BLOCK_TARGETS = 64 << 20, 4_096
+#: Edges that a task takes of parts of a graph that do not hang together.
+BIN_EDGES = 200_000
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -98,8 +100,90 @@ def closure_counts(edges: DataFrame) -> DataFrame:
 
     Components are made nodes of a graph without cycles, of which every edge leads to a lower level. Where it has at most
     LOCAL_EDGES edges all tasks get it, and each takes a block of targets: one bit for each of them at every node, passed up
-    level by level, so there is no row for a pair. Larger graphs go by the closure of pairs.
+    level by level, so there is no row for a pair. Larger graphs are cut into the parts that do not hang together, and a task
+    does the same for a bin of them; only a part of more than LOCAL_EDGES edges goes by the closure of pairs.
     """
+    once = saved(edges.select("src", "dst").distinct(), "once")
+    if once.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
+        own, rest = pieces(once)
+        out = local_closures(own)
+        return out if rest.isEmpty() else out.unionByName(_closure_counts(rest))
+    return _closure_counts(once)
+
+
+def local_closures(edges: DataFrame) -> DataFrame:
+    """node, transitive_dependencies, transitive_dependents of each bin of parts (src, dst, bin), a task for each."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        names, ends = np.unique(np.concatenate([table["src"].to_numpy(), table["dst"].to_numpy()]), return_inverse=True)
+        k = len(ends) // 2
+        part = part_numbers(ends[:k], ends[k:], len(names))
+        of = component_numbers(ends[:k], ends[k:], len(names))
+        size = np.bincount(of)
+        part_of = np.zeros(len(size), np.int64)
+        part_of[of] = part
+        links = np.unique(np.stack([of[ends[:k]], of[ends[k:]]]), axis=1)
+        src, dst = links[:, links[0] != links[1]]
+        counts = [counted_by_parts(x, y, size, part_of)[of] + size[of] - 1 for x, y in ((src, dst), (dst, src))]
+        return pa.table({"node": pa.array(names, table.schema.field("src").type), "transitive_dependencies": pa.array(counts[0], pa.int64()), "transitive_dependents": pa.array(counts[1], pa.int64())})
+
+    return edges.groupBy("bin").applyInArrow(run, f"node {kind}, transitive_dependencies long, transitive_dependents long")
+
+
+def part_numbers(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """A number for each node, the same for nodes that edges join, whatever their direction: the least that neighbours have is taken over, and its own."""
+    least = np.arange(n)
+    while True:
+        now = least.copy()
+        low = np.minimum(least[src], least[dst])
+        for at in (src, dst, least[src], least[dst]):
+            np.minimum.at(now, at, low)
+        now = now[now]
+        if (now == least).all():
+            return np.unique(least, return_inverse=True)[1]
+        least = now
+
+
+def counted_by_parts(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The weight of what each node of an acyclic graph reaches, itself left out: bitmaps of blocks of targets, which parts share, as none reaches another's."""
+    n, total = len(weight), np.zeros(len(weight), np.int64)
+    order = np.argsort(part, kind="stable")
+    counts = np.bincount(part)
+    spot = np.empty(n, np.int64)
+    spot[order] = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
+    level = levels(src, dst, n)
+    order = np.lexsort((src, level[src]))
+    src, dst = src[order], dst[order]
+    block = int(min(BLOCK_TARGETS, max(64, BITMAP_BYTES * 8 // max(1, n) // 64 * 64)))
+    for first in range(0, int(counts.max(initial=0)), block):
+        wide = counts[part] > first
+        place = np.cumsum(wide) - 1
+        kept = wide[src]
+        a, b, at = place[src[kept]], place[dst[kept]], np.flatnonzero(wide)
+        width = min(block, int(counts.max()) - first)
+        bits = np.zeros((len(at), -(-width // 64)), np.uint64)
+        own = np.flatnonzero((spot[at] >= first) & (spot[at] < first + block))
+        word, bit = (spot[at[own]] - first) // 64, ((spot[at[own]] - first) % 64).astype(np.uint64)
+        bits[own, word] = np.uint64(1) << bit
+        cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+        steps = np.append(np.flatnonzero(np.concatenate([[True], np.diff(level[at[a[cuts]]]) != 0])), len(cuts)) if len(a) else np.zeros(1, np.int64)
+        for k in range(len(steps) - 1):
+            x, y = steps[k], steps[k + 1]
+            begin, end = cuts[x], cuts[y] if y < len(cuts) else len(a)
+            bits[a[cuts[x:y]]] |= np.bitwise_or.reduceat(bits[b[begin:end]], cuts[x:y] - begin, axis=0)
+        total[at] += np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        # What targets weigh above one each: they are as many as the larger components are.
+        held = own[weight[at[own]] > 1]
+        if len(held):
+            heavy = np.zeros((int(part.max()) + 1, width), np.int64)
+            heavy[part[at[held]], spot[at[held]] - first] = weight[at[held]] - 1
+            for k in np.flatnonzero(heavy.any(axis=0)):
+                total[at] += ((bits[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(np.int64) * heavy[part[at], k]
+    return total - weight
+
+
+def _closure_counts(edges: DataFrame) -> DataFrame:
     all_nodes = nodes(edges)
     components = saved(all_nodes.join(strong_components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
     sizes = saved(components.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
@@ -199,16 +283,79 @@ def trimmed(edges: DataFrame, enough: int = 0) -> DataFrame:
     return rest
 
 
+def weak_components(edges: DataFrame) -> DataFrame:
+    """node, part (its least node): nodes that edges join, whatever their direction; self-loops count.
+
+    By stars: each round hangs a node's larger neighbours on the least one, then its smaller ones, until nothing moves. A
+    round keeps at most a row for each edge, and paths get shorter by a factor with each.
+    """
+    ends = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    links = saved(ends.where("u != v").distinct(), "links")
+    before = None
+    while True:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
+        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = F.min("v").over(Window.partitionBy("u"))
+        small = large.withColumn("m", low).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u != v").distinct()
+        links = saved(small, "links")
+        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if tuple(now) == before:
+            break
+        before = tuple(now)
+    found = links.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct())
+    alone = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("part"))
+    return found.unionByName(alone).groupBy("node").agg(F.min("part").alias("part"))
+
+
+def pieces(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """src, dst, bin of edges (each once) whose part of the graph has at most LOCAL_EDGES edges, and the other edges.
+
+    Edges of a part have the same bin, and bins are of about BIN_EDGES edges, or of a few larger parts.
+    """
+    parts = weak_components(edges)
+    own = saved(edges.select("src", "dst").distinct().join(parts.select(F.col("node").alias("src"), "part").hint("merge"), "src"), "parts")
+    sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+    total = own.count()
+    large = saved(sizes.where(F.col("k") > LOCAL_EDGES).select("part"), "large")
+    if large.isEmpty():
+        rest = own.limit(0).select("src", "dst")
+    else:
+        rest = own.join(large, "part", "left_semi").select("src", "dst")
+        own = own.join(large, "part", "left_anti")
+    bins = max(1, -(-total // BIN_EDGES))
+    return own.select("src", "dst", F.pmod(F.xxhash64("part"), F.lit(bins)).cast("int").alias("bin")), rest
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (the least node of it): strongly connected components of two nodes or more, and self-loops.
 
-    Edges that cannot lie on a cycle are trimmed. As soon as at most LOCAL_EDGES edges are left one task finishes, however
-    long the paths are. Above that by colouring: each node takes the least node that reaches it as its colour, passed along
-    edges until none changes; what the colour's own node is reached from, within the colour, is one component. Components
-    found and edges between colours go, the rest is trimmed again. A round keeps one row for each node and one for each edge;
-    no closure is made.
+    At most LOCAL_EDGES edges go to one task, however long the paths are. Larger graphs are cut into the parts that do not
+    hang together, and a task takes a bin of them; only a part of more than LOCAL_EDGES edges goes by rounds.
     """
+    once = saved(edges.select("src", "dst").distinct(), "once")
+    if once.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        return rounds_of_components(once)
+    own, rest = pieces(once)
+    return rounds_of_components(rest).unionByName(with_loops(once, [local_components(own.where("src != dst"))])).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def with_loops(edges: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """node, component of those found, and of self-loops that are in none of them."""
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    for own in found:
+        loops = loops.unionByName(own)
+    return loops.groupBy("node").agg(F.min("component").alias("component"))
+
+
+def rounds_of_components(edges: DataFrame) -> DataFrame:
+    """node, component as strong_components has them.
+
+    Edges that cannot lie on a cycle are trimmed. As soon as at most LOCAL_EDGES edges are left one task finishes. Above that
+    by colouring: each node takes the least node that reaches it as its colour, passed along edges until none changes; what
+    the colour's own node is reached from, within the colour, is one component. Components found and edges between colours
+    go, the rest is trimmed again. A round keeps one row for each node and one for each edge; no closure is made.
+    """
     rest, found = trimmed(edges.where("src != dst"), LOCAL_EDGES), []
     while (left := rest.limit(LOCAL_EDGES + 1).count()) > LOCAL_EDGES:
         colours = least_reaching(rest)
@@ -223,13 +370,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
         rest = trimmed(left.select("src", "dst"), LOCAL_EDGES)
     if left:
         found.append(local_components(rest))
-    for own in found:
-        loops = loops.unionByName(own)
-    return loops.groupBy("node").agg(F.min("component").alias("component"))
+    return with_loops(edges, found)
 
 
 def local_components(edges: DataFrame) -> DataFrame:
-    """node, component of at most LOCAL_EDGES edges, in one task."""
+    """node, component of at most LOCAL_EDGES edges, in one task, or of each bin of parts (column bin) in one."""
     kind = edges.schema["src"].dataType
 
     def run(table: pa.Table) -> pa.Table:
@@ -241,7 +386,8 @@ def local_components(edges: DataFrame) -> DataFrame:
         kept = np.flatnonzero(size[of] > 1)
         return pa.table({"node": pa.array(names[kept], table.schema.field("src").type), "component": pa.array(names[least[of[kept]]], table.schema.field("src").type)})
 
-    return edges.select("src", "dst", F.lit(0).alias("all")).groupBy("all").applyInArrow(run, f"node {kind.simpleString()}, component {kind.simpleString()}")
+    binned = edges.select("src", "dst", F.col("bin") if "bin" in edges.columns else F.lit(0).alias("bin"))
+    return binned.groupBy("bin").applyInArrow(run, f"node {kind.simpleString()}, component {kind.simpleString()}")
 
 
 def component_numbers(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:

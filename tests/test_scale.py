@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions import rules
-from strataloom.operators import history, parsers, synthesis
+from strataloom.operators import graph, history, parsers, synthesis
 
 
 def test_parsing_and_merging_use_all_cores(spark):
@@ -64,3 +65,51 @@ def test_first_pairs_of_large_commits(spark, monkeypatch):
     monkeypatch.setattr(history, "PIECE", 1_000)
     everything = spark.range(3_000).select(F.concat(F.lit("f"), "id").alias("file"), F.lit("all").alias("commit"))
     assert history.best_pairs(everything, 10).count() <= 3_000 * 11
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_large_graphs_go_by_parts(spark, monkeypatch, seed):
+    """Parts of a graph in bins of tasks, and one too large for a task, against brute force."""
+    r = random.Random(seed)
+    edges = [(base + r.randrange(n), base + r.randrange(n)) for base, n, k in [(100 * b, 1 + 2 * b, b * (2 + seed)) for b in range(1, 9)] for _ in range(k)]
+    edges += [(2_000 + k, 2_001 + k) for k in range(70)] + [(2_070, 2_050)]
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 40 if seed < 2 else 100)
+    monkeypatch.setattr(graph, "BIN_EDGES", 30)
+    monkeypatch.setattr(graph, "BLOCK_TARGETS", 64)
+    ahead = {n: {b for a, b in edges if a == n} for e in edges for n in e}
+
+    def reach(n):
+        seen, todo = set(), [n]
+        while todo:
+            for b in ahead[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        return seen
+
+    all_ = {n: reach(n) for n in ahead}
+    own = spark.createDataFrame(edges, "src long, dst long")
+    calls = []
+    whole = graph.local_closures
+    monkeypatch.setattr(graph, "local_closures", lambda e: calls.append(1) or whole(e))
+    counts = {x["node"]: (x["transitive_dependencies"], x["transitive_dependents"]) for x in graph.closure_counts(own).collect()}
+    assert calls and counts == {n: (len(all_[n] - {n}), sum(n in v for m, v in all_.items() if m != n)) for n in all_}
+    found = {x["node"]: x["component"] for x in graph.strong_components(own).collect()}
+    assert found == {n: min(m for m in all_[n] if n in all_[m]) for n in all_ if n in all_[n]}
+
+
+def test_reach_by_level(spark):
+    """What nodes reach and are reached from, with levels, by a walk that takes its start."""
+    r = random.Random(1)
+    edges = [(r.choice("abcdefghij"), r.choice("abcdefghij")) for _ in range(16)]
+
+    def walk(edges, start):
+        seen, todo, level = {start: 0}, {start}, 0
+        while todo:
+            level += 1
+            todo = {d for s, d in edges if s in todo and d not in seen}
+            seen |= dict.fromkeys(todo, level)
+        return {k: v for k, v in seen.items() if v}
+
+    own, start = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("a",)], "start string")
+    assert {x["node"]: x["level"] for x in graph.reach(start, own).collect()} == walk(edges, "a")
+    assert {x["node"]: x["level"] for x in graph.impact(own, start, 2).collect()} == {k: v for k, v in walk([(b, a) for a, b in edges], "a").items() if v <= 2}
