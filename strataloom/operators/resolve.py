@@ -30,19 +30,22 @@ def resolved(imports: DataFrame, files: DataFrame, aliases: dict[str, list[str]]
     """file, pos, specifier, target of all imports (file, pos, specifier) that mean one of files (column path).
 
     Order: the file itself, its name with each suffix, the first non-test .go file of a directory, the directory's index files.
-    An equi-join on the candidate path, then the best rank of each import.
+    Each file is known by what is left of its path without each ending that it has, so an equi-join on that meets the imports,
+    of which there is a row for each base; then the best rank of each import.
     """
     tails = [("", 0), *((s, k + 1) for k, s in enumerate(rules.RESOLVE_SUFFIXES)), *(("/" + n, k + 20) for k, n in enumerate(rules.INDEX_NAMES))]
     base = candidates(imports, aliases, go_module)
-    tail = F.explode(F.array(*(F.struct(F.lit(t).alias("tail"), F.lit(r).alias("tail_rank")) for t, r in tails)))
-    named = base.withColumn("t", tail).select("*", F.concat("base", "t.tail").alias("path"), F.col("t.tail_rank").alias("tail_rank")).drop("t")
-    own = named.withColumn("path", F.regexp_replace("path", "^/", "")).join(files.select("path"), "path")
+    path = F.col("path")
+    cut = [(F.when(path.endswith(t), F.substring(path, F.lit(1), F.length(path) - len(t))), r) for t, r in tails]
+    cut += [(F.when(path == t[1:], F.lit("")), r) for t, r in tails if t.startswith("/")]  # in the root
+    known = F.filter(F.array(*(F.struct(b.alias("base"), F.lit(r).alias("tail_rank")) for b, r in cut)), lambda x: x["base"].isNotNull())
+    named = files.select("path", F.explode(known).alias("t")).select("t.base", "path", "t.tail_rank")
     go = files.where(F.col("path").endswith(".go")).select(paths.dirname(F.col("path")).alias("base"), "path", F.col("path").endswith("_test.go").alias("test"))
-    first_go = go.groupBy("base").agg(F.min(F.struct("test", "path")).alias("least")).select("base", F.col("least.path").alias("path"))
-    packages = base.join(first_go, "base").withColumn("tail_rank", F.lit(10))
-    columns = ["file", "pos", "specifier", "base_rank", "tail_rank", "path"]
+    first_go = go.groupBy("base").agg(F.min(F.struct("test", "path")).alias("least")).select("base", F.col("least.path").alias("path"), F.lit(10).alias("tail_rank"))
+    # What a table of a few MB yields is much larger than its files say, so neither side is to be broadcast.
+    met = base.join(named.unionByName(first_go).hint("merge"), "base")
     best = F.row_number().over(Window.partitionBy("file", "pos").orderBy("base_rank", "tail_rank", "path"))
-    return own.select(columns).unionByName(packages.select(columns)).withColumn("best", best).where("best = 1").select("file", "pos", "specifier", F.col("path").alias("target"))
+    return met.withColumn("best", best).where("best = 1").select("file", "pos", "specifier", F.col("path").alias("target"))
 
 
 HOVER_TAILS = ("", ".ts", ".tsx", "/index.ts")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions import rules
-from strataloom.operators import graph, history, parsers, synthesis
+from strataloom.operators import graph, history, parsers, resolve, synthesis
 
 
 def test_parsing_and_merging_use_all_cores(spark):
@@ -113,3 +113,14 @@ def test_reach_by_level(spark):
     own, start = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("a",)], "start string")
     assert {x["node"]: x["level"] for x in graph.reach(start, own).collect()} == walk(edges, "a")
     assert {x["node"]: x["level"] for x in graph.impact(own, start, 2).collect()} == {k: v for k, v in walk([(b, a) for a, b in edges], "a").items() if v <= 2}
+
+
+def test_imports_are_joined_without_a_broadcast(spark):
+    """Files of the root, with endings, index files and the first Go file of a directory, each row of an import read once and none sent to all tasks."""
+    files = spark.createDataFrame([(p,) for p in ("a.ts", "a.tsx", "index.ts", "src/index.ts", "src/b.js", "src/b", "pkg/z_test.go", "pkg/m.go")], "path string")
+    said = [("src/x.ts", "../a", "a.ts"), ("x.ts", ".", "index.ts"), ("src/x.ts", ".", "src/index.ts"), ("src/x.ts", "./b", "src/b"), ("src/x.ts", "./b.js", "src/b.js"), ("x.go", "./pkg", "pkg/m.go"), ("x.ts", "./gone", None)]
+    imports = spark.createDataFrame([(f, k, s) for k, (f, s, _) in enumerate(said)], "file string, pos int, specifier string")
+    out = resolve.resolved(imports, files)
+    assert {x["pos"]: x["target"] for x in out.collect()} == {k: t for k, (*_, t) in enumerate(said) if t}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.split("== Initial Plan ==")[0].count("SortMergeJoin") == 1
