@@ -487,8 +487,10 @@ def ego(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 
 def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
-    """Edges with both ends among kept (column node)."""
-    return edges.join(kept.select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    """Edges with both ends among kept (column node). Repeats are counted before they are joined, so a task sorts one row for each pair of ends."""
+    once = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    own = once.join(kept.select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return own.select("src", "dst", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select("src", "dst")
 
 
 def visible(nodes: DataFrame, edges: DataFrame, least: float = 0.0, hidden: tuple[str, ...] = (), focus: str | None = None, depth: int = 1) -> DataFrame:
