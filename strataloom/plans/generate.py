@@ -148,22 +148,23 @@ def hits(now: DataFrame, prints: DataFrame, earlier: Run) -> DataFrame:
     return incremental.cache_hits(incremental.status(now, earlier.hashes).join(noted, "path", "left_semi"), incremental.stale_dependencies(prints, before, known))
 
 
-def run(all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, aliases: dict[str, list[str]] | None = None, go_module: str | None = None, earlier: Run | None = None, chosen: Chosen | None = None, provider: Provider | None = None, changes: DataFrame | None = None) -> Run:
+def run(all_files: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, aliases: dict[str, list[str]] | None = None, go_module: str | None = None, earlier: Run | None = None, chosen: Chosen | None = None, provider: Provider | None = None, changes: DataFrame | None = None, searched: bool = True) -> Run:
     """All tables of a repository from its files (path, extension, size, content, hash), history and coverage.
 
     earlier: files whose hash is the same are not parsed again, and notes that are still right stay as they are, with the
     time they were made at. Analyses and edges are saved once, since every later table reads them; all else is joined by path
-    in one plan. provider: who is asked about the files that plan sends to a model, favouring changes (path, edit).
+    in one plan. provider: who is asked about the files that plan sends to a model, favouring changes (path, edit). searched:
+    whether the tables of search are made, which are written at once and larger than the notes.
     """
     own = files.scanned(all_files, config.include, config.exclude)
     options, modules = parsers.Options(config.api_call_patterns, config.side_effect_packages, go_module), parsers.go_modules(all_files)
     kept = earlier is not None and same_settings(earlier, config)
     analysed = saved(reused(own, all_files, options, modules, earlier.analyses, earlier.parsed) if kept else parsers.analyses(own, options, modules), "analyses")
     edges = saved(dependency_edges(analysed, all_files.select("path"), aliases, go_module, modules), "edges")
-    return assembled(own, all_files, analysed, edges, commits, covered, config, now, earlier, chosen, provider, changes)
+    return assembled(own, all_files, analysed, edges, commits, covered, config, now, earlier, chosen, provider, changes, searched)
 
 
-def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, earlier: Run | None = None, chosen: Chosen | None = None, provider: Provider | None = None, changes: DataFrame | None = None) -> Run:
+def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges: DataFrame, commits: DataFrame, covered: DataFrame, config: Config, now: Column, earlier: Run | None = None, chosen: Chosen | None = None, provider: Provider | None = None, changes: DataFrame | None = None, searched: bool = True) -> Run:
     """The tables of a run from saved analyses and edges; index, search and nodes are of the stored and the fresh notes together."""
     docs = saved(documents.governance_docs(all_files), "docs")
     found = saved(governance.divergences(docs, own.select("path"), edges), "divergences")
@@ -190,7 +191,8 @@ def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges:
         made, calls = synthesised_notes(made, saved(wanted, "asked"), prompted(signals, own, edges, all_files, config, provider), provider, config.concurrency)
     entries = indexed(made, own, edges, now, config)
     texts = notes.search_documents(made)
-    words, grams = search.text_index(texts, "id", texts.columns[1:]), search.gram_index(note_texts(made))
+    words = search.text_index(texts, "id", texts.columns[1:]) if searched else search.TextIndex(*[None] * 5)
+    grams = search.gram_index(note_texts(made)) if searched else search.GramIndex(*[None] * 3)
     settings = all_files.sparkSession.createDataFrame([(settings_digest(config),)], "digest string")
     return Run(
         own, docs, signals, analysed, edges, made, entries, index.graph_nodes(own.select("path"), entries), found, words.postings, words.blocks, words.terms, words.forms, words.fields,

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions import rules
-from strataloom.operators import graph, history, parsers, resolve, synthesis
+from strataloom.operators import graph, history, parsers, resolve, search, synthesis
+from strataloom.plans import source_queries
 
 
 def test_parsing_and_merging_use_all_cores(spark):
@@ -124,3 +125,15 @@ def test_imports_are_joined_without_a_broadcast(spark):
     assert {x["pos"]: x["target"] for x in out.collect()} == {k: t for k, (*_, t) in enumerate(said) if t}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.split("== Initial Plan ==")[0].count("SortMergeJoin") == 1
+
+
+def test_generated_notes_make_no_index_of_their_texts(spark, monkeypatch):
+    """What the query does not return is not written for it."""
+
+    def never(*_, **__):
+        raise AssertionError("tables of search are not read")
+
+    monkeypatch.setattr(search, "text_index", never)
+    monkeypatch.setattr(search, "gram_index", never)
+    made = source_queries.generated_notes(spark, "/root/testdata/sf0.001")
+    assert made.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
