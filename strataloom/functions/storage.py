@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a saved table that a join may send to the driver and from there to all tasks.
+FEW_ROWS = 10_000
 
 _own: dict[str, str] = {}
 
@@ -42,6 +46,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df as a side of a join by merge, never broadcast: a saved table of 10 MB is some 60 MB on the driver, and that in every round."""
+    return df.hint("merge")
+
+
+def joined(df: DataFrame) -> DataFrame:
+    """A saved table as a side of a join: broadcast up to FEW_ROWS rows, so a small one costs no shuffle of the other side, and merged above."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else merged(df)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by a hash of keys over all cores, for work in Python whose cost is not told by the size of what it reads.
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import saved
+from ..functions.storage import joined, merged, saved
 from . import graph, search
 
 #: Rounds of a search along edges; where they do not do, all components are made anew.
@@ -41,8 +41,8 @@ def reached(starts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFr
     for _ in range(rounds):
         if not frontier.limit(1).count():
             return seen
-        step = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = saved(step.join(seen, "node", "left_anti"), "frontier")
+        step = edges.join(joined(frontier.select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = saved(step.join(joined(seen), "node", "left_anti"), "frontier")
         seen = saved(seen.unionByName(frontier), "seen")
     return None
 
@@ -55,18 +55,19 @@ def components(before: DataFrame, removed: DataFrame, added: DataFrame, edges: D
     consists of whole components, before and after, and only the edges inside it are looked at.
     """
     a, b = (before.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("src", "component"), ("dst", "other")))
-    broken = removed.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("component = other").select("component").distinct()
-    lost = before.join(broken, "component", "left_semi").select("node")
+    broken = saved(removed.select("src", "dst").distinct().join(merged(a), "src").join(merged(b), "dst").where("component = other").select("component").distinct(), "broken")
+    lost = before.join(joined(broken), "component", "left_semi").select("node")
     ahead = reached(added.select(F.col("dst").alias("node")), edges, rounds)
     region = None
     if ahead is not None:
+        ahead = joined(ahead)
         ahead_edges = saved(graph.induced(edges, ahead).distinct(), "ahead")
         sources = added.select(F.col("src").alias("node")).join(ahead, "node", "left_semi")
         region = reached(sources, graph.flipped(ahead_edges), rounds)
     if region is None:
         nodes = before.select("node").union(graph.nodes(edges)).distinct()
-        return Change(saved(nodes, "region"), saved(graph.strong_components(edges), "components"))
-    region = saved(region.union(lost).distinct(), "region")
+        return Change(joined(saved(nodes, "region")), saved(graph.strong_components(edges), "components"))
+    region = joined(saved(region.union(lost).distinct(), "region"))
     return Change(region, saved(graph.strong_components(graph.induced(edges, region)), "components"))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import saved
+from ..functions.storage import merged, saved
 
 #: Edges that one task, or the driver for a broadcast, takes at most: some 32 MB. Larger graphs go by rounds of joins.
 LOCAL_EDGES = 2_000_000
@@ -274,7 +274,7 @@ def trimmed(edges: DataFrame, enough: int = 0) -> DataFrame:
     rest = saved(edges.select("src", "dst").distinct(), "rest")
     count = rest.count()
     while count > enough:
-        kept = rest.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        kept = rest.join(merged(rest.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi").join(merged(rest.select(F.col("dst").alias("src")).distinct()), "src", "left_semi")
         rest = saved(kept.select("src", "dst"), "rest")
         now = rest.count()
         if now == count:
@@ -314,7 +314,7 @@ def pieces(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     Edges of a part have the same bin, and bins are of about BIN_EDGES edges, or of a few larger parts.
     """
     parts = weak_components(edges)
-    own = saved(edges.select("src", "dst").distinct().join(parts.select(F.col("node").alias("src"), "part").hint("merge"), "src"), "parts")
+    own = saved(edges.select("src", "dst").distinct().join(merged(parts.select(F.col("node").alias("src"), "part")), "src"), "parts")
     sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
     total = own.count()
     large = saved(sizes.where(F.col("k") > LOCAL_EDGES).select("part"), "large")
@@ -360,13 +360,13 @@ def rounds_of_components(edges: DataFrame) -> DataFrame:
     while (left := rest.limit(LOCAL_EDGES + 1).count()) > LOCAL_EDGES:
         colours = least_reaching(rest)
         a, b = colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), colours.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
-        inside = saved(rest.join(a, "src").join(b, "dst").where("a = b").select("src", "dst", F.col("a").alias("colour")), "inside")
+        inside = saved(rest.join(merged(a), "src").join(merged(b), "dst").where("a = b").select("src", "dst", F.col("a").alias("colour")), "inside")
         roots = colours.where("node = colour").select(F.col("node").alias("start"))
         back = reach_within(roots, inside)
-        own = saved(back.join(back.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "component").select("node", "component"), "component")
+        own = saved(back.join(merged(back.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "component").select("node", "component"), "component")
         found.append(own)
         gone = back.select("node")
-        left = inside.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = inside.join(merged(gone.select(F.col("node").alias("src"))), "src", "left_anti").join(merged(gone.select(F.col("node").alias("dst"))), "dst", "left_anti")
         rest = trimmed(left.select("src", "dst"), LOCAL_EDGES)
     if left:
         found.append(local_components(rest))
@@ -454,9 +454,9 @@ def least_reaching(edges: DataFrame) -> DataFrame:
     """node, colour: the least node from which a node can be reached, itself included."""
     colours = saved(nodes(edges).withColumn("colour", F.col("node")), "colours")
     while True:
-        passed = edges.join(colours.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("passed"))
+        passed = edges.join(merged(colours.select(F.col("node").alias("src"), "colour")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("passed"))
         now = F.least("colour", "passed")
-        colours = saved(colours.select("node", "colour").join(passed, "node", "left").select("node", now.alias("colour"), (now < F.col("colour")).alias("moved")), "colours")
+        colours = saved(colours.select("node", "colour").join(merged(passed), "node", "left").select("node", now.alias("colour"), (now < F.col("colour")).alias("moved")), "colours")
         if not colours.where("moved").limit(1).count():
             return colours.select("node", "colour")
 
@@ -466,9 +466,9 @@ def reach_within(roots: DataFrame, inside: DataFrame) -> DataFrame:
     known = [roots.select(F.col("start").alias("node"), F.col("start").alias("component"))]
     frontier = known[0]
     while True:
-        step = inside.join(frontier.select(F.col("node").alias("dst"), "component"), "dst").where("colour = component").select(F.col("src").alias("node"), "component").distinct()
+        step = inside.join(merged(frontier.select(F.col("node").alias("dst"), "component")), "dst").where("colour = component").select(F.col("src").alias("node"), "component").distinct()
         for own in known:
-            step = step.join(own, "node", "left_anti")
+            step = step.join(merged(own), "node", "left_anti")
         frontier = saved(step, "frontier")
         if not frontier.limit(1).count():
             out = known[0]

@@ -82,7 +82,8 @@ def components_after_changes(spark, sf_dir):
     """Components of the graph before some imports came and others went, changed to those of the graph as it is then."""
     own = saved(edges(spark, sf_dir, F.expr(CAME).alias("came"), F.expr(WENT).alias("went")), "edges")
     before = saved(graph.strong_components(own.where("NOT came")), "before")
-    return delta.applied(before, delta.components(before, own.where("went"), own.where("came"), own.where("NOT went")))
+    after = saved(own.where("NOT went").select("src", "dst").distinct(), "after")  # rounds of a search read them
+    return delta.applied(before, delta.components(before, own.where("went"), own.where("came"), after))
 
 
 CHAIN = "links AS (SELECT s_suppkey AS src, s_suppkey + 1 AS dst FROM supplier UNION SELECT s_suppkey, 1 FROM supplier WHERE s_suppkey % 9 = 0)"

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.functions import rules
-from strataloom.operators import graph, history, parsers, resolve, search, synthesis
+from strataloom.functions import rules, storage
+from strataloom.operators import delta, graph, history, parsers, resolve, search, synthesis
 from strataloom.plans import source_queries
 
 
@@ -98,6 +98,30 @@ def test_large_graphs_go_by_parts(spark, monkeypatch, seed):
     assert found == {n: min(m for m in all_[n] if n in all_[m]) for n in all_ if n in all_[n]}
 
 
+def plans_saved(monkeypatch, *modules):
+    """The plans of all that these modules save from here on."""
+    plans = []
+    for module in modules:
+        monkeypatch.setattr(module, "saved", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or storage.saved(df, name))
+    return plans
+
+
+def test_components_after_changes_are_joined_without_a_broadcast(spark, monkeypatch):
+    """Sides of joins that grow with the graph are never sent to the driver, whatever the rounds, and components are those of the graph after the changes."""
+    monkeypatch.setattr(storage, "FEW_ROWS", -1)
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 60)
+    r = random.Random(5)
+    rows = [(20 * (k // 40) + r.randrange(20), 20 * (k // 40) + r.randrange(20), r.random() < 0.1, r.random() < 0.1) for k in range(240)]
+    own = spark.createDataFrame(rows, "src long, dst long, came boolean, went boolean")
+    before = graph.strong_components(own.where("NOT came")).localCheckpoint()
+    after = own.where("NOT went").select("src", "dst").distinct().localCheckpoint()
+    plans = plans_saved(monkeypatch, graph, delta)
+    found = delta.applied(before, delta.components(before, own.where("went"), own.where("came"), after))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, graph.strong_components(after).collect()))
+
+
 def test_reach_by_level(spark):
     """What nodes reach and are reached from, with levels, by a walk that takes its start."""
     r = random.Random(1)
