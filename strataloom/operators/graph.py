@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import merged, saved
+from ..functions.storage import joined, merged, saved
 
 #: Edges that one task, or the driver for a broadcast, takes at most: some 32 MB. Larger graphs go by rounds of joins.
 LOCAL_EDGES = 2_000_000
@@ -434,15 +434,15 @@ def cycle_witnesses(edges: DataFrame, components: DataFrame | None = None) -> Da
     own = strong_components(edges) if components is None else components
     own = saved(own, "components")
     a, b = (own.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("src", "component"), ("dst", "other")))
-    inside = saved(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("component = other").select("src", "dst", "component"), "inside")
-    frontier = own.where("node = component").select("component", "node", F.array("node").alias("path"))
+    inside = saved(edges.select("src", "dst").distinct().join(merged(a), "src").join(merged(b), "dst").where("component = other").select("src", "dst", "component"), "inside")
+    frontier = saved(own.where("node = component").select("component", "node", F.array("node").alias("path")), "frontier")
     seen, found = frontier.select("node"), []
     while frontier.limit(1).count():
-        step = frontier.select("component", F.col("node").alias("src"), "path").join(inside, ["component", "src"]).groupBy("component", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        step = joined(frontier.select("component", F.col("node").alias("src"), "path")).join(merged(inside), ["component", "src"]).groupBy("component", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         step = saved(step, "step")
         found.append(step.where("node = component").select("component", F.col("path").alias("cycle")))
         done = step.where("node = component").select("component")
-        frontier = saved(step.join(done, "component", "left_anti").join(seen, "node", "left_anti"), "frontier")
+        frontier = saved(step.join(merged(done), "component", "left_anti").join(merged(seen), "node", "left_anti"), "frontier")
         seen = saved(seen.union(frontier.select("node")), "seen")
     out = found[0] if found else own.select("component", F.array("node").alias("cycle")).limit(0)
     for more in found[1:]:

@@ -122,6 +122,16 @@ def test_components_after_changes_are_joined_without_a_broadcast(spark, monkeypa
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, graph.strong_components(after).collect()))
 
 
+def test_cycles_are_searched_without_a_broadcast(spark, monkeypatch):
+    """No join of the search for cycles sends a side that grows with the graph to the driver."""
+    monkeypatch.setattr(storage, "FEW_ROWS", -1)
+    plans = plans_saved(monkeypatch, graph)
+    own = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 1), (4, 5), (5, 6), (6, 4), (6, 7), (7, 7)], "src long, dst long")
+    parts = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7)], "node long, component long")
+    assert sorted(map(tuple, graph.cycle_witnesses(own, parts).collect())) == [(1, [1, 2, 1]), (4, [4, 5, 6, 4]), (7, [7, 7])]
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_reach_by_level(spark):
     """What nodes reach and are reached from, with levels, by a walk that takes its start."""
     r = random.Random(1)
