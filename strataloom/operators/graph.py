@@ -53,15 +53,15 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> Data
     One shuffle a round on the frontier's node; the reached pairs are anti-joined, so a cycle ends. depth None: until nothing is new.
     """
     links = saved(edges.select("src", "dst").distinct(), "links")
-    reached = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("level")).distinct()
+    reached = saved(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("level")).distinct(), "starts")
     frontier, all_levels, level = reached, [reached], 0
     while depth is None or level < depth:
         level += 1
-        step = frontier.select("start", F.col("node").alias("src")).join(links, "src").select("start", F.col("dst").alias("node")).distinct()
+        step = links.join(joined(frontier.select("start", F.col("node").alias("src"))), "src").select("start", F.col("dst").alias("node")).distinct()
         before = all_levels[0]
         for more in all_levels[1:]:
             before = before.unionByName(more)
-        fresh = saved(step.join(before.select("start", "node"), ["start", "node"], "left_anti").withColumn("level", F.lit(level)), "frontier")
+        fresh = saved(step.join(merged(before.select("start", "node")), ["start", "node"], "left_anti").withColumn("level", F.lit(level)), "frontier")
         if not fresh.limit(1).count():
             break
         frontier = fresh
@@ -511,7 +511,8 @@ def edge_directions(edges: DataFrame, hops: DataFrame, cyclic: DataFrame) -> Dat
     """src, dst, direction (up, down, neutral), in_cycle (both ends are in some cycle) of the edges between nodes with hops."""
     a, b = hops.select(F.col("node").alias("src"), F.col("hop").alias("a")), hops.select(F.col("node").alias("dst"), F.col("hop").alias("b"))
     c = cyclic.select("node", F.lit(True).alias("cyclic"))
-    out = edges.distinct().join(a, "src").join(b, "dst").join(c.select(F.col("node").alias("src"), F.col("cyclic").alias("ca")), "src", "left").join(c.select(F.col("node").alias("dst"), F.col("cyclic").alias("cb")), "dst", "left")
+    near = edges.distinct().join(a, "src").join(b, "dst")
+    out = near.join(merged(c.select(F.col("node").alias("src"), F.col("cyclic").alias("ca"))), "src", "left").join(merged(c.select(F.col("node").alias("dst"), F.col("cyclic").alias("cb"))), "dst", "left")
     direction = F.when((F.col("a") >= 0) & (F.col("b") > F.col("a")), "down").when((F.col("b") <= 0) & (F.col("a") < F.col("b")), "up").otherwise("neutral")
     return out.select("src", "dst", direction.alias("direction"), F.coalesce(F.col("ca") & F.col("cb"), F.lit(False)).alias("in_cycle"))
 

@@ -132,6 +132,19 @@ def test_cycles_are_searched_without_a_broadcast(spark, monkeypatch):
     assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
 
 
+def test_directions_of_edges_send_no_components_to_the_driver(spark, monkeypatch):
+    """Nodes of cycles, which are as many as the graph's, are merged; so is what a search has reached."""
+    own = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4)], "src long, dst long")
+    hops = spark.createDataFrame([(1, -1), (2, 0), (3, 1)], "node long, hop int").hint("merge")
+    out = graph.edge_directions(own, hops, spark.createDataFrame([(1, 1), (2, 1)], "node long, component long"))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, 2, "up", True), (2, 1, "neutral", True), (2, 3, "down", False)]
+    monkeypatch.setattr(storage, "FEW_ROWS", -1)
+    plans = plans_saved(monkeypatch, graph)
+    assert graph.reach(spark.createDataFrame([(1,)], "start long"), own).count() == 3
+    assert len(plans) > 3 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_reach_by_level(spark):
     """What nodes reach and are reached from, with levels, by a walk that takes its start."""
     r = random.Random(1)
