@@ -6,7 +6,7 @@ any of its documents can score is bounded without reading its postings. The best
 then only those whose bound reaches the k-th score. The dictionary holds each term under all its forms with up to two
 letters left out; two words within two edits of each other share a form, so near terms are found by a join and verified.
 
-Substrings are found by trigrams: the rarest of a query's are intersected and what is left is verified.
+Substrings are found by trigrams: what holds the rarest of a query's is verified.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import saved
+from ..functions.storage import joined, saved
 
 K1, B, DELTA = 1.2, 0.7, 0.5
 PREFIX_WEIGHT, FUZZY_WEIGHT, FUZZY = 0.375, 0.45, 0.2
@@ -28,8 +28,6 @@ LENGTH_CLASSES = 8
 EDITS, FORM_LETTERS = 2, 14
 #: Scores are rounded to so many digits, so that ties do not depend on the order of sums.
 DIGITS = 9
-#: Of a query's trigrams the rarest so many are intersected.
-RAREST = 3
 
 
 @dataclass
@@ -224,16 +222,17 @@ def gram_index(items: DataFrame) -> GramIndex:
 def substring_matches(index: GramIndex, queries: DataFrame) -> DataFrame:
     """query, item, key, score, field, text: the items that hold each query (column query, at least three characters), case apart.
 
-    A query asks for its rarest trigrams only; an item that has them all is verified. A query one of whose trigrams is
-    nowhere has no match and asks for nothing.
+    A query asks for its rarest trigram only; an item that has it is verified. A query one of whose trigrams is nowhere has no
+    match and asks for nothing. What is asked for is saved, so the index is read in its own splits and not by the tasks that
+    the queries are dealt to, and an item meets a query once, so nothing is counted for the pair.
     """
     asked = queries.select("query", F.lower("query").alias("low")).where(F.length("low") >= 3).distinct()
     each = asked.select("query", F.explode(grams_of(F.col("low"))).alias("gram")).join(index.counts, "gram", "left")
     known = each.withColumn("missing", F.max(F.col("n").isNull()).over(Window.partitionBy("query"))).where("NOT missing")
-    rare = known.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("n", "gram"))).where(F.col("rank") <= RAREST)
-    wanted = rare.select("query", "gram", F.count(F.lit(1)).over(Window.partitionBy("query")).alias("wanted"))
-    near = index.grams.join(wanted, "gram").groupBy("query", "item").agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted")).where("n = wanted").select("query", "item")
-    return near.join(index.items, "item").where(F.contains(F.lower("text"), F.lower("query"))).select("query", "item", "key", "score", "field", "text")
+    rare = known.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("n", "gram"))).where("rank = 1")
+    wanted = joined(saved(rare.select("query", "gram"), "wanted"))
+    near = joined(saved(index.grams.join(wanted, "gram").select("query", "item"), "near"))
+    return index.items.join(near, "item").where(F.contains(F.lower("text"), F.lower("query"))).select("query", "item", "key", "score", "field", "text")
 
 
 def substring_search(index: GramIndex, query: str, limit: int = 20) -> DataFrame:

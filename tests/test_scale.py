@@ -174,6 +174,20 @@ def test_imports_are_joined_without_a_broadcast(spark):
     assert "Broadcast" not in plan and plan.split("== Initial Plan ==")[0].count("SortMergeJoin") == 1
 
 
+def test_substrings_are_looked_up_where_the_index_is_read(spark, monkeypatch):
+    """Queries are not what the index is dealt by, no pair of a query and an item is counted, and matches are those of a scan."""
+    r = random.Random(2)
+    texts = {k: "".join(r.choice("abC") for _ in range(12)) for k in range(200)}
+    index = search.gram_index(spark.createDataFrame([(k, 0, "f", t) for k, t in texts.items()], "key int, score int, field string, text string"))
+    asked = ["abca", "CBA", "aaaaa", "bcab", "xyz", "ab"]
+    monkeypatch.setattr(storage, "FEW_ROWS", -1)
+    plans = plans_saved(monkeypatch, search)
+    out = search.substring_matches(index, spark.createDataFrame([(q,) for q in asked], "query string"))
+    assert sorted((x["query"], x["key"]) for x in out.collect()) == sorted((q, k) for q in asked[:-1] for k, t in texts.items() if q.lower() in t.lower())
+    assert "Window" not in plans[-1] and "Aggregate" not in plans[-1] and "Broadcast" not in plans[-1]
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_generated_notes_make_no_index_of_their_texts(spark, monkeypatch):
     """What the query does not return is not written for it."""
 
