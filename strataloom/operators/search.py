@@ -37,7 +37,7 @@ class TextIndex:
     postings: DataFrame
     blocks: DataFrame | None
     terms: DataFrame
-    forms: DataFrame
+    forms: DataFrame | None
     fields: DataFrame
 
 
@@ -91,7 +91,8 @@ def blocks_of(postings: DataFrame) -> DataFrame:
 def text_index(docs: DataFrame, key: str, fields: list[str], blocks: bool = True, parts: dict[int, int] | None = None) -> TextIndex:
     """The index of docs (key, fields); a key names one document. Texts are split once, and terms counted where a text is read.
 
-    Without blocks, for an index that one query is asked of, a search makes the rows of those blocks only that its terms have.
+    Without blocks, for an index that one query is asked of, a search makes the rows of those blocks only that its terms have,
+    and compares its words with all terms of about their length; the forms of all terms would be a hundred rows for each.
     parts: how many ranges an index that docs are added to has of each class of length.
     """
     split = docs.select(F.col(key).alias("key"), *(F.array_sort(terms(F.col(f"`{f}`"))).alias(f"t{k}") for k, f in enumerate(fields)))
@@ -107,7 +108,7 @@ def text_index(docs: DataFrame, key: str, fields: list[str], blocks: bool = True
     postings = saved(own.select("key", "field", "length", rank, F.explode(counted(F.col("terms"), F.col("length"))).alias("e")).select("e.term", "field", "range", "key", "e.tf", "length"), "postings")
     words = postings.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     forms = words.where(F.length("term") <= FORM_LETTERS).select("term").distinct().select(F.explode(forms_of(F.col("term"))).alias("form"), "term")
-    return TextIndex(postings, blocks_of(postings) if blocks else None, words, forms, own.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")))
+    return TextIndex(postings, blocks_of(postings) if blocks else None, words, forms if blocks else None, own.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")))
 
 
 def near_terms(words: DataFrame, forms: DataFrame, most: Column | int = EDITS) -> DataFrame:
@@ -123,7 +124,8 @@ def near_terms(words: DataFrame, forms: DataFrame, most: Column | int = EDITS) -
 def matching_terms(index: TextIndex, query: str, prefix: bool = True, fuzzy: float = FUZZY) -> DataFrame:
     """term, weight: the index's terms that a query word is, begins, or nearly is, with the best weight.
 
-    Words that allow for more than EDITS edits (13 letters and more) are compared with all terms of about their length.
+    Words that allow for more than EDITS edits (13 letters and more), or all in an index without forms, are compared with all
+    terms of about their length.
     """
     words = query_terms(query)
     if not words:
@@ -136,13 +138,14 @@ def matching_terms(index: TextIndex, query: str, prefix: bool = True, fuzzy: flo
         pairs = begins.join(asked, F.startswith("term", "word")).select("term", "word")
     else:
         pairs = known.where(F.col("term").isin(*words)).distinct().select("term", F.col("term").alias("word"))
-    short = [w for w in words if 0 < edits(len(w), fuzzy) <= EDITS]
-    long = [w for w in words if edits(len(w), fuzzy) > EDITS]
+    most = 0 if index.forms is None else EDITS
+    short = [w for w in words if 0 < edits(len(w), fuzzy) <= most]
+    long = [w for w in words if edits(len(w), fuzzy) > most]
     if short:
-        pairs = pairs.union(near_terms(spark.createDataFrame([(w,) for w in short], "word string"), index.forms).select("term", "word"))
+        pairs = pairs.union(near_terms(F.broadcast(spark.createDataFrame([(w,) for w in short], "word string")), index.forms).select("term", "word"))
     if long:
         about = _any(F.length("term").between(len(w) - edits(len(w), fuzzy), len(w) + edits(len(w), fuzzy)) for w in long)
-        pairs = pairs.union(known.where(about).distinct().join(asked.where(F.col("most") > EDITS), F.abs(F.length("term") - F.length("word")) <= F.col("most")).select("term", "word"))
+        pairs = pairs.union(known.where(about).distinct().join(asked.where(F.col("most") > most), F.abs(F.length("term") - F.length("word")) <= F.col("most")).select("term", "word"))
     apart = F.levenshtein("term", "word")
     weight = F.when(F.col("term") == F.col("word"), 1.0)
     if prefix:

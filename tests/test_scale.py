@@ -188,6 +188,21 @@ def test_substrings_are_looked_up_where_the_index_is_read(spark, monkeypatch):
     assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def some_texts(spark):
+    r = random.Random(4)
+    words = ["license", "licence", "lisense", "token", "tokens", "tokne", "took", "apple", "unimaginable", "unimaginably", "internationalize", "internationalise"]
+    return spark.createDataFrame([(k, " ".join(r.choice(words) for _ in range(1 + r.randrange(30)))) for k in range(300)], "id int, text string")
+
+
+def test_one_query_makes_no_forms_of_all_terms(spark):
+    """An index for one query has no forms; what it finds is what one with forms does."""
+    own = some_texts(spark)
+    once, kept = search.text_index(own, "id", ["text"], blocks=False), search.text_index(own, "id", ["text"])
+    assert once.forms is None and kept.forms is not None
+    for query in ("licens tokne", "unimaginble", "internationalyze took", "on"):
+        assert sorted(map(tuple, search.matching_terms(once, query).collect())) == sorted(map(tuple, search.matching_terms(kept, query).collect()))
+
+
 def test_generated_notes_make_no_index_of_their_texts(spark, monkeypatch):
     """What the query does not return is not written for it."""
 
