@@ -12,7 +12,7 @@ Substrings are found by trigrams: what holds the rarest of a query's is verified
 from __future__ import annotations
 
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,17 +179,17 @@ def scored(postings: DataFrame) -> DataFrame:
     return found.withColumn("score", F.round("score", DIGITS))
 
 
-def ranges_to_read(index: TextIndex, own: DataFrame, limit: int) -> DataFrame:
-    """range of the ranges that may hold one of the best for the terms in own (see weighed).
+def ranges_to_read(index: TextIndex, own: DataFrame, limit: int, matched: DataFrame | None = None) -> DataFrame:
+    """range of the ranges that may hold one of the best for the terms in own (see weighed); matched: the postings of these terms with what own has of them, where they are made already.
 
     The first limit ranges by bound hold as many matches at least, so the limit-th score in them is one that the bounds of
     all others have to reach.
     """
-    blocks = blocks_of(index.postings.join(own.select("term", "field"), ["term", "field"], "left_semi")) if index.blocks is None else index.blocks
+    matched = index.postings.join(joined(own), ["term", "field"]) if matched is None else matched
+    blocks = blocks_of(matched) if index.blocks is None else index.blocks
     bounds = saved(blocks.join(own, ["term", "field"]).groupBy("range").agg(F.sum(_part("most_tf", "least_length")).alias("bound")), "bounds")
     first = [r["range"] for r in bounds.orderBy(F.desc("bound"), "range").limit(limit).collect()]
-    read = index.postings.where(F.col("range").isin(first)).join(own, ["term", "field"])
-    best = [r["score"] for r in scored(read).select("score").orderBy(F.desc("score")).limit(limit).collect()]
+    best = [r["score"] for r in scored(matched.where(F.col("range").isin(first))).select("score").orderBy(F.desc("score")).limit(limit).collect()]
     most = F.col("bound") >= (best[-1] - 10.0**-DIGITS if best and len(best) >= limit else 0.0)
     return bounds.where(most | F.col("range").isin(first)).select("range")
 
@@ -200,11 +200,15 @@ def search(index: TextIndex, query: str, limit: int | None = 20, prefix: bool =
     Document counts and mean lengths are taken per field over the whole index; only postings of matching terms are scored, and
     with a limit only those of ranges that can hold one of the best.
     """
+    if index.blocks is None and (prefix or fuzzy):  # all terms are looked through, and that more than once; exact ones are filtered before they are counted
+        index = replace(index, terms=saved(index.terms, "terms"))
     own = saved(weighed(index, query, prefix, fuzzy), "weights")
-    matched = index.postings.join(own, ["term", "field"])
+    matched = index.postings.join(joined(own), ["term", "field"])
     if limit is None:
         return scored(matched)
-    return scored(matched.join(ranges_to_read(index, own, limit), "range", "left_semi")).orderBy(F.desc("score"), "key").limit(limit)
+    if index.blocks is None:
+        matched = saved(matched, "matched")
+    return scored(matched.join(ranges_to_read(index, own, limit, matched), "range", "left_semi")).orderBy(F.desc("score"), "key").limit(limit)
 
 
 def grams_of(text: Column) -> Column:

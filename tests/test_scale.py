@@ -203,6 +203,16 @@ def test_one_query_makes_no_forms_of_all_terms(spark):
         assert sorted(map(tuple, search.matching_terms(once, query).collect())) == sorted(map(tuple, search.matching_terms(kept, query).collect()))
 
 
+def test_one_query_reads_postings_once(spark, monkeypatch):
+    """Bounds, the first ranges and the ranges to read are all taken from the postings of matching terms, which are saved."""
+    index, kept = search.text_index(some_texts(spark), "id", ["text"], blocks=False), search.text_index(some_texts(spark), "id", ["text"])
+    reads = []
+    monkeypatch.setattr(search, "saved", lambda df, name: reads.append((name, any("/postings/" in f for f in df.inputFiles()))) or storage.saved(df, name))
+    out = search.search(index, "license tokne", 5)
+    assert [n for n, read in reads if read] == ["terms", "matched"] and not any("/postings/" in f for f in out.inputFiles())
+    assert [tuple(x) for x in out.collect()] == [tuple(x) for x in search.search(kept, "license tokne", 5).collect()]
+
+
 def test_generated_notes_make_no_index_of_their_texts(spark, monkeypatch):
     """What the query does not return is not written for it."""
 
