@@ -161,7 +161,7 @@ _bpes: dict[str, BoundaryBpe] = {}
 
 
 def bpe_of(tokenizer_path: str) -> BoundaryBpe:
-    """A worker's encoder; it goes on knowing its words, up to word_pieces.MEMO_BYTES, from task to task."""
+    """A worker's encoder; it goes on knowing its pieces, up to word_pieces.MEMO_BYTES, from task to task."""
     if tokenizer_path not in _bpes:
         _bpes.clear()
         _bpes[tokenizer_path] = BoundaryBpe(tokenizer_path)
@@ -174,10 +174,10 @@ def encoded(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text:
 
     def run(batches):
         bpe = bpe_of(tokenizer_path)
-        for heads, ids, bounds in word_pieces.encoded_blocks(common.rows_of(batches, "doc_id", "text", step=16), bpe.words):
+        for rows, ids, bounds in word_pieces.encoded_blocks(batches, "text", bpe.words):
             decoded = [bpe.decode(ids[a:b]) for a, b in itertools.pairwise(bounds.tolist())]
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([pa.array([i for (i,) in heads], pa.int64()), lists, pa.array(decoded, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), lists, pa.array(decoded, pa.string())], schema=schema)
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(run, "doc_id long, ids array<int>, decoded string")

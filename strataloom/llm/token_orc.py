@@ -4,8 +4,8 @@ Each text is encoded with the tokenizers library; its ids and the end id are wri
 doc_id order: one range of doc_ids a file, integers in ORC's run-length encoding, row indexes every STRIDE rows and Bloom
 filters on doc_id, so readers take stripes in parallel and skip stripes and row groups by their doc_ids.
 
-Texts are taken apart into words and pieces by word_pieces; the library encodes the pieces of words that a worker does not
-remember, many in one call.
+Texts are taken apart into words and pieces by word_pieces; the library encodes the pieces that a worker does not remember,
+many in one call.
 
 Defined results: a null text counts as the empty one and has only the end id; rows that repeat a doc_id stand in the order
 of their texts' XXH64, and many such may fill several files; a null doc_id stands first; an empty table gives an empty result.
@@ -27,8 +27,6 @@ from . import common, word_pieces
 END_ID = 2
 #: New pieces that the library is given in one call.
 CALL_PIECES = 2_000
-#: What a worker remembers; more than word_pieces.MEMO_BYTES, as the library's calls cost more than own merges.
-MEMO_BYTES = 128 << 20
 STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
 #: Input bytes that one file is planned for, as long as that makes no more files than MOST_FILES.
@@ -50,9 +48,8 @@ def library_pieces(tokenizer_path: str) -> word_pieces.Encode:
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out = []
         for at in range(0, len(pieces), CALL_PIECES):
-            joined = b" ".join(pieces[at : at + CALL_PIECES])
-            shown = joined.decode() if joined.isascii() else " ".join(map(word_pieces.in_symbols, pieces[at : at + CALL_PIECES]))
-            out.append(np.array(model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.int32))
+            lines = word_pieces.in_symbols(pieces[at : at + CALL_PIECES])
+            out.append(np.array(model.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.int32))
         ids = np.concatenate(out)
         lens = np.diff(np.flatnonzero(ends[ids]) + 1, prepend=0)
         if len(lens) != len(pieces):
@@ -66,10 +63,10 @@ _encoders: dict[str, word_pieces.WordPieces] = {}
 
 
 def encoder_of(tokenizer_path: str) -> word_pieces.WordPieces:
-    """A worker's encoder; it goes on knowing its words, up to MEMO_BYTES, from task to task."""
+    """A worker's encoder; it goes on knowing its pieces, up to word_pieces.MEMO_BYTES, from task to task."""
     if tokenizer_path not in _encoders:
         _encoders.clear()
-        _encoders[tokenizer_path] = word_pieces.WordPieces(tokenizer_path, library_pieces(tokenizer_path), MEMO_BYTES)
+        _encoders[tokenizer_path] = word_pieces.WordPieces(tokenizer_path, library_pieces(tokenizer_path))
     return _encoders[tokenizer_path]
 
 
@@ -81,9 +78,9 @@ def _encoded(tokenizer_path: str):
 
     def run(batches):
         start = 0
-        for heads, flat, bounds in word_pieces.encoded_blocks(common.rows_of(batches, "doc_id", "text"), encoder_of(tokenizer_path), END_ID):
+        for rows, flat, bounds in word_pieces.encoded_blocks(batches, "text", encoder_of(tokenizer_path), END_ID):
             tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
-            columns = [pa.array([i for (i,) in heads], pa.int64()), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), tokens]
+            columns = [rows.column(rows.schema.get_field_index("doc_id")), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), tokens]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
             start += len(flat)
 

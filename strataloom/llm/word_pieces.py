@@ -1,16 +1,14 @@
 """Texts to token ids by way of words and pieces, for tokenizers that drop white space and mark where a piece ends.
 
 ASCII white space is dropped before the split into pieces and nothing is joined across it, so a text is encoded as its words
-are. A block of texts is taken at a time: its distinct words that are not remembered are cut into pieces together, the
-distinct pieces among them are encoded together by the encoder given, and the ids of all words are joined. Words of printable
-ASCII and Latin letters below U+0250 (where Unicode versions agree and composition leaves all as they are) are cut here by the
-split pattern; all others by the library's normaliser and pre-tokenizer.
-
-Since the tokenizer folds A-Z, texts are folded first, and a word that ends in a mark like a comma is its stem and the mark;
-so there are fewer words to encode.
-
-Memory is bounded in bytes: a worker remembers words up to a number of bytes in two generations, never those longer than
-LONGEST_KEY, and a block holds about BLOCK_BYTES of text.
+are. Many texts are taken at a time: Arrow splits them, a block after another, and numbers their distinct words; these are cut
+into pieces together, the distinct pieces that are not remembered are encoded together by the encoder given, and Arrow puts the
+ids of pieces in the places of words and those of words in the places of texts. Words of printable ASCII and Latin letters below
+U+0250 (where Unicode versions agree and composition leaves all as they are) are cut here by the split pattern; all others by
+the library's normaliser and pre-tokenizer, and are remembered whole. Texts are folded first, as the tokenizer folds A-Z.
+
+Memory is bounded in bytes: a worker remembers pieces up to a number of bytes in two generations, never those longer than
+LONGEST_KEY; a block holds about BLOCK_BYTES of text, and blocks whose words are numbered together about SHARED_BYTES.
 """
 
 from __future__ import annotations
@@ -21,10 +19,15 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
+SHARED_BYTES = 16 << 20
+#: Words or pieces that are Python objects at one time, besides those remembered.
+AT_ONCE = 1 << 14
 MEMO_BYTES = 48 << 20
 LONGEST_KEY = 64
 #: About what an entry takes beside its key's and value's own bytes.
@@ -32,11 +35,9 @@ ENTRY_BYTES = 180
 WORD_END = "</w>"
 #: The split pattern of the tokenizers read here (fixed value), and the words that are cut by it here.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = regex.compile(r"[!-~¡-¬®-ɏ]*")
+PLAIN = regex.compile(r"[!-~¡-¬®-ɏ\n]*")
 CUT_LATIN = regex.compile(rf"{SPLIT}|\n").findall
 CONTROL = re.compile(rb"[\x00-\x09\x0B-\x1F\x7F]").search
-#: Marks that are a piece of their own after an ASCII letter or digit and before white space.
-CLOSING = frozenset([b".", b",", b";", b":", b"!", b"?"])
 CUT_ASCII = re.compile(rb"[a-z]+|\n|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-z0-9]+").findall
 #: Of pieces (bytes): their ids one after another, and how many each has.
 Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
@@ -54,6 +55,8 @@ def byte_symbols() -> list[str]:
 
 SYMBOLS = byte_symbols()
 _BYTE_OF = {s: b for b, s in enumerate(SYMBOLS)}
+#: SYMBOLS, where line feeds stand between pieces.
+_LINES = ["\n" if b == 10 else s for b, s in enumerate(SYMBOLS)]
 
 
 def _cut(raw: bytes, ends: np.ndarray) -> list[bytes]:
@@ -61,8 +64,30 @@ def _cut(raw: bytes, ends: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *at], at, strict=False)]
 
 
-def in_symbols(piece: bytes) -> str:
-    return piece.decode("latin-1").translate(SYMBOLS) if not piece.isascii() else piece.decode()
+def _strings(texts: pa.Array) -> list[bytes]:
+    if not len(texts):
+        return []
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return _cut(data[at[0] : at[-1]].to_pybytes() if data else b"", at[1:] - at[0])
+
+
+def _array(texts: list[bytes]) -> pa.LargeStringArray:
+    return pa.array(texts, pa.large_binary()).view(pa.large_string())
+
+
+def _lists(values: list[bytes]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]) // 4, pa.int32()), pa.array(np.frombuffer(b"".join(values), np.int32)))
+
+
+def _regrouped(lists: pa.ListArray, at: np.ndarray) -> pa.ListArray:
+    """Lists one after another as one, from each place to the next."""
+    return pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[at], pa.int32()), lists.values)
+
+
+def in_symbols(pieces: list[bytes]) -> str:
+    """A line for each piece; pieces have no line feeds."""
+    return b"\n".join(pieces).decode("latin-1").translate(_LINES)
 
 
 class Memo:
@@ -77,13 +102,12 @@ class Memo:
         self.old: dict[bytes, bytes] = {}
         self.long: list[bytes] = []
 
-    def begin(self, keys: set[bytes]) -> list[bytes]:
-        """The keys that are not known; the caller adds them."""
-        missing = keys.difference(self.young)  # difference() with a dict looks up the set's keys; operators on views go through the dict
-        unknown = missing.difference(self.old)
-        again = missing.difference(unknown)
+    def begin(self, keys: Iterable[bytes]) -> list[bytes]:
+        """Of distinct keys those that are not known; the caller adds them."""
+        missing = [*itertools.filterfalse(self.young.__contains__, keys)]
+        again = [*filter(self.old.__contains__, missing)]
         self.add(again, [*map(self.old.__getitem__, again)])
-        return [*unknown]
+        return [*itertools.filterfalse(self.young.__contains__, missing)] if again else missing
 
     def add(self, keys: Iterable[bytes], values: list[bytes]) -> None:
         self.young.update(zip(keys, values, strict=True))
@@ -105,11 +129,11 @@ class WordPieces:
     def __init__(self, tokenizer_path: str, encode: Encode, memo_bytes: int = MEMO_BYTES):
         self.library, self.encode_pieces = Tokenizer.from_file(tokenizer_path), encode
         spec = json.loads(self.library.to_str())
-        self.known_split = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"] == [SPLIT]
+        split = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.known_split = split == [SPLIT] and all(len(CUT_LATIN(t["content"].lower())) > 1 for t in spec["added_tokens"])  # no piece is a special token
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self.find_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")" if self.special else rb"(?!)")
         self.memo = Memo(memo_bytes)
-        self.mark_ids = {m: encode([m])[0].astype(np.int32).tobytes() for m in CLOSING} if self.known_split else {}
 
     def forget(self) -> None:
         self.memo.clear()
@@ -123,58 +147,92 @@ class WordPieces:
                 for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part.decode("utf-8", "replace"))):
                     yield bytes(map(_BYTE_OF.__getitem__, piece))
 
-    def _by_kind(self, fresh: list[bytes]) -> tuple[list[bytes], list[bytes], list[bytes]]:
-        """Words of printable ASCII, of ASCII and Latin letters, others."""
+    def _by_kind(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of words of printable ASCII, of ASCII and Latin letters, of others."""
+        place = np.arange(len(words))
         if not self.known_split:
-            return [], [], fresh
-        plain, rest = [*filter(bytes.isascii, fresh)], [*itertools.filterfalse(bytes.isascii, fresh)]
-        joined = b"\n".join(plain)
+            return place[:0], place[:0], place
+        plain = np.fromiter(map(bytes.isascii, words), bool, len(words))
+        joined = b"\n".join(itertools.compress(words, plain))
         if CONTROL(joined) or self.find_special.search(joined):
-            rest += [w for w in plain if CONTROL(w) or self.find_special.search(w)]
-            plain = [w for w in plain if not (CONTROL(w) or self.find_special.search(w))]
-        latin = [w for w in rest if PLAIN.fullmatch(w.decode("utf-8", "replace")) and not self.find_special.search(w)]
-        return plain, latin, [*(set(rest) - set(latin))]
-
-    def _word_ids(self, fresh: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-        """Words that are not remembered, and the ids of each."""
-        plain, latin, other = self._by_kind(fresh)
-        cut = CUT_ASCII(b"\n".join(plain).lower() + b"\n") if plain else []
-        if latin:
-            cut += [p.encode() for p in CUT_LATIN(b"\n".join(latin).decode("utf-8", "replace").lower() + "\n")]
-        cut_other = [[*self._cut_by_library(w)] for w in other]
-        cut += [x for own in cut_other for x in [*(x for x in own if isinstance(x, bytes)), b"\n"]]
-        at = np.fromiter(map(b"\n".__eq__, cut), bool, len(cut))
-        raw, ends = b"", np.zeros(1, np.int64)
-        if len(cut) > len(fresh):
-            ids, lens = self.encode_pieces([*filter(b"\n".__ne__, cut)])
-            raw, ends = ids.astype(np.int32).tobytes(), np.concatenate([ends, np.cumsum(lens) * 4])
-        values = _cut(raw, ends[np.cumsum(~at)[at]])
-        for k, own in enumerate(cut_other, len(plain) + len(latin)):
-            if any(isinstance(x, int) for x in own):
-                values[k] = self._with_specials(own)
-        return [*plain, *latin, *other], values
-
-    def _with_specials(self, own: list[bytes | int]) -> bytes:
-        return b"".join(np.array([x], np.int32).tobytes() if isinstance(x, int) else self.encode_pieces([x])[0].astype(np.int32).tobytes() for x in own)
+            plain &= np.fromiter((not (CONTROL(w) or self.find_special.search(w)) for w in words), bool, len(words))
+        rest = [*itertools.compress(words, ~plain)]
+        joined = b"\n".join(rest)
+        if PLAIN.fullmatch(joined.decode("utf-8", "replace")) and not self.find_special.search(joined):
+            return place[plain], place[~plain], place[:0]
+        latin = np.fromiter((bool(PLAIN.fullmatch(w.decode("utf-8", "replace")) and not self.find_special.search(w)) for w in rest), bool, len(rest))
+        return place[plain], place[~plain][latin], place[~plain][~latin]
+
+    def _values(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece; a line feed has none."""
+        own = [*filter(b"\n".__ne__, pieces)]
+        ids, lens = self.encode_pieces(own) if own else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        if len(own) < len(pieces):
+            lens = np.insert(lens, pieces.index(b"\n"), 0)
+        return _cut(ids.astype(np.int32).tobytes(), np.cumsum(lens) * 4)
+
+    def _recalled(self, keys: pa.Array, values_of: Callable[[list[bytes]], list[bytes]]) -> pa.ListArray:
+        """The ids of distinct pieces or words; values_of gives those of the ones that are not remembered."""
+        out = [_lists([])]
+        for at in range(0, len(keys), AT_ONCE):
+            own = _strings(keys.slice(at, AT_ONCE))
+            fresh = self.memo.begin(own)
+            self.memo.add(fresh, values_of(fresh))
+            out.append(_lists([*map(self.memo.young.__getitem__, own)]))
+            self.memo.end(fresh)
+        return pa.concat_arrays(out)
+
+    def _other_values(self, words: list[bytes]) -> list[bytes]:
+        cut = [[*self._cut_by_library(w)] for w in words]
+        own = [*{x for xs in cut for x in xs if isinstance(x, bytes)}]
+        known = dict(zip(own, self._values(own), strict=True)) | {i: np.array([i], np.int32).tobytes() for i in self.special.values()}
+        return [b"".join(map(known.__getitem__, xs)) for xs in cut]
+
+    def _word_ids(self, words: pa.LargeStringArray) -> pa.ListArray:
+        """The ids of each of distinct words."""
+        numbered, places, others = [], [], []
+        for at in range(0, len(words), AT_ONCE):
+            own = _strings(words.slice(at, AT_ONCE))
+            plain, latin, other = self._by_kind(own)
+            cut = CUT_ASCII(b"\n".join(map(own.__getitem__, plain.tolist())).lower() + b"\n") if len(plain) else []
+            if len(latin):
+                cut += CUT_LATIN(b"\n".join(map(own.__getitem__, latin.tolist())).decode("utf-8", "replace").lower() + "\n")
+            numbered.append(pa.array(cut, pa.large_binary()).dictionary_encode())
+            places += [plain + at, latin + at]
+            others.append(other + at)
+        if not numbered:
+            return _lists([])
+        numbered = pa.chunked_array(numbered).unify_dictionaries().chunks
+        pieces, number = numbered[0].dictionary, pa.concat_arrays([x.indices for x in numbered])
+        ends = np.flatnonzero(number.to_numpy() == pc.index(pieces, b"\n").as_py()) + 1
+        others = np.concatenate(others)
+        cut_here = _regrouped(self._recalled(pieces, self._values).take(number), np.concatenate([[0], ends]))
+        out = pa.concat_arrays([cut_here, self._recalled(words.take(pa.array(others)), self._other_values)])
+        return out.take(pa.array(np.argsort(np.concatenate([*places, others]))))
+
+    def _folded(self, texts: pa.LargeStringArray) -> pa.LargeStringArray:
+        """Special tokens are not folded: texts that hold one are left as they are."""
+        folded = pc.ascii_lower(texts)
+        if not self.find_special.search(folded.buffers()[2] or b""):
+            return folded
+        return _array([t if self.find_special.search(f) else f for t, f in zip(_strings(texts), _strings(folded), strict=True)])
+
+    def encode_arrays(self, blocks: list[pa.LargeStringArray], end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each block the ids of all its texts, with end after each where one is given, and where each text starts (one more at the end)."""
+        numbered, bounds = [], []
+        for texts in blocks:
+            words = pc.ascii_split_whitespace(self._folded(texts))
+            numbered.append(words.flatten().dictionary_encode())
+            bounds.append(words.offsets.to_numpy())
+        numbered = pa.chunked_array(numbered).unify_dictionaries().chunks
+        ids = self._word_ids(numbered[0].dictionary)
+        for own, at in zip(numbered, bounds, strict=True):
+            texts = _regrouped(ids.take(own.indices), at)
+            flat, starts = texts.values.to_numpy(), texts.offsets.to_numpy().astype(np.int64)
+            yield (flat, starts) if end is None else (np.insert(flat, starts[1:], end), starts + np.arange(len(starts)))
 
     def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, with end after each where one is given, and where each text starts (one more at the end)."""
-        folded = [t.lower() for t in texts]
-        if self.find_special.search(b"\n".join(folded)):  # special tokens are not folded: such texts are taken as they are
-            folded = [t if self.find_special.search(f) else f for t, f in zip(texts, folded, strict=True)]
-        split = [t.split() for t in folded]
-        if fresh := self.memo.begin(set().union(*split)):
-            closed = [w for w in fresh if w[-1:] in self.mark_ids and w[:-1].isalnum()]
-            stems = self.memo.begin({w[:-1] for w in closed})
-            if whole := [*set(fresh).difference(closed).union(stems)]:
-                self.memo.add(*self._word_ids(whole))
-            young = self.memo.young
-            self.memo.add(closed, [young[w[:-1]] + self.mark_ids[w[-1:]] for w in closed])
-            fresh = [*fresh, *set(stems).difference(fresh)]
-        get, closing = self.memo.young.__getitem__, b"" if end is None else np.array([end], np.int32).tobytes()
-        parts = [b"".join(map(get, ws)) + closing for ws in split]
-        self.memo.end(fresh)
-        return np.frombuffer(bytearray(b"".join(parts)), np.int32), np.cumsum([0, *(len(p) // 4 for p in parts)])
+        return next(self.encode_arrays([_array(texts)], end))
 
     def encode_long(self, text: bytes, end: int | None = None) -> np.ndarray:
         """Ids of one text of any length, a block of it at a time, cut at white space."""
@@ -189,19 +247,30 @@ class WordPieces:
         return np.concatenate([*parts, np.array([] if end is None else [end], np.int32)]).astype(np.int32)
 
 
-def encoded_blocks(rows: Iterable[tuple], encoder: WordPieces, end: int | None = None, most: int = BLOCK_BYTES) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """rows end with a text: (what stands before the texts, ids, bounds) of about so many bytes of texts at a time."""
-    heads, texts, held = [], [], 0
-    for *head, text in rows:
-        if held + len(text) > most and heads:
-            yield heads, *encoder.encode(texts, end)
-            heads, texts, held = [], [], 0
-        if len(text) > most:
-            ids = encoder.encode_long(text, end)
-            yield [head], ids, np.array([0, len(ids)])
-            continue
-        heads.append(head)
-        texts.append(text)
-        held += len(text)
-    if heads:
-        yield heads, *encoder.encode(texts, end)
+def encoded_blocks(batches: Iterable[pa.RecordBatch], text: str, encoder: WordPieces, end: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, ids, bounds) for a block of rows at a time; a null text counts as the empty one."""
+    held: list[tuple[pa.RecordBatch, pa.LargeStringArray]] = []
+    size = 0
+
+    def encoded():
+        if held:
+            yield from ((rows, *out) for (rows, _), out in zip(held, encoder.encode_arrays([x for _, x in held], end), strict=True))
+
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
+        ends = np.cumsum([0, *pc.binary_length(texts).to_numpy()])
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_BYTES, "right")) - 1)
+            long = ends[at + 1] - ends[at] > BLOCK_BYTES
+            if long or size + ends[to] - ends[at] > SHARED_BYTES:
+                yield from encoded()
+                held, size = [], 0
+            if long:
+                ids = encoder.encode_long(texts[at].as_buffer().to_pybytes(), end)
+                yield batch.slice(at, 1), ids, np.array([0, len(ids)])
+            else:
+                held.append((batch.slice(at, to - at), texts.slice(at, to - at)))
+                size += ends[to] - ends[at]
+            at = to
+    yield from encoded()

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -695,6 +696,40 @@ def test_what_a_worker_remembers_is_bounded(monkeypatch):
     assert not memo.young and not memo.old
 
 
+def test_pieces_are_encoded_once():
+    """Whatever stands around a piece, also in another text or call."""
+    library, own, asked = Tokenizer.from_file(BPE), token_orc.library_pieces(BPE), []
+    encoder = word_pieces.WordPieces(BPE, lambda pieces: (asked.extend(pieces), own(pieces))[1])
+    texts = ["word word, (word) Word's 'word' $$ word$$.", "[word] été ÉTÉ! «été»", "", " \n", "état,été 日本 word日本"]
+    for part in (texts[:3], texts[3:], texts):
+        ids, bounds = encoder.encode([t.encode() for t in part], 2)
+        assert [ids[a : b - 1].tolist() for a, b in itertools.pairwise(bounds)] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+    here = [p for p in asked if "日".encode() not in p]
+    assert len(here) == len(set(here)) and {b"word", "été".encode(), b"$$"} <= set(here)
+
+
+def test_control_characters_are_encoded_as_the_library_does():
+    library, encoder = Tokenizer.from_file(BPE), token_orc.encoder_of(BPE)
+    texts = ["a\x00b", "\x01 \x1f\x1c end", "one\x7ftwo, \x85\xa0x"]
+    for t in texts:
+        assert encoder.encode([t.encode()])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_blocks_give_what_whole_texts_give(monkeypatch):
+    """Blocks of a few texts, numbered together or not, texts longer than a block, null texts, several batches."""
+    r, library, encoder = random.Random(2), Tokenizer.from_file(BPE), token_orc.encoder_of(BPE)
+    texts = [" ".join("".join(r.choices("abé'1,", k=r.randint(1, 6))) for _ in range(r.choice([0, 3, 30, 90]))) for _ in range(120)] + [None, ""]
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array(texts[a:b], pa.string())], schema=schema) for a, b in ((0, 50), (50, 50), (50, len(texts)))]
+    wanted = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    monkeypatch.setattr(word_pieces, "AT_ONCE", 7)
+    for block, shared in ((200, 500), (1, 1), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(word_pieces, "BLOCK_BYTES", block)
+        monkeypatch.setattr(word_pieces, "SHARED_BYTES", shared)
+        found = [(i, ids[a:b].tolist()) for rows, ids, bounds in word_pieces.encoded_blocks(batches, "text", encoder, 2) for i, (a, b) in zip(rows.column(0).to_pylist(), itertools.pairwise(bounds), strict=True)]
+        assert found == [*enumerate(wanted)]
+
+
 def test_cuts_are_certain():
     """No token holds two symbols between which a cut is made; uncut merging gives the same ids."""
     r, bpe = random.Random(5), boundary_bpe.BoundaryBpe(BPE)
