@@ -27,6 +27,8 @@ from . import common, word_pieces
 END_ID = 2
 #: New pieces that the library is given in one call.
 CALL_PIECES = 2_000
+#: Bytes of texts whose words are numbered together: about what one file has (FILE_BYTES are compressed).
+SHARED_BYTES = 32 << 20
 STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
 #: Input bytes that one file is planned for, as long as that makes no more files than MOST_FILES.
@@ -78,7 +80,7 @@ def _encoded(tokenizer_path: str):
 
     def run(batches):
         start = 0
-        for rows, flat, bounds in word_pieces.encoded_blocks(batches, "text", encoder_of(tokenizer_path), END_ID):
+        for rows, flat, bounds in word_pieces.encoded_blocks(batches, "text", encoder_of(tokenizer_path), END_ID, SHARED_BYTES):
             tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
             columns = [rows.column(rows.schema.get_field_index("doc_id")), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), tokens]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -247,8 +247,8 @@ class WordPieces:
         return np.concatenate([*parts, np.array([] if end is None else [end], np.int32)]).astype(np.int32)
 
 
-def encoded_blocks(batches: Iterable[pa.RecordBatch], text: str, encoder: WordPieces, end: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, ids, bounds) for a block of rows at a time; a null text counts as the empty one."""
+def encoded_blocks(batches: Iterable[pa.RecordBatch], text: str, encoder: WordPieces, end: int | None = None, shared: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, ids, bounds) for a block of rows at a time; a null text counts as the empty one. shared: instead of SHARED_BYTES."""
     held: list[tuple[pa.RecordBatch, pa.LargeStringArray]] = []
     size = 0
 
@@ -263,7 +263,7 @@ def encoded_blocks(batches: Iterable[pa.RecordBatch], text: str, encoder: WordPi
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_BYTES, "right")) - 1)
             long = ends[at + 1] - ends[at] > BLOCK_BYTES
-            if long or size + ends[to] - ends[at] > SHARED_BYTES:
+            if long or size + ends[to] - ends[at] > (shared or SHARED_BYTES):
                 yield from encoded()
                 held, size = [], 0
             if long:
