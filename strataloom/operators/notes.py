@@ -1,7 +1,6 @@
-"""Notes: everything known of a file as rows of six fields, assembled into one nested record at the end.
+"""Notes: everything known of a file as items of six fields, put together into one nested record in the row of its signals.
 
-Items are kept long (path, field, list, pos, text, kind) while signals are added; positions order a list, so first-seen order
-survives shuffles. One grouped aggregation assembles them.
+Items are lists of strings, named by the list of the field that they belong to; positions order the items of a list.
 """
 
 from __future__ import annotations
@@ -18,19 +17,20 @@ from ..functions import paths, rules, scoring, text
 from ..functions.scoring import as_score
 
 SCHEMA_VERSION = "1.0.0"
-ITEMS = "array<struct<field:string,list:string,pos:int,text:string,kind:string>>"
 _s = F.lit
+#: Items: the field and its list that they belong to, their place there, and an array of them.
+Item = tuple[str, str, int, Column]
 
 
-def _texts(strings: Column, field: str, pos: int, form=lambda x: x) -> Column:
-    return F.transform(strings, lambda x: F.struct(_s(field).alias("field"), _s("observed").alias("list"), _s(pos).alias("pos"), form(x).alias("text"), _s(None).cast("string").alias("kind")))
+def _texts(strings: Column, field: str, pos: int, form=lambda x: x) -> Item:
+    return field, "observed", pos, F.transform(strings, lambda x: form(x))
 
 
-def _evidence(strings: Column, field: str, pos: int, kind: str, form=lambda x: x) -> Column:
-    return F.transform(strings, lambda x: F.struct(_s(field).alias("field"), _s("evidence").alias("list"), _s(pos).alias("pos"), form(x).alias("text"), _s(kind).alias("kind")))
+def _evidence(strings: Column, field: str, pos: int, kind: str, form=lambda x: x) -> Item:
+    return field, "evidence", pos, F.transform(strings, lambda x: F.struct(_s(kind).alias("type"), form(x).alias("detail")))
 
 
-def _both(strings: Column, field: str, pos: int, kind: str, said=lambda x: x, proof=lambda x: x) -> list[Column]:
+def _both(strings: Column, field: str, pos: int, kind: str, said=lambda x: x, proof=lambda x: x) -> list[Item]:
     return [_texts(strings, field, pos, said), _evidence(strings, field, pos, kind, proof)]
 
 
@@ -72,8 +72,8 @@ def signals(analyses: DataFrame, edges: DataFrame, tests: DataFrame, coverage: D
     )
 
 
-def items(own: DataFrame, language: str = "en") -> DataFrame:
-    """The long rows (path, field, list, pos, text, kind, at) of signals. The sentences are fixed values: results depend on them."""
+def items(language: str = "en") -> list[Item]:
+    """The items of a row of signals. The sentences are fixed values: results depend on them."""
     said = lambda d: F.concat(d["signature"], F.when(d["doc_comment"].isNull(), "").otherwise(F.concat(_s(" — "), d["doc_comment"])))
     hook = lambda h: F.coalesce(F.get(F.filter("export_details", lambda d: d["name"] == h), _s(0))["signature"], F.concat(h, _s("()")))
     details = F.filter("export_details", lambda d: ~F.array_contains("hooks", d["name"]))
@@ -89,7 +89,7 @@ def items(own: DataFrame, language: str = "en") -> DataFrame:
     few = F.size("hooks") + F.size(details)
     plain = (F.size("export_details") == 0) & (F.size("exports") > 0) & (F.size("hooks") == 0)
     p, i, s, d, k, v = rules.NOTE_FIELDS
-    parts = [
+    return [
         *_both(_if(label.isNotNull(), label), p, 0, "code", proof=_pre("Filename pattern: ")),
         *_both(F.transform("hooks", hook), p, 1, "code", _pre("Hook: "), _pre("export function ")),
         _texts(F.transform(details, lambda x: F.concat(F.when(x["kind"] == "type", "Type: ").otherwise("Export: "), said(x))), p, 2),
@@ -129,29 +129,37 @@ def items(own: DataFrame, language: str = "en") -> DataFrame:
         _texts(_if(pct.isNotNull(), F.when(pct < 0.5, F.concat(_s("Low line coverage: "), percent, _s(" — high risk for regressions"))).otherwise(F.concat(_s("Line coverage: "), percent))), v, 3),
         _evidence(_if(pct.isNotNull(), percent), v, 3, "test", _pre("Coverage report: ", " lines covered")),
     ]
-    whole = F.concat(*(x.cast(ITEMS) for x in parts))
-    return own.select("path", F.posexplode(whole).alias("at", "i")).select("path", "i.*", "at")
 
 
-def assembled(long: DataFrame, own: DataFrame, generated_at: Column) -> DataFrame:
-    """A nested note for each file of signals: observed texts once each (case apart), evidence, confidence, score, signals."""
-    entry = F.struct("pos", "at", "text", "kind")
-    grouped = long.groupBy("path").agg(*(F.array_sort(F.collect_list(F.when((F.col("field") == f) & (F.col("list") == kind), entry))).alias(f"{f}_{kind}") for f in rules.NOTE_FIELDS for kind in ("observed", "evidence")))
-    joined = own.join(grouped, "path", "left")
+def assembled(own: DataFrame, generated_at: Column, language: str = "en") -> DataFrame:
+    """A nested note for each file of signals: observed texts once each (case apart), evidence, confidence, score, signals.
+
+    All of a note is in one row, so nothing is dealt anew.
+    """
+    told = sorted(items(language), key=lambda x: x[2])
     none = F.array().cast("array<string>")
 
+    def listed(name: str, kind: str, form: str) -> Column:
+        return F.coalesce(F.concat(*(x.cast(form) for field, part, _, x in told if (field, part) == (name, kind))), F.array().cast(form))
+
+    # Texts are a column of their own first, so that they are made once, not for each use of them.
+    texts = own.select("*", *(listed(f, "observed", "array<string>").alias(f"{f}_observed") for f in rules.NOTE_FIELDS))
+
+    def once(name: str) -> Column:
+        return F.aggregate(f"{name}_observed", none, lambda done, x: F.when(F.exists(done, lambda y: F.lower(y) == F.lower(x)), done).otherwise(F.concat(done, F.array(x))))
+
+    folded = texts.select("*", *(once(f).alias(f"{f}_once") for f in rules.NOTE_FIELDS))
+
     def field(name: str) -> Column:
-        texts = F.coalesce(F.transform(f"{name}_observed", lambda x: x["text"]), none)
-        folded = F.aggregate(texts, none, lambda done, x: F.when(F.exists(done, lambda y: F.lower(y) == F.lower(x)), done).otherwise(F.concat(done, F.array(x))))
-        proof = F.coalesce(F.transform(f"{name}_evidence", lambda x: F.struct(x["kind"].alias("type"), x["text"].alias("detail"))), F.array().cast("array<struct<type:string,detail:string>>"))
         full, bare = rules.CONFIDENCE[name]
-        return F.struct(folded.alias("observed"), none.alias("inferred"), F.when(F.size(folded) > 0, full).otherwise(bare).cast("double").alias("confidence"), proof.alias("evidence")).alias(name)
+        said, proof = F.col(f"{name}_once"), listed(name, "evidence", "array<struct<type:string,detail:string>>")
+        return F.struct(said.alias("observed"), none.alias("inferred"), F.when(F.size(said) > 0, full).otherwise(bare).cast("double").alias("confidence"), proof.alias("evidence")).alias(name)
 
     debug = F.struct(
         F.col("consumers").alias("reverse_dep_count"), F.size("dependencies_list").cast("long").alias("direct_dep_count"), "has_hooks", "has_external_imports", "has_env_vars", "has_api_calls", "has_todo_comments",
         "has_tests", "coverage_pct", F.col("churn").alias("churn_score"), F.col("authors").alias("author_count"), F.col("co_changed").alias("co_changed_files"),
     )
-    return joined.select(
+    return folded.select(
         _s(SCHEMA_VERSION).alias("schema_version"), F.col("path").alias("file_path"), *map(field, rules.NOTE_FIELDS), F.col("recent_commits").alias("recent_changes"),
         as_score(scoring.criticality_points()).alias("criticality_score"), debug.alias("debug_signals"), generated_at.alias("generated_at"), _s("static").alias("model"),
     )

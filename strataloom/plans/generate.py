@@ -177,8 +177,8 @@ def assembled(own: DataFrame, all_files: DataFrame, analysed: DataFrame, edges:
     hashes = all_files.select("path", "hash")
     prints = incremental.fingerprints(edges, hashes)
     fresh = saved(due(own, hashes, prints, earlier, config, chosen or Chosen()), "fresh")
-    told = signals.join(fresh, "path", "left_semi")
-    made = notes.assembled(notes.items(told, config.language), told, now)
+    told = signals if earlier is None and chosen in (None, Chosen(), Chosen(force=True)) else signals.join(fresh, "path", "left_semi")
+    made = notes.assembled(told, now, config.language)
     noted, held = hashes, prints
     if earlier is not None:
         made = merged_notes(earlier.notes, made, own)
@@ -508,7 +508,7 @@ def apply_changes(spark: SparkSession, out: str, changed: DataFrame, all_files:
     governed = governance.governed(part.select("path"), governance.file_governance(docs), governance.mappings(docs))
     loops = delta.applied(earlier.components, cycles)
     signals = saved(notes.signals(analysed, about, tests.join(gone, "path", "left_semi"), covered, history.git_signals(commits), loops, found, governed), "signals")
-    made = saved(notes.assembled(notes.items(signals, config.language), signals, now), "notes")
+    made = saved(notes.assembled(signals, now, config.language), "notes")
     entries = saved(indexed(made, part, about, now, config), "index")
     texts, keys = notes.search_documents(made), gone.select(F.col("path").alias("key"))
     over = lambda rows, key="path": delta.Change(gone.withColumnRenamed("path", key), rows)
